@@ -28,7 +28,7 @@ SLICE_BYTES = 2 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_STEP = np.uint64(0xD1342543DE82EF95)
+_STEP = 0xD1342543DE82EF95
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -116,10 +116,9 @@ def shingles(words: Words, k: int, short: bool = True) -> tuple[np.ndarray, np.n
     row = words.row
     first = np.flatnonzero(row[: max(0, n - k + 1)] == row[k - 1 :]) if n >= k else np.zeros(0, np.int64)
     value = np.zeros(len(first), np.uint64)
-    factor = np.uint64(1)
+    factors = [np.uint64(pow(_STEP, j, 1 << 64)) for j in range(k)]
     for j in range(k):
-        value += words.hash[first + j] * factor
-        factor *= _STEP
+        value += words.hash[first + j] * factors[j]
     value = mix(value + np.uint64(k))
     rows = row[first]
     if short:
@@ -128,11 +127,9 @@ def shingles(words: Words, k: int, short: bool = True) -> tuple[np.ndarray, np.n
         if len(few):
             at = np.searchsorted(row, few)
             sums = np.zeros(len(few), np.uint64)
-            factor = np.uint64(1)
             for j in range(k - 1):
                 has = counts[few] > j
-                sums[has] += words.hash[at[has] + j] * factor
-                factor *= _STEP
+                sums[has] += words.hash[at[has] + j] * factors[j]
             rows = np.concatenate([rows, few])
             first = np.concatenate([first, at])
             value = np.concatenate([value, mix(sums + counts[few].astype(np.uint64))])
