@@ -7,6 +7,7 @@ import importlib
 #: Module, query and the name of its SQL in that module ('' where SQL can't express it).
 QUERIES = [
     ("packing", "op1_pack", ""),
+    ("token_files", "op2_token_files", ""),
     ("quality_rules", "op6_quality_rules", "OP6_SQL"),
     ("decontaminate", "op10_decontaminate", "OP10_SQL"),
 ]
