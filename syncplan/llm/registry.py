@@ -8,6 +8,7 @@ import importlib
 QUERIES = [
     ("packing", "op1_pack", ""),
     ("token_files", "op2_token_files", ""),
+    ("warc", "op3_warc", ""),
     ("quality_rules", "op6_quality_rules", "OP6_SQL"),
     ("decontaminate", "op10_decontaminate", "OP10_SQL"),
 ]
