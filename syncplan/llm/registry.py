@@ -9,6 +9,8 @@ QUERIES = [
     ("packing", "op1_pack", ""),
     ("token_files", "op2_token_files", ""),
     ("warc", "op3_warc", ""),
+    ("quality_classifier", "op8_quality_classifier", ""),
+    ("substring_dedup", "op9_substring_dedup", ""),
     ("secret_scan", "op4_secret_scan", ""),
     ("jaccard_join", "op7_jaccard_join", "OP7_SQL"),
     ("quality_rules", "op6_quality_rules", "OP6_SQL"),

@@ -28,7 +28,8 @@ SLICE_BYTES = 2 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_STEP = 0xD1342543DE82EF95
+STEP = np.uint64(0xD1342543DE82EF95)
+STEP_INVERSE = np.uint64(pow(int(STEP), -1, 1 << 64))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -42,7 +43,7 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
 _powers: dict[int, np.ndarray] = {}
 
 
-def _power(base: np.uint64, n: int) -> np.ndarray:
+def powers(base: np.uint64, n: int) -> np.ndarray:
     have = _powers.get(int(base))
     if have is None or len(have) < n:
         factors = np.full(max(n, SLICE_BYTES + 1), base, np.uint64)
@@ -102,8 +103,8 @@ def words_of(texts: pa.Array, keep: np.ndarray, lower: bool = True) -> Words:
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     row = np.searchsorted(offsets, start, side="right") - 1
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _power(_BASE, n + 1)[:n], out=total[1:])
-    hashed = mix((total[end] - total[start]) * _power(_INVERSE, n + 1)[start] + (end - start).astype(np.uint64))
+    np.cumsum(_BYTE[data] * powers(_BASE, n + 1)[:n], out=total[1:])
+    hashed = mix((total[end] - total[start]) * powers(_INVERSE, n + 1)[start] + (end - start).astype(np.uint64))
     return Words(data, start, end, row, hashed, len(offsets) - 1, offsets[:-1])
 
 
@@ -116,7 +117,7 @@ def shingles(words: Words, k: int, short: bool = True) -> tuple[np.ndarray, np.n
     row = words.row
     first = np.flatnonzero(row[: max(0, n - k + 1)] == row[k - 1 :]) if n >= k else np.zeros(0, np.int64)
     value = np.zeros(len(first), np.uint64)
-    factors = [np.uint64(pow(_STEP, j, 1 << 64)) for j in range(k)]
+    factors = [np.uint64(pow(int(STEP), j, 1 << 64)) for j in range(k)]
     for j in range(k):
         value += words.hash[first + j] * factors[j]
     value = mix(value + np.uint64(k))
