@@ -12,6 +12,7 @@ QUERIES = [
     ("quality_classifier", "op8_quality_classifier", ""),
     ("substring_dedup", "op9_substring_dedup", ""),
     ("secret_scan", "op4_secret_scan", ""),
+    ("html_text", "op5_html_text", ""),
     ("jaccard_join", "op7_jaccard_join", "OP7_SQL"),
     ("quality_rules", "op6_quality_rules", "OP6_SQL"),
     ("decontaminate", "op10_decontaminate", "OP10_SQL"),
