@@ -252,8 +252,9 @@ def _lengths_fit(percent: int) -> Column:
 
 
 def _postings(near: DataFrame, labels: DataFrame, order: int) -> DataFrame:
-    """``token, place, cls, n, label``; ``place`` counts from the end of the prefix, so it bounds what can follow."""
-    each = near.select("cls", "n", F.size("tokens").alias("m"), F.posexplode(f"prefix{order}").alias("place", "token"))
+    """``token, cls, n, label, prefix, left``: a row for each prefix token; ``left`` bounds what can be common from it on."""
+    prefix = F.col(f"prefix{order}")
+    each = near.select("cls", "n", F.size("tokens").alias("m"), prefix.alias("prefix"), F.posexplode(prefix).alias("place", "token"))
     # tokens from this one on, in this order: the shared ones that are left
     each = each.withColumn("left", F.col("m") - F.col("place")).drop("m", "place")
     return each.join(labels.withColumnRenamed("node", "cls"), "cls")
@@ -285,14 +286,15 @@ def _links(near: DataFrame, percent: int, hub_rounds: int = 4) -> DataFrame:
     posts = _postings(near, labels, 0)
     mixed = posts.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most")
     posts = stored(posts.join(mixed.select("token"), "token"))
-    a = posts.select("token", *(F.col(c).alias(f"{c}_a") for c in ("cls", "n", "label", "left")))
-    b = posts.select("token", *(F.col(c).alias(f"{c}_b") for c in ("cls", "n", "label", "left")))
+    a = posts.select("token", *(F.col(c).alias(f"{c}_a") for c in ("cls", "n", "label", "prefix", "left")))
+    b = posts.select("token", *(F.col(c).alias(f"{c}_b") for c in ("cls", "n", "label", "prefix", "left")))
     least = (percent * (F.col("n_a") + F.col("n_b"))) / (100 + percent)
     pairs = (
         a.join(b, "token")
         .filter((F.col("cls_a") < F.col("cls_b")) & (F.col("label_a") != F.col("label_b")) & _lengths_fit(percent))
-        # at the first common token of a linking pair enough tokens are left in both
+        # at the first common token of a linking pair enough tokens are left in both; only there is the pair made
         .filter(F.least("left_a", "left_b") >= least - F.lit(1e-6))
+        .filter(F.element_at(F.array_intersect("prefix_a", "prefix_b"), 1) == F.col("token"))
         .select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"))
         .distinct()
     )
