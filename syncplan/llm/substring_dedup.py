@@ -1,7 +1,7 @@
 """Removal of passages that repeat across documents, by hashing of units.
 
 A text is parted into units at line ends and, within lines, at places that its own words choose (where the hash of two
-neighbouring words is the least of all within ``reach`` words).  So a passage gives the same units wherever it stands,
+neighbouring words is the least, or as small as any, of all within ``reach`` words).  So a passage gives the same units wherever it stands,
 whether it fills lines or begins and ends amid sentences.  Units are normalised (ASCII lower case, one space between
 words) and hashed; digests are grouped over all documents, and the earliest occurrence (smallest doc id, then place) of
 each is kept.  In every other occurrence the unit is a repeat; runs of repeats, one next to the other, with at least
@@ -54,7 +54,7 @@ def _units(reach: int):
                     if n > j:
                         near = group[j:] == group[:-j]
                         least[j:] &= ~near | (value[j:] <= value[:-j])
-                        least[:-j] &= ~near | (value[:-j] < value[j:])
+                        least[:-j] &= ~near | (value[:-j] <= value[j:])  # one word over and over: a place before each
                 begin = np.flatnonzero(~same | least)
                 end = np.append(begin[1:], n)[: len(begin)]
                 total = np.zeros(n + 1, np.uint64)

@@ -49,3 +49,9 @@ def test_lines_offsets_and_odd_rows(spark):
     assert cut[1] == (rows[0][1], None) and cut[2][0] == "\nother words here"
     assert cut[None][0] == "" and [tuple(x) for x in cut[None][1]] == [(0, len(line))]
     assert repeated_spans(df.limit(0)).count() == 0
+
+
+def test_one_word_over_and_over(spark):
+    df = spark.createDataFrame([(1, "of " * 80), (2, "some words " + "of " * 60 + "then others")], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_words"] for r in repeated_spans(df).collect()}
+    assert got[1] >= 75 and got[2] >= 50
