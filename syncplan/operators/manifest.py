@@ -38,7 +38,9 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_manifest(manifest: DataFrame) -> DataFrame:
     """Adds ``doc`` (variant, null if the line is no JSON object), ``id, file, status`` and ``entries`` (array of variants)."""
-    doc = F.try_parse_json("raw")
+    # within brackets a line that goes on after its object is no longer one element
+    alone = F.try_parse_json(F.concat(F.lit("["), F.col("raw"), F.lit("]")))
+    doc = F.when(F.size(F.try_variant_get(alone, "$", "array<variant>")) == 1, F.try_variant_get(alone, "$[0]", "variant"))
     rows = manifest.withColumn("doc", F.when(F.startswith(F.schema_of_variant(doc), F.lit("OBJECT")), doc))
     text = lambda key: F.coalesce(trim_white(F.try_variant_get("doc", f"$.{key}", "string")), F.lit(""))
     return rows.select(
