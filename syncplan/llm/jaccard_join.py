@@ -40,7 +40,7 @@ from .words import NON_SPACE, mix, shingles, slices, words_of
 
 #: Tokens that one stretch of documents gathers before it is sent, and tokens that one range holds, about.
 STRETCH = 1_500_000
-RANGE_TOKENS = 2_000_000
+RANGE_TOKENS = 4_000_000
 #: Classes of a stretch that make a token hot there.
 HOT = 64
 TOKEN_BITS = 48
@@ -237,7 +237,11 @@ def _near(percent: int):
 
 
 def _compared(pairs: DataFrame, near: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs ``(a, b)`` those that link, after the filters of length and of each order."""
+    """Of the pairs ``(a, b)`` those that link, after the filters of length and of each order.
+
+    Pairs come from a stored table, so where they are few, as after the first round, their size is known before the sets
+    are shuffled and they are broadcast instead.
+    """
     left = near.select(F.col("cls").alias("a"), *(F.col(c).alias(f"{c}_a") for c in near.columns if c != "cls"))
     right = near.select(F.col("cls").alias("b"), *(F.col(c).alias(f"{c}_b") for c in near.columns if c != "cls"))
     joined = pairs.join(left, "a").join(right, "b")
@@ -252,9 +256,8 @@ def _lengths_fit(percent: int) -> Column:
 
 
 def _postings(near: DataFrame, labels: DataFrame, order: int) -> DataFrame:
-    """``token, cls, n, label, prefix, left``: a row for each prefix token; ``left`` bounds what can be common from it on."""
-    prefix = F.col(f"prefix{order}")
-    each = near.select("cls", "n", F.size("tokens").alias("m"), prefix.alias("prefix"), F.posexplode(prefix).alias("place", "token"))
+    """``token, cls, n, label, left``: a row for each prefix token; ``left`` bounds what can be common from it on."""
+    each = near.select("cls", "n", F.size("tokens").alias("m"), F.posexplode(f"prefix{order}").alias("place", "token"))
     # tokens from this one on, in this order: the shared ones that are left
     each = each.withColumn("left", F.col("m") - F.col("place")).drop("m", "place")
     return each.join(labels.withColumnRenamed("node", "cls"), "cls")
@@ -279,13 +282,16 @@ def _links(near: DataFrame, percent: int, hub_rounds: int = 4) -> DataFrame:
             .select(F.col("cls").alias("a"), F.col("hub").alias("b"))
             .distinct()
         )
-        found = stored(_compared(pairs, near, percent))
+        found = stored(_compared(stored(pairs), near, percent))
         if found.isEmpty():
             break
         labels = merge_labels(labels, found)
     posts = _postings(near, labels, 0)
     mixed = posts.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most")
     posts = stored(posts.join(mixed.select("token"), "token"))
+    # of each class, its tokens that could make a pair, in the common order: the least left, the later
+    own = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("left")).alias("at"), "token"))), lambda x: x["token"])
+    posts = posts.join(posts.groupBy("cls").agg(own.alias("prefix")), "cls")
     a = posts.select("token", *(F.col(c).alias(f"{c}_a") for c in ("cls", "n", "label", "prefix", "left")))
     b = posts.select("token", *(F.col(c).alias(f"{c}_b") for c in ("cls", "n", "label", "prefix", "left")))
     least = (percent * (F.col("n_a") + F.col("n_b"))) / (100 + percent)
@@ -298,7 +304,7 @@ def _links(near: DataFrame, percent: int, hub_rounds: int = 4) -> DataFrame:
         .select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"))
         .distinct()
     )
-    return merge_labels(labels, stored(_compared(pairs, near, percent)))
+    return merge_labels(labels, stored(_compared(stored(pairs), near, percent)))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
@@ -327,7 +333,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """One document of each group, that with the smallest id, in the columns of ``docs``; rows without an id all stay."""
     found = near_duplicates(docs, **options)
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    gone = stored(found.filter("doc_id <> component_id").select("doc_id").distinct())  # its size is then known
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     again = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
     if again.isEmpty():
