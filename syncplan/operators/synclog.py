@@ -56,9 +56,12 @@ def new_log_rows(log: DataFrame, written: DataFrame, now: datetime.datetime, ide
     return out.withColumns({c: F.lit(None).cast(log.schema[c].dataType) for c in missing}).select(*log.columns)
 
 
-def append_sync_log(log_path: str, log: DataFrame, written: DataFrame, now: datetime.datetime, idempotent: bool = True) -> None:
-    rows = new_log_rows(log, written, now, idempotent).withColumn("date", F.to_date("ts"))
-    rows.write.mode("append").partitionBy("date").parquet(log_path)
+def append_sync_log(
+    log_path: str, log: DataFrame, written: DataFrame, now: datetime.datetime, idempotent: bool = True, period: str = "yyyy-MM"
+) -> None:
+    """Appends to a log partitioned by ``period`` (of rows' times).  One batch has one time, so it goes to one partition."""
+    rows = new_log_rows(log, written, now, idempotent).withColumn("period", F.date_format("ts", period))
+    rows.write.mode("append").partitionBy("period").parquet(log_path)
 
 
 def older_than(log: DataFrame, threshold: Column | datetime.datetime) -> DataFrame:

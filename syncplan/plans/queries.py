@@ -17,11 +17,12 @@ from ..operators import manifest as M
 from ..operators import metrics, records, synclog, work
 from ..operators.channels import Channel, plan_assets, plan_deletes, route, shadowed_assets, split_companions, work_table
 from ..operators.companions import CompanionPattern, companion_fields_bundle, companion_fields_csv, companion_fields_json, companion_fields_text, companion_fields_xml, late_companions, match_companions, plan_companions, presync
-from ..operators.enrich import concat_fields, split_failed
+from ..operators.enrich import concat_fields, python_fields, split_failed
 from ..operators.ignore import event_eligible, filter_ignored, ignore_predicate
 from ..operators.watchers import Watcher, assign_watcher, normalize_watchers
-from ..sources.listing import entries_from_inventory, segment_counts, segment_plan, smallest_first, under_prefix
-from ..streaming.sync import with_plan_id
+from ..scratch import shared_dir
+from ..sources.listing import copy_assets, entries_from_inventory, list_entries, read_companions, segment_counts, segment_plan, smallest_first, under_prefix
+from ..streaming.sync import companion_stream, diff_stream, use_state_store, with_plan_id, write_once
 from .views import view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -659,6 +660,132 @@ def flagship(spark, d):
     return D.reconcile_summary(assign_watcher(D.diff_snapshots(old, new), WATCHERS), "watcher")
 
 
+# --- through files and streams: what is written to the shared folder is read again ----------------------------------
+
+
+@query("s01_list_entries", "SELECT path, size FROM (SELECT 'part=' || CAST(n_regionkey AS STRING) AS path, count(*) AS size FROM nation GROUP BY 1)")
+def _(spark, d):
+    root = shared_dir(spark)
+    nation = spark.read.parquet(f"{d}/nation.parquet")
+    rows = nation.groupBy(F.col("n_regionkey").alias("part")).agg(F.count("*").alias("n")).select("part", F.repeat(F.lit("x"), F.col("n").cast("int") - 1))
+    rows.repartition("part").write.partitionBy("part").text(root)  # a file of n bytes in each folder
+    files = list_entries(spark, root).filter("path like 'part=%'")
+    return files.select(P.segment("path", 1).alias("path"), "size").filter("size > 0")
+
+
+@query("s07_read_companions", "SELECT 'part=' || CAST(r_regionkey AS STRING) AS dir, r_name AS content FROM region WHERE r_regionkey <> 3")
+def _(spark, d):
+    root = shared_dir(spark)
+    spark.read.parquet(f"{d}/region.parquet").select(F.col("r_regionkey").alias("part"), "r_name").repartition("part").write.partitionBy("part").text(root)
+    wanted = list_entries(spark, root).filter("path like 'part=%' and path not like 'part=3/%' and size > 0").select("path")
+    return read_companions(spark, root, wanted).select(P.segment("path", 1).alias("dir"), F.rtrim(F.col("content").cast("string"), F.lit("\n")).alias("content"))
+
+
+@query("s08_read_manifest", "SELECT row_number() OVER (ORDER BY line) * 2 - 1 AS line, raw, substring(sha256(raw), 1, 16) AS hash FROM v_manifest")
+def _(spark, d):
+    path = shared_dir(spark)
+    view(spark, d, "v_manifest").repartitionByRange(8, "line").sortWithinPartitions("line").select("raw").write.option("lineSep", "\n\n").text(path)
+    return M.read_manifest(spark, path)  # every other line is blank
+
+
+@query("s09_read_ledger", "SELECT hash, action, dest_id, token FROM v_ledger")
+def _(spark, d):
+    path = shared_dir(spark)
+    L.append_ledger(view(spark, d, "v_ledger").drop("seq"), path)
+    view(spark, d, "v_ledger").limit(1).select(F.lit('{"line":1,"action":"crea').alias("torn")).write.mode("append").text(path)
+    return L.read_ledger(spark, path).select("hash", "action", "dest_id", "token")
+
+
+@query("k01_commit_snapshot", f"SELECT path, change FROM ({_DIFF}) WHERE change <> 'unchanged'")
+def _(spark, d):
+    path, schema = shared_dir(spark), "path string, size long, mtime timestamp_ntz, hash string"
+    for v in ("v_prev", "v_cur"):
+        D.commit_snapshot(view(spark, d, v).withColumn("mtime", F.col("mtime").cast("timestamp_ntz")), path, "orders#w")
+    old, new = (D.load_snapshot(spark, path, "orders#w", schema, g) for g in (1, 2))
+    return D.events(D.diff_snapshots(old, new)).select("path", "change")
+
+
+@query("k02_append_sync_log", "SELECT channel_name, source_path, source_version, source_stem, source_dir FROM v_sync_log UNION ALL SELECT channel_name, concat('new/', source_path), 'v1', concat('new/', source_stem), concat('new/', source_dir) FROM (SELECT DISTINCT channel_name, source_path, source_stem, source_dir FROM v_sync_log WHERE id % 10 = 0)")
+def _(spark, d):
+    path, log = shared_dir(spark), view(spark, d, "v_sync_log").withColumn("ts", F.col("ts").cast("timestamp"))
+    log.withColumn("period", F.date_format("ts", "yyyy-MM")).repartition("period").write.partitionBy("period").parquet(path)
+    written = log.filter("id % 10 = 0").select("channel_name", F.concat(F.lit("new/"), "source_path").alias("source_path"), F.lit("v1").alias("source_version"), "dest_id").dropDuplicates(["channel_name", "source_path"])
+    for _ in range(2):  # the second time nothing is new
+        synclog.append_sync_log(path, spark.read.parquet(path).drop("period"), written, NOW)
+    return spark.read.parquet(path).select("channel_name", "source_path", "source_version", "source_stem", "source_dir")
+
+
+@query("k08_archive_export", "SELECT id, source_path FROM v_sync_log WHERE ts < TIMESTAMP '1996-01-01'")
+def _(spark, d):
+    path = shared_dir(spark)
+    synclog.archive_older_than(view(spark, d, "v_sync_log"), THRESHOLD, path)
+    return spark.read.schema("id long, source_path string").json(path)
+
+
+@query("k09_copy_assets", "SELECT count(*) AS files, sum(n) AS bytes FROM (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1)")
+def _(spark, d):
+    root, target = shared_dir(spark), shared_dir(spark)
+    nation = spark.read.parquet(f"{d}/nation.parquet")
+    rows = nation.groupBy(F.col("n_regionkey").alias("part")).agg(F.count("*").alias("n")).select("part", F.repeat(F.lit("x"), F.col("n").cast("int") - 1))
+    rows.repartition("part").write.partitionBy("part").text(root)
+    entries = list_entries(spark, root).filter("path like 'part=%' and size > 0")
+    return copy_assets(entries, root, target).agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
+
+
+def _streamed(spark: SparkSession, feed: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All rows that the stream makes of the feed, which comes in one batch."""
+    use_state_store(spark)
+    source, out, checkpoint = (shared_dir(spark) for _ in range(3))
+    feed.write.parquet(source)
+    made = make(spark.readStream.schema(feed.schema).parquet(source))
+    writer = made.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(made.schema).parquet(out)
+
+
+@query("t03_diff_stream", """
+WITH e AS (SELECT *, kind = 'OnDelete' AS gone, lag(kind) OVER w AS before, lag(size) OVER w AS s, lag(hash) OVER w AS h FROM v_events WINDOW w AS (PARTITION BY path ORDER BY seq))
+SELECT path, seq, CASE WHEN gone THEN 'OnDelete' WHEN before IS NULL OR before = 'OnDelete' THEN 'OnCreate' ELSE 'OnUpdate' END AS kind
+FROM e WHERE CASE WHEN gone THEN before IS NOT NULL AND before <> 'OnDelete' ELSE before IS NULL OR before = 'OnDelete' OR s <> size OR h <> hash END""")
+def _(spark, d):
+    feed = view(spark, d, "v_events").select(F.lit("orders").alias("scope"), "path", "seq", "size", F.lit(NOW).alias("mtime"), "hash", (F.col("kind") == "OnDelete").alias("deleted"))
+    return _streamed(spark, feed, diff_stream).select("path", "seq", "kind")
+
+
+@query("t04_companion_stream", """
+WITH e AS (SELECT seq, path, split_part(path, '.', 1) AS stem, path LIKE '%.jpg' AS asset, kind = 'OnDelete' AS gone FROM v_events),
+f AS (SELECT stem, min(seq) AS first FROM e WHERE asset AND NOT gone GROUP BY stem)
+SELECT action, count(*) AS n FROM (
+ SELECT CASE WHEN seq = first THEN 'create' ELSE 'update' END AS action FROM e JOIN f USING (stem) WHERE asset AND NOT gone
+ UNION ALL SELECT CASE WHEN gone THEN 'deleted' ELSE 'patch' END FROM e JOIN f USING (stem) WHERE NOT asset AND seq > first
+ UNION ALL SELECT 'fold' FROM (SELECT path, arg_max(gone, seq) AS gone FROM e JOIN f USING (stem) WHERE NOT asset AND seq < first GROUP BY path) WHERE NOT gone) GROUP BY action""")
+def _(spark, d):
+    path = F.col("path")
+    feed = view(spark, d, "v_events").select(
+        F.lit("x").alias("channel_name"), P.directory("path").alias("dir"), F.split(path, r"\.")[0].alias("stem"), "seq", "path", (~F.endswith(path, F.lit(".jpg"))).alias("companion"), (F.col("kind") == "OnDelete").alias("deleted")
+    )
+    return _streamed(spark, feed, companion_stream).groupBy("action").agg(F.count("*").alias("n"))
+
+
+@query("t06_write_once", "SELECT DISTINCT path, hash FROM v_events")
+def _(spark, d):
+    path, plan = shared_dir(spark), view(spark, d, "v_events").withColumn("channel_name", F.lit("x"))
+    for batch, rows in enumerate((plan.filter("seq % 3 = 0"), plan.filter("seq % 3 <> 1"), plan)):
+        write_once(spark, rows, path, batch)
+    return spark.read.parquet(path).select("path", "hash")
+
+
+@query("d02_python_fields", "SELECT p_partkey, 'Double' AS name, CAST(2 * p_size AS STRING) AS value FROM part WHERE p_size % 10 <> 0")
+def _(spark, d):
+    def double(row: dict) -> list[dict]:
+        if row["p_size"] % 10 == 0:
+            raise ValueError("no")
+        return [{"name": "Double", "value": 2.0 * row["p_size"]}]
+
+    rows = python_fields(spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_size"), double)
+    return rows.filter("error is null").select("p_partkey", F.explode("fields").alias("f")).select("p_partkey", "f.name", "f.value")
+
+
 # --- shared inputs -------------------------------------------------------------------------------------------------
 
 
