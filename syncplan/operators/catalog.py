@@ -92,7 +92,7 @@ def resolve_fields(entries: DataFrame, catalog: Catalog, default_language: str |
     ``entries``: record, pos, name, value (variant), language.  Entries of one field stay together, each with its
     language and all kept in order; fields come in the order of their first entries.
     """
-    fields = F.broadcast(field_index(catalog.fields))
+    fields = F.broadcast(field_index(catalog.checked().fields))
     rows = entries.withColumn("key", canonical_field_name("name")).join(fields, "key", "left")
     kind = F.coalesce(F.schema_of_variant("value"), F.lit("VOID"))
     is_text = kind == "STRING"

@@ -109,8 +109,8 @@ def plan_companions(companions: DataFrame, log: DataFrame, match_extension: bool
 def presync(creates: DataFrame, companions: DataFrame, match: str = "stem") -> DataFrame:
     """``channel_name, path, companion_path`` and the match, for each asset to be created and each companion beside it.
 
-    match="stem" takes companions of the asset's stem; match="directory" every companion of its directory, as the
-    reference behaviour is described.  The asset itself is never its own companion.
+    match="stem" takes companions of the asset's stem; match="directory" every companion of its directory.  The asset itself
+    is never its own companion.
     """
     if match not in ("stem", "directory"):
         raise ValueError(f"match is 'stem' or 'directory', not {match!r}")
