@@ -9,9 +9,10 @@ fewer classes come first) with different orders of ties; a pair must share a pre
 sets are compared.  A token that only one class holds can't be shared, so a class whose prefix consists of such tokens
 links with nothing and is left out early; that is all but near copies.
 
-Large groups: documents that many others resemble are not compared in all pairs.  Under one order after another each
-member of a token's list is first compared with one member of the list (the hub), which settles most of a group;
-after that, only pairs whose groups still differ are compared, so no link between groups is lost.
+Large groups: documents that many others resemble are not compared in all pairs.  Each member of a token's list is first
+compared with one member of the list (the hub), another one in each round, which settles most of a group; lists whose
+members are in one group by then are done; of the others, only pairs whose groups still differ are compared, so no link
+between groups is lost.
 
 Data flow: tokens travel in packed arrays by ranges of token, and from there by ranges of class.  A token that many
 classes of one stretch of documents hold is sent once a stretch, not once a document, so a passage that a third of all
@@ -255,26 +256,28 @@ def _lengths_fit(percent: int) -> Column:
     return 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
 
 
-def _postings(near: DataFrame, labels: DataFrame, order: int) -> DataFrame:
-    """``token, cls, n, label, left``: a row for each prefix token; ``left`` bounds what can be common from it on."""
-    each = near.select("cls", "n", F.size("tokens").alias("m"), F.posexplode(f"prefix{order}").alias("place", "token"))
+def _postings(near: DataFrame) -> DataFrame:
+    """``token, cls, n, left``: a row for each prefix token of the first order; ``left`` bounds what can be common from it on."""
+    each = near.select("cls", "n", F.size("tokens").alias("m"), F.posexplode("prefix0").alias("place", "token"))
     # tokens from this one on, in this order: the shared ones that are left
-    each = each.withColumn("left", F.col("m") - F.col("place")).drop("m", "place")
-    return each.join(labels.withColumnRenamed("node", "cls"), "cls")
+    return each.withColumn("left", F.col("m") - F.col("place")).drop("m", "place")
+
+
+def _mixed(posts: DataFrame, labels: DataFrame) -> DataFrame:
+    """The postings of tokens that classes of several groups hold, with their groups as ``label``."""
+    each = posts.drop("label").join(labels.withColumnRenamed("node", "cls"), "cls")
+    mixed = each.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most")
+    return each.join(mixed.select("token"), "token")
 
 
 def _links(near: DataFrame, percent: int, hub_rounds: int = 4) -> DataFrame:
-    """``node, label``: the group of each class that can link."""
+    """``node, label``: the group of each class that can link.  Postings shrink from round to round."""
     labels = stored(near.select(F.col("cls").alias("node"), F.col("cls").alias("label")))
+    posts = stored(_mixed(_postings(near), labels))
     for turn in range(hub_rounds):
-        posts = _postings(near, labels, turn % ORDERS)
         chance = F.xxhash64("cls", F.lit(turn)) if turn else F.col("cls")
-        hubs = posts.groupBy("token").agg(
-            F.min_by(F.struct(F.col("cls").alias("hub"), F.col("n").alias("n_b"), F.col("label").alias("of")), chance).alias("h"),
-            F.min("label").alias("least"),
-            F.max("label").alias("most"),
-        )
-        hubs = hubs.filter("least < most").select("token", "h.*")
+        hub = F.struct(F.col("cls").alias("hub"), F.col("n").alias("n_b"), F.col("label").alias("of"))
+        hubs = posts.groupBy("token").agg(F.min_by(hub, chance).alias("h")).select("token", "h.*")
         pairs = (
             posts.withColumnRenamed("n", "n_a")
             .join(hubs, "token")
@@ -286,9 +289,7 @@ def _links(near: DataFrame, percent: int, hub_rounds: int = 4) -> DataFrame:
         if found.isEmpty():
             break
         labels = merge_labels(labels, found)
-    posts = _postings(near, labels, 0)
-    mixed = posts.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most")
-    posts = stored(posts.join(mixed.select("token"), "token"))
+        posts = stored(_mixed(posts, labels))
     # of each class, its tokens that could make a pair, in the common order: the least left, the later
     own = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("left")).alias("at"), "token"))), lambda x: x["token"])
     posts = posts.join(posts.groupBy("cls").agg(own.alias("prefix")), "cls")
