@@ -2,10 +2,10 @@
 
 Markup is stripped to lines, one for each block.  A line's length is that of its text outside links, and nothing where
 its elements mark it as a menu, header, footer, sidebar, notice, advert, form, script, style or reader comment.
-Lengths are summed over sliding windows of ``window`` lines; the text surges where a window exceeds ``surge``
-characters and dives where windows fall to nothing; the text between the surge and dive points that enclose most
-characters is kept.  Where a page marks its article or main part, lines outside it count as nothing and any text inside
-it is a surge.
+Lines of such elements are left out first.  Lengths of the others are summed over sliding windows of ``window`` lines; the
+text surges where a window reaches ``surge`` characters and dives where windows fall to nothing; all that stands between
+a surge and its dive is kept.  Where nothing surges, as in verse, any text outside links is a surge.  Where a page marks
+its articles or main parts, they are the text, all of them, and lengths decide nothing.
 
 Character references are decoded, white space inside a block becomes one space, and blocks are joined by a blank line.
 
@@ -133,10 +133,10 @@ def lines_of(html: str) -> list[Line]:
     return parser.lines
 
 
-def _between(lengths: list[int], window: int, surge: int) -> tuple[int, int]:
-    """First and last + 1 line of the surge-to-dive stretch with most characters."""
+def _surges(lengths: list[int], window: int, surge: int) -> list[tuple[int, int]]:
+    """First and last + 1 line of every surge-to-dive stretch."""
     sums = [sum(lengths[i : i + window]) for i in range(len(lengths))]
-    best, most, i = (0, 0), 0, 0
+    found, i = [], 0
     while i < len(sums):
         if sums[i] < surge or not lengths[i]:
             i += 1
@@ -147,25 +147,19 @@ def _between(lengths: list[int], window: int, surge: int) -> tuple[int, int]:
         last = end
         while last > i and not lengths[last - 1]:
             last -= 1
-        if (size := sum(lengths[i:last])) > most:
-            best, most = (i, last), size
+        found.append((i, last))
         i = end + 1
-    return best
+    return found
 
 
 def main_text(html: str | None, window: int = 3, surge: int = 80) -> str:
-    lines = lines_of(html or "")
-    sizes: dict[int, int] = {}
-    for x in lines:
-        if not x.apart and x.part:
-            sizes[x.part] = sizes.get(x.part, 0) + len(x.text)
-    if sizes:
-        part = max(sizes, key=sizes.get)
-        lines = [x for x in lines if x.part == part and not x.apart]
-        begin, end = _between([len(x.text) for x in lines], window, 1)
-    else:
-        begin, end = _between([0 if x.apart else x.length for x in lines], window, surge)
-    return "\n\n".join(x.text for x in lines[begin:end] if not x.apart)
+    lines = [x for x in lines_of(html or "") if not x.apart]
+    kept = [x for x in lines if x.part]
+    if not kept:
+        lengths = [x.length for x in lines]
+        found = _surges(lengths, window, surge) or _surges(lengths, window, 1)
+        kept = [x for begin, end in found for x in lines[begin:end]]
+    return "\n\n".join(x.text for x in kept)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,6 +23,24 @@ def test_without_marks():
     assert main_text(page) == f"{LONG}\n\nShort.\n\n{LONG}"
 
 
+def test_interrupted_text_stays_whole():
+    links = "".join(f"<p><a href=/{i}>Related entry number {i}</a></p>" for i in range(5))
+    apart = "<form><p>One</p><p>Two</p><p>Three</p><p>Four</p></form>"
+    for between in (links, apart, links + apart):
+        assert main_text(f"<body><p>{LONG}</p><p>{LONG} Two.</p>{between}<p>{LONG} Three.</p>") == f"{LONG}\n\n{LONG} Two.\n\n{LONG} Three."
+    # after a form, a short last line belongs to what stands before it
+    assert main_text(f"<body><p>{LONG}</p>{apart}<p>The end.</p>{links}") == f"{LONG}\n\nThe end."
+
+
+def test_short_lines_only():
+    assert main_text("<body><nav><p>Menu</p></nav><p><a href=/>Home</a></p><p>Roses are red,</p><p>violets blue.</p>") == "Roses are red,\n\nviolets blue."
+
+
+def test_all_sibling_articles():
+    page = "<body><p>Outside.</p><article><p>First part.</p></article><article hidden><p>Buy</p></article><main><p>Second</p><article>part, longer.</article></main><article><p><a href=/>Third</a></p></article>"
+    assert main_text(page) == "First part.\n\nSecond\n\npart, longer.\n\nThird"
+
+
 def test_odd_pages(spark):
     pages = [(1, None, None), (2, "u", ""), (3, "u", "<p>"), (4, "u", "<article>cut off &am"), (None, "u", f"<p>{LONG}"), (4, "u", "<article>cut off &am"),
              (5, "u", "<article>" + "<p>w</p>" * 30000), (6, "u", "<script>never closed <p>text"), (7, "u", "</div></article>< p>" + LONG)]
