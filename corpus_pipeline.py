@@ -40,7 +40,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences."""
-    return pack(docs, default_path("byte_bpe_50k.json"))
+    return pack(docs, default_path("byte_bpe_50k.json"), added_tokens=True)
 
 
 STAGES = [

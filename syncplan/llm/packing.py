@@ -131,9 +131,9 @@ def _shrunk(tier: int, window: list[Piece], tiers: tuple[int, ...]) -> Iterator[
         yield size, out
 
 
-def _pack_partition(path: str, end_id: int, tiers: tuple[int, ...], step_tokens: int):
+def _pack_partition(path: str, end_id: int, tiers: tuple[int, ...], step_tokens: int, added_tokens: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = encoder(path, drops_space=False)
+        ids = encoder(path, drops_space=False, added_tokens=added_tokens)
         end = np.array([end_id], "<u4").tobytes()
         base = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
         rows: list[tuple] = []
@@ -187,11 +187,15 @@ def pack(
     end_id: int = 1,
     tiers: tuple[int, ...] = TIERS,
     step_tokens: int = 64 * 2048,
+    added_tokens: bool = False,
 ) -> DataFrame:
-    """One row for each piece: PIECES.  ``sequence_tokens`` are used; ``tier`` is the window's size."""
+    """One row for each piece: PIECES.  ``sequence_tokens`` are used; ``tier`` is the window's size.
+
+    With ``added_tokens``, contents of the vocabulary's added tokens get their ids, as in the library's ``encode``.
+    """
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return slim.mapInArrow(_pack_partition(tokenizer_path, end_id, tiers, step_tokens), PIECES)
+    return slim.mapInArrow(_pack_partition(tokenizer_path, end_id, tiers, step_tokens, added_tokens), PIECES)
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(read_table(spark, sf_dir, "documents"), default_path("byte_bpe_50k.json"))
+    return pack(read_table(spark, sf_dir, "documents"), default_path("byte_bpe_50k.json"), added_tokens=True)

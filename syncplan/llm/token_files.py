@@ -61,9 +61,9 @@ def decode_ranks(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _tokenize(path: str, end_id: int, drops_space: bool):
+def _tokenize(path: str, end_id: int, drops_space: bool, added_tokens: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = encoder(path, drops_space)
+        ids = encoder(path, drops_space, added_tokens)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for part in slices(batch, "text"):
@@ -125,11 +125,18 @@ def _blocks(kind: str, rank_of: np.ndarray):
 
 
 def write_token_files(
-    docs: DataFrame, path: str, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 1, drops_space: bool = True
+    docs: DataFrame,
+    path: str,
+    tokenizer_path: str,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    end_id: int = 1,
+    drops_space: bool = True,
+    added_tokens: bool = False,
 ) -> None:
-    """Files under ``path``/ids, and the ranks under ``path``/ranks."""
+    """Files under ``path``/ids, and the ranks under ``path``/ranks.  ``added_tokens``: as in ``pack``."""
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    run, kind = _tokenize(tokenizer_path, end_id, drops_space)
+    run, kind = _tokenize(tokenizer_path, end_id, drops_space, added_tokens)
     rows = stored(slim.mapInArrow(run, "doc_id long, ids binary"))
     counts = rows.select("ids").mapInArrow(_count_ids(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     ranked = sorted(counts.collect(), key=lambda r: (-r["n"], r["id"]))  # no more rows than the vocabulary has
@@ -203,5 +210,5 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
-    write_token_files(read_table(spark, sf_dir, "documents"), path, default_path("word_bpe_49k.json"))
+    write_token_files(read_table(spark, sf_dir, "documents"), path, default_path("word_bpe_49k.json"), added_tokens=True)
     return read_token_files(spark, path)

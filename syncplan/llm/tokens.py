@@ -2,6 +2,9 @@
 
 Both vocabularies used here treat a text piece by piece and no piece crosses the places at which a text is parted
 below, so the ids of a text are the ids of its parts, one after the other.  Parts repeat, so most are looked up.
+
+A text that holds the content of an added token, such as ``<|endoftext|>``, goes to the library as a whole where
+``added_tokens`` is set, and so has the ids of ``encode(text, add_special_tokens=False)``.
 """
 
 from __future__ import annotations
@@ -83,15 +86,20 @@ class Encoder:
     """Whole texts -> ids as little-endian unsigned 32-bit bytes.
 
     A part is normalised and split by the vocabulary's own rules and its pieces go through the vocabulary's model.  For
-    parts in Latin-1, where those rules are plain, a pattern stands in for the library's slower calls.
+    parts in Latin-1, where those rules are plain, a pattern stands in for the library's slower calls.  Contents of added
+    tokens are ordinary text unless ``added_tokens`` is set.
     """
 
-    def __init__(self, path: str, drops_space: bool, keep: int = 400_000):
+    def __init__(self, path: str, drops_space: bool, keep: int = 400_000, added_tokens: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.normalizer, self.splitter = self.tokenizer.model, self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        tokens = self.tokenizer.get_added_tokens_decoder().values() if added_tokens else ()
+        if any(x.normalized for x in tokens):
+            raise ValueError(f"{path}: added tokens that are looked for in normalised text")
+        self.added = [x.content for x in tokens]
         self.lower = drops_space
         self.split = parts_without_spaces if drops_space else parts_with_spaces
         self.pattern = regex.compile(_DROPPING if drops_space else _KEEPING)
@@ -115,17 +123,20 @@ class Encoder:
         """Ids of the whole text, four bytes each."""
         if not text:
             return b""
+        for content in self.added:
+            if content in text:
+                return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         self.parts.trim()
         self.pieces.trim()
         return b"".join(map(self.parts.__getitem__, self.split(text)))
 
 
-_encoders: dict[tuple[str, bool], Encoder] = {}
+_encoders: dict[tuple[str, bool, bool], Encoder] = {}
 
 
-def encoder(path: str, drops_space: bool) -> Encoder:
-    """One encoder for each vocabulary and Python worker."""
-    key = (path, drops_space)
+def encoder(path: str, drops_space: bool, added_tokens: bool = False) -> Encoder:
+    """One encoder for each vocabulary, its handling and Python worker."""
+    key = (path, drops_space, added_tokens)
     if key not in _encoders:
-        _encoders[key] = Encoder(path, drops_space)
+        _encoders[key] = Encoder(path, drops_space, added_tokens=added_tokens)
     return _encoders[key]

@@ -10,6 +10,7 @@ from syncplan.llm.tokens import Encoder, default_path
 
 ODD = ["", None, " ", "a  b", "x \n y\n\n z", "\tab\x1c c\x85d  ", "don't 's  it's", "  lead", "trail \n", "é ́x Á", "ΑΣ ΣΑΣ",
        "!\x1c!  \x1c a\x00 b", "日本 語　x  1 22 333 a1b2", "<|endoftext|> a", "x" * 5000, "\xad soft\xad", "ß İ ǅ œ"]
+SPECIAL = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|startoftext|>  y\n", "<|ENDOFTEXT|> É", "<|endoftext| >"]
 
 
 @pytest.mark.parametrize("name,drops", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
@@ -73,3 +74,18 @@ def test_step_groups_are_equal(spark, sf_dir):
 def test_empty_and_clashing_columns(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, sequence_id string, offset int, tier string")
     assert pack(empty, default_path("byte_bpe_50k.json")).count() == 0
+
+
+@pytest.mark.parametrize("name,drops", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+def test_added_tokens_equal_the_unmodified_library(name, drops):
+    ours, plain = Encoder(default_path(name), drops, keep=10, added_tokens=True), Tokenizer.from_file(default_path(name))
+    for text in [*ODD, *SPECIAL]:
+        assert np.frombuffer(ours.encode(text), "<u4").tolist() == plain.encode(text or "", add_special_tokens=False).ids
+
+
+def test_query_gives_added_tokens_their_ids(spark, tmp_path):
+    spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plain = Tokenizer.from_file(default_path("byte_bpe_50k.json"))
+    got = {(r["doc_id"], r["doc_tokens"], r["ids_crc32"]) for r in op1_pack(spark, str(tmp_path)).collect() if r["length"] == r["doc_tokens"]}
+    ids = [np.array(plain.encode(x, add_special_tokens=False).ids + [1], "<u4") for x in SPECIAL]
+    assert got and got <= {(i, len(x), zlib.crc32(x.tobytes())) for i, x in enumerate(ids)} and 0 in {i for i, _, _ in got}

@@ -99,3 +99,9 @@ def test_stages_keep_columns(spark, sf_dir):
         assert out.dtypes == docs.dtypes
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_packing_gives_added_tokens_their_ids(spark):
+    docs = spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string")
+    row = corpus_pipeline.STAGES[-1][1](spark, docs, "").first()
+    assert (row["doc_tokens"], row["ids_crc32"]) == (5, zlib.crc32(np.array([64, 220, 50256, 275, 1], "<u4").tobytes()))

@@ -55,3 +55,14 @@ def test_empty(spark):
     path = shared_dir(spark)
     write_token_files(spark.createDataFrame([], "doc_id long, text string"), path, default_path("word_bpe_49k.json"))
     assert read_token_files(spark, path).count() == 0
+
+
+def test_query_gives_added_tokens_their_ids(spark, tmp_path):
+    docs = [(1, "a <|endoftext|> b"), (2, "c"), (3, "<|startoftext|>d <|ENDOFTEXT|>"), (4, "e")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plain, want, start = Tokenizer.from_file(default_path("word_bpe_49k.json")), [], 0
+    for doc, text in docs:
+        ids = np.array(plain.encode(text, add_special_tokens=False).ids + [1], "<u4")
+        want.append((doc, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert sorted(tuple(r) for r in op2_token_files(spark, str(tmp_path)).collect()) == want
