@@ -41,11 +41,11 @@ def ledger_key(manifest: Column | str, destination: Column | str) -> Column:
 def truncate_error(text: Column | str, limit: int = ERROR_BYTES) -> Column:
     """At most so many bytes of UTF-8, the mark included; cut between characters, never within one."""
     text = _col(text)
-    room = limit - len(ERROR_MARK)
-    # as many whole characters as fit: cut bytes, then drop a character that was cut
-    cut = F.regexp_replace(F.decode(F.substring(F.encode(text, "UTF-8"), 1, room), "UTF-8"), "�+\\z", "")
-    ascii_cut = F.substring(text, 1, room)
-    short = F.when(F.octet_length(ascii_cut) <= room, ascii_cut).otherwise(cut)
+    room, body = limit - len(ERROR_MARK), text.cast("binary")
+    within = lambda i: F.hex(F.substring(body, i, 1)).rlike("^[89AB]")  # noqa: E731  byte i goes on with a character
+    # as many whole characters as fit: where the next byte would go on, back to the character's first byte
+    end = F.when(~within(room + 1), room).when(~within(room), room - 1).when(~within(room - 1), room - 2).otherwise(room - 3)
+    short = F.substring(body, F.lit(1), end).cast("string")
     return F.when(F.octet_length(text) <= limit, text).otherwise(F.concat(short, F.lit(ERROR_MARK)))
 
 

@@ -485,6 +485,13 @@ def _(spark, d):
     return docs.select("doc_id", V.truncate_error("text").alias("error"))
 
 
+@query("x12b_truncate_error_all", """
+SELECT doc_id, CASE WHEN strlen(text) <= 4096 THEN text
+ ELSE concat(decode(unhex(regexp_replace(left(hex(encode(text)), 8164), '([CD].|E.([89AB].)?|F.([89AB].)?([89AB].)?)$', ''))), '...[truncated]') END AS error FROM documents""")
+def _(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", V.truncate_error("text").alias("error"))
+
+
 @query("x13_human_bytes", """
 SELECT id, CASE WHEN b >= 1073741824 THEN printf('%.2f GB', b / 1073741824.0) WHEN b >= 1048576 THEN printf('%.2f MB', b / 1048576.0) WHEN b >= 1024 THEN printf('%.2f KB', b / 1024.0) ELSE printf('%d B', b) END AS size
 FROM (SELECT id, id * id * 37 AS b FROM v_work)""")

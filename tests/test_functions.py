@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from syncplan.functions import paths as P
 from syncplan.functions import values as V
+from syncplan.plans.queries import QUERIES
 
 
 def _map(spark, values, fn):
@@ -58,6 +59,24 @@ def test_errors_and_sizes(spark):
     assert _map(spark, ["512", "1536", "3221225472"], lambda c: V.human_bytes(c.cast("long"))) == ["512 B", "1.50 KB", "3.00 GB"]
 
 
+def test_truncated_errors_against_brute_force(spark):
+    def plain(text):
+        body = text.encode()
+        return text if len(body) <= 4096 else body[:4082].decode(errors="ignore") + "...[truncated]"
+
+    texts = [lead + c * 5000 for c in ("x", "é", "語", "😀", "\ufffd", "a語é😀") for lead in ("", "a", "ab", "abc")] + ["é" * 2048, "é" * 2048 + "x", "x" * 4081 + "😀" * 9]
+    assert _map(spark, texts, V.truncate_error) == [plain(x) for x in texts]
+
+
+def test_truncated_errors_of_all_documents(spark, sf_dir):
+    rows = QUERIES["x12b_truncate_error_all"](spark, sf_dir).collect()
+    docs = {r["doc_id"]: r["text"].encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    assert len(rows) == len(docs) and any(len(x) > 4096 and not x.isascii() for x in docs.values())
+    for r in rows:
+        body = docs[r["doc_id"]]
+        assert r["error"] == (body.decode() if len(body) <= 4096 else body[:4082].decode(errors="ignore") + "...[truncated]")
+
+
 def test_backoff(spark):
     got = _map(spark, ["1", "2", "5", "20"], lambda c: V.backoff_seconds(c.cast("int")))
     assert got == [2.0, 4.0, 32.0, 300.0]
