@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,13 +13,33 @@ MARKERS = ("uploaded", "filed")
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a ledger with ``seq`` in the order of writing; a torn line is left out."""
-    raw = spark.read.schema(f"{LEDGER}, _torn string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_torn").json(path)
-    return raw.filter("_torn is null and action is not null").drop("_torn").withColumn("seq", F.monotonically_increasing_id())
+    """Rows of a ledger; a torn line is left out.
+
+    Sorting by the struct ``seq`` gives the order of writing: runs of ``append_ledger`` in turn and the rows of a run in theirs.
+    Rows that others wrote come before them, by the time of their file and their place in it.
+    """
+    raw = spark.read.schema(f"{LEDGER}, run long, at long, _torn string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_torn").json(path)
+    seq = F.struct(
+        F.coalesce("run", F.lit(0)).alias("run"),
+        F.coalesce("at", F.lit(0)).alias("at"),
+        F.col("_metadata.file_modification_time").alias("written"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),  # within a block, a task reads it in order
+    )
+    return raw.filter("_torn is null and action is not null").withColumn("seq", seq).drop("run", "at", "_torn")
 
 
 def append_ledger(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").json(path)
+    """Adds rows, in their order, as the ledger's next run.  A ledger has one writer at a time."""
+    try:
+        last = rows.sparkSession.read.schema("run long").json(path).agg(F.max("run")).first()[0]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        last = None
+    numbered = rows.withColumns({"run": F.lit((last or 0) + 1).cast("long"), "at": F.monotonically_increasing_id()})
+    numbered.write.mode("append").json(path)
 
 
 def ledger_state(ledger: DataFrame) -> DataFrame:

@@ -703,6 +703,18 @@ def _(spark, d):
     return L.read_ledger(spark, path).select("hash", "action", "dest_id", "token")
 
 
+@query("s09b_ledger_appends", """
+WITH l AS (SELECT hash, action, token, seq FROM v_ledger UNION ALL SELECT hash, action, 'again-' || token, 1000000000000 + seq FROM v_ledger WHERE seq % 3 = 0),
+s AS (SELECT hash, bool_or(action = 'created') AS done, arg_max(token, CASE WHEN action = 'uploaded' THEN seq END) AS token FROM l GROUP BY hash)
+SELECT hash, done, CASE WHEN NOT done THEN token END AS token FROM s""")
+def _(spark, d):
+    path, rows = shared_dir(spark), view(spark, d, "v_ledger").orderBy("seq").drop("seq")
+    L.append_ledger(rows.withColumn("token", F.concat(F.lit("first-"), "token")).limit(100), path)
+    L.append_ledger(rows, path)  # a later run of more rows, then one of fewer
+    L.append_ledger(view(spark, d, "v_ledger").filter("seq % 3 = 0").orderBy("seq").withColumn("token", F.concat(F.lit("again-"), "token")).drop("seq"), path)
+    return L.ledger_state(L.read_ledger(spark, path))
+
+
 @query("k01_commit_snapshot", f"SELECT path, change FROM ({_DIFF}) WHERE change <> 'unchanged'")
 def _(spark, d):
     path, schema = shared_dir(spark), "path string, size long, mtime timestamp_ntz, hash string"

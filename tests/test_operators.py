@@ -256,6 +256,26 @@ def test_ledger(spark, tmp_path):
     assert sorted((r["hash"], r["skipped"], r["token"]) for r in M.resume_manifest(lines, L.ledger_state(ledger)).na.fill("").collect()) == [("h1", True, ""), ("h2", False, "t2"), ("h2", False, "t2"), ("h9", False, "")]
 
 
+def test_appends_to_a_ledger_keep_their_order(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    for run, n in enumerate((2, 500, 90, 3, 800)):  # larger and smaller files in turn
+        rows = spark.range(n, numPartitions=2).selectExpr("'h' hash", "'uploaded' action", f"concat('{run}-', id) token")
+        L.append_ledger(rows, path)
+        ledger = L.read_ledger(spark, path)
+        assert L.ledger_state(ledger).first()["token"] == f"{run}-{n - 1}"
+    assert [r["token"] for r in ledger.orderBy("seq").collect()] == [f"{run}-{i}" for run, n in enumerate((2, 500, 90, 3, 800)) for i in range(n)]
+
+
+def test_one_ledger_file_in_many_blocks(spark, tmp_path):
+    (tmp_path / "l.jsonl").write_text("".join(f'{{"hash":"h","action":"uploaded","token":"{i}"}}\n' for i in range(2000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        tokens = [r["token"] for r in L.read_ledger(spark, str(tmp_path / "l.jsonl")).orderBy("seq").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert tokens == [str(i) for i in range(2000)]
+
+
 def test_work(spark):
     schema = "id int, channel_name string, status string, attempts int, next_run_at timestamp, last_error string"
     rows = spark.createDataFrame([(1, "c", "pending", 0, T0, None), (2, "c", "running", 4, T0, None), (3, "d", "failed", 5, T0, "e"), (4, "c", "running", 0, T0, None)], schema)
