@@ -9,6 +9,7 @@ A text that holds the content of an added token, such as ``<|endoftext|>``, goes
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -39,10 +40,36 @@ def _byte_chars() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
-_BYTE_CHARS = _byte_chars()
+_BYTE_CHARS = {b: c for b, c in enumerate(_byte_chars())}
 _PACKERS = [struct.Struct(f"<{n}I").pack for n in range(16)]
 
 
+def _shown(piece: str) -> str:
+    """The piece in the characters that byte-level vocabularies write for its bytes."""
+    if piece.isascii():
+        return piece.replace(" ", _BYTE_CHARS[0x20]) if piece.isprintable() else piece.translate(_BYTE_CHARS)
+    return piece.encode().decode("latin-1").translate(_BYTE_CHARS)
+
+
+def _rules(path: str) -> str | None:
+    """Which of the two splitting patterns the vocabulary's file asks for, if its other rules are those known here."""
+    with open(path, encoding="utf-8") as file:
+        told = json.load(file)
+    model, normalizer, splitter = told["model"], told["normalizer"], told["pre_tokenizer"] or {}
+    if model["type"] != "BPE" or any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")):
+        return None
+    if splitter.get("type") == "ByteLevel" and splitter["use_regex"] and not splitter["add_prefix_space"] and normalizer is None:
+        return _KEEPING
+    steps = [x["type"] for x in splitter.get("pretokenizers", [])], [x["type"] for x in (normalizer or {}).get("normalizers", [])]
+    if steps != (["Split", "ByteLevel"], ["NFC", "Replace", "Lowercase"]):
+        return None
+    split, level = splitter["pretokenizers"]
+    white = normalizer["normalizers"][1]
+    plain = split["behavior"] == "Removed" and split["invert"] and not level["use_regex"] and not level["add_prefix_space"]
+    known = split["pattern"] == {"Regex": _DROPPING} and white["pattern"] == {"Regex": r"\s+"} and white["content"] == " "
+    return _DROPPING if plain and known else None
+
+
 def default_path(name: str) -> str:
     import public_tokenizers
 
@@ -86,14 +113,18 @@ class Encoder:
     """Whole texts -> ids as little-endian unsigned 32-bit bytes.
 
     A part is normalised and split by the vocabulary's own rules and its pieces go through the vocabulary's model.  For
-    parts in Latin-1, where those rules are plain, a pattern stands in for the library's slower calls.  Contents of added
-    tokens are ordinary text unless ``added_tokens`` is set.
+    parts in Latin-1, where those rules are plain, a pattern stands in for the library's slower calls; letters alone are
+    one piece.  Contents of added tokens are ordinary text unless ``added_tokens`` is set.  A file whose rules aren't
+    those of ``drops_space`` is an error.
     """
 
     def __init__(self, path: str, drops_space: bool, keep: int = 400_000, added_tokens: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        pattern = _DROPPING if drops_space else _KEEPING
+        if _rules(path) != pattern:
+            raise ValueError(f"{path}: not the normaliser, splitting pattern and model that are known for drops_space={drops_space}")
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.normalizer, self.splitter = self.tokenizer.model, self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
         tokens = self.tokenizer.get_added_tokens_decoder().values() if added_tokens else ()
@@ -102,7 +133,7 @@ class Encoder:
         self.added = [x.content for x in tokens]
         self.lower = drops_space
         self.split = parts_without_spaces if drops_space else parts_with_spaces
-        self.pattern = regex.compile(_DROPPING if drops_space else _KEEPING)
+        self.pattern = regex.compile(pattern)
         self.parts = Kept(self._part, keep)
         self.pieces = Kept(self._piece, keep)
 
@@ -111,9 +142,10 @@ class Encoder:
         return _PACKERS[len(ids)](*ids) if len(ids) < len(_PACKERS) else np.array(ids, "<u4").tobytes()
 
     def _part(self, part: str) -> bytes:
+        if part.isascii() and (part.isalpha() or not self.lower and part[:1] == " " and part[1:].isalpha()):
+            return self.pieces[part.lower() if self.lower else _shown(part)]
         if _LATIN.fullmatch(part):
-            found = self.pattern.findall(part.lower() if self.lower else part)
-            pieces = ["".join(map(_BYTE_CHARS.__getitem__, x.encode())) for x in found]
+            pieces = map(_shown, self.pattern.findall(part.lower() if self.lower else part))
         else:
             clean = self.normalizer.normalize_str(part) if self.normalizer else part
             pieces = [x for x, _ in self.splitter.pre_tokenize_str(clean)]
