@@ -42,6 +42,17 @@ def row_key(*columns: str) -> list[Column]:
     return [F.xxhash64(*given).alias("k1"), F.xxhash64(F.lit(7), *given[::-1]).alias("k2")]
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores behind them where ``docs`` has such columns."""
+    have, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 def power_of_two(n: float, least: int = 1) -> int:
     """The smallest power of two of at least n and ``least``."""
     out = least

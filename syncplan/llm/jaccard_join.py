@@ -3,21 +3,24 @@
 A document's set holds its distinct shingles of ``k`` words.  Documents with equal sets are one class.  Two classes
 link when 100 * intersection >= ``percent`` * union.
 
-Prefix filtering: under any total order of tokens, two sets that link share one of the first
-n - ceil(percent * n / 100) + 1 tokens of each (the prefix).  Three orders are used, all by rarity first (tokens held by
-fewer classes come first) with different orders of ties; a pair must share a prefix token under each of them before its
-sets are compared.  A token that only one class holds can't be shared, so a class whose prefix consists of such tokens
-links with nothing and is left out early; that is all but near copies.
-
-Large groups: documents that many others resemble are not compared in all pairs.  Each member of a token's list is first
-compared with one member of the list (the hub), another one in each round, which settles most of a group; lists whose
-members are in one group by then are done; of the others, only pairs whose groups still differ are compared, so no link
-between groups is lost.
-
-Data flow: tokens travel in packed arrays by ranges of token, and from there by ranges of class.  A token that many
-classes of one stretch of documents hold is sent once a stretch, not once a document, so a passage that a third of all
-documents share loads no task.  Tokens are 48 bits of a 64-bit hash; a pair of sets of 500 tokens has a chance of one in
-10**9 to be counted one token too close.
+Prefix filtering: under any total order of tokens, two sets of sizes n and n' that link have at least
+t = percent * (n + n') / (100 + percent) tokens in common, and so share one of the first n - t + 1 tokens of each (the
+prefix).  Three orders are used, all by rarity first (tokens held by fewer classes come first) with different orders of
+ties; a pair must share a prefix token under each of them before its sets are compared.  A token that only one class holds
+can't be shared, so it counts as unlike at once; a class with too few shared tokens links with nothing and is left out
+early, which is all but near copies.
+
+Large groups aren't compared in all pairs.  Each member of a token's list is first compared with one member of the list
+(the hub: the one with the largest share of shared tokens, as the source of copies has; then another one), which settles
+most of a group.  Then only pairs whose groups still differ meet, at a token and a band of sizes where enough shared tokens
+are left in both; members of a list's largest group don't meet one another.  No link between groups is lost by that: a pair
+that links has enough tokens left at its first common token.
+
+Data flow: tokens travel in packed arrays by ranges of token, and what is shared from there by class.  With more than
+``FAN`` ranges they are dealt in two or more steps, so arrays don't become short as the input grows.  A token that ``HOT``
+classes of one stretch of documents hold is sent once a stretch, not once a document; each step looks again, so a token
+that a third of all documents hold loads no task.  Tokens are 48 bits of a 64-bit hash; a pair of sets of 500 tokens has a
+chance of one in 10**9 to be counted one token too close.
 
 Nulls and odd input: a null text, or one without words, has no shingles and links with nothing; fewer than k words give
 one shingle, the whole sequence; rows with a null doc id link nothing and have no component unless their class has other
@@ -27,6 +30,7 @@ columns are not read.
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Iterator
 
@@ -35,18 +39,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import power_of_two, read_table, stored, text_bytes
+from .common import fresh, power_of_two, read_table, row_key, stored, text_bytes
 from .components import merge_labels
 from .words import NON_SPACE, mix, shingles, slices, words_of
 
 #: Tokens that one stretch of documents gathers before it is sent, and tokens that one range holds, about.
-STRETCH = 1_500_000
-RANGE_TOKENS = 4_000_000
+STRETCH = 1_000_000
+RANGE_TOKENS = 2_000_000
+#: Ranges that one step deals out, at most.
+FAN = 4096
 #: Classes of a stretch that make a token hot there.
 HOT = 64
 TOKEN_BITS = 48
 ORDERS = 3
 _SALT = (np.uint64(0), np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F))
+#: A shared token as it is sent to its class: its bytes and its rank of rarity.
+ENTRY = TOKEN_BITS // 8 + 1
+#: Sizes of one band differ by this factor.
+BAND = 1.1
 
 
 def _sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -67,13 +77,15 @@ def _sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return row, value >> np.uint64(64 - TOKEN_BITS), n, cls
 
 
-def _class_rows(k: int):
+def _class_rows(k: int, names: list[str]):
+    """The columns before the text, and class and size of its set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                _, _, n, cls = _sets(part.column(1), k)
+                _, _, n, cls = _sets(part.column(len(names)), k)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(cls.view(np.int64)), pa.array(n, pa.int32())], ["doc_id", "cls", "n"]
+                    [*part.columns[: len(names)], pa.array(cls.view(np.int64)), pa.array(n, pa.int32())], [*names, "cls", "n"]
                 )
 
     return run
@@ -102,49 +114,51 @@ def unpack_arrays(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def _split(sorted_keys: np.ndarray, n: int) -> np.ndarray:
-    return np.searchsorted(sorted_keys, np.arange(n + 1))
+def _edges(sorted_keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins."""
+    new = np.ones(len(sorted_keys), bool)
+    new[1:] = sorted_keys[1:] != sorted_keys[:-1]
+    return np.flatnonzero(new)
 
 
-def _packs(k: int, ranges: int):
-    """Rows ``(bucket, data)``: a range of tokens with who holds them, or at -1 - range a range of classes."""
-    token_shift = np.uint64(TOKEN_BITS - ranges.bit_length() + 1)
-    class_shift = np.uint64(64 - ranges.bit_length() + 1)
+def _pieces(token: np.ndarray, cls: np.ndarray, flags: np.ndarray, shift: int, ranges: int, least: int) -> pa.RecordBatch:
+    """Rows ``(bucket, data)`` of who holds which tokens, once each: tokens ``>> shift`` are the buckets.
 
-    def flush(row: np.ndarray, token: np.ndarray, n: np.ndarray, cls: np.ndarray) -> Iterator[pa.RecordBatch]:
+    Hot tokens (of ``least`` classes) go as flags; their holders go to the buckets -1 - (part of the class), for the class directly.
+    """
+    order = np.argsort(token, kind="stable")
+    token, cls = token[order], cls[order]
+    del order
+    edge = _edges(token)
+    count = np.diff(np.append(edge, len(token)))
+    hot = np.repeat(count >= least, count)
+    flags = np.unique(np.concatenate([flags, token[edge][count >= least]]))
+    hot_cls, hot_token, cls, token = cls[hot], token[hot], cls[~hot], token[~hot]
+    buckets, data = [], []
+    at, flag_at = token >> np.uint64(shift), flags >> np.uint64(shift)
+    for b in np.union1d(at, flag_at).tolist():
+        begin, end = np.searchsorted(at, [b, b + 1])
+        used, who = np.unique(cls[begin:end], return_inverse=True)
+        own = flags[slice(*np.searchsorted(flag_at, [b, b + 1]))]
+        buckets.append(b)
+        data.append(pack_arrays(np.diff(token[begin:end], prepend=np.uint64(0)), who.astype(np.uint32), used, own))
+    part = hot_cls % np.uint64(ranges)
+    for b in np.unique(part).tolist():
+        buckets.append(-1 - b)
+        data.append(pack_arrays(hot_cls[part == b], hot_token[part == b]))
+    return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(data, pa.binary())], ["bucket", "data"])
+
+
+def _packs(k: int, shift: int, ranges: int):
+    none, hot, stretch = np.zeros(0, np.uint64), HOT, STRETCH
+
+    def flush(held: list[tuple]) -> pa.RecordBatch:
+        row, token, n, cls = map(np.concatenate, zip(*held, strict=True))
         _, first = np.unique(cls, return_index=True)
-        rep = np.zeros(len(cls), bool)
+        rep = np.zeros(len(cls), bool)  # one document of each class
         rep[first] = n[first] > 0
         own = rep[row]
-        row, token = row[own], token[own]
-        order = np.argsort(token, kind="stable")
-        row, token = row[order], token[order]
-        edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
-        count = np.diff(np.concatenate([edge, [len(token)]]))
-        hot = np.repeat(count >= HOT, count)
-        hot_tokens = token[edge][count >= HOT]
-        buckets, data = [], []
-        cold_row, cold = row[~hot].astype(np.uint32), token[~hot]
-        ends, hot_ends = _split(cold >> token_shift, ranges), _split(hot_tokens >> token_shift, ranges)
-        for b in range(ranges):
-            part, flags = cold[ends[b] : ends[b + 1]], hot_tokens[hot_ends[b] : hot_ends[b + 1]]
-            if len(part) or len(flags):
-                used, at = np.unique(cold_row[ends[b] : ends[b + 1]], return_inverse=True)
-                buckets.append(b)
-                data.append(pack_arrays(np.diff(part, prepend=np.uint64(0)), at.astype(np.uint32), cls[used], flags))
-        reps = np.flatnonzero(rep)
-        reps = reps[np.argsort(cls[reps])]
-        hot_cls, hot_token = cls[row[hot]], token[hot]
-        order = np.argsort(hot_cls, kind="stable")
-        hot_cls, hot_token = hot_cls[order], hot_token[order]
-        ends, hot_ends = _split(cls[reps] >> class_shift, ranges), _split(hot_cls >> class_shift, ranges)
-        for b in range(ranges):
-            part, held = reps[ends[b] : ends[b + 1]], slice(hot_ends[b], hot_ends[b + 1])
-            if len(part):
-                full = np.full(held.stop - held.start, 255, np.uint8)
-                buckets.append(-1 - b)
-                data.append(pack_arrays(cls[part], n[part].astype(np.uint32), hot_cls[held], hot_token[held], full))
-        yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(data, pa.binary())], ["bucket", "data"])
+        return _pieces(token[own], cls[row[own]], none, shift, ranges, hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -155,191 +169,316 @@ def _packs(k: int, ranges: int):
                 held.append((row + rows, token, n, cls))
                 rows += len(n)
                 size += len(row)
-                if size >= STRETCH:
-                    yield from flush(*map(np.concatenate, zip(*held, strict=True)))
+                if size >= stretch:
+                    yield flush(held)
                     held, size, rows = [], 0, 0
         if held:
-            yield from flush(*map(np.concatenate, zip(*held, strict=True)))
+            yield flush(held)
 
     return run
 
 
-def _shared(ranges: int):
-    """Of one range of tokens, what at least two classes hold, by range of classes."""
-    class_shift = np.uint64(64 - ranges.bit_length() + 1)
-
-    def run(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
-        if bucket < 0:
-            return pa.table({"bucket": pa.array([-1 - bucket] * len(table), pa.int32()), "data": table.column("data")})
-        tokens, classes, flags = [], [], []
-        for raw in table.column("data"):
-            delta, at, cls, flag = unpack_arrays(raw.as_py())
-            tokens.append(np.cumsum(delta, dtype=np.uint64))
-            classes.append(cls[at])
-            flags.append(flag)
-        token, cls, flag = np.concatenate(tokens), np.concatenate(classes), np.unique(np.concatenate(flags))
-        del tokens, classes
+def _holders(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens, their classes, and flags of hot tokens, of pieces."""
+    tokens, classes, flags = [], [], []
+    for raw in pieces:
+        delta, who, used, own = unpack_arrays(raw)
+        tokens.append(np.cumsum(delta, dtype=np.uint64))
+        classes.append(used[who])
+        flags.append(own)
+    return np.concatenate(tokens), np.concatenate(classes), np.concatenate(flags)
+
+
+def _dealt_again(shift: int, ranges: int):
+    """Pieces that come in the order of their buckets, in pieces of smaller buckets."""
+    hot, stretch = HOT, STRETCH
+
+    def flush(held: list[bytes]) -> pa.RecordBatch:
+        token, cls, flags = _holders(held)
         order = np.lexsort((cls, token))
         token, cls = token[order], cls[order]
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
-        token, cls = token[new], cls[new]
-        edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
-        count = np.diff(np.concatenate([edge, [len(token)]]))
-        rank = np.minimum(count, 254).astype(np.uint8)
-        rank[np.isin(token[edge], flag)] = 255
-        rank = np.repeat(rank, count)
-        keep = rank > 1
-        token, cls, rank = token[keep], cls[keep], rank[keep]
-        order = np.argsort(cls, kind="stable")
-        token, cls, rank = token[order], cls[order], rank[order]
-        ends = _split(cls >> class_shift, ranges)
-        none = np.zeros(0, np.uint64)
-        out = [
-            (b, pack_arrays(none, none.astype(np.uint32), cls[ends[b] : ends[b + 1]], token[ends[b] : ends[b + 1]], rank[ends[b] : ends[b + 1]]))
-            for b in range(ranges)
-            if ends[b + 1] > ends[b]
-        ]
-        return pa.table({"bucket": pa.array([b for b, _ in out], pa.int32()), "data": pa.array([d for _, d in out], pa.binary())})
+        return _pieces(token[new], cls[new], flags, shift, ranges, hot)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        size, last = 0, None
+        for batch in batches:
+            for i, (bucket, data) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
+                if bucket < 0:
+                    yield batch.slice(i, 1)
+                    continue
+                raw = data.as_py()
+                if held and (bucket != last or size > stretch):
+                    yield flush(held)
+                    held, size = [], 0
+                held.append(raw)
+                last = bucket
+                size += struct.unpack_from("<2sQ", raw, 1)[1] // 8
+        if held:
+            yield flush(held)
 
     return run
 
 
-NEAR = "cls long, n int, tokens array<long>, " + ", ".join(f"prefix{i} array<long>" for i in range(ORDERS))
+def _entries(cls: np.ndarray, token: np.ndarray, rank: np.ndarray) -> pa.Table:
+    """``cls, part``: the entries of each class."""
+    order = np.argsort(cls, kind="stable")
+    cls, token, rank = cls[order], token[order], rank[order]
+    raw = np.empty((len(cls), ENTRY), np.uint8)
+    raw[:, :-1] = token.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : ENTRY - 1]
+    raw[:, -1] = rank
+    edge = _edges(cls)
+    offsets = np.append(edge, len(cls)).astype(np.int32) * ENTRY
+    parts = pa.Array.from_buffers(pa.binary(), len(edge), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw.tobytes())])
+    return pa.table({"cls": pa.array(cls[edge].view(np.int64)), "part": parts})
+
+
+def _shared(table: pa.Table) -> pa.Table:
+    """Of one range of tokens, what at least two classes hold, by class."""
+    pieces = [x.as_py() for x in table.column("data")]
+    if table.column("bucket")[0].as_py() < 0:
+        cls, token = map(np.concatenate, zip(*map(unpack_arrays, pieces), strict=True))
+        return _entries(cls, token, np.full(len(cls), 255, np.uint8))
+    del table
+    token, cls, flags = _holders(pieces)
+    del pieces
+    order = np.lexsort((cls, token))
+    token, cls = token[order], cls[order]
+    del order
+    new = np.ones(len(token), bool)
+    new[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
+    token, cls = token[new], cls[new]
+    edge = _edges(token)
+    count = np.diff(np.append(edge, len(token)))
+    rank = np.minimum(count, 254).astype(np.uint8)
+    rank[np.isin(token[edge], flags)] = 255
+    rank = np.repeat(rank, count)
+    keep = rank > 1
+    return _entries(cls[keep], token[keep], rank[keep])
+
+
+NEAR = "cls long, n int, m int, p int, tokens array<long>, " + ", ".join(f"prefix{i} array<long>" for i in range(1, ORDERS))
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    offsets = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    values = np.concatenate(arrays) if arrays else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int64)))
 
 
 def _near(percent: int):
-    """Of one range of classes, those that can link: their shared tokens and their prefixes under each order."""
-
-    def run(table: pa.Table) -> pa.Table:
-        parts = [unpack_arrays(x.as_py()) for x in table.column("data")]
-        known, size, cls, token, rank = (np.concatenate(x) for x in zip(*parts, strict=True))
-        known, first = np.unique(known, return_index=True)
-        size = size[first].astype(np.int64)
-        order = np.lexsort((token, cls))
-        cls, token, rank = cls[order], token[order], rank[order]
-        new = np.ones(len(cls), bool)
-        new[1:] = (cls[1:] != cls[:-1]) | (token[1:] != token[:-1])
-        cls, token, rank = cls[new], token[new], rank[new]
-        begin, end = np.searchsorted(cls, known), np.searchsorted(cls, known, side="right")
-        prefix = size - -(-percent * size // 100) + 1 - (size - (end - begin))  # what is left of it after tokens of one class
+    """Of rows ``(cls, n, part)`` in the order of classes, those classes that can link.
+
+    Their m shared tokens come in the first order, of which the first p are the prefix; then the prefixes under the others.
+    """
+
+    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        cls = batch.column(0).to_numpy()
+        edge = np.append(_edges(cls), len(cls))
+        size = np.maximum.reduceat(batch.column(1).fill_null(0).to_numpy().astype(np.int64), edge[:-1])
+        parts = batch.column(2).fill_null(b"")
+        offsets = np.frombuffer(parts.buffers()[1], np.int32)[parts.offset : parts.offset + len(parts) + 1]
+        raw = np.frombuffer(parts.buffers()[2] or b"", np.uint8)
+        begin, end = offsets[edge[:-1]], offsets[edge[1:]]
+        least = -(-percent * size // 100)
         rows: list[tuple] = []
-        for i in np.flatnonzero(prefix > 0).tolist():
-            own, by = token[begin[i] : end[i]], rank[begin[i] : end[i]]
-            orders = [own[np.lexsort((mix(own ^ salt), by))[: prefix[i]]].astype(np.int64) for salt in _SALT]
-            rows.append((int(known[i].astype(np.int64)), int(size[i]), own.astype(np.int64), *orders))
-        columns = list(zip(*rows, strict=True)) or [[]] * (3 + ORDERS)
-        kinds = [pa.int64(), pa.int32(), *[pa.list_(pa.int64())] * (1 + ORDERS)]
-        names = ["cls", "n", "tokens", *(f"prefix{i}" for i in range(ORDERS))]
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+        for i in np.flatnonzero((end - begin) // ENTRY >= np.maximum(least, 1)).tolist():
+            entry = raw[begin[i] : end[i]].reshape(-1, ENTRY)
+            token = np.zeros((len(entry), 8), np.uint8)
+            token[:, : ENTRY - 1] = entry[:, :-1]
+            token, first = np.unique(token.view("<u8").reshape(-1), return_index=True)  # a hot token may come twice
+            rank, prefix = entry[first, -1], len(token) - int(least[i]) + 1
+            if prefix > 0:
+                orders = [token[np.lexsort((mix(token ^ salt), rank))] for salt in _SALT]
+                rows.append((cls[edge[i]], size[i], len(token), prefix, orders[0], *(x[:prefix] for x in orders[1:])))
+        columns = list(zip(*rows, strict=True)) or [[]] * (4 + ORDERS)
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+        names = [x.split()[0] for x in NEAR.split(", ")]
+        return pa.RecordBatch.from_arrays(
+            [*(pa.array(np.array(c, np.int64), pa.int64()).cast(t) for c, t in zip(columns, kinds, strict=False)), *map(_lists, columns[4:])], names
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.RecordBatch | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if rest is not None:
+                batch = pa.concat_batches([rest, batch])
+            at = int(_edges(batch.column(0).to_numpy())[-1])  # the last class may go on
+            rest = batch.slice(at)
+            if at:
+                yield of(batch.slice(0, at))
+        if rest is not None:
+            yield of(rest)
 
     return run
 
 
+def _enough(common: Column, n_a: str, n_b: str, percent: int) -> Column:
+    """Whether so many common tokens make a link."""
+    return (100 + percent) * common >= percent * (F.col(n_a).cast("long") + F.col(n_b))
+
+
 def _compared(pairs: DataFrame, near: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs ``(a, b)`` those that link, after the filters of length and of each order.
+    """Of the pairs ``(a, b)`` those that link: prefixes under each order first, whole sets of those that are left.
 
-    Pairs come from a stored table, so where they are few, as after the first round, their size is known before the sets
-    are shuffled and they are broadcast instead.
+    Pairs come from a stored table, so where they are few their size is known and they are broadcast instead of shuffling
+    the sets.
     """
-    left = near.select(F.col("cls").alias("a"), *(F.col(c).alias(f"{c}_a") for c in near.columns if c != "cls"))
-    right = near.select(F.col("cls").alias("b"), *(F.col(c).alias(f"{c}_b") for c in near.columns if c != "cls"))
-    joined = pairs.join(left, "a").join(right, "b")
-    for i in range(ORDERS):
-        joined = joined.filter(F.arrays_overlap(f"prefix{i}_a", f"prefix{i}_b"))
-    both = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    return joined.filter(100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
 
+    def side(name: str, *columns: str | Column) -> DataFrame:
+        short = near.select(F.col("cls").alias(name), *columns)
+        return short.select(name, *(F.col(c).alias(f"{c}_{name}") for c in short.columns[1:]))
 
-def _lengths_fit(percent: int) -> Column:
-    return 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    prefixes = ("n", "m", F.slice("tokens", 1, F.col("p")).alias("prefix0"), *(f"prefix{i}" for i in range(1, ORDERS)))
+    joined = pairs.join(side("a", *prefixes), "a").join(side("b", *prefixes), "b")
+    least = F.ceil(percent * (F.col("n_a").cast("long") + F.col("n_b")) / (100 + percent))
+    for i in range(ORDERS):
+        a, b = (F.slice(f"prefix{i}_{x}", 1, F.greatest(F.lit(0), F.col(f"m_{x}") - least + 1).cast("int")) for x in "ab")
+        joined = joined.filter(F.arrays_overlap(a, b))
+    left = stored(joined.select("a", "b", "n_a", "n_b"))
+    both = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    return left.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b").filter(_enough(both, "n_a", "n_b", percent)).select("a", "b")
 
 
-def _postings(near: DataFrame) -> DataFrame:
-    """``token, cls, n, left``: a row for each prefix token of the first order; ``left`` bounds what can be common from it on."""
-    each = near.select("cls", "n", F.size("tokens").alias("m"), F.posexplode("prefix0").alias("place", "token"))
-    # tokens from this one on, in this order: the shared ones that are left
-    return each.withColumn("left", F.col("m") - F.col("place")).drop("m", "place")
+def _postings(near: DataFrame, percent: int) -> DataFrame:
+    """A row for each token of the first order's prefix.  ``most``: the largest set that can have enough in common from it on."""
+    each = near.select("cls", "n", "m", F.posexplode(F.slice("tokens", 1, F.col("p"))).alias("place", "token"))
+    most = F.floor(((100 + percent) * (F.col("m") - F.col("place")).cast("long") - percent * F.col("n")) / percent)
+    return each.select("token", "cls", "n", "m", most.alias("most"))
 
 
 def _mixed(posts: DataFrame, labels: DataFrame) -> DataFrame:
     """The postings of tokens that classes of several groups hold, with their groups as ``label``."""
     each = posts.drop("label").join(labels.withColumnRenamed("node", "cls"), "cls")
-    mixed = each.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most")
+    mixed = each.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most_label")).filter("least < most_label")
     return each.join(mixed.select("token"), "token")
 
 
-def _links(near: DataFrame, percent: int, hub_rounds: int = 4) -> DataFrame:
+def _hub_pairs(posts: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Each class of a token's list with the list's hub."""
+    chance = F.xxhash64("cls", F.lit(turn))
+    best = F.struct(F.col("m") / F.col("n"), chance) if turn == 0 else chance
+    hub = F.struct(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("m").alias("m_b"), F.col("label").alias("of"))
+    hubs = posts.groupBy("token").agg(F.max_by(hub, best).alias("h")).select("token", "h.*")
+    return (
+        posts.withColumnRenamed("cls", "a")
+        .join(hubs, "token")
+        .filter((F.col("label") != F.col("of")) & _enough(F.least("m", "m_b"), "n", "n_b", percent))
+        .filter(100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b"))
+        .select("a", "b")
+        .distinct()
+    )
+
+
+def _other_pairs(posts: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different groups that can link, the larger set as ``a``: they meet at a token and a band of sizes."""
+
+    def band(n: Column) -> Column:
+        return F.floor(F.log(n.cast("double")) / math.log(BAND))
+
+    fewest = F.ceil(percent * F.col("n").cast("long") / 100)
+    held = posts.filter("most >= n").select(
+        "token", band(F.col("n")).alias("band"), F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"), F.col("most").alias("most_b")
+    )
+    asked = (
+        posts.select("token", F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"), F.least("n", "most").alias("most_a"), fewest.alias("fewest"))
+        .filter("most_a >= fewest")
+        .withColumn("band", F.explode(F.sequence(band(F.col("fewest")), band(F.col("most_a")))))
+    )
+    each = held.select("token", "band", F.col("label_b").alias("label")).unionByName(asked.select("token", "band", F.col("label_a").alias("label")))
+    counts = each.groupBy("token", "band", "label").agg(F.count("*").alias("rows"))
+    major = counts.groupBy("token", "band").agg(
+        F.max_by("label", F.struct("rows", "label")).alias("major"), F.count("*").alias("groups")
+    )
+    major = stored(major.filter("groups > 1").drop("groups"))
+    held = held.join(major, ["token", "band"]).withColumn("minor_b", F.col("label_b") != F.col("major")).drop("major")
+    asked = asked.join(major, ["token", "band"]).withColumn("minor_a", F.col("label_a") != F.col("major")).drop("major")
+    fits = (
+        (F.col("label_a") != F.col("label_b"))
+        & (F.struct("n_b", "b") < F.struct(F.col("n_a").alias("n_b"), F.col("a").alias("b")))
+        & F.col("n_b").between(F.col("fewest"), F.col("most_a"))
+        & (F.col("n_a") <= F.col("most_b"))
+    )
+    rare = asked.filter("minor_a").join(held, ["token", "band"]).filter(fits)
+    usual = asked.filter("not minor_a").join(held.filter("minor_b"), ["token", "band"]).filter(fits)
+    return rare.select("a", "b").unionByName(usual.select("a", "b")).distinct()
+
+
+def _links(near: DataFrame, percent: int, hub_rounds: int = 2) -> DataFrame:
     """``node, label``: the group of each class that can link.  Postings shrink from round to round."""
-    labels = stored(near.select(F.col("cls").alias("node"), F.col("cls").alias("label")))
-    posts = stored(_mixed(_postings(near), labels))
+    labels = near.select(F.col("cls").alias("node"), F.col("cls").alias("label"))
+    posts = stored(_mixed(_postings(near, percent), labels))
     for turn in range(hub_rounds):
-        chance = F.xxhash64("cls", F.lit(turn)) if turn else F.col("cls")
-        hub = F.struct(F.col("cls").alias("hub"), F.col("n").alias("n_b"), F.col("label").alias("of"))
-        hubs = posts.groupBy("token").agg(F.min_by(hub, chance).alias("h")).select("token", "h.*")
-        pairs = (
-            posts.withColumnRenamed("n", "n_a")
-            .join(hubs, "token")
-            .filter((F.col("label") != F.col("of")) & _lengths_fit(percent))
-            .select(F.col("cls").alias("a"), F.col("hub").alias("b"))
-            .distinct()
-        )
-        found = stored(_compared(stored(pairs), near, percent))
+        found = stored(_compared(stored(_hub_pairs(posts, turn, percent)), near, percent))
         if found.isEmpty():
             break
         labels = merge_labels(labels, found)
         posts = stored(_mixed(posts, labels))
-    # of each class, its tokens that could make a pair, in the common order: the least left, the later
-    own = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("left")).alias("at"), "token"))), lambda x: x["token"])
-    posts = posts.join(posts.groupBy("cls").agg(own.alias("prefix")), "cls")
-    a = posts.select("token", *(F.col(c).alias(f"{c}_a") for c in ("cls", "n", "label", "prefix", "left")))
-    b = posts.select("token", *(F.col(c).alias(f"{c}_b") for c in ("cls", "n", "label", "prefix", "left")))
-    least = (percent * (F.col("n_a") + F.col("n_b"))) / (100 + percent)
-    pairs = (
-        a.join(b, "token")
-        .filter((F.col("cls_a") < F.col("cls_b")) & (F.col("label_a") != F.col("label_b")) & _lengths_fit(percent))
-        # at the first common token of a linking pair enough tokens are left in both; only there is the pair made
-        .filter(F.least("left_a", "left_b") >= least - F.lit(1e-6))
-        .filter(F.element_at(F.array_intersect("prefix_a", "prefix_b"), 1) == F.col("token"))
-        .select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"))
-        .distinct()
-    )
-    return merge_labels(labels, stored(_compared(stored(pairs), near, percent)))
+    return merge_labels(labels, stored(_compared(stored(_other_pairs(posts, percent)), near, percent)))
+
+
+def _labels(texts: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """``node, label`` of the classes that can link; ``texts`` has one column, ``rows`` has class and size of each text."""
+    ranges = power_of_two(text_bytes(texts) / 6 / RANGE_TOKENS, 8)
+    bits, step = ranges.bit_length() - 1, FAN.bit_length() - 1
+    done = min(bits, step)
+    packs = texts.mapInArrow(_packs(k, TOKEN_BITS - done, ranges), "bucket long, data binary")
+    while done < bits:
+        done = min(bits, done + step)
+        packs = packs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_dealt_again(TOKEN_BITS - done, ranges), "bucket long, data binary")
+    shared = packs.groupBy("bucket").applyInArrow(_shared, "cls long, part binary")
+    sizes = rows.filter("n > 0").groupBy("cls").agg(F.max("n").alias("n"))
+    each = shared.select("cls", F.lit(None).cast("int").alias("n"), "part").unionByName(sizes.withColumn("part", F.lit(None).cast("binary")))
+    near = stored(each.repartition("cls").sortWithinPartitions("cls").mapInArrow(_near(percent), NEAR))
+    return _links(near, percent)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row."""
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    ranges = power_of_two(text_bytes(slim) / 6 / RANGE_TOKENS, 8)
-    rows = stored(slim.mapInArrow(_class_rows(k), "doc_id long, cls long, n int"))
-    packs = slim.select("text").mapInArrow(_packs(k, ranges), "bucket int, data binary")
-    shared = packs.groupBy("bucket").applyInArrow(_shared(ranges), "bucket int, data binary")
-    near = stored(shared.groupBy("bucket").applyInArrow(_near(percent), NEAR))
-    labels = _links(near, percent)
+    rows = stored(slim.mapInArrow(_class_rows(k, ["doc_id"]), "doc_id long, cls long, n int"))
+    labels = _labels(slim.select("text"), rows, k, percent)
     # the smallest doc id of each class, then of each group; both are summed before they are shuffled
-    classes = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
-    classes = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left")
-    group = F.coalesce("label", "cls")
-    groups = classes.groupBy(group.alias("group")).agg(F.min("least").alias("component"))
-    classes = classes.select("cls", group.alias("group")).join(groups, "group").select("cls", "component")
+    classes = rows.filter("n > 0").groupBy("cls").agg(F.count("*").alias("rows"), F.min("doc_id").alias("least"))
+    classes = stored(classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("group", F.coalesce("label", "cls")))
+    groups = classes.groupBy("group").agg(F.min("least").alias("component"))
     # a class of its own stays out of the join, and adaptive execution splits a class of very many rows
-    many = rows.filter("n > 0").groupBy("cls").agg(F.count("*").alias("rows"), F.min("doc_id").alias("least"))
-    moved = classes.join(many, "cls").filter((F.col("rows") > 1) | (F.col("component") < F.col("least"))).select("cls", "component")
+    moved = classes.join(groups, "group").filter("rows > 1 or component < least").select("cls", "component")
     return rows.join(moved, "cls", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
     )
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group, that with the smallest id, in the columns of ``docs``; rows without an id all stay."""
-    found = near_duplicates(docs, **options)
-    gone = stored(found.filter("doc_id <> component_id").select("doc_id").distinct())  # its size is then known
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
-    if again.isEmpty():
-        return kept
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
+    """One row of each group, in the columns of ``docs``; rows without words are in no group and all stay.
+
+    The one with the smallest id stays (rows without an id come last, ties go by a hash of the whole row), so of different
+    texts under one id each is judged by its own group, and of equal rows one stays.
+    """
+    k1, k2 = fresh(docs, "k1", "k2")
+    key = row_key(*docs.columns)
+    slim = docs.select(*key, F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    names = ["k1", "k2", "doc_id"]
+    rows = stored(slim.mapInArrow(_class_rows(k, names), "k1 long, k2 long, doc_id long, cls long, n int"))
+    labels = _labels(slim.select("text"), rows, k, percent).withColumnRenamed("node", "cls")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
+    first = rows.filter("n > 0").groupBy("cls").agg(F.min(place).alias("own"), F.count("*").alias("rows"))
+    first = stored(first.join(labels, "cls", "left").withColumn("group", F.coalesce("label", "cls")))
+    groups = first.groupBy("group").agg(F.min("own").alias("kept"), F.sum("rows").alias("rows")).filter("rows > 1").drop("rows")
+    of = first.join(groups, "group").select("cls", "kept")
+    grouped = stored(rows.join(of, "cls").select("k1", "k2", ((F.col("k1") == F.col("kept.k1")) & (F.col("k2") == F.col("kept.k2"))).alias("stays")))
+    gone = stored(grouped.filter("not stays").select("k1", "k2").distinct())  # its size is then known
+    again = stored(grouped.filter("stays").groupBy("k1", "k2").count().filter("count > 1").select("k1", "k2"))
+    named = lambda keys: keys.select(F.col("k1").alias(k1), F.col("k2").alias(k2))
+    kept = docs.withColumns(dict(zip((k1, k2), key, strict=True))).join(named(gone), [k1, k2], "left_anti")
+    if not again.isEmpty():  # equal rows
+        once = kept.join(named(again), [k1, k2], "left_semi").dropDuplicates([k1, k2])
+        kept = kept.join(named(again), [k1, k2], "left_anti").unionByName(once)
+    return kept.select(*docs.columns)
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

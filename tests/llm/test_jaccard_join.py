@@ -77,7 +77,28 @@ def test_odd_rows(spark):
     got = sorted((tuple(r) for r in near_duplicates(df).collect()), key=str)
     assert got == sorted([(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 4), (5, 1, 4), (None, 1, 4), (None, 1, None), (9, 2, 9)], key=str)
     left = [r["doc_id"] for r in one_of_each(df.unionByName(df.filter("doc_id = 9"))).collect()]
-    assert sorted(left, key=str) == sorted([1, 2, 3, 4, 9, None, None], key=str)
+    assert sorted(left, key=str) == sorted([1, 2, 3, 4, 9, None], key=str)
+
+
+def test_one_of_each_judges_texts_not_ids(spark):
+    """Unlike texts under one id each stay or go by their own group; columns named as those used within come through."""
+    rows = [(7, "one two three four five six", 1, "a", 3), (7, "seven eight nine ten eleven twelve", 2, None, 3),
+            (3, "ONE two three four five six", None, "b", 3), (7, "", 4, "c", 3), (7, "", 4, "c", 3), (8, "alone it stays with us here", 5, "d", 3),
+            (8, "alone it stays with us here", 5, "d", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, k1 long, kept string, cls int")
+    got = sorted((tuple(r) for r in one_of_each(df).collect()), key=str)
+    assert got == sorted([rows[1], rows[2], rows[3], rows[4], rows[5]], key=str)
+
+
+def test_ranges_dealt_in_steps(spark, monkeypatch):
+    """More ranges than one step deals out, and hot tokens that only a later step can see."""
+    monkeypatch.setattr(jaccard_join, "FAN", 4)
+    monkeypatch.setattr(jaccard_join, "RANGE_TOKENS", 100)
+    monkeypatch.setattr(jaccard_join, "STRETCH", 3000)
+    monkeypatch.setattr(jaccard_join, "HOT", 8)
+    docs = _near_copies(4)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    assert sorted(tuple(r) for r in near_duplicates(df).collect()) == _expected(docs)
 
 
 def test_empty(spark):
