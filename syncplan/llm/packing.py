@@ -3,8 +3,9 @@
 Documents are routed to context-size tiers (2048, 1024, 512 and 256 tokens): each full window of the longest tier stands
 alone, the rest of a document goes to the smallest tier that holds it.  Tiers are packed from the longest down: a gap
 in a long window is filled with the longest pieces of shorter tiers that fit, and then by cutting one piece.  Windows
-are full, and their sizes are powers of two, so only what is left at the end of a partition is padded.  Step groups
-gather windows, whatever their tier, until they hold the same number of tokens.
+are full, and their sizes are powers of two; what is left at the end of a partition is cut into windows of descending
+powers of two, so no sequence is padded.  Step groups gather windows, whatever their tier, until they hold the same
+number of tokens.
 
 Packing works on one partition of documents at a time, in pools of bounded size, so it needs no shuffle, and a lost
 task is packed again from its own rows.  Sequence ids carry the partition's number and so are unique.
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table
-from .tokens import default_path, encoder
+from .tokens import default_path, encoder, no_cycle_search
 from .words import slices
 
 TIERS = (2048, 1024, 512, 256)
@@ -110,16 +111,12 @@ class Packer:
         self.pool, self.tokens = left, sum(p.length for p in left)
 
 
-def _shrunk(tier: int, window: list[Piece], tiers: tuple[int, ...]) -> Iterator[tuple[int, list[Piece]]]:
-    """A window that isn't full, as full windows of shorter tiers and at most one padded one."""
-    room, out = sum(p.length for p in window), []
-    sizes = [t for t in tiers if t <= room]
+def _shrunk(window: list[Piece]) -> Iterator[tuple[int, list[Piece]]]:
+    """A window that isn't full, as full ones of descending powers of two, so nothing is padded."""
+    room = sum(p.length for p in window)
     while window:
-        size = next((t for t in sizes if t <= room), None)
-        if size is None:
-            yield min(tiers), window
-            return
-        out, need = [], size
+        size, out = 1 << room.bit_length() - 1, []
+        need = size
         while need:
             piece = window.pop(0)
             if piece.length > need:
@@ -155,7 +152,7 @@ def _pack_partition(path: str, end_id: int, tiers: tuple[int, ...], step_tokens:
             if sum(p.length for p in pieces) == tier:
                 window(tier, pieces)
             else:
-                for size, part in _shrunk(tier, pieces, tiers):
+                for size, part in _shrunk(pieces):
                     window(size, part)
 
         def out() -> pa.RecordBatch:
@@ -167,13 +164,14 @@ def _pack_partition(path: str, end_id: int, tiers: tuple[int, ...], step_tokens:
             return batch
 
         packer = Packer(emit, tiers)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    packer.add(doc, ids.encode(text) + end)
-                if len(rows) > 20_000:
-                    yield out()
-        packer.pack(last=True)
+        with no_cycle_search():
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                        packer.add(doc, ids.encode(text) + end)
+                    if len(rows) > 20_000:
+                        yield out()
+            packer.pack(last=True)
         yield out()
 
     return run

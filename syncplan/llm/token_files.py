@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .binary_files import read_files, write_blocks
 from .common import read_table, shared_dir, stored
-from .tokens import default_path, encoder
+from .tokens import default_path, encoder, no_cycle_search
 from .words import slices
 
 MAGIC = b"TIDS"
@@ -35,46 +35,49 @@ _HEAD = "<4s4I"
 BLOCK_IDS = 1 << 19
 FILE_BYTES = 48 << 20
 
-_LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
+_LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.uint8)
 
 
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control and data bytes; the last control byte is filled up with ranks of length one that have no data."""
-    wide = ranks.astype("<u4")
-    extra = (wide > 0xFF).astype(np.uint8) + (wide > 0xFFFF) + (wide > 0xFFFFFF)
+    wide = ranks.astype("<u4" if len(ranks) and ranks.max() > 0xFFFF else "<u2")
+    extra = (wide > 0xFF).astype(np.uint8)
+    if wide.itemsize > 2:
+        extra += (wide > 0xFFFF).astype(np.uint8) + (wide > 0xFFFFFF)
     padded = np.zeros(-(-len(wide) // 4) * 4, np.uint8)
     padded[: len(wide)] = extra
     quads = padded.reshape(-1, 4)
     control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
-    split = wide.view(np.uint8).reshape(-1, 4)
-    return control.astype(np.uint8).tobytes(), split[np.arange(4) <= extra[:, None]].tobytes()
+    split = wide.view(np.uint8).reshape(-1, wide.itemsize)
+    return control.astype(np.uint8).tobytes(), split[np.arange(wide.itemsize) <= extra[:, None]].tobytes()
 
 
 def decode_ranks(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     """The n ranks, by table lookup."""
     lengths = _LENGTHS[control].reshape(-1)[:n]
-    at = np.cumsum(lengths) - lengths
-    out = np.zeros(n, np.uint32)
-    for j in range(4):
+    at = np.cumsum(lengths, dtype=np.int64) - lengths
+    out = data[at].astype(np.uint32)
+    for j in range(1, int(lengths.max(initial=1))):
         has = np.flatnonzero(lengths > j)
         out[has] |= data[at[has] + j].astype(np.uint32) << np.uint32(8 * j)
     return out
 
 
 def _tokenize(path: str, end_id: int, drops_space: bool, added_tokens: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = encoder(path, drops_space, added_tokens)
-        end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            for part in slices(batch, "text"):
-                found = [ids.encode(x) + end for x in part.column(1).to_pylist()]
-                packed = [np.frombuffer(x, "<u4").astype("<u2").tobytes() if end_small else x for x in found]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], ["doc_id", "ids"])
-
     from tokenizers import Tokenizer
 
-    end_small = max(end_id, Tokenizer.from_file(path).get_vocab_size() - 1) < 1 << 16  # ids then take two bytes here
-    return run, "<u2" if end_small else "<u4"
+    kind = "<u2" if max(end_id, Tokenizer.from_file(path).get_vocab_size() - 1) < 1 << 16 else "<u4"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = encoder(path, drops_space, added_tokens, kind)
+        end = np.array([end_id], kind).tobytes()
+        with no_cycle_search():
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    found = [ids.encode(x) + end for x in part.column(1).to_pylist()]
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], ["doc_id", "ids"])
+
+    return run, kind
 
 
 def _count_ids(kind: str):
@@ -147,7 +150,9 @@ def write_token_files(
     rank_of = np.zeros(max((r["id"] for r in ranked), default=0) + 1, np.uint32)
     rank_of[[r["id"] for r in ranked]] = np.arange(len(ranked))
     files = max(1, -(-4 * sum(r["n"] for r in ranked) // FILE_BYTES))
-    ordered = rows.repartitionByRange(files, F.col("doc_id"), F.xxhash64("ids")).sortWithinPartitions("doc_id", F.xxhash64("ids"))
+    # a salt that each row has for itself parts repeated rows of one id among files
+    ordered = rows.repartitionByRange(files, F.col("doc_id"), F.xxhash64("ids"), F.monotonically_increasing_id())
+    ordered = ordered.sortWithinPartitions("doc_id", F.xxhash64("ids"))
     write_blocks(ordered.mapInArrow(_blocks(kind, rank_of), "block binary"), f"{path}/ids", "block", b"\n")
 
 
@@ -201,7 +206,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         )
     )
     files = rows.groupBy("path").agg(F.sum("n_tokens").alias("n"))
-    before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    number = F.regexp_extract("path", r"/part-(\d+)[^/]*$", 1).cast("long")  # names of 100,000 files and more don't sort as text
+    before = Window.orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("path", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))  # one row a file
     return rows.join(files, "path").select(
         "doc_id", (F.col("before") + F.col("start_in_file")).alias("start"), "n_tokens", "ids_crc32"

@@ -9,10 +9,13 @@ A text that holds the content of an added token, such as ``<|endoftext|>``, goes
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
 import struct
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import regex
@@ -41,7 +44,7 @@ def _byte_chars() -> list[str]:
 
 
 _BYTE_CHARS = {b: c for b, c in enumerate(_byte_chars())}
-_PACKERS = [struct.Struct(f"<{n}I").pack for n in range(16)]
+_PACKERS = {kind: [struct.Struct(f"<{n}{code}").pack for n in range(16)] for kind, code in (("<u4", "I"), ("<u2", "H"))}
 
 
 def _shown(piece: str) -> str:
@@ -110,7 +113,7 @@ class Kept(dict):
 
 
 class Encoder:
-    """Whole texts -> ids as little-endian unsigned 32-bit bytes.
+    """Whole texts -> ids as little-endian bytes of ``kind``: unsigned, of 32 bits, or of 16 where the vocabulary allows it.
 
     A part is normalised and split by the vocabulary's own rules and its pieces go through the vocabulary's model.  For
     parts in Latin-1, where those rules are plain, a pattern stands in for the library's slower calls; letters alone are
@@ -118,7 +121,7 @@ class Encoder:
     those of ``drops_space`` is an error.
     """
 
-    def __init__(self, path: str, drops_space: bool, keep: int = 400_000, added_tokens: bool = False):
+    def __init__(self, path: str, drops_space: bool, keep: int = 400_000, added_tokens: bool = False, kind: str = "<u4"):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -132,6 +135,7 @@ class Encoder:
             raise ValueError(f"{path}: added tokens that are looked for in normalised text")
         self.added = [x.content for x in tokens]
         self.lower = drops_space
+        self.kind, self.packers = kind, _PACKERS[kind]
         self.split = parts_without_spaces if drops_space else parts_with_spaces
         self.pattern = regex.compile(pattern)
         self.parts = Kept(self._part, keep)
@@ -139,7 +143,7 @@ class Encoder:
 
     def _piece(self, piece: str) -> bytes:
         ids = [x.id for x in self.model.tokenize(piece)]
-        return _PACKERS[len(ids)](*ids) if len(ids) < len(_PACKERS) else np.array(ids, "<u4").tobytes()
+        return self.packers[len(ids)](*ids) if len(ids) < len(self.packers) else np.array(ids, self.kind).tobytes()
 
     def _part(self, part: str) -> bytes:
         if part.isascii() and (part.isalpha() or not self.lower and part[:1] == " " and part[1:].isalpha()):
@@ -152,23 +156,35 @@ class Encoder:
         return b"".join(map(self.pieces.__getitem__, pieces))
 
     def encode(self, text: str | None) -> bytes:
-        """Ids of the whole text, four bytes each."""
+        """Ids of the whole text."""
         if not text:
             return b""
         for content in self.added:
             if content in text:
-                return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+                return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
         self.parts.trim()
         self.pieces.trim()
         return b"".join(map(self.parts.__getitem__, self.split(text)))
 
 
-_encoders: dict[tuple[str, bool, bool], Encoder] = {}
+_encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, drops_space: bool, added_tokens: bool = False) -> Encoder:
+def encoder(path: str, drops_space: bool, added_tokens: bool = False, kind: str = "<u4") -> Encoder:
     """One encoder for each vocabulary, its handling and Python worker."""
-    key = (path, drops_space, added_tokens)
+    key = (path, drops_space, added_tokens, kind)
     if key not in _encoders:
-        _encoders[key] = Encoder(path, drops_space, added_tokens=added_tokens)
+        _encoders[key] = Encoder(path, drops_space, added_tokens=added_tokens, kind=kind)
     return _encoders[key]
+
+
+@contextmanager
+def no_cycle_search() -> Iterator[None]:
+    """No search for garbage in cycles, which goes through the caches again and again; encoding makes no cycles."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()

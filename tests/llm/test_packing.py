@@ -86,6 +86,29 @@ def test_added_tokens_equal_the_unmodified_library(name, drops):
 def test_query_gives_added_tokens_their_ids(spark, tmp_path):
     spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     plain = Tokenizer.from_file(default_path("byte_bpe_50k.json"))
-    got = {(r["doc_id"], r["doc_tokens"], r["ids_crc32"]) for r in op1_pack(spark, str(tmp_path)).collect() if r["length"] == r["doc_tokens"]}
-    ids = [np.array(plain.encode(x, add_special_tokens=False).ids + [1], "<u4") for x in SPECIAL]
-    assert got and got <= {(i, len(x), zlib.crc32(x.tobytes())) for i, x in enumerate(ids)} and 0 in {i for i, _, _ in got}
+    rows = op1_pack(spark, str(tmp_path)).collect()
+    for doc, text in enumerate(SPECIAL):
+        ids = np.array(plain.encode(text, add_special_tokens=False).ids + [1], "<u4")
+        own = sorted((r for r in rows if r["doc_id"] == doc), key=lambda r: r["start"])
+        assert [r["start"] for r in own] == np.cumsum([0, *(r["length"] for r in own)])[:-1].tolist()
+        assert sum(r["length"] for r in own) == len(ids) and {r["doc_tokens"] for r in own} == {len(ids)}
+        assert [r["ids_crc32"] for r in own] == [zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) for r in own]
+
+
+def test_nothing_is_padded_and_odd_rows(spark):
+    """Null ids, repeated rows and columns named as those of the result."""
+    rows = [(None, "a b c", "x", 1), (4, "d e f g h i", "y", 2), (4, "d e f g h i", "y", 2), (None, None, "z", 3)] * 7
+    df = spark.createDataFrame(rows, "doc_id long, text string, sequence_id string, tier int").repartition(2)
+    out = pack(df, default_path("byte_bpe_50k.json")).collect()
+    sizes = defaultdict(int)
+    for r in out:
+        sizes[r["sequence_id"]] += r["length"]
+        assert r["tier"] == r["sequence_tokens"]
+    assert all(n & (n - 1) == 0 for n in sizes.values())
+    plain = Tokenizer.from_file(default_path("byte_bpe_50k.json"))
+    assert sum(sizes.values()) == sum(len(plain.encode(t or "", add_special_tokens=False).ids) + 1 for _, t, _, _ in rows)
+
+
+def test_other_vocabularies_are_refused():
+    with pytest.raises(ValueError, match="drops_space"):
+        Encoder(default_path("word_bpe_49k.json"), False)
