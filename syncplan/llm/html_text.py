@@ -5,7 +5,12 @@ its elements mark it as a menu, header, footer, sidebar, notice, advert, form, s
 Lines of such elements are left out first.  Lengths of the others are summed over sliding windows of ``window`` lines; the
 text surges where a window reaches ``surge`` characters and dives where windows fall to nothing; all that stands between
 a surge and its dive is kept.  Where nothing surges, as in verse, any text outside links is a surge.  Where a page marks
-its articles or main parts, they are the text, all of them, and lengths decide nothing.
+its articles or main parts, they are the bounds: there every line with text outside links belongs to the text, however
+short, headings count as text even if they are links, and what falls to nothing for ``window`` lines or more, such as a
+list of links, is left out.
+
+Names of classes and ids mark an element if all their parts are listed words or say where or how large something is:
+``site-footer`` and ``adSlot2`` do, ``related-story`` and ``notice-of-appeal`` don't.
 
 Character references are decoded, white space inside a block becomes one space, and blocks are joined by a blank line.
 
@@ -19,6 +24,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -46,11 +52,27 @@ _APART_WORDS = frozenset(
     " consent cookie cookies disqus footer form header masthead menu modal nav navbar navigation newsletter notice notices"
     " popup related reply replies respond share sharing sidebar social subscribe toolbar widget".split()
 )
+#: Parts of names that say where or how large something is, not what.
+_PLACE_WORDS = frozenset(
+    "area bar block bottom box column container content entries entry group inner item left link links list main outer page panel"
+    " primary right row secondary section site slot space title top unit wrap wrapper".split()
+)
 _MAIN = frozenset(["article", "main"])
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _WHITE = re.compile(r"\s+")
 _NAME_PARTS = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 
 
+@lru_cache(10_000)
+def _names_apart(names: str) -> bool:
+    """Whether one of the names of an element says that it isn't part of the text."""
+    for name in names.split():
+        parts = [x.lower() for x in _NAME_PARTS.split(name) if x]
+        if any(x in _APART_WORDS for x in parts) and all(x in _APART_WORDS or x in _PLACE_WORDS for x in parts):
+            return True
+    return False
+
+
 @dataclass
 class Line:
     text: str
@@ -67,18 +89,21 @@ class _Lines(HTMLParser):
         self.linked = 0
         self.links = 0
         self.parts = 0
+        self.heading = False
         self.open: list[tuple[str, bool, int]] = [("", False, 0)]  # element, apart, part
 
     def _end_line(self) -> None:
         text = _WHITE.sub(" ", "".join(self.text)).strip()
         if text:
             _, apart, part = self.open[-1]
-            self.lines.append(Line(text, max(0, len(text) - self.linked), apart, part))
+            linked = 0 if self.heading and part else self.linked
+            self.lines.append(Line(text, max(0, len(text) - linked), apart, part))
         self.text, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in _BLOCKS or tag in _NESTED:
             self._end_line()
+            self.heading = tag in _HEADINGS
         if tag == "br":
             self.text.append(" ")
         elif tag == "a":
@@ -86,14 +111,13 @@ class _Lines(HTMLParser):
         if tag in _NESTED:
             _, apart, part = self.open[-1]
             named = dict(attrs)
-            words = {w.lower() for key in ("class", "id") for w in _NAME_PARTS.split(named.get(key) or "")}
             outer = part == 0
             apart = (
                 apart
                 or tag in _APART
                 or (tag == "header" and outer)
                 or (named.get("role") or "").lower() in _APART_ROLES
-                or bool(words & _APART_WORDS) and tag not in ("body", *_MAIN)
+                or tag not in ("body", *_MAIN) and any(_names_apart(named.get(key) or "") for key in ("class", "id"))
                 or "hidden" in named
             )
             if tag in _MAIN and outer and not apart:
@@ -109,6 +133,7 @@ class _Lines(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in _BLOCKS or tag in _NESTED:
             self._end_line()
+            self.heading = False
         if tag == "a":
             self.links = max(0, self.links - 1)
         if tag in _NESTED:
@@ -152,10 +177,25 @@ def _surges(lengths: list[int], window: int, surge: int) -> list[tuple[int, int]
     return found
 
 
+def _dense(lines: list[Line], window: int) -> list[Line]:
+    """The lines without runs of ``window`` lines or more that have no text outside links."""
+    out, i = [], 0
+    while i < len(lines):
+        end = i
+        while end < len(lines) and not lines[end].length:
+            end += 1
+        if end - i < window:
+            out += lines[i : end + 1]
+            end += 1
+        i = end
+    return out
+
+
 def main_text(html: str | None, window: int = 3, surge: int = 80) -> str:
     lines = [x for x in lines_of(html or "") if not x.apart]
-    kept = [x for x in lines if x.part]
-    if not kept:
+    marked = [x for x in lines if x.part]
+    kept = _dense(marked, window)
+    if not marked:
         lengths = [x.length for x in lines]
         found = _surges(lengths, window, surge) or _surges(lengths, window, 1)
         kept = [x for begin, end in found for x in lines[begin:end]]

@@ -1,6 +1,9 @@
 import html as entities
 import re
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from syncplan.llm.html_text import extract, main_text, op5_html_text
 
 LONG = "A long paragraph of the article, with many words, so that its block stands out from all menus around it."
@@ -41,6 +44,47 @@ def test_all_sibling_articles():
     assert main_text(page) == "First part.\n\nSecond\n\npart, longer.\n\nThird"
 
 
+def test_link_lists_within_articles():
+    links = "".join(f"<li><a href=/{i}>Related entry number {i}</a></li>" for i in range(30))
+    page = f"<article><h1><a href=/>Head</a></h1><h2><a href=/>Deck</a></h2><p>{LONG}</p><ul>{links}</ul><p>Two.</p><p><a href=/>One link</a></p><p>End.</p></article>"
+    assert main_text(page) == f"Head\n\nDeck\n\n{LONG}\n\nTwo.\n\nOne link\n\nEnd."
+
+
+def test_names_that_contain_a_listed_word():
+    for name in ("related-story", "notice-of-appeal", "menuPlanning", "header-hero-story"):
+        assert main_text(f"<body><div class='{name}'><p>{LONG}</p></div>") == LONG
+    for name in ("site-footer", "adSlot2", "post comments-area", "cookie-notice", "sidebar right"):
+        assert main_text(f"<body><p>{LONG}</p><div class='{name}'><p>{LONG}</p></div>") == LONG
+
+
+def _windows(lengths, window, surge):
+    """Kept lines of a page without marks, straight from the definition of surge and dive."""
+    sums = [sum(lengths[i : i + window]) for i in range(len(lengths))]
+    kept, inside = [], False
+    for i, n in enumerate(lengths):
+        if not inside and sums[i] >= surge and n:
+            inside = True
+        if inside and not sums[i]:
+            inside = False
+        kept.append(inside)
+    for i in range(len(lengths) - 1, -1, -1):  # what has no text before a dive isn't part of it
+        if kept[i] and not lengths[i] and (i + 1 == len(lengths) or not kept[i + 1]):
+            kept[i] = False
+    return kept
+
+
+@settings(deadline=None, max_examples=200)
+@given(st.lists(st.tuples(st.booleans(), st.integers(1, 120)), max_size=40))
+def test_windows_against_brute_force(blocks):
+    texts = [f"{i:03d}" + "x" * (n + 2) for i, (_, n) in enumerate(blocks)]
+    page = "".join(f"<p><a href=/>{t}</a></p>" if link else f"<p>{t}</p>" for (link, _), t in zip(blocks, texts, strict=True))
+    lengths = [0 if link else len(t) for (link, _), t in zip(blocks, texts, strict=True)]
+    kept = _windows(lengths, 3, 80)
+    if not any(kept):
+        kept = _windows(lengths, 3, 1)
+    assert main_text(f"<body>{page}") == "\n\n".join(t for t, k in zip(texts, kept, strict=True) if k)
+
+
 def test_odd_pages(spark):
     pages = [(1, None, None), (2, "u", ""), (3, "u", "<p>"), (4, "u", "<article>cut off &am"), (None, "u", f"<p>{LONG}"), (4, "u", "<article>cut off &am"),
              (5, "u", "<article>" + "<p>w</p>" * 30000), (6, "u", "<script>never closed <p>text"), (7, "u", "</div></article>< p>" + LONG)]
