@@ -1,17 +1,21 @@
-"""Removal of passages that repeat across documents, by hashing of units.
+"""Removal of passages that repeat across documents, by hashing of lines and of passages.
 
-A text is parted into units at line ends and, within lines, at places that its own words choose (where the hash of two
-neighbouring words is the least, or as small as any, of all within ``reach`` words).  So a passage gives the same units wherever it stands,
-whether it fills lines or begins and ends amid sentences.  Units are normalised (ASCII lower case, one space between
-words) and hashed; digests are grouped over all documents, and the earliest occurrence (smallest doc id, then place) of
-each is kept.  In every other occurrence the unit is a repeat; runs of repeats, one next to the other, with at least
-``min_words`` words in all are removed.  Spans are in code points of the original text.
+Two kinds of unit are hashed.  Whole lines (of at least ``min_line_words`` words; a paragraph is a run of lines) are the
+rule.  As repeated passages also begin and end amid lines, passages of ``window`` words are the second kind: they begin at
+places that the words themselves choose, the least hash of two neighbouring words among each ``reach`` places in a row, so
+equal passages give equal units wherever they stand.  Units are normalised (ASCII lower case, one space between words) and
+hashed; digests are grouped over all documents, and the earliest occurrence (smallest doc id, then place) of each is kept.
+In every other occurrence its words are removed.  Units that overlap and have their earliest occurrence in one document are
+one row.  Spans are in code points of the original text.
 
-At either end of a passage that begins amid a line, the words up to the first place that the passage itself chooses (about
-``reach`` + 3 words) aren't part of a whole unit and stay.
+Every removed word thus lies in a line, or in ``window`` words one after the other, that one earlier document (or an earlier
+place of the same one) holds as they are.  A passage of at least ``window`` + ``reach`` words that an earlier document holds
+is always met; of one that begins or ends amid a line, at most ``reach`` words at its start and ``reach`` at its end stay, and
+about half as many as a rule.
 
-Data flow: units are stored once, as arrays; grouping sums before the shuffle; the join of units with repeated digests
-is left to adaptive execution, which splits a digest of very many rows.
+Data flow: units are stored once, as arrays, and of units that a document holds more than once only the first is sent.  The
+grouping sums before the shuffle; the digests found are stored, so that adaptive execution can split the join where a digest
+has very many rows.
 
 Nulls and odd input: a null text has no units; a row with a null doc id ranks after all others and rows without an id
 that hold the same units are one document; so are repeated rows of one id.  An empty table gives no rows.  Other columns
@@ -24,55 +28,85 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, row_key, stored
-from .words import NON_SPACE, STEP, STEP_INVERSE, mix, powers, slices, words_of
+from .common import fresh, read_table, row_key, stored
+from .words import NON_SPACE, STEP, STEP_INVERSE, Words, mix, powers, slices, words_of
 
 _LAST = 2**63 - 1
-UNITS = "k1 long, k2 long, doc_id long, digests array<long>, starts array<int>, ends array<int>, words array<int>"
-
-
-def _units(reach: int):
+UNITS = (
+    "rid long, k1 long, k2 long, doc_id long, digests array<long>, firsts array<boolean>, at array<int>, words array<int>,"
+    " starts array<int>, ends array<int>"
+)
+
+
+def _places(words: Words, window: int, reach: int) -> np.ndarray:
+    """Words at which a passage of ``window`` words begins: the least of each ``reach`` places in a row, the last of equal ones."""
+    n = len(words.row)
+    if n < max(window, reach + 1):
+        return np.zeros(0, np.int64)
+    value = mix(words.hash[:-1] * np.uint64(3) + words.hash[1:])
+    near = np.lib.stride_tricks.sliding_window_view(value, reach)
+    least = np.arange(len(near)) + reach - 1 - near[:, ::-1].argmin(axis=1)
+    inside = words.row[: len(near)] == words.row[reach : reach + len(near)]
+    place = np.unique(least[inside])
+    place = place[place + window <= n]
+    return place[words.row[place] == words.row[place + window - 1]]
+
+
+def _lines(words: Words, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First word and number of words of each line of at least so many words."""
+    n = len(words.row)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    line = np.cumsum(words.data == 10)[words.start]
+    new = np.ones(n, bool)
+    new[1:] = (words.row[1:] != words.row[:-1]) | (line[1:] != line[:-1])
+    begin = np.flatnonzero(new)
+    size = np.diff(np.append(begin, n))
+    return begin[size >= least], size[size >= least]
+
+
+def _units(min_line_words: int, window: int, reach: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rid = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         for batch in batches:
             for part in slices(batch, "text"):
                 words = words_of(part.column(3), NON_SPACE)
-                n = len(words.row)
-                breaks = np.cumsum(words.data == 10)
-                line = breaks[words.start] if n else np.zeros(0, np.int64)
-                same = np.zeros(n, bool)
-                same[1:] = (words.row[1:] == words.row[:-1]) & (line[1:] == line[:-1])
-                # a place before word i depends on words i - 1 and i, and is compared with places of the same line
-                value = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-                value[1:] = mix(words.hash[:-1] * np.uint64(3) + words.hash[1:])
-                value[~same] = np.iinfo(np.uint64).max
-                least = same.copy()
-                group = np.cumsum(~same)
-                for j in range(1, reach + 1):
-                    if n > j:
-                        near = group[j:] == group[:-j]
-                        least[j:] &= ~near | (value[j:] <= value[:-j])
-                        least[:-j] &= ~near | (value[:-j] <= value[j:])  # one word over and over: a place before each
-                begin = np.flatnonzero(~same | least)
-                end = np.append(begin[1:], n)[: len(begin)]
+                n, place = len(words.row), _places(words, window, reach)
+                begin, size = _lines(words, min_line_words)
+                begin, size = np.concatenate([begin, place]), np.concatenate([size, np.full(len(place), window)])
+                order = np.lexsort((size, begin))
+                begin, size = begin[order], size[order]
+                new = np.ones(len(begin), bool)  # a line of just so many words is also a passage
+                new[1:] = (begin[1:] != begin[:-1]) | (size[1:] != size[:-1])
+                begin, size = begin[new], size[new]
                 total = np.zeros(n + 1, np.uint64)
                 np.cumsum(words.hash * powers(STEP, n + 1)[:n], out=total[1:])
-                digest = mix((total[end] - total[begin]) * powers(STEP_INVERSE, n + 1)[begin] + (end - begin).astype(np.uint64))
+                digest = mix((total[begin + size] - total[begin]) * powers(STEP_INVERSE, n + 1)[begin] + size.astype(np.uint64))
+                row = words.row[begin] if n else np.zeros(0, np.int64)
+                order = np.lexsort((begin, digest, row))  # of each row and digest the first
+                first = np.zeros(len(begin), bool)
+                first[order] = np.append(True, (digest[order][1:] != digest[order][:-1]) | (row[order][1:] != row[order][:-1]))[: len(order)]
                 points = np.zeros(len(words.data) + 1, np.int64)
                 np.cumsum((words.data & 0xC0) != 0x80, out=points[1:])
-                row = words.row[begin] if n else np.zeros(0, np.int64)
                 base = points[words.row_start]
                 offsets = pa.array(np.searchsorted(row, np.arange(part.num_rows + 1)), pa.int32())
+                before = np.searchsorted(words.row, np.arange(part.num_rows))
                 each = [
                     pa.array(digest.view(np.int64)),
+                    pa.array(first),
+                    pa.array(begin - before[row], pa.int32()),
+                    pa.array(size, pa.int32()),
                     pa.array(points[words.start[begin]] - base[row], pa.int32()),
-                    pa.array(points[words.end[end - 1]] - base[row], pa.int32()),
-                    pa.array(end - begin, pa.int32()),
+                    pa.array(points[words.end[begin + size - 1]] - base[row], pa.int32()),
                 ]
+                ids = pa.array(np.arange(rid, rid + part.num_rows), pa.int64())
+                rid += part.num_rows
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:3], *(pa.ListArray.from_arrays(offsets, x) for x in each)],
+                    [ids, *part.columns[:3], *(pa.ListArray.from_arrays(offsets, x) for x in each)],
                     [x.split()[0] for x in UNITS.split(", ")],
                 )
 
@@ -82,75 +116,105 @@ def _units(reach: int):
 SPANS = "doc_id long, k1 long, k2 long, start long, end long, n_words long, first_doc_id long"
 
 
-def _runs(min_words: int):
-    """Spans of the runs of repeats of each document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in SPANS.split(", ")]
-        for batch in batches:
-            rows = []
-            columns = (batch.column(i).to_pylist() for i in range(batch.num_columns))
-            for k1, k2, doc, starts, ends, words, units, firsts in zip(*columns, strict=True):
-                found = dict(zip(units, firsts, strict=True))
-                places = sorted(found)
-                i = 0
-                while i < len(places):
-                    j = i
-                    while j + 1 < len(places) and places[j + 1] == places[j] + 1:
-                        j += 1
-                    a, b = places[i], places[j]
-                    total = sum(words[a : b + 1])
-                    if total >= min_words:
-                        first = found[a]
-                        rows.append((doc, k1, k2, starts[a], ends[b], total, None if first == _LAST else first))
-                    i = j + 1
-            columns = list(zip(*rows, strict=True)) or [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
-
-    return run
+def _spans(doc: int, digests: list[int], at: list[int], words: list[int], found: dict[int, int]) -> Iterator[tuple[int, int, int, int]]:
+    """``(first unit, last unit, words, earliest document)`` of each stretch to remove; ``found`` has units by place."""
+    source = {digests[u]: of for u, of in found.items()}
+    kept_until: dict[int, int] = {}  # the word after the occurrence of a digest that this document keeps
+    chosen: dict[int, list[int]] = {}
+    for u, digest in enumerate(digests):
+        if u in found:
+            chosen.setdefault(found[u], []).append(u)
+        elif digest in source:  # again in this document
+            chosen.setdefault(source[digest], []).append(u)
+        elif at[u] >= kept_until.setdefault(digest, at[u] + words[u]) and at[u] + words[u] > kept_until[digest]:
+            chosen.setdefault(doc, []).append(u)
+    for of, units in chosen.items():
+        i = 0
+        while i < len(units):
+            j, end, last = i, at[units[i]] + words[units[i]], units[i]
+            while j + 1 < len(units) and at[units[j + 1]] < end:
+                j += 1
+                if at[units[j]] + words[units[j]] > end:
+                    end, last = at[units[j]] + words[units[j]], units[j]
+            yield units[i], last, end - at[units[i]], of
+            i = j + 1
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [x.split()[0] for x in SPANS.split(", ")]
+    for batch in batches:
+        rows = []
+        columns = (batch.column(i).to_pylist() for i in range(batch.num_columns))
+        for k1, k2, doc, digests, at, words, starts, ends, units, sources in zip(*columns, strict=True):
+            own = _LAST if doc is None else doc
+            for a, b, n, of in _spans(own, digests, at, words, dict(zip(units or (), sources or (), strict=True))):
+                rows.append((doc, k1, k2, starts[a], ends[b], n, None if of == _LAST else of))
+        columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
 
 def repeated_spans(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 25, reach: int = 3
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_line_words: int = 1, window: int = 25, reach: int = 12
 ) -> DataFrame:
-    """A row for each span to remove: SPANS.  ``first_doc_id`` holds the earliest occurrence of its first unit."""
+    """A row for each span to remove: SPANS.  ``first_doc_id`` holds the earliest occurrence of its units.
+
+    Rows of one document overlap where their words come from several earlier documents.
+    """
     slim = docs.select(
         *row_key(doc_id, text), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")
     )
-    rows = stored(slim.mapInArrow(_units(reach), UNITS))
-    each = rows.select("k1", "k2", F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.posexplode("digests").alias("unit", "digest"))
-    place = F.struct("doc", "unit")
-    first = each.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last")
+    rows = stored(slim.mapInArrow(_units(min_line_words, window, reach), UNITS))
+    each = rows.select("rid", F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), "firsts", F.posexplode("digests").alias("unit", "digest"))
+    each = each.filter(F.get("firsts", "unit")).drop("firsts")
+    first = each.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")
+    first = stored(first.drop("last"))
     again = (
-        each.join(first.select("digest", "first"), "digest")
-        .filter(place > F.col("first"))
-        .groupBy("k1", "k2")
-        .agg(F.collect_set(F.struct("unit", F.col("first.doc").alias("of"))).alias("found"))
-        .select("k1", "k2", F.col("found.unit").alias("units"), F.col("found.of").alias("firsts"))
+        each.join(first, "digest")
+        .filter("doc > first")
+        .groupBy("rid")
+        .agg(F.collect_list(F.struct("unit", "first")).alias("found"))
+        .select("rid", F.col("found.unit").alias("units"), F.col("found.first").alias("sources"))
     )
-    whole = rows.join(again, ["k1", "k2"]).select("k1", "k2", "doc_id", "starts", "ends", "words", "units", "firsts")
-    return whole.mapInArrow(_runs(min_words), SPANS).distinct()  # repeated rows give the same spans
+    whole = rows.join(again, "rid", "left").filter(F.col("units").isNotNull() | F.exists("firsts", lambda x: ~x))
+    whole = whole.select("k1", "k2", "doc_id", "digests", "at", "words", "starts", "ends", "units", "sources")
+    return whole.mapInArrow(_runs, SPANS).distinct()  # repeated rows give the same spans
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at, spans = batch.schema.get_field_index("text"), batch.column(batch.num_columns - 1).to_pylist()
-        out = []
-        for text, own in zip(batch.column(at).to_pylist(), spans, strict=True):
-            for s in sorted(own or [], key=lambda s: -s["start"]):
-                text = text[: s["start"]] + text[s["end"] :]
-            out.append(text)
-        yield batch.set_column(at, "text", pa.array(out, batch.schema.field(at).type))
-
-
-def without_repeats(docs: DataFrame, **options) -> DataFrame:
-    """The documents without their repeated passages, and ``removed``: spans in the original text."""
-    spans = repeated_spans(docs, **options).groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
-    keyed = docs.withColumns(dict(zip(("k1", "k2"), row_key("doc_id", "text"), strict=True)))
-    joined = keyed.join(spans, ["k1", "k2"], "left").select(*docs.columns, "removed")
+def _cut(text: str, removed: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, spans = batch.schema.get_field_index(text), batch.column(batch.schema.get_field_index(removed)).to_pylist()
+            out = []
+            for whole, own in zip(batch.column(at).to_pylist(), spans, strict=True):
+                parts, done = [], 0
+                for s in own:  # ascending; they may overlap
+                    parts.append(whole[done : max(done, s["start"])])
+                    done = max(done, s["end"])
+                out.append("".join(parts) + whole[done:])
+            yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
+
+    return run
+
+
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The documents without their repeated lines and passages, and ``removed``: spans in the original text.
+
+    Where ``docs`` has a column ``removed``, the new one is ``removed_``.
+    """
+    k1, k2, removed = fresh(docs, "k1", "k2", "removed")
+    spans = repeated_spans(docs, doc_id, text, **options).groupBy(F.col("k1").alias(k1), F.col("k2").alias(k2))
+    spans = spans.agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(removed))
+    keyed = docs.withColumns(dict(zip((k1, k2), row_key(doc_id, text), strict=True)))
+    joined = keyed.join(stored(spans), [k1, k2], "left").select(*docs.columns, removed)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields)
-    return joined.filter("removed is null").unionByName(joined.filter("removed is not null").mapInArrow(_cut, kinds))
+    cut = joined.filter(F.col(removed).isNotNull()).mapInArrow(_cut(text, removed), kinds)
+    return joined.filter(F.col(removed).isNull()).unionByName(cut)
+
+
+#: Words of a line that the query removes.  Half of the documents hold some shorter line that another one holds too.
+LINE_WORDS = 25
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_spans(read_table(spark, sf_dir, "documents")).select("doc_id", "start", "end", "n_words", "first_doc_id")
+    found = repeated_spans(read_table(spark, sf_dir, "documents"), min_line_words=LINE_WORDS)
+    return found.select("doc_id", "start", "end", "n_words", "first_doc_id")
