@@ -1,9 +1,10 @@
 """Quality classifier with hierarchical empirical Bayes.
 
-A logistic regression on measures of the text gives each document's own evidence.  Documents are then grouped by path
-(host and section) and host: a host's mean quality is shrunk toward the global mean, a path's toward its host's, both
-by weights that come from the spread between groups (sparse sites shrink most).  The document's posterior odds are its
-evidence times the odds of its path over the global odds, which only moves documents whose own evidence is weak.
+A logistic regression on measures of the text and on hashed words gives each document's own evidence.  Documents are then
+grouped by path (host and section) and host.  With variances within paths, between paths of a host and between hosts,
+estimated from all documents by the method of moments, a host's mean is shrunk toward the global mean and a path's toward
+its host's, so sparse sites shrink most.  A document is left out of the means that judge it.  Its posterior odds are its
+evidence times the odds of its path over the global odds.
 
 The regression is fitted on at most ``sample_rows`` labelled rows (those with the smallest hash of their id), a bounded
 and documented sample; all else covers all documents.  Group sums are taken before the shuffle, so a host with a third of
@@ -11,8 +12,9 @@ all documents loads no task.
 
 Nulls and odd input: a null text is empty and gets the measures of an empty text; a null host or section is a group of
 its own; repeated rows each get a row of the result; labels with a null id or quality, or without a document, are not
-used; with labels of one class only (or none) the evidence is the share of good ones (or one half).  An empty table
-gives an empty result.  Other columns are not read.
+used, and of several labels of one id the worst counts; rows with equal hashes of their ids go by id; with labels of one
+class only (or none) the evidence is the share of good ones (or one half); a quality of just ``threshold`` is kept.  An
+empty table gives an empty result.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,16 +23,19 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table, stored
+from .words import NON_SPACE, slices, words_of
 
 MEASURES = (
     "log_words", "mean_word", "upper_share", "symbol_share", "bar_share", "bang_share", "digit_share", "word_variety",
     "line_variety", "end_share", "long_words", "short_lines",
 )
+#: Hashed words of the regression.
+WORDS = 64
 
 
 def measures(text: str | None) -> list[float]:
@@ -55,47 +60,101 @@ def measures(text: str | None) -> list[float]:
     ]
 
 
-def _measure_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def features(texts: pa.Array) -> np.ndarray:
+    """A row for each text: its measures, and the square root of the share of each bucket of words (copies count once or twice alike)."""
+    plain = np.array([measures(x) for x in texts.to_pylist()]).reshape(-1, len(MEASURES))
+    words = words_of(texts, NON_SPACE)
+    counts = np.bincount(words.row * WORDS + (words.hash % np.uint64(WORDS)).astype(np.int64), minlength=words.n_rows * WORDS)
+    counts = counts.reshape(-1, WORDS)
+    return np.hstack([plain, np.sqrt(counts / np.maximum(1, counts.sum(1, keepdims=True)))])
+
+
+def _known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features in single precision, one after the other."""
     for batch in batches:
-        batch["x"] = [measures(t) for t in batch.pop("text")]
-        yield batch
+        for part in slices(batch, "text"):
+            x = [row.astype("<f4").tobytes() for row in features(part.column(2))]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(x, pa.binary())], ["doc_id", "quality", "x"])
+
 
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean and spread of each feature, and weights (the last is the constant), by Newton's method.
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Mean and spread of each measure, and weights (the last is the constant), by Newton's method."""
+    Hashed words are held to small weights, the more so the fewer rows there are.
+    """
+    k = x.shape[1]
     if not len(y):
-        return np.zeros(len(MEASURES)), np.ones(len(MEASURES)), np.zeros(len(MEASURES) + 1)
+        return np.zeros(k), np.ones(k), np.zeros(k + 1)
     mean, spread = x.mean(0), x.std(0) + 1e-6
     if y.min() == y.max():
         share = (y.sum() + 1) / (len(y) + 2)
-        return mean, spread, np.append(np.zeros(len(MEASURES)), math.log(share / (1 - share)))
+        return mean, spread, np.append(np.zeros(k), math.log(share / (1 - share)))
     z = np.c_[np.clip((x - mean) / spread, -8, 8), np.ones(len(x))]
-    w = np.zeros(z.shape[1])
+    hold = np.full(k + 1, ridge)
+    hold[len(MEASURES) : k] = ridge + 10 / len(y)
+    w = np.zeros(k + 1)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        slope = z.T @ (p - y) / len(y) + ridge * w
-        bend = (z * (p * (1 - p))[:, None]).T @ z / len(y) + ridge * np.eye(len(w))
+        slope = z.T @ (p - y) / len(y) + hold * w
+        bend = (z * (p * (1 - p))[:, None]).T @ z / len(y) + np.diag(hold)
         step = np.linalg.solve(bend, slope)
         w -= step * min(1.0, 3 / (np.abs(step).max() + 1e-12))
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-4:
             break
     return mean, spread, w
 
 
-def _logit(p: Column) -> Column:
-    return F.log(p / (1 - p))
+def _scored(mean: np.ndarray, spread: np.ndarray, w: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                z = np.clip((features(part.column(3)) - mean) / spread, -8, 8) @ w[:-1] + w[-1]
+                evidence = 1 / (1 + np.exp(-np.clip(z, -12, 12)))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(evidence)], ["doc_id", "host", "section", "evidence"])
+
+    return run
+
+
+def _sample(docs: DataFrame, labels: DataFrame, sample_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of at most ``sample_rows`` labelled documents."""
+    known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+    known = known.agg(F.min("quality").cast("double").alias("quality")).withColumn("place", F.xxhash64("doc_id"))
+    share = sample_rows / max(1, known.count())
+    if share < 0.9:  # nearly all that is left then is in the sample, so no task sends more than its share
+        known = known.filter(F.col("place") < int(-(2.0**63) + 2.0**64 * (1.1 * share + 1e-4)))
+    chosen = F.broadcast(known.orderBy("place", "doc_id").limit(sample_rows).drop("place"))  # sample_rows rows at most
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "quality", "text")
+    found = rows.mapInArrow(_known, "doc_id long, quality double, x binary")
+    found = found.orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(sample_rows).collect()
+    x = np.frombuffer(b"".join(r["x"] for r in found), "<f4").reshape(-1, len(MEASURES) + WORDS).astype(float)
+    return x, np.array([r["quality"] for r in found])
+
+
+def variances(paths: DataFrame) -> dict[str, float]:
+    """Of sums by path (host, section, n, total, squares): mean, and variances within paths, between paths and between hosts."""
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum(F.col("n") * F.col("n")).alias("nn"))
+    up = paths.agg(
+        F.count("*").alias("paths"), F.sum("squares").alias("squares"), F.sum(F.col("total") * F.col("total") / F.col("n")).alias("by_path"),
+        F.sum((F.col("n") * F.col("n")).cast("double")).alias("nn_path"),
+    ).first()
+    top = hosts.agg(
+        F.count("*").alias("hosts"), F.sum("n").alias("n"), F.sum("total").alias("total"),
+        F.sum(F.col("total") * F.col("total") / F.col("n")).alias("by_host"), F.sum((F.col("n") * F.col("n")).cast("double")).alias("nn"),
+        F.sum(F.col("nn") / F.col("n")).alias("mixed"),
+    ).first()
+    n = top["n"] or 0
+    if not n:
+        return {"mean": 0.5, "within": 1e-6, "path": 0.0, "host": 0.0}
+    within = max((up["squares"] - up["by_path"]) / max(1, n - up["paths"]), 1e-6)
+    path = max(0.0, (up["by_path"] - top["by_host"] - (up["paths"] - top["hosts"]) * within) / max(n - top["mixed"], 1e-9)) if n > top["mixed"] else 0.0
+    left = top["by_host"] - top["total"] ** 2 / n - (top["hosts"] - 1) * within - path * (top["mixed"] - up["nn_path"] / n)
+    host = max(0.0, left / (n - top["nn"] / n)) if n * n > top["nn"] else 0.0
+    return {"mean": min(max(top["total"] / n, 1e-3), 1 - 1e-3), "within": within, "path": path, "host": host}
 
 
-def _shrunk(groups: DataFrame, prior: Column) -> DataFrame:
-    """``mean`` of each group, shrunk to its prior by the method of moments: within / (between + within / n)."""
-    spread = groups.agg(
-        (F.sum("squares") / F.sum("n") - F.sum((F.col("total") / F.col("n")) * F.col("total")) / F.sum("n")).alias("within"),
-        F.var_pop(F.col("total") / F.col("n")).alias("between"),
-    ).first()
-    within = max(spread["within"] or 0.0, 1e-6)
-    between = max((spread["between"] or 0.0), within / 1000)
-    weight = within / between  # so many documents the prior is worth
-    return groups.withColumn("mean", (F.col("total") + weight * prior) / (F.col("n") + weight))
+def _logit(p: Column) -> Column:
+    inside = F.greatest(F.lit(1e-3), F.least(F.lit(1 - 1e-3), p))
+    return F.log(inside / (1 - inside))
 
 
 def classify(
@@ -119,34 +178,26 @@ def classify(
         F.coalesce(F.col(section).cast("string"), F.lit("\x00null")).alias("section"),
         F.col(text).cast("string").alias("text"),
     )
-    rows = stored(slim.mapInPandas(_measure_all, "doc_id long, host string, section string, x array<double>"))
-    known = labels.filter("quality is not null").filter(F.lit(True) if labelled is None else labelled)
-    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    sample = rows.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).select("x", "quality").collect()
-    x = np.array([r["x"] for r in sample]).reshape(-1, len(MEASURES))
-    mean, spread, w = fit(x, np.array([float(r["quality"]) for r in sample]))
-    z = F.lit(float(w[-1]))
-    for i in range(len(MEASURES)):
-        scaled = (F.col("x")[i] - float(mean[i])) / float(spread[i])
-        z = z + float(w[i]) * F.greatest(F.lit(-8.0), F.least(F.lit(8.0), scaled))
-    p = 1 / (1 + F.exp(-F.greatest(F.lit(-12.0), F.least(F.lit(12.0), z))))
-    scored = stored(rows.select("doc_id", "host", "section", p.alias("evidence")))
-    sums = (F.count("*").alias("n"), F.sum("evidence").alias("total"), F.sum(F.col("evidence") * F.col("evidence")).alias("squares"))
-    paths = stored(scored.groupBy("host", "section").agg(*sums))
-    up = (F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"))
-    whole = paths.agg(*up).first()
-    overall = min(max((whole["total"] or 0.0) / max(1, whole["n"] or 0), 1e-3), 1 - 1e-3)
-    hosts = _shrunk(paths.groupBy("host").agg(*up), F.lit(overall)).select("host", F.col("mean").alias("host_quality"))
-    paths = _shrunk(paths.join(hosts, "host"), F.col("host_quality")).select(
-        "host", "section", "host_quality", F.col("mean").alias("path_quality")
+    model = fit(*_sample(slim, labels.filter(F.lit(True) if labelled is None else labelled), sample_rows))
+    scored = stored(slim.mapInArrow(_scored(*model), "doc_id long, host string, section string, evidence double"))
+    square = F.col("evidence") * F.col("evidence")
+    paths = stored(
+        scored.groupBy("host", "section").agg(F.count("*").alias("n"), F.sum("evidence").alias("total"), F.sum(square).alias("squares"))
     )
-    odds = _logit(F.col("evidence")) + _logit(F.col("path_quality")) - math.log(overall / (1 - overall))
-    quality = 1 / (1 + F.exp(-odds))
-    return (
-        scored.join(paths, ["host", "section"])
-        .withColumn("quality", quality)
-        .withColumn("kept", F.col("quality") >= threshold)
-        .select("doc_id", "evidence", "host_quality", "path_quality", "quality", "kept")
+    v = variances(paths)
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("total").alias("ht"), F.sum(F.col("n") * F.col("n")).alias("hnn"))
+    joined = scored.join(stored(paths.drop("squares").join(hosts, "host")), ["host", "section"])
+    # both levels without the document itself
+    n, hn = F.col("n") - 1, F.col("hn") - 1
+    mean, host_mean = (F.col("total") - F.col("evidence")) / n, (F.col("ht") - F.col("evidence")) / hn
+    error = v["within"] / hn + v["path"] * (F.col("hnn") - F.col("n") * F.col("n") + n * n) / (hn * hn)
+    trust = F.when(hn > 0, v["host"] / (v["host"] + error)).otherwise(0.0)
+    joined = joined.withColumn("host_quality", v["mean"] + F.when(trust > 0, trust * (host_mean - v["mean"])).otherwise(0.0))
+    trust = F.when(n > 0, v["path"] / (v["path"] + v["within"] / n)).otherwise(0.0)
+    joined = joined.withColumn("path_quality", F.col("host_quality") + F.when(trust > 0, trust * (mean - F.col("host_quality"))).otherwise(0.0))
+    odds = F.log(F.col("evidence") / (1 - F.col("evidence"))) + _logit(F.col("path_quality")) - math.log(v["mean"] / (1 - v["mean"]))
+    return joined.withColumn("quality", 1 / (1 + F.exp(-odds))).select(
+        "doc_id", "evidence", "host_quality", "path_quality", "quality", (F.col("quality") >= threshold).alias("kept")
     )
 
 
