@@ -46,6 +46,8 @@ from .words import NON_SPACE, mix, shingles, slices, words_of
 #: Tokens that one stretch of documents gathers before it is sent, and tokens that one range holds, about.
 STRETCH = 1_000_000
 RANGE_TOKENS = 2_000_000
+#: Ranges at least: what a class gets back comes in as many rows at most, and so in no more where the input grows a little.
+LEAST_RANGES = 128
 #: Ranges that one step deals out, at most.
 FAN = 4096
 #: Classes of a stretch that make a token hot there.
@@ -423,7 +425,7 @@ def _links(near: DataFrame, percent: int, hub_rounds: int = 2) -> DataFrame:
 
 def _labels(texts: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
     """``node, label`` of the classes that can link; ``texts`` has one column, ``rows`` has class and size of each text."""
-    ranges = power_of_two(text_bytes(texts) / 6 / RANGE_TOKENS, 8)
+    ranges = power_of_two(text_bytes(texts) / 6 / RANGE_TOKENS, LEAST_RANGES)
     bits, step = ranges.bit_length() - 1, FAN.bit_length() - 1
     done = min(bits, step)
     packs = texts.mapInArrow(_packs(k, TOKEN_BITS - done, ranges), "bucket long, data binary")

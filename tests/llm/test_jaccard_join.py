@@ -94,6 +94,7 @@ def test_ranges_dealt_in_steps(spark, monkeypatch):
     """More ranges than one step deals out, and hot tokens that only a later step can see."""
     monkeypatch.setattr(jaccard_join, "FAN", 4)
     monkeypatch.setattr(jaccard_join, "RANGE_TOKENS", 100)
+    monkeypatch.setattr(jaccard_join, "LEAST_RANGES", 8)
     monkeypatch.setattr(jaccard_join, "STRETCH", 3000)
     monkeypatch.setattr(jaccard_join, "HOT", 8)
     docs = _near_copies(4)
