@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read_table, row_key, stored
+from .common import fresh, read_table, row_key, stored
 from .words import ALNUM, shingles, slices, words_of
 
 #: Words of benchmark text that are broadcast at once (about 100 MB in a worker at most).
@@ -271,11 +271,16 @@ def _merge_spans(spans: str):
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that hold no window of any item, in the columns of ``docs``."""
-    bad = decontaminate(docs, benchmark, **options).filter("contaminated").select("k1", "k2").dropDuplicates()
-    keyed = docs.withColumns(dict(zip(("k1", "k2"), row_key("doc_id", "text"), strict=True)))
-    return keyed.join(bad, ["k1", "k2"], "left_anti").select(*docs.columns)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The documents that hold no window of any item, in the columns of ``docs``.
+
+    Columns of any name come through as they are; rows with equal id and text stay or go together.
+    """
+    k1, k2 = fresh(docs, "k1", "k2")
+    bad = decontaminate(docs, benchmark, doc_id, text, **options).filter("contaminated")
+    bad = stored(bad.select(F.col("k1").alias(k1), F.col("k2").alias(k2)).dropDuplicates())
+    keyed = docs.withColumns(dict(zip((k1, k2), row_key(doc_id, text), strict=True)))
+    return keyed.join(bad, [k1, k2], "left_anti").select(*docs.columns)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

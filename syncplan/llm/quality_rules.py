@@ -15,11 +15,12 @@ import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, row_key, stored
+from .common import fresh, read_table, row_key, stored
 
 SYMBOLS = "#*$%&|<>"
 _SPACE = " \t\n\x0b\x0c\r"
@@ -69,11 +70,18 @@ def measure(text: str | None) -> tuple:
     )
 
 
-def _measure_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [x.split()[0] for x in MEASURES.split(", lines")[0].split(",")] + ["lines"]
+def _measure_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = [x.split()[0] for x in MEASURES.split(", lines")[0].split(",")]
     for batch in batches:
-        out = pd.DataFrame([measure(x) for x in batch.pop("text")], columns=names, index=batch.index)
-        yield pd.concat([batch, out], axis=1)
+        found = [measure(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
+        lines = [x for row in found for x in row[-1]]
+        offsets = np.cumsum([0, *(len(row[-1]) for row in found)])
+        pairs = pa.StructArray.from_arrays([pa.array([x[i] for x in lines], pa.int64()) for i in (0, 1)], ["line", "words"])
+        columns = [pa.array([row[i] for row in found], pa.int64()) for i in range(len(counts))]
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns[:-1], *columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)],
+            [*batch.schema.names[:-1], *counts, "lines"],
+        )
 
 
 def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
@@ -85,7 +93,7 @@ def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host:
         F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key"),
         F.col(text).cast("string").alias("text"),
     )
-    return slim.mapInPandas(_measure_all, f"doc_id long, host string, k1 long, k2 long, text_key long, {MEASURES}")
+    return slim.mapInArrow(_measure_all, f"doc_id long, host string, k1 long, k2 long, text_key long, {MEASURES}")
 
 
 def frequent_lines(rows: DataFrame, min_docs: int = 20, max_share: float = 0.05) -> DataFrame:
@@ -143,35 +151,39 @@ def quality_rules(
     )
 
 
-def _without(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        removed = batch.pop("removed_lines")
-        out = []
-        for text, lines in zip(batch["text"], removed, strict=True):
-            if lines is None or not len(lines) or text is None:
-                out.append(text)
-                continue
-            gone, left = set(map(int, lines)), []
-            for line in text.split("\n"):
-                own = line.encode("utf-8", "surrogatepass").split()
-                digest = hashlib.blake2b(b" ".join(own).lower(), digest_size=8).digest()
-                if not own or int.from_bytes(digest, "little", signed=True) not in gone:
-                    left.append(line)
-            out.append("\n".join(left))
-        batch["text"] = out
-        yield batch
-
-
-def keep_good(docs: DataFrame, **rules) -> DataFrame:
-    """The documents that pass, without their removed lines, in the columns of ``docs``; ``n_chars`` follows the text."""
-    verdict = quality_rules(docs, **rules).filter("kept").select("k1", "k2", "removed_lines").dropDuplicates(["k1", "k2"])
-    kept = docs.withColumns(dict(zip(("k1", "k2"), row_key("doc_id", "source", "text"), strict=True))).join(verdict, ["k1", "k2"])
-    whole, cut = kept.filter("removed_lines is null"), kept.filter("removed_lines is not null")
-    fields = docs.schema.fields
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    cut = cut.select(*docs.columns, "removed_lines").mapInPandas(_without, schema)
+def _without(text: str, removed: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, lists = batch.schema.get_field_index(text), batch.column(batch.schema.get_field_index(removed)).to_pylist()
+            out = []
+            for whole, gone in zip(batch.column(at).to_pylist(), map(set, lists), strict=True):
+                left = []
+                for line in whole.split("\n"):
+                    own = line.encode("utf-8", "surrogatepass").split()
+                    digest = hashlib.blake2b(b" ".join(own).lower(), digest_size=8).digest()
+                    if not own or int.from_bytes(digest, "little", signed=True) not in gone:
+                        left.append(line)
+                out.append("\n".join(left))
+            kept = batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
+            yield kept.drop_columns([removed])
+
+    return run
+
+
+def keep_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", **rules) -> DataFrame:
+    """The documents that pass, without their removed lines, in the columns of ``docs``; ``n_chars`` follows the text.
+
+    Columns of any name come through as they are; rows with equal id, host and text have one verdict.
+    """
+    k1, k2, removed = fresh(docs, "k1", "k2", "removed_lines")
+    verdict = quality_rules(docs, doc_id, text, host, **rules).filter("kept")
+    verdict = verdict.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("removed_lines").alias(removed)).dropDuplicates([k1, k2])
+    kept = docs.withColumns(dict(zip((k1, k2), row_key(doc_id, host, text), strict=True))).join(verdict, [k1, k2])
+    whole, cut = kept.filter(F.col(removed).isNull()), kept.filter(F.col(removed).isNotNull())
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    cut = cut.select(*docs.columns, removed).mapInArrow(_without(text, removed), schema)
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+        cut = cut.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
     return whole.select(*docs.columns).unionByName(cut.select(*docs.columns))
 
 

@@ -24,11 +24,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, row_key, stored
+from .common import fresh, read_table, row_key, stored
 
 try:  # its place in the standard library
     from re import _constants as sre
@@ -181,16 +182,22 @@ def _marked(rows: Column, bit: int) -> Column:
 def _scan(rules: tuple[Rule, ...], full: tuple[bool, ...]):
     """Spans of each row; a rule with postings runs only where ``candidates`` has its bit."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for text, bits in zip(batch["text"], batch["candidates"], strict=True):
+            found: list[list[tuple[int, int, int]]] = []
+            for text, bits in zip(batch.column("text").to_pylist(), batch.column("candidates").to_pylist(), strict=True):
                 spans = []
                 for i, rule in enumerate(rules):
                     if full[i] or bits >> i & 1:
                         spans += [(start, i, end) for start, end in spans_of(rule, text)]
-                found.append([{"kind": rules[i].kind, "start": s, "end": e} for s, i, e in sorted(spans)])
-            yield pd.DataFrame({"k1": batch["k1"], "k2": batch["k2"], "doc_id": batch["doc_id"], "spans": found})
+                found.append(sorted(spans))
+            flat = [x for spans in found for x in spans]
+            each = pa.StructArray.from_arrays(
+                [pa.array([rules[i].kind for _, i, _ in flat], pa.string()), *(pa.array([x[j] for x in flat], pa.int64()) for j in (0, 2))],
+                ["kind", "start", "end"],
+            )
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), each)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("k1", "k2", "doc_id")), lists], ["k1", "k2", "doc_id", "spans"])
 
     return run
 
@@ -215,7 +222,7 @@ def secret_spans(
     hits = [_marked(_answer(q), 1 << i) for i, q in enumerate(queries) if not full[i]]
     found = held.select(F.explode(F.flatten(F.array(*hits))).alias("x")).groupBy("x.k1").agg(F.bit_or("x.bit").alias("candidates"))
     joined = slim.join(stored(found).hint("shuffle_hash"), "k1", "left").withColumn("candidates", F.coalesce("candidates", F.lit(0).cast("long")))
-    return joined.mapInPandas(
+    return joined.mapInArrow(
         _scan(rules, full), "k1 long, k2 long, doc_id long, spans array<struct<kind: string, start: long, end: long>>"
     )
 
@@ -233,34 +240,39 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _masked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        out = []
-        for text, spans in zip(batch["text"], batch.pop("spans"), strict=True):
-            if text is None or spans is None or not len(spans):
-                out.append(text)
-                continue
-            parts, at = [], 0
-            for s in spans:  # ascending; overlaps become one mask
-                if s["end"] <= at:
-                    continue
-                parts += [text[at : max(at, s["start"])], "[secret]" if s["start"] >= at else ""]
-                at = s["end"]
-            out.append("".join(parts) + text[at:])
-        batch["text"] = out
-        yield batch
-
-
-def mask_secrets(docs: DataFrame, **options) -> DataFrame:
-    """The documents with ``[secret]`` in place of each span, in the columns of ``docs``; ``n_chars`` follows the text."""
-    found = secret_spans(docs, **options).filter("size(spans) > 0").select("k1", "k2", "spans").dropDuplicates(["k1", "k2"])
-    keyed = docs.withColumns(dict(zip(("k1", "k2"), row_key("doc_id", "text"), strict=True)))
-    joined = keyed.join(stored(found).hint("shuffle_hash"), ["k1", "k2"], "left").select(*docs.columns, "spans")
+def _masked(text: str, spans: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, lists = batch.schema.get_field_index(text), batch.column(batch.schema.get_field_index(spans)).to_pylist()
+            out = []
+            for whole, own in zip(batch.column(at).to_pylist(), lists, strict=True):
+                parts, done = [], 0
+                for s in own:  # ascending; overlaps become one mask
+                    if s["end"] <= done:
+                        continue
+                    parts += [whole[done : max(done, s["start"])], "[secret]" if s["start"] >= done else ""]
+                    done = s["end"]
+                out.append("".join(parts) + whole[done:])
+            yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type)).drop_columns([spans])
+
+    return run
+
+
+def mask_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The documents with ``[secret]`` in place of each span, in the columns of ``docs``; ``n_chars`` follows the text.
+
+    Columns of any name come through as they are; rows with equal id and text are masked alike.
+    """
+    k1, k2, spans = fresh(docs, "k1", "k2", "spans")
+    found = secret_spans(docs, doc_id, text, **options).filter("size(spans) > 0")
+    found = found.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("spans").alias(spans)).dropDuplicates([k1, k2])
+    keyed = docs.withColumns(dict(zip((k1, k2), row_key(doc_id, text), strict=True)))
+    joined = keyed.join(stored(found).hint("shuffle_hash"), [k1, k2], "left").select(*docs.columns, spans)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    clean = joined.filter("spans is null").select(*docs.columns)
-    masked = joined.filter("spans is not null").mapInPandas(_masked, schema)
+    clean = joined.filter(F.col(spans).isNull()).select(*docs.columns)
+    masked = joined.filter(F.col(spans).isNotNull()).mapInArrow(_masked(text, spans), schema)
     if "n_chars" in docs.columns:
-        masked = masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+        masked = masked.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
     return clean.unionByName(masked.select(*docs.columns))
 
 

@@ -47,3 +47,12 @@ def test_odd_rows(spark):
         assert got == sorted([(1, 10, [7]), (1, 10, [7]), (None, 10, [7]), (3, 0, []), (4, 0, [])], key=str)
     assert sorted(r["doc_id"] for r in drop_contaminated(df, benchmark).collect()) == [3, 4]
     assert decontaminate(df, benchmark.limit(0)).filter("contaminated").count() == 0 and decontaminate(df.limit(0), benchmark).count() == 0
+
+
+def test_clean_documents_keep_columns_of_any_name(spark):
+    passage = " ".join(f"b{i}" for i in range(12))
+    rows = [(1, f"a {passage} z", 5, "i"), (2, "clean", 6, None), (2, "clean", 6, None), (None, None, 7, "j"), (2, f"x {passage}", 8, "k"), (3, "long " * 200_000, 9, "l")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, k1 long, items string")
+    items = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    out = sorted((tuple(r) for r in drop_contaminated(df, items).collect()), key=str)
+    assert out == sorted([rows[1], rows[2], rows[3], rows[5]], key=str)

@@ -38,3 +38,14 @@ def test_odd_rows(spark):
     got = sorted(((r["doc_id"], r["n_words"], r["kept"]) for r in quality_rules(_docs(spark, rows)).collect()), key=str)
     assert got == sorted([(1, 0, False), (2, 0, False), (None, 60, True), (4, 60, True), (4, 60, True), (6, 0, False)], key=str)
     assert quality_rules(_docs(spark, rows).limit(0)).count() == 0
+
+
+def test_kept_documents_keep_columns_of_any_name(spark):
+    line = "one line that every document of the host holds and more words"
+    own = lambda i: " ".join(f"w{i}x{j}" for j in range(60))
+    rows = [(i, f"{line}\n{own(i)}", "h", 111, "r", [i], i, None) for i in range(60)] + [(None, "few words", "h", 1, "r", [1], 1, 1)]
+    rows += [rows[0], (2**60 + 1, own(99), None, 111, None, None, 1, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, k1 int, removed_lines string, lines array<int>, host int, kept int")
+    out = sorted((tuple(r) for r in keep_good(df).collect()), key=str)
+    expected = [(i, own(i), *rest) for i, _, *rest in (r for r in rows if r[0] is not None and r[0] < 100)] + [rows[-1]]
+    assert out == sorted(((a, b, c, d, e, list(f) if f is not None else None, g, h) for a, b, c, d, e, f, g, h in expected), key=str)

@@ -52,3 +52,10 @@ def test_masking(spark):
     rows = [(1, "a token=abcdefghijklmnop b", 26), (2, "clean", 5), (3, None, None), (None, "x AKIA" + "B" * 14 + " y", 22)]
     got = _rows(mask_secrets(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")))
     assert got == sorted([(1, "a [secret] b", 12), (2, "clean", 5), (3, None, None), (None, "x [secret] y", 12)], key=str)
+
+
+def test_masked_documents_keep_columns_of_any_name(spark):
+    rows = [(1, "password = abcdefghijklmnop end", 5, "s", [1]), (None, None, 6, None, None), (2**60 + 1, "clean", 7, "t", [2]), (2**60 + 1, "clean", 7, "t", [2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, k1 long, spans string, candidates array<int>")
+    out = sorted((tuple(r) for r in mask_secrets(df).collect()), key=str)
+    assert out == sorted([(1, "[secret] end", 5, "s", [1]), *rows[1:]], key=str)
