@@ -15,6 +15,20 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_caches: dict[str, dict] = {}
+
+
+def cache_of(task: str) -> dict:
+    """This worker process's cache for one kind of task.
+
+    A worker serves stage after stage, so the caches of other kinds are emptied here.
+    """
+    for other, cache in _caches.items():
+        if other != task:
+            cache.clear()
+    return _caches.setdefault(task, {})
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -44,7 +44,7 @@ from .components import merge_labels
 from .words import NON_SPACE, mix, shingles, slices, words_of
 
 #: Tokens that one stretch of documents gathers before it is sent, and tokens that one range holds, about.
-STRETCH = 1_000_000
+STRETCH = 500_000
 RANGE_TOKENS = 2_000_000
 #: Ranges at least: what a class gets back comes in as many rows at most, and so in no more where the input grows a little.
 LEAST_RANGES = 128
@@ -168,7 +168,7 @@ def _packs(k: int, shift: int, ranges: int):
         for batch in batches:
             for part in slices(batch, "text"):
                 row, token, n, cls = _sets(part.column(0), k)
-                held.append((row + rows, token, n, cls))
+                held.append(((row + rows).astype(np.int32), token, n, cls))
                 rows += len(n)
                 size += len(row)
                 if size >= stretch:

@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, read_table, row_key, stored
+from .common import cache_of, fresh, read_table, row_key, stored
+from .words import slices
 
 SYMBOLS = "#*$%&|<>"
 _SPACE = " \t\n\x0b\x0c\r"
@@ -72,16 +73,18 @@ def measure(text: str | None) -> tuple:
 
 def _measure_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = [x.split()[0] for x in MEASURES.split(", lines")[0].split(",")]
-    for batch in batches:
-        found = [measure(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
-        lines = [x for row in found for x in row[-1]]
-        offsets = np.cumsum([0, *(len(row[-1]) for row in found)])
-        pairs = pa.StructArray.from_arrays([pa.array([x[i] for x in lines], pa.int64()) for i in (0, 1)], ["line", "words"])
-        columns = [pa.array([row[i] for row in found], pa.int64()) for i in range(len(counts))]
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:-1], *columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)],
-            [*batch.schema.names[:-1], *counts, "lines"],
-        )
+    cache_of("rules")
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            found = [measure(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
+            lines = [x for row in found for x in row[-1]]
+            offsets = np.cumsum([0, *(len(row[-1]) for row in found)])
+            pairs = pa.StructArray.from_arrays([pa.array([x[i] for x in lines], pa.int64()) for i in (0, 1)], ["line", "words"])
+            columns = [pa.array([row[i] for row in found], pa.int64()) for i in range(len(counts))]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], *columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)],
+                [*batch.schema.names[:-1], *counts, "lines"],
+            )
 
 
 def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:

@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, read_table, row_key, stored
+from .common import cache_of, fresh, read_table, row_key, stored
+from .words import slices
 
 try:  # its place in the standard library
     from re import _constants as sre
@@ -183,21 +184,23 @@ def _scan(rules: tuple[Rule, ...], full: tuple[bool, ...]):
     """Spans of each row; a rule with postings runs only where ``candidates`` has its bit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: list[list[tuple[int, int, int]]] = []
-            for text, bits in zip(batch.column("text").to_pylist(), batch.column("candidates").to_pylist(), strict=True):
-                spans = []
-                for i, rule in enumerate(rules):
-                    if full[i] or bits >> i & 1:
-                        spans += [(start, i, end) for start, end in spans_of(rule, text)]
-                found.append(sorted(spans))
-            flat = [x for spans in found for x in spans]
-            each = pa.StructArray.from_arrays(
-                [pa.array([rules[i].kind for _, i, _ in flat], pa.string()), *(pa.array([x[j] for x in flat], pa.int64()) for j in (0, 2))],
-                ["kind", "start", "end"],
-            )
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), each)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("k1", "k2", "doc_id")), lists], ["k1", "k2", "doc_id", "spans"])
+        cache_of("secrets")
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                found: list[list[tuple[int, int, int]]] = []
+                for text, bits in zip(batch.column("text").to_pylist(), batch.column("candidates").to_pylist(), strict=True):
+                    spans = []
+                    for i, rule in enumerate(rules):
+                        if full[i] or bits >> i & 1:
+                            spans += [(start, i, end) for start, end in spans_of(rule, text)]
+                    found.append(sorted(spans))
+                flat = [x for spans in found for x in spans]
+                each = pa.StructArray.from_arrays(
+                    [pa.array([rules[i].kind for _, i, _ in flat], pa.string()), *(pa.array([x[j] for x in flat], pa.int64()) for j in (0, 2))],
+                    ["kind", "start", "end"],
+                )
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), each)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("k1", "k2", "doc_id")), lists], ["k1", "k2", "doc_id", "spans"])
 
     return run
 

@@ -20,6 +20,8 @@ from contextlib import contextmanager
 import numpy as np
 import regex
 
+from .common import cache_of
+
 #: White space as the vocabularies' patterns know it (Unicode White_Space).
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _BEFORE_SPACE = re.compile(f"(?<=[^{_WHITE}])(?=[{_WHITE}])")
@@ -167,15 +169,12 @@ class Encoder:
         return b"".join(map(self.parts.__getitem__, self.split(text)))
 
 
-_encoders: dict[tuple, Encoder] = {}
-
-
 def encoder(path: str, drops_space: bool, added_tokens: bool = False, kind: str = "<u4") -> Encoder:
     """One encoder for each vocabulary, its handling and Python worker."""
-    key = (path, drops_space, added_tokens, kind)
-    if key not in _encoders:
-        _encoders[key] = Encoder(path, drops_space, added_tokens=added_tokens, kind=kind)
-    return _encoders[key]
+    key, have = (path, drops_space, added_tokens, kind), cache_of("tokens")
+    if key not in have:
+        have[key] = Encoder(path, drops_space, added_tokens=added_tokens, kind=kind)
+    return have[key]
 
 
 @contextmanager

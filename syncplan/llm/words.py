@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import cache_of
+
 #: Words ``[^\x20\x09-\x0D]+``.
 NON_SPACE = np.ones(256, bool)
 NON_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
@@ -24,7 +26,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 #: Bytes of text that are worked on together; an array of eight bytes a byte of text takes eight times this.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -40,17 +42,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
-_powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    have = _powers.get(int(base))
+    kept = cache_of("words")
+    have = kept.get(int(base))
     if have is None or len(have) < n:
         factors = np.full(max(n, SLICE_BYTES + 1), base, np.uint64)
         factors[0] = 1
         have = np.multiply.accumulate(factors)
         if n <= 4 * SLICE_BYTES:
-            _powers[int(base)] = have
+            kept[int(base)] = have
     return have[:n]
 
 
