@@ -11,6 +11,8 @@ from ..functions.values import canonical_field_name, canonical_path, plain_numbe
 
 #: Field definitions that a catalog may hold; more are an error, so they may be broadcast.
 MOST_FIELDS = 10_000
+#: Names of a catalog that are broadcast, at most.
+MOST_NAMES = 100_000
 
 # The destination's field types.
 TEXT = ("singlelinetext", "multilinetext", "html", "richcontent", "date", "datetime", "time", "duration")
@@ -42,6 +44,11 @@ class Catalog:
         return self
 
 
+def _small(names: DataFrame) -> DataFrame:
+    """With a broadcast hint if there are at most MOST_NAMES rows, counted here; else Spark joins them as any table."""
+    return F.broadcast(names) if names.limit(MOST_NAMES + 1).count() <= MOST_NAMES else names
+
+
 def field_index(fields: DataFrame) -> DataFrame:
     """``key, field_id, data_type``: of definitions with the same canonical name the last one counts."""
     rows = fields.groupBy(canonical_field_name("name").alias("key")).agg(F.max_by(F.struct("id", "data_type"), "ordinal").alias("d"))
@@ -114,22 +121,25 @@ def resolve_fields(entries: DataFrame, catalog: Catalog, default_language: str |
     names = names_table(catalog)
     if names is None:
         names = entries.sparkSession.createDataFrame([], "kind string, owner string, key string, id string")
-    asked = rows.filter(typed.isin(*LISTED)).select("record", "pos", "data_type", "field_id", F.posexplode("names").alias("i", "asked"))
+    # each name of a value is a row until it is resolved; all that is gathered afterwards is gathered by record, in one shuffle
+    each = rows.withColumn("listed", F.when(typed.isin(*LISTED), F.col("names"))).select("*", F.posexplode_outer("listed").alias("i", "asked")).drop("listed")
     by_path = typed == "classificationlist"
-    asked = asked.withColumn("key", F.when(by_path, canonical_path("asked")).otherwise(canonical_field_name("asked")))
-    asked = asked.withColumn("owner", F.when(typed == "optionlist", F.col("field_id").cast("string")).otherwise(F.lit("")))
-    found = asked.join(names.withColumnRenamed("kind", "data_type"), ["data_type", "owner", "key"], "left")
-    ids = found.groupBy("record", "pos").agg(
-        F.array_sort(F.collect_list(F.struct("i", "id"))).alias("got"), F.min_by(F.when(F.col("id").isNull(), F.col("asked")), F.when(F.col("id").isNull(), F.col("i"))).alias("unknown")
-    )
-    rows = rows.join(ids, ["record", "pos"], "left")
+    each = each.withColumn("key", F.when(by_path, canonical_path("asked")).otherwise(canonical_field_name("asked")))
+    each = each.withColumn("owner", F.when(typed == "optionlist", F.col("field_id").cast("string")).otherwise(F.lit("")))
+    found = each.join(_small(names.withColumnRenamed("kind", "data_type")), ["data_type", "owner", "key"], "left")
+    unknown = F.when(F.col("id").isNull(), F.col("asked"))
+    rows = found.repartition("record").groupBy("record", "pos").agg(
+        F.first(F.struct("name", "language", "field_id", "data_type", "kind", "value", "names", "links")).alias("row"),
+        F.array_sort(F.collect_list(F.when(F.col("asked").isNotNull(), F.struct("i", "id")))).alias("got"),
+        F.min_by(unknown, F.when(unknown.isNotNull(), F.col("i"))).alias("unknown"),
+    ).select("record", "pos", "row.*", "got", "unknown")
     rows = rows.withColumn("values", F.when(typed.isin(*LISTED), F.coalesce("got.id", F.array().cast("array<string>"))).otherwise(F.col("names")))
     if catalog.languages is not None:
         spoken = catalog.languages.groupBy(canonical_field_name("culture").alias("culture")).agg(F.min(F.col("id").cast("string")).alias("language_id"))
     else:
         spoken = entries.sparkSession.createDataFrame([], "culture string, language_id string")
     tag = F.coalesce(F.nullif(trim_white("language"), F.lit("")), F.lit(default_language).cast("string"))
-    rows = rows.withColumn("culture", canonical_field_name(tag)).join(spoken, "culture", "left")
+    rows = rows.withColumn("culture", canonical_field_name(tag)).join(_small(spoken), "culture", "left")
     wrong = F.col("value").isNull() & F.col("values").isNull() & F.col("links").isNull()
     error = (
         F.when(F.col("field_id").isNull(), F.format_string('unknown field "%s"', F.coalesce("name", F.lit(""))))

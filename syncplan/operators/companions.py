@@ -78,14 +78,19 @@ class CompanionPattern:
 
 def match_companions(events: DataFrame, channels: Iterable[tuple[str, str, tuple[CompanionPattern, ...]]]) -> DataFrame:
     """Adds ``matches``: for each channel of the event's source the first pattern that matches, as (channel_name, MATCH)."""
-    found = []
+    channels, found = list(channels), []
+    # each pattern is matched once, in a column of its own, whatever number of channels has it
+    distinct = list(dict.fromkeys(p.raw for _, _, patterns in channels for p in patterns))
+    of = {raw: f"_match{i}" for i, raw in enumerate(distinct)}
+    given = events.columns
+    events = events.withColumns({c: CompanionPattern(raw).match("path") for raw, c in of.items()})
     for name, source, patterns in channels:
         if patterns:
-            first = F.coalesce(*(p.match("path") for p in patterns))
+            first = F.coalesce(*(F.col(of[p.raw]) for p in patterns))
             named = F.struct(F.lit(name).alias("channel_name"), *(first[c.split()[0]].alias(c.split()[0]) for c in MATCH.split(", ")))
             found.append(F.when((F.col("connector") == source) & first.isNotNull(), named))
     kind = f"array<struct<channel_name: string, {', '.join(': '.join(c.split()) for c in MATCH.split(', '))}>>"
-    return events.withColumn("matches", F.array_compact(F.array(*found)) if found else F.array().cast(kind))
+    return events.select(*given, (F.array_compact(F.array(*found)) if found else F.array().cast(kind)).alias("matches"))
 
 
 def plan_companions(companions: DataFrame, log: DataFrame, match_extension: bool = False) -> DataFrame:

@@ -16,13 +16,13 @@ from ..operators import ledger as L
 from ..operators import manifest as M
 from ..operators import metrics, records, synclog, work
 from ..operators.channels import Channel, plan_assets, plan_deletes, route, shadowed_assets, split_companions, work_table
-from ..operators.companions import CompanionPattern, companion_fields_bundle, companion_fields_csv, companion_fields_json, companion_fields_text, companion_fields_xml, late_companions, match_companions, plan_companions, presync
+from ..operators.companions import Companion, CompanionPattern, companion_fields_bundle, companion_fields_csv, companion_fields_json, companion_fields_text, companion_fields_xml, late_companions, match_companions, plan_companions, presync
 from ..operators.enrich import concat_fields, python_fields, split_failed
 from ..operators.ignore import event_eligible, filter_ignored, ignore_predicate
 from ..operators.watchers import Watcher, assign_watcher, normalize_watchers
 from ..scratch import shared_dir
 from ..sources.listing import copy_assets, entries_from_inventory, list_entries, read_companions, segment_counts, segment_plan, smallest_first, under_prefix
-from ..streaming.sync import companion_stream, diff_stream, use_state_store, with_plan_id, write_once
+from ..streaming.sync import Refreshing, companion_stream, diff_stream, isolated, scan_once, use_state_store, with_plan_id, write_once
 from .views import view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -479,15 +479,13 @@ def _(spark, d):
     return view(spark, d, "v_listing").select("path", P.version_token("size", "mtime").alias("token"), P.scope_key(F.lit("s3"), prefix).alias("scope"))
 
 
-@query("x12_truncate_error", "SELECT doc_id, CASE WHEN strlen(text) <= 4096 THEN text ELSE concat(left(text, 4082), '...[truncated]') END AS error FROM documents WHERE strlen(text) = length(text)")
-def _(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet").filter("octet_length(text) = length(text)")
-    return docs.select("doc_id", V.truncate_error("text").alias("error"))
+_CUT = """
+SELECT doc_id, CASE WHEN strlen(text) <= 4096 THEN text
+ ELSE concat(decode(unhex(regexp_replace(left(hex(encode(text)), 8164), '([CD].|E.([89AB].)?|F.([89AB].)?([89AB].)?)$', ''))), '...[truncated]') END AS error FROM documents"""
 
 
-@query("x12b_truncate_error_all", """
-SELECT doc_id, CASE WHEN strlen(text) <= 4096 THEN text
- ELSE concat(decode(unhex(regexp_replace(left(hex(encode(text)), 8164), '([CD].|E.([89AB].)?|F.([89AB].)?([89AB].)?)$', ''))), '...[truncated]') END AS error FROM documents""")
+@query("x12b_truncate_error_all", _CUT)
+@query("x12_truncate_error", _CUT)
 def _(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", V.truncate_error("text").alias("error"))
 
@@ -670,22 +668,25 @@ def flagship(spark, d):
 # --- through files and streams: what is written to the shared folder is read again ----------------------------------
 
 
-@query("s01_list_entries", "SELECT path, size FROM (SELECT 'part=' || CAST(n_regionkey AS STRING) AS path, count(*) AS size FROM nation GROUP BY 1)")
-def _(spark, d):
+def _written_files(spark: SparkSession, d: str, group: str) -> str:
+    """A folder with a file of texts, one on a line, for each group of documents."""
     root = shared_dir(spark)
-    nation = spark.read.parquet(f"{d}/nation.parquet")
-    rows = nation.groupBy(F.col("n_regionkey").alias("part")).agg(F.count("*").alias("n")).select("part", F.repeat(F.lit("x"), F.col("n").cast("int") - 1))
-    rows.repartition("part").write.partitionBy("part").text(root)  # a file of n bytes in each folder
-    files = list_entries(spark, root).filter("path like 'part=%'")
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.expr(group).alias("part"), "doc_id", "text")
+    docs.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "text").write.partitionBy("part").text(root)
+    return root
+
+
+@query("s01_list_entries", "SELECT 'part=' || CAST(doc_id // 4 AS STRING) AS path, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS size FROM documents GROUP BY 1")
+def _(spark, d):
+    files = list_entries(spark, _written_files(spark, d, "doc_id div 4")).filter("path like 'part=%'")
     return files.select(P.segment("path", 1).alias("path"), "size").filter("size > 0")
 
 
-@query("s07_read_companions", "SELECT 'part=' || CAST(r_regionkey AS STRING) AS dir, r_name AS content FROM region WHERE r_regionkey <> 3")
+@query("s07_read_companions", "SELECT 'part=' || CAST(doc_id AS STRING) AS dir, sha256(coalesce(text, '') || chr(10)) AS content FROM documents")
 def _(spark, d):
-    root = shared_dir(spark)
-    spark.read.parquet(f"{d}/region.parquet").select(F.col("r_regionkey").alias("part"), "r_name").repartition("part").write.partitionBy("part").text(root)
-    wanted = list_entries(spark, root).filter("path like 'part=%' and path not like 'part=3/%' and size > 0").select("path")
-    return read_companions(spark, root, wanted).select(P.segment("path", 1).alias("dir"), F.rtrim(F.col("content").cast("string"), F.lit("\n")).alias("content"))
+    root = _written_files(spark, d, "doc_id")
+    wanted = list_entries(spark, root).filter("path like 'part=%' and size > 0").select("path")
+    return read_companions(spark, root, wanted).select(P.segment("path", 1).alias("dir"), F.sha2("content", 256).alias("content"))
 
 
 @query("s08_read_manifest", "SELECT row_number() OVER (ORDER BY line) * 2 - 1 AS line, raw, substring(sha256(raw), 1, 16) AS hash FROM v_manifest")
@@ -741,14 +742,16 @@ def _(spark, d):
     return spark.read.schema("id long, source_path string").json(path)
 
 
-@query("k09_copy_assets", "SELECT count(*) AS files, sum(n) AS bytes FROM (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1)")
+@query("k09_copy_assets", """
+SELECT 'part=' || CAST(doc_id // 4 AS STRING) AS path, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS bytes,
+ sha256(string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id)) AS content FROM documents GROUP BY 1""")
 def _(spark, d):
-    root, target = shared_dir(spark), shared_dir(spark)
-    nation = spark.read.parquet(f"{d}/nation.parquet")
-    rows = nation.groupBy(F.col("n_regionkey").alias("part")).agg(F.count("*").alias("n")).select("part", F.repeat(F.lit("x"), F.col("n").cast("int") - 1))
-    rows.repartition("part").write.partitionBy("part").text(root)
+    root, target = _written_files(spark, d, "doc_id div 4"), shared_dir(spark)
     entries = list_entries(spark, root).filter("path like 'part=%' and size > 0")
-    return copy_assets(entries, root, target).agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
+    uri = lambda x: x if ":" in x else f"file://{x}"
+    copied = copy_assets(entries, uri(root), uri(target), block_size=4096)  # most files are several blocks
+    there = read_companions(spark, target, copied)
+    return there.select(P.segment("path", 1).alias("path"), "bytes", F.sha2("content", 256).alias("content"))
 
 
 def _streamed(spark: SparkSession, feed: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -794,6 +797,86 @@ def _(spark, d):
     return spark.read.parquet(path).select("path", "hash")
 
 
+_PASSES = ("v_prev", "v_cur", "v_prev")
+
+
+@query("t01_scan_once", f"""
+WITH d AS (SELECT path, {_OWNER} AS watcher, change FROM ({_DIFF})), w AS (SELECT * FROM d WHERE watcher IN ('w1/hot', 'w1') AND path NOT LIKE '%.tmp')
+SELECT 0 AS pass, watcher, path, 'OnCreate' AS kind FROM w WHERE change <> 'new'
+UNION ALL SELECT 1, watcher, path, CASE change WHEN 'new' THEN 'OnCreate' WHEN 'modified' THEN 'OnUpdate' ELSE 'OnDelete' END FROM w WHERE change <> 'unchanged'
+UNION ALL SELECT 2, watcher, path, CASE change WHEN 'new' THEN 'OnDelete' WHEN 'modified' THEN 'OnUpdate' ELSE 'OnCreate' END FROM w WHERE change <> 'unchanged'""")
+def _(spark, d):
+    """Three passes of two watchers, one below the other, each with its own state."""
+    state, out = shared_dir(spark), shared_dir(spark)
+    for number, name in enumerate(_PASSES):
+        rows = view(spark, d, name).select("path", "size", F.col("mtime").cast("timestamp").alias("mtime"), "hash", F.lit(None).cast("map<string,string>").alias("metadata"))
+        for w in (x for x in WATCHERS if x.prefix in ("w1/hot", "w1")):
+
+            def handle(changed, number=number, w=w):
+                changed.select(F.lit(number).alias("pass"), F.lit(w.prefix).alias("watcher"), "path", "kind").write.mode("append").parquet(out)
+
+            scan_once(spark, lambda prefix, rows=rows: under_prefix(rows, prefix), w, WATCHERS, state, "orders", NOW, handle, ignore=["*.tmp"])
+    return spark.read.parquet(out)
+
+
+@query("t10_catalog_refresh", "SELECT id, name FROM v_users")
+def _(spark, d):
+    """A second read that fails while it runs leaves what the first one gave."""
+    users = view(spark, d, "v_users").select("id", "name")
+    reads = iter([users, users.withColumn("name", F.when(F.length("id") > 0, F.raise_error("no answer")).otherwise(F.col("name")))])
+    table = Refreshing(lambda: next(reads))
+    table.get()
+    return table.get()
+
+
+@query("t11_isolated_channels", "SELECT kind AS channel, count(*) AS n FROM v_events GROUP BY kind UNION ALL SELECT 'broken', -1 UNION ALL SELECT 'misspelt', -1")
+def _(spark, d):
+    """A channel for each kind of event, one that fails while it runs and one that fails in planning."""
+    rows = view(spark, d, "v_events")
+    parts = {kind: lambda kind=kind: rows.filter(F.col("kind") == kind).select(F.lit(kind).alias("channel")) for kind in ("OnCreate", "OnUpdate", "OnDelete")}
+    parts["broken"] = lambda: rows.select(F.when(F.col("seq") >= 0, F.raise_error("no")).cast("string").alias("channel"))
+    parts["misspelt"] = lambda: rows.select(F.col("chanel"))
+    good, bad = isolated(parts)
+    failed = spark.createDataFrame([(name, -1) for name in bad], "channel string, n long")
+    for part in good.values():
+        failed = failed.unionByName(part.groupBy("channel").agg(F.count("*").alias("n")))
+    return failed
+
+
+@query("d01_companion_function", "SELECT doc_id, 'Length' AS name, CAST(coalesce(length(content), 0) AS STRING) AS value, lang AS language FROM (SELECT *, split_part(path, '.', 3) AS lang FROM v_companions)")
+def _(spark, d):
+    """A user's Python function over batches of companions."""
+
+    def lengths(rows: DataFrame) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                size = batch["content"].map(lambda x: len(x or ""))
+                batch["fields"] = [[{"name": "Length", "value": str(n), "language": lang}] for n, lang in zip(size, batch.pop("lang"), strict=True)]
+                yield batch[["doc_id", "fields"]]
+
+        own = rows.select("doc_id", "content", F.try_element_at("vars", F.lit("lang")).alias("lang"))
+        return own.mapInPandas(run, "doc_id long, fields array<struct<name: string, value: string, language: string>>")
+
+    out = Companion(CAPTION, lengths).run(_captions(spark, d))
+    return out.select("doc_id", F.explode("fields").alias("f")).select("doc_id", "f.*")
+
+
+@query("s10_catalog_from_tables", """
+SELECT 'classificationlist' AS kind, '' AS owner, lower(name_path) AS key, id FROM v_classifications
+UNION ALL SELECT 'optionlist', 'brand', lower(name), id FROM v_option_items
+UNION ALL SELECT 'userlist', '', lower(name), id FROM v_users UNION ALL SELECT 'userlist', '', email, id FROM v_users
+UNION ALL SELECT 'usergrouplist', '', lower(n_name), CAST(n_nationkey AS STRING) FROM nation
+UNION ALL SELECT 'languagelist', '', unnest(['en-us', 'english', 'fr-fr', 'french']), unnest(['l1', 'l1', 'l2', 'l2'])""")
+def _(spark, d):
+    """Catalog tables, written and loaded again, and all names in them."""
+    path, have = shared_dir(spark), _catalog(spark, d)
+    groups = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name"))
+    tables = {"fields": have.fields, "options": have.options, "classifications": have.classifications, "languages": have.languages, "users": have.users, "groups": groups}
+    for name, rows in tables.items():
+        rows.write.parquet(f"{path}/{name}.parquet")
+    return C.names_table(C.Catalog.from_tables(spark, path))
+
+
 @query("d02_python_fields", "SELECT p_partkey, 'Double' AS name, CAST(2 * p_size AS STRING) AS value FROM part WHERE p_size % 10 <> 0")
 def _(spark, d):
     def double(row: dict) -> list[dict]:

@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ MIB = 1 << 20
 BLOCK = 16 * MIB
 MOST_BLOCKS = 50_000
 SEGMENT = 20 * MIB
+#: Bytes of contents that a task holds, about.
+HELD = 32 * MIB
 
 
 def list_entries(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
@@ -64,12 +67,43 @@ def under_prefix(entries: DataFrame, prefix: str) -> DataFrame:
 
 
 def read_companions(spark: SparkSession, root: str, companions: DataFrame, limit: int = COMPANION_BYTES) -> DataFrame:
-    """Adds ``content`` (at most ``limit`` bytes) to the rows whose file is there; only their files are opened, in tasks."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = root.rstrip("/").removeprefix("file:")
-    name = F.regexp_replace(F.col("path"), r"^[A-Za-z0-9+.-]+:(//[^/]*(?=/))?", "")
-    found = files.select(F.substring(name, len(base.removeprefix("//")) + 2, 1 << 30).alias("path"), F.substring("content", 1, limit).alias("content"))
-    return companions.join(found, "path")
+    """Adds ``content`` (at most ``limit`` bytes) to the rows whose file is there; only their files are opened, in tasks.
+
+    No more than ``limit`` bytes of a file are read, and a task holds about ``HELD`` bytes of contents (or one file).  Rows
+    with a null path or without a file are left out.  The store must be one that Arrow's file systems reach from the
+    executors.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
+        for batch in batches:
+            taken, contents, size = [], [], 0
+
+            def out(batch=batch, taken=taken, contents=contents) -> pa.RecordBatch:
+                rows = batch.take(pa.array(taken, pa.int64()))
+                return pa.RecordBatch.from_arrays([*rows.columns, pa.array(contents, pa.binary())], [*rows.schema.names, "content"])
+
+            for i, path in enumerate(batch.column(batch.schema.get_field_index("path")).to_pylist()):
+                if path is None:
+                    continue
+                try:
+                    with store.open_input_file(f"{base}/{path}") as file:
+                        contents.append(file.read(limit))
+                except FileNotFoundError:
+                    continue
+                taken.append(i)
+                size += len(contents[-1])
+                if size >= HELD:
+                    yield out()
+                    taken.clear()
+                    contents.clear()
+                    size = 0
+            yield out()
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in companions.schema.fields)
+    return companions.repartition("path").mapInArrow(run, f"{kinds}, content binary")
 
 
 def segment_plan(entries: DataFrame, block_size: int = BLOCK, max_blocks: int = MOST_BLOCKS) -> DataFrame:
@@ -95,28 +129,59 @@ def smallest_first(entries: DataFrame) -> DataFrame:
 
 
 def copy_assets(entries: DataFrame, source: str, target: str, block_size: int = BLOCK) -> DataFrame:
-    """Copies the files of a listing and returns ``path, bytes``; tasks hold one block at a time.
+    """Copies the files of a listing by the blocks of ``segment_plan`` and returns ``path, bytes``; tasks hold one block at a time.
 
-    A file is written under another name and then renamed, so readers never see half of it and a repeated task is
-    harmless.  Both stores must be ones that Arrow's file systems reach from the executors.
+    Each block is a row of its own, so blocks of one file are copied by many tasks, to files beside the target.  A file
+    is then put together under another name and renamed, so readers never see half of it and a repeated task is harmless;
+    a file of one block is only renamed.  Both stores must be ones that Arrow's file systems reach from the executors.
+    Files of unknown size (-1) are one block of whatever they hold.
     """
+    run_id = uuid.uuid4().hex
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
         src, base = fs.FileSystem.from_uri(source)
         dst, top = fs.FileSystem.from_uri(target)
         for batch in batches:
             sizes = []
-            for path in batch["path"]:
-                out, part, n = f"{top}/{path}", f"{top}/{path}.{uuid.uuid4().hex}.part", 0
+            for r in batch.itertuples(index=False):
+                out, n = f"{top}/{r.path}.{run_id}.{r.block}", 0
+                part = f"{out}.{uuid.uuid4().hex}"
                 dst.create_dir(out.rsplit("/", 1)[0], recursive=True)
-                with src.open_input_stream(f"{base}/{path}") as a, dst.open_output_stream(part) as b:
-                    while block := a.read(block_size):
-                        b.write(block)
-                        n += len(block)
+                with src.open_input_file(f"{base}/{r.path}") as a, dst.open_output_stream(part) as b:
+                    a.seek(r.offset)
+                    while (r.length < 0 or n < r.length) and (data := a.read(block_size if r.length < 0 else min(block_size, r.length - n))):
+                        b.write(data)
+                        n += len(data)
                 dst.move(part, out)
                 sizes.append(n)
             yield pd.DataFrame({"path": batch["path"], "bytes": sizes})
 
-    return entries.select("path").mapInPandas(run, "path string, bytes long")
+    def commit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        dst, top = fs.FileSystem.from_uri(target)
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                out, parts = f"{top}/{r.path}", [f"{top}/{r.path}.{run_id}.{i}" for i in range(r.blocks)]
+                left = {x.path for x in dst.get_file_info(parts) if x.type != fs.FileType.NotFound}
+                if len(left) == len(parts):  # else a task before this one has committed the file
+                    whole = parts[0]
+                    if len(parts) > 1:
+                        whole = f"{out}.{run_id}.{uuid.uuid4().hex}"
+                        with dst.open_output_stream(whole) as b:
+                            for part in parts:
+                                with dst.open_input_stream(part) as a:
+                                    while data := a.read(block_size):
+                                        b.write(data)
+                    dst.move(whole, out)
+                for part in left - {whole} if len(left) == len(parts) else left:
+                    dst.delete_file(part)
+            yield batch[["path", "bytes"]]
+
+    rest = entries.filter("size <= 0").select("path", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("offset"), F.greatest(F.col("size"), F.lit(-1)).alias("length"))
+    plan = segment_plan(entries, block_size).unionByName(rest).repartition("path", "block")
+    copied = plan.mapInPandas(blocks, "path string, bytes long")
+    files = copied.groupBy("path").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("blocks"))
+    return files.mapInPandas(commit, "path string, bytes long")

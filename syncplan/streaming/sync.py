@@ -15,6 +15,7 @@ from ..operators.diff import commit_snapshot, diff_snapshots, events, load_snaps
 from ..operators.ignore import filter_ignored
 from ..operators.watchers import Watcher, assign_watcher
 from ..schemas import CREATE, DELETE, ENTRY, UPDATE
+from ..scratch import shared_dir
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -169,15 +170,22 @@ def write_once(spark: SparkSession, plan: DataFrame, path: str, batch_id: int) -
     rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder and read from there: what fails, fails now."""
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Refreshing:
-    """A table that is read anew each time; if that fails, what was read last stays."""
+    """A table that is read anew each time; if the read fails, in planning or while it runs, what was read last stays."""
 
     def __init__(self, read: Callable[[], DataFrame]):
         self.read, self.last = read, None
 
     def get(self) -> DataFrame:
         try:
-            self.last = self.read()
+            self.last = _written(self.read())
         except Exception:  # noqa: BLE001
             if self.last is None:
                 raise
@@ -185,13 +193,11 @@ class Refreshing:
 
 
 def isolated(parts: dict[str, Callable[[], DataFrame]]) -> tuple[dict[str, DataFrame], dict[str, str]]:
-    """Results by name, and errors by name: one channel's failure doesn't touch the others."""
+    """Results by name, and errors by name: one channel's failure, in planning or while it runs, doesn't touch the others."""
     out, errors = {}, {}
     for name, make in parts.items():
         try:
-            out[name] = make()
-            out[name].schema  # noqa: B018  analysis errors show here
+            out[name] = _written(make())
         except Exception as e:  # noqa: BLE001
             errors[name] = f"{type(e).__name__}: {e}"
-            out.pop(name, None)
     return out, errors

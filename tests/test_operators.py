@@ -3,6 +3,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from syncplan.functions import paths as P
 from syncplan.operators import catalog as C
 from syncplan.operators import diff as D
 from syncplan.operators import ledger as L
@@ -11,7 +12,9 @@ from syncplan.operators import synclog, work
 from syncplan.operators.channels import Channel, check_filter, plan_assets, route, split_companions
 from syncplan.operators.companions import Companion, CompanionPattern, companion_fields_json, companion_fields_text, companion_fields_xml, late_companions, plan_companions, presync
 from syncplan.operators.enrich import Enrich, python_fields, run_enrichers, split_failed
+from syncplan.operators.diff import commit_snapshot, load_snapshot
 from syncplan.operators.ignore import filter_ignored, ignore_lines, pattern_regex
+from syncplan.operators.metrics import ema
 from syncplan.operators.watchers import Watcher, assign_watcher, normalize_watchers, sub_prefixes
 from syncplan.schemas import SYNC_LOG
 from syncplan.sources.listing import copy_assets, list_entries, read_companions, segment_plan
@@ -313,3 +316,56 @@ def test_local_listing_and_copy(spark, tmp_path):
     assert bytes(read_companions(spark, str(root), _paths(spark, "y.xmp"), limit=3).first()["content"]) == b"123"
     copied = copy_assets(list_entries(spark, str(root)), f"file://{root}", f"file://{tmp_path}/out").collect()
     assert {r["path"]: r["bytes"] for r in copied} == {"a/x.txt": 5, "y.xmp": 7} and (tmp_path / "out/a/x.txt").read_text() == "hello"
+
+
+def test_only_wanted_companions_are_opened(spark, tmp_path):
+    """An unwanted file that Spark would refuse to load doesn't matter, and no more than the limit is read."""
+    (tmp_path / "in/d").mkdir(parents=True)
+    for name, size in (("small.xmp", 5), ("large.jpg", 5000)):
+        (tmp_path / "in/d" / name).write_bytes(b"x" * size)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 1000)
+    try:
+        wanted = spark.createDataFrame([("d/small.xmp", 1, 7), ("d/none.xmp", 2, 8), (None, 3, 9)], "path string, n int, content_type int")
+        rows = read_companions(spark, str(tmp_path / "in"), wanted).collect()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert [(r["path"], r["n"], r["content_type"], bytes(r["content"])) for r in rows] == [("d/small.xmp", 1, 7, b"xxxxx")]
+
+
+def test_copy_by_blocks(spark, tmp_path):
+    (tmp_path / "in/d").mkdir(parents=True)
+    contents = {"d/a": bytes(range(256)) * 41, "d/b": b"", "c": b"y" * 100}
+    for name, data in contents.items():
+        (tmp_path / "in" / name).write_bytes(data)
+    entries = spark.createDataFrame([("d/a", len(contents["d/a"])), ("d/b", 0), ("c", -1)], "path string, size long")
+    for _ in range(2):  # again, over what is there
+        rows = copy_assets(entries, f"file://{tmp_path}/in", f"file://{tmp_path}/out", block_size=1000).collect()
+        assert {r["path"]: r["bytes"] for r in rows} == {k: len(v) for k, v in contents.items()}
+    found = {str(p.relative_to(tmp_path / "out")): p.read_bytes() for p in (tmp_path / "out").rglob("*") if p.is_file() and not p.name.endswith(".crc")}
+    assert found == contents
+
+
+def test_ema_of_a_run_on_many_tasks(spark):
+    rows = [(k, t, float((t * 7 + k) % 11)) for k in range(3) for t in range(500 if k == 0 else 3)] + [(0, None, 5.0), (1, 9, None)]
+    df = spark.createDataFrame(rows, "k int, t int, v double").repartition(5)
+    got = {r["k"]: r["ema"] for r in ema(df, "v", "t", "k").collect()}
+    for k in range(3):
+        value = None
+        for _, _, v in sorted(r for r in rows if r[0] == k and None not in r):
+            value = v if value is None else 0.3 * v + 0.7 * value
+        assert abs(got[k] - value) < 1e-9
+
+
+def test_old_generations_are_emptied(spark, tmp_path):
+    for n in range(1, 6):
+        commit_snapshot(spark.range(n).selectExpr("cast(id as string) as path"), str(tmp_path), "s")
+    counts = [load_snapshot(spark, str(tmp_path), "s", "path string", g).count() for g in range(1, 6)]
+    assert counts == [0, 0, 0, 4, 5]
+
+
+def test_redacted_addresses(spark):
+    texts = ["see https://h/a?b=c, and 'http://x/y?z' or (https://h?u=https://k?v) http://?q end?x", "https://h/p", "", "a\n\thttp://h/?\nb"]
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select(P.redact_urls("t").alias("t")).collect()
+    assert [r["t"] for r in rows] == [
+        "see https://h/a?<redacted> and 'http://x/y?<redacted>' or (https://h?<redacted> http://?q end?x", "https://h/p", "", "a\n\thttp://h/?<redacted>\nb", None
+    ]
