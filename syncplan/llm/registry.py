@@ -8,10 +8,10 @@ import importlib
 QUERIES = [
     ("packing", "op1_pack", ""),
     ("token_files", "op2_token_files", ""),
-    ("warc", "op3_warc", ""),
+    ("warc", "op3_warc", "OP3_SQL"),
     ("quality_classifier", "op8_quality_classifier", ""),
     ("substring_dedup", "op9_substring_dedup", ""),
-    ("secret_scan", "op4_secret_scan", ""),
+    ("secret_scan", "op4_secret_scan", "OP4_SQL"),
     ("html_text", "op5_html_text", ""),
     ("jaccard_join", "op7_jaccard_join", "OP7_SQL"),
     ("quality_rules", "op6_quality_rules", "OP6_SQL"),

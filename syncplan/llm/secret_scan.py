@@ -291,3 +291,37 @@ def brute_force(doc_id: int | None, text: str | None, rules: tuple[Rule, ...] =
     text_of = lambda xs: ",".join(f"{k}:{s}:{e}" for k, s, e in xs)
     counts = [sum(x[0] == r.kind for x in base) for r in BASE]
     return (doc_id, *counts, hashlib.sha256(text_of(base).encode()).hexdigest(), text_of(listed))
+
+
+def _sql() -> str:
+    """DuckDB SQL for the query: matches are marked in the text, which is then parted at the marks."""
+    begin, end = "chr(57344)", "chr(57345)"  # private characters
+    either = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+    names = "|".join(map(either, ("password", "passwd", "secret", "token", "api_?key")))
+    # the least lengths of these two hold for a whole run or not at all
+    own = {"assign": f"({names})" + BASE[0].pattern.split("key))", 1)[1], "access": "AKIA[A-Z0-9]{14,}", "hex": "[0-9a-f]{16,}"}
+    found = []
+    for i, rule in enumerate(RULES):
+        pattern = own.get(rule.kind, rule.pattern).replace("'", "''")
+        found.append(f"""
+  SELECT rid, '{rule.kind}' AS kind, {i} AS place, x.s AS s, x.s + length(x.m) AS e
+  FROM (SELECT rid, unnest(list_transform(range(2, len(p) + 1), lambda k: {{'s': CAST(list_sum(list_transform(p[1:k - 1], lambda y: length(y))) AS BIGINT) - (k - 2), 'm': split_part(p[k], {end}, 1)}})) AS x
+        FROM (SELECT rid, string_split(regexp_replace(text, '({pattern})', {begin} || '\\1' || {end}, 'g'), {begin}) AS p FROM d))
+  WHERE length(regexp_extract(x.m, '{pattern}', {rule.group})) >= {rule.least}""")
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+f AS ({" UNION ALL ".join(found)}
+),
+g AS (
+  SELECT rid, count(*) FILTER (WHERE kind = 'assign') AS a, count(*) FILTER (WHERE kind = 'access') AS c, count(*) FILTER (WHERE kind = 'hex') AS h,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place) FILTER (WHERE place < {len(BASE)}) AS base,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place) AS spans
+  FROM f GROUP BY rid
+)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (rid)
+"""
+
+
+OP4_SQL = _sql()

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .binary_files import read_files, write_blocks
@@ -194,6 +194,11 @@ def _read(id_of: np.ndarray):
     return run
 
 
+def file_number() -> Column:
+    """The number in a file's name; names of 100,000 files and more don't sort as text."""
+    return F.regexp_extract("path", r"/part-(\d+)[^/]*$", 1).cast("long")
+
+
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of each document, decoded from the files."""
     ranks = spark.read.parquet(f"{path}/ranks").collect()  # no more rows than the vocabulary has
@@ -206,8 +211,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         )
     )
     files = rows.groupBy("path").agg(F.sum("n_tokens").alias("n"))
-    number = F.regexp_extract("path", r"/part-(\d+)[^/]*$", 1).cast("long")  # names of 100,000 files and more don't sort as text
-    before = Window.orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(file_number()).rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("path", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))  # one row a file
     return rows.join(files, "path").select(
         "doc_id", (F.col("before") + F.col("start_in_file")).alias("start"), "n_tokens", "ids_crc32"

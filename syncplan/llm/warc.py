@@ -243,3 +243,18 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("main.type").alias("record_type"),
         field("refers-to-page").alias("refers_to"),
     )
+
+
+OP3_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS x FROM pages),
+r AS (SELECT *, max(page_id) OVER (PARTITION BY x) AS top, sha1(x) AS h FROM p),
+b AS (  -- the digest in bits
+  SELECT *, array_to_string(list_transform(range(1, 41), lambda i: substr('0000000100100011010001010110011110001001101010111100110111101111',
+         4 * (instr('0123456789abcdef', substr(h, i, 1)) - 1) + 1, 4)), '') AS bits FROM r
+)
+SELECT page_id, strlen(x) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(list_sum(list_transform(range(0, 5),
+         lambda j: CAST(substr(bits, 5 * k + j + 1, 1) AS INTEGER) * (16 >> j))) AS INTEGER), 1)), '') AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+FROM b
+"""

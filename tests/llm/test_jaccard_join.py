@@ -117,3 +117,12 @@ def test_components_of_a_long_chain(spark):
 def test_packed_arrays(a, b):
     x, y = unpack_arrays(pack_arrays(np.array(a, np.uint64), np.array(b, np.uint8)))
     assert x.tolist() == a and y.tolist() == b
+
+
+def test_a_very_long_text_and_its_copies(spark):
+    words = [f"w{i}" for i in range(150_000)]
+    near = [*words[:70_000], "other", *words[70_001:]]
+    docs = [(3, " ".join(near), 1), (1, " ".join(words), 2), (2, " ".join(words), 3), (4, " ".join(words[:100_000]), 4), (5, "short", 5)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, n int")
+    got = sorted(tuple(r) for r in near_duplicates(df).collect())
+    assert got == [(1, 149_996, 1), (2, 149_996, 1), (3, 149_996, 1), (4, 99_996, 4), (5, 1, 5)]

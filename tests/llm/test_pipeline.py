@@ -103,5 +103,34 @@ def test_stages_keep_columns(spark, sf_dir):
 
 def test_packing_gives_added_tokens_their_ids(spark):
     docs = spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string")
-    row = corpus_pipeline.STAGES[-1][1](spark, docs, "").first()
-    assert (row["doc_tokens"], row["ids_crc32"]) == (5, zlib.crc32(np.array([64, 220, 50256, 275, 1], "<u4").tobytes()))
+    ids = np.array([64, 220, 50256, 275, 1], "<u4")
+    rows = sorted(corpus_pipeline.STAGES[-1][1](spark, docs, "").collect(), key=lambda r: r["start"])
+    assert [(r["start"], r["length"], r["doc_tokens"]) for r in rows] == [(0, 4, 5), (4, 1, 5)]  # powers of two, so nothing is padded
+    assert [r["ids_crc32"] for r in rows] == [zlib.crc32(ids[:4].tobytes()), zlib.crc32(ids[4:].tobytes())]
+
+
+def test_odd_rows_through_all_stages(spark, tmp_path):
+    """Nulls in any column, repeated rows, unlike texts under one id, a very long text, columns named as those within."""
+    own = lambda seed, n=70: " ".join(f"w{seed}x{j}" for j in range(n))
+    rows = [
+        (1, own(1), "en", "h", 9, 111, "u", "s", [1], 5), (1, own(1), "en", "h", 9, 111, "u", "s", [1], 5),
+        (1, own(2), None, None, None, None, None, None, None, None),
+        (None, own(3), "en", "h", 9, 112, "u", "s", [2], 6), (None, own(3), "en", "h", 9, 112, "u", "s", [2], 6),
+        (4, None, "en", "h", None, 1, "u", "s", [3], 7), (5, "", "en", "h", 0, 1, "u", "s", [3], 7),
+        (6, own(6, 120_000) + " password = abcdefghijklmnop", "en", "h", 9, 1, "u", "s", [3], 7),
+        (7, own(7) + " " + own("b", 12), "en", "h", 9, 1, "u", "s", [3], 7),
+    ]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, k1 int, k2 string, spans string, removed_lines array<int>, label int"
+    docs = spark.createDataFrame(rows, kinds)
+    items = spark.createDataFrame([(1, own("b", 12)), (2, None), (None, "")], "item_id long, text string")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+    got = sorted((tuple(r) for r in docs.collect()), key=lambda r: str(r[:1]) + r[1][:20])
+    masked = own(6, 120_000) + " [secret]"
+    want = [rows[0], rows[2], rows[3], (6, masked, "en", "h", len(masked), *rows[7][5:])]
+    assert got == sorted(want, key=lambda r: str(r[:1]) + r[1][:20])
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in pieces} == {1, None, 6}
+    assert sum(r["start"] == 0 for r in pieces) == 4

@@ -2,7 +2,9 @@ import random
 import re
 import string
 
-from syncplan.llm.secret_scan import ANY, RULES, brute_force, mask_secrets, op4_secret_scan, secret_spans, trigram_query
+import duckdb
+
+from syncplan.llm.secret_scan import ANY, OP4_SQL, RULES, brute_force, mask_secrets, op4_secret_scan, secret_spans, trigram_query
 
 
 def _rows(df):
@@ -59,3 +61,12 @@ def test_masked_documents_keep_columns_of_any_name(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, k1 long, spans string, candidates array<int>")
     out = sorted((tuple(r) for r in mask_secrets(df).collect()), key=str)
     assert out == sorted([(1, "[secret] end", 5, "s", [1]), *rows[1:]], key=str)
+
+
+def test_whole_table_against_sql(spark, sf_dir):
+    con = duckdb.connect()
+    for table in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
+    rows = op4_secret_scan(spark, sf_dir)
+    want = con.execute(f"SELECT {', '.join(rows.columns)} FROM ({OP4_SQL})").fetchall()
+    assert sorted(map(tuple, rows.collect()), key=str) == sorted(want, key=str)

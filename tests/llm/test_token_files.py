@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from syncplan.llm import token_files
 from syncplan.llm.common import shared_dir
 from syncplan.llm.token_files import decode_ranks, encode_ranks, op2_token_files, read_token_files, write_token_files
 from syncplan.llm.tokens import default_path
@@ -66,3 +67,29 @@ def test_query_gives_added_tokens_their_ids(spark, tmp_path):
         want.append((doc, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
     assert sorted(tuple(r) for r in op2_token_files(spark, str(tmp_path)).collect()) == want
+
+
+def test_long_texts_null_ids_and_repeated_rows_over_several_files(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "FILE_BYTES", 4000)
+    monkeypatch.setattr(token_files, "BLOCK_IDS", 500)
+    rows = [(None, "no id", 1), (7, "word " * 60_000, 2), (3, None, 3), (3, "twice", 4), (3, "twice", 4), (5, "", 5)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, start int").repartition(3)
+    path = shared_dir(spark)
+    write_token_files(df, path, default_path("word_bpe_49k.json"), added_tokens=True)
+    got = sorted(read_token_files(spark, path).collect(), key=lambda r: r["start"])
+    plain = Tokenizer.from_file(default_path("word_bpe_49k.json"))
+    want = []
+    for doc, text, _ in rows:
+        ids = np.array(plain.encode(text or "", add_special_tokens=False).ids + [1], "<u4")
+        want.append((doc, len(ids), zlib.crc32(ids.tobytes())))
+    assert sorted(((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got), key=str) == sorted(want, key=str)
+    assert [r["start"] for r in got] == np.cumsum([0, *(r["n_tokens"] for r in got)])[:-1].tolist()
+    ids = [r["doc_id"] for r in got]
+    assert ids == sorted(ids, key=lambda d: -1 if d is None else d)
+
+
+def test_files_go_by_number(spark):
+    """Beyond 99,999 files names no longer sort as text."""
+    names = [f"file:/x/ids/part-{n}-abc-c000.txt" for n in ("00007", "99999", "100000", "1000000")]
+    df = spark.createDataFrame([(n,) for n in names[::-1]], "path string")
+    assert [r[0] for r in df.orderBy(token_files.file_number()).collect()] == names

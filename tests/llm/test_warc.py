@@ -4,8 +4,10 @@ import hashlib
 from collections import defaultdict
 from pathlib import Path
 
+import duckdb
+
 from syncplan.llm.common import shared_dir
-from syncplan.llm.warc import captures, op3_warc, read_records, transactions, write_warc
+from syncplan.llm.warc import OP3_SQL, captures, op3_warc, read_records, transactions, write_warc
 
 
 def _expected(pages):
@@ -62,3 +64,12 @@ def test_empty(spark):
     path = shared_dir(spark)
     write_warc(spark.createDataFrame([], "page_id long, url string, html string"), path)
     assert captures(spark, path).count() == 0
+
+
+def test_whole_table_against_sql(spark, sf_dir):
+    con = duckdb.connect()
+    for table in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
+    rows = op3_warc(spark, sf_dir)
+    want = con.execute(f"SELECT {', '.join(rows.columns)} FROM ({OP3_SQL})").fetchall()
+    assert sorted(map(tuple, rows.collect()), key=str) == sorted(want, key=str)
