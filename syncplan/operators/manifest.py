@@ -129,14 +129,15 @@ def validate_manifest(manifest: DataFrame, entries: DataFrame | None = None, fie
     ``languages`` its language.
     """
     tokens = manifest if "token" in manifest.columns else manifest.withColumn("token", F.lit(None).cast("string"))
-    rows = structure_error(parse_manifest(tokens)).withColumn("action", action())
+    parsed = parse_manifest(tokens)
+    rows = structure_error(parsed).withColumn("action", action())
     if entries is not None:
         rows = stat_files(rows, entries)
         missing = (F.col("file") != "") & F.col("token").isNull() & ~F.col("found")
         rows = rows.withColumn("error", F.coalesce("error", F.when(missing, F.format_string("file not found: %s", F.col("file")))))
     if fields is not None:
         known = fields.select(canonical_field_name("name").alias("key")).distinct().withColumn("_known", F.lit(True))
-        asked = field_entries(rows).withColumn("key", canonical_field_name("name")).join(known, "key", "left")
+        asked = field_entries(parsed).withColumn("key", canonical_field_name("name")).join(known, "key", "left")
         bad = F.when(F.col("_known").isNull(), F.format_string('unknown field "%s"', trim_white("name")))
         if languages is not None:
             spoken = languages.select(canonical_field_name("culture").alias("culture")).distinct().withColumn("_spoken", F.lit(True))
