@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..scratch import shared_dir
 
@@ -29,6 +32,16 @@ def cache_of(task: str) -> dict:
     return _caches.setdefault(task, {})
 
 
+def field(name: str) -> Column:
+    """The top-level column of that name, whatever characters it has."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def map_arrow(df: DataFrame, fn: Callable, schema: StructType | str, *own: str) -> DataFrame:
+    """``mapInArrow`` over columns of any name: ``fn`` sees the columns ``own`` by name, all others by position only."""
+    return df.toDF(*(c if c in own else f"_{i}" for i, c in enumerate(df.columns))).mapInArrow(fn, schema)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
