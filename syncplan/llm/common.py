@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..scratch import shared_dir
 
@@ -37,9 +34,20 @@ def field(name: str) -> Column:
     return F.col(f"`{name.replace('`', '``')}`")
 
 
-def map_arrow(df: DataFrame, fn: Callable, schema: StructType | str, *own: str) -> DataFrame:
-    """``mapInArrow`` over columns of any name: ``fn`` sees the columns ``own`` by name, all others by position only."""
-    return df.toDF(*(c if c in own else f"_{i}" for i, c in enumerate(df.columns))).mapInArrow(fn, schema)
+def positional(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """The table with its columns named ``c0``, ``c1`` and so on, and what those of the given names are called there.
+
+    Spark reads dots and back-ticks in names as syntax, and takes names that differ in case as one; here none matters.  A
+    name is looked for as it is and then in any case.  ``toDF`` with the old names undoes it.
+    """
+
+    def find(name: str) -> str:
+        found = [i for i, c in enumerate(df.columns) if c == name] or [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
+        if len(found) != 1:
+            raise ValueError(f"the table has {len(found) or 'no'} columns of name {name!r}")
+        return f"c{found[0]}"
+
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))), [find(n) for n in names]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +71,28 @@ def fresh(docs: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def null_first(name: str) -> Column:
+    """The column as text that isn't null: equal where it is equal, and in its order by code point, null first."""
+    return F.coalesce(F.concat(F.lit("="), field(name).cast("string")), F.lit(""))
+
+
+def ranked(rows: DataFrame, by: list[str], order: list[str], rank: str) -> DataFrame:
+    """Adds the position, from 0, of each row among those that have the same ``by`` (no nulls there), in ascending ``order``.
+
+    Rows are dealt out by ranges, equal ones by where they stand, so neither a frequent ``by`` nor many equal rows meet in
+    one task; only the rows of a range are sorted together, and one row a range and ``by`` is summed up.  The result lies in
+    the shared folder.
+    """
+    keys = [field(c).asc_nulls_first() for c in (*by, *order)]
+    dealt = rows.repartitionByRange(*keys, F.monotonically_increasing_id()).sortWithinPartitions(*keys)
+    dealt = stored(dealt.withColumn("_at", F.monotonically_increasing_id())).withColumn("_range", F.shiftright("_at", 33))
+    ranges = dealt.groupBy(*by, "_range").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    placed = dealt.join(stored(ranges), [*by, "_range"])
+    return placed.select(*rows.columns, (F.col("_before") + F.col("_at") - F.col("_first")).alias(rank))
+
+
 def power_of_two(n: float, least: int = 1) -> int:
     """The smallest power of two of at least n and ``least``."""
     out = least

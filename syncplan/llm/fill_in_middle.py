@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import field, fresh, map_arrow, read_table
+from .common import fresh, positional, read_table
 from .words import NON_SPACE, slices
 
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
@@ -139,7 +139,7 @@ def restored(text: str, form: str) -> str:
     return body.decode()
 
 
-def _with_struct(kind: pa.DataType, key: str, text: str, make):
+def _with_last(kind: pa.DataType, key: str, text: str, make):
     """Adds to each batch a last column of ``make``'s results for the columns ``key`` and ``text``, which go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,21 +156,21 @@ def _with_struct(kind: pa.DataType, key: str, text: str, make):
 
 def fill_in_middle(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rates: Rates = Rates()) -> DataFrame:
     """The columns of ``docs`` and FIM: the form, the transformed text, the text's tokens and lengths of its parts."""
-    out, key, body = fresh(docs, "fim", "fim_key", "fim_body")
-    rows = docs.withColumns({key: field(doc_id).cast("long"), body: field(text).cast("string")})
+    rows, (key, body) = positional(docs, doc_id, text)
+    rows = rows.withColumns({"key": F.col(key).cast("long"), "body": F.col(body).cast("string")})
     names = [f.name for f in FIM.fields]
     kind = pa.struct([(n, pa.string() if n in ("form", "text") else pa.int64()) for n in names])
     make = lambda t, k: dict(zip(names, transform(t, k, rates), strict=True))
-    schema = StructType([*docs.schema.fields, StructField(out, FIM)])
-    return map_arrow(rows, _with_struct(kind, key, body, make), schema, key, body)
+    schema = StructType([*docs.schema.fields, StructField(fresh(docs, "fim")[0], FIM)])
+    return rows.mapInArrow(_with_last(kind, "key", "body", make), schema)
 
 
 def restore(rows: DataFrame, fim: str = "fim") -> DataFrame:
     """Adds the text before ``fill_in_middle``, from the transformed one and its form, as column ``restored``."""
-    out, key, body = fresh(rows, "restored", "fim_key", "fim_body")
-    given = rows.withColumns({key: field(fim)["form"], body: field(fim)["text"]})
-    schema = StructType([*rows.schema.fields, StructField(out, StringType())])
-    return map_arrow(given, _with_struct(pa.string(), key, body, restored), schema, key, body)
+    given, (made,) = positional(rows, fim)
+    given = given.withColumns({"form": F.col(made)["form"], "body": F.col(made)["text"]})
+    schema = StructType([*rows.schema.fields, StructField(fresh(rows, "restored")[0], StringType())])
+    return given.mapInArrow(_with_last(pa.string(), "form", "body", restored), schema)
 
 
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
