@@ -76,8 +76,9 @@ def null_first(name: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), field(name).cast("string")), F.lit(""))
 
 
-def ranked(rows: DataFrame, by: list[str], order: list[str], rank: str) -> DataFrame:
-    """Adds the position, from 0, of each row among those that have the same ``by`` (no nulls there), in ascending ``order``.
+def ranked(rows: DataFrame, by: list[str], order: list[str], rank: str, among: str = "") -> DataFrame:
+    """Adds the position, from 0, of each row among those that have the same ``by`` (no nulls there), in ascending ``order``,
+    and, if ``among`` is named, their number.
 
     Rows are dealt out by ranges, equal ones by where they stand, so neither a frequent ``by`` nor many equal rows meet in
     one task; only the rows of a range are sorted together, and one row a range and ``by`` is summed up.  The result lies in
@@ -88,9 +89,10 @@ def ranked(rows: DataFrame, by: list[str], order: list[str], rank: str) -> DataF
     dealt = stored(dealt.withColumn("_at", F.monotonically_increasing_id())).withColumn("_range", F.shiftright("_at", 33))
     ranges = dealt.groupBy(*by, "_range").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    placed = dealt.join(stored(ranges), [*by, "_range"])
-    return placed.select(*rows.columns, (F.col("_before") + F.col("_at") - F.col("_first")).alias(rank))
+    ranges = ranges.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    placed = dealt.join(stored(ranges.withColumn("_all", F.sum("_n").over(Window.partitionBy(*by))).drop("_n")), [*by, "_range"])
+    position = (F.col("_before") + F.col("_at") - F.col("_first")).alias(rank)
+    return placed.select(*rows.columns, position, *([F.col("_all").alias(among)] if among else []))
 
 
 def power_of_two(n: float, least: int = 1) -> int:

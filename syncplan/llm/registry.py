@@ -16,6 +16,7 @@ QUERIES = [
     ("jaccard_join", "op7_jaccard_join", "OP7_SQL"),
     ("quality_rules", "op6_quality_rules", "OP6_SQL"),
     ("decontaminate", "op10_decontaminate", "OP10_SQL"),
+    ("merkle_manifest", "op11_merkle_manifest", "OP11_SQL"),
     ("mixing", "op12_mixing", "OP12_SQL"),
     ("fill_in_middle", "op13_fill_in_middle", "OP13_SQL"),
 ]
