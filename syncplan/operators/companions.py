@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from xml.parsers import expat
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.paths import _col, directory, extension, stem
 from .synclog import latest
@@ -15,6 +19,18 @@ from .synclog import latest
 #: Bytes of a companion that are read.
 COMPANION_BYTES = 64 << 20
 MATCH = "dir string, basename string, extension string, vars map<string,string>, wildcards array<string>, pattern string"
+#: Elements within one another.
+XML_DEPTH = 256
+#: Prefixes of XMP's namespaces.
+XML_PREFIXES = {
+    "http://purl.org/dc/elements/1.1/": "dc",
+    "http://ns.adobe.com/xap/1.0/": "xmp",
+    "http://ns.adobe.com/xap/1.0/rights": "xmpRights",
+    "http://ns.adobe.com/photoshop/1.0/": "photoshop",
+    "http://iptc.org/std/Iptc4xmpCore/1.0/xmlns/": "Iptc4xmpCore",
+    "http://www.w3.org/1999/02/22-rdf-syntax-ns#": "rdf",
+    "adobe:ns:meta/": "x",
+}
 FIELDS = "array<struct<name: string, value: string, language: string>>"
 
 
@@ -166,32 +182,168 @@ def companion_fields_bundle(df: DataFrame, name: str, content: str = "content")
     return df.withColumn("fields", entries)
 
 
+class _Tree:
+    """Builds a document's tree from a parser's calls; see ``xml_documents``."""
+
+    def __init__(self):
+        self.open: list[tuple[str, dict, list[str], dict[str, str], bool]] = []  # name, content, text, prefixes, has children
+        self.document: dict = {}
+
+    def _name(self, name: str, prefixes: dict[str, str]) -> str:
+        prefix, colon, local = name.rpartition(":")
+        uri = prefixes.get(prefix)
+        if uri is None:
+            return name
+        known = XML_PREFIXES.get(uri)
+        return f"{known}:{local}" if known else local
+
+    def start(self, name: str, attributes: list[str]) -> None:
+        if len(self.open) >= XML_DEPTH:
+            raise ValueError(f"more than {XML_DEPTH} elements within one another")
+        given = dict(zip(attributes[::2], attributes[1::2], strict=True))
+        declared = {k[6:]: v for k, v in given.items() if k.startswith("xmlns:")} | ({"": given["xmlns"]} if "xmlns" in given else {})
+        above = self.open[-1][3] if self.open else {}
+        prefixes = above | declared if declared else above
+        own: dict = {}
+        for key, value in given.items():  # a prefix's declaration is an attribute of the prefix's name; the default namespace isn't for attributes
+            own[key[6:] if key.startswith("xmlns:") else self._name(key, prefixes) if ":" in key else key] = value
+        if self.open:
+            self.open[-1] = (*self.open[-1][:4], True)
+        self.open.append((self._name(name, prefixes), own, [], prefixes, False))
+
+    def text(self, data: str) -> None:
+        if self.open:
+            self.open[-1][2].append(data)
+
+    def end(self, _: str) -> None:
+        name, own, parts, _, has_children = self.open.pop()
+        text = "".join(parts).strip()
+        leaf = not own and not has_children
+        if text and not leaf:
+            own["#text"] = text
+        into = self.open[-1][1] if self.open else self.document
+        value = text if leaf else own
+        if name not in into:
+            into[name] = value
+        elif isinstance(into[name], list):
+            into[name].append(value)
+        else:
+            into[name] = [into[name], value]
+
+
+def _xml_tree(content: bytes | None) -> tuple[str | None, str | None, str | None]:
+    """JSON of the document and of its first element's content, or an error."""
+    if content is None:
+        return None, None, "no content"
+    body = re.sub(rb"\A(?:\xef\xbb\xbf)?\s*(?:<\?xml\b[^>]*\?>)?", b"", content)
+    tree, parser = _Tree(), expat.ParserCreate("utf-8")
+    parser.ordered_attributes, parser.buffer_text = True, True
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = tree.start, tree.end, tree.text
+    parser.SkippedEntityHandler = lambda name, _: tree.text(f"&{name};")
+    parser.UseForeignDTD(True)  # so an entity that nobody declared is told to the handler
+    parser.ExternalEntityRefHandler = lambda *_: 1
+    try:
+        parser.Parse(body, True)
+    except ValueError as e:
+        return None, None, f"not valid XML: {e}"
+    except expat.ExpatError as e:
+        if body.strip() or tree.document:
+            return None, None, f"not valid XML: {e}"
+    root = next(iter(tree.document.values()), {})
+    return json.dumps(tree.document, ensure_ascii=False), json.dumps(root, ensure_ascii=False), None
+
+
+@F.arrow_udf(StructType([StructField(n, StringType()) for n in ("document", "root", "error")]))
+def _xml_trees(content: pa.Array) -> pa.Array:
+    found = [_xml_tree(x) for x in content.to_pylist()]
+    return pa.StructArray.from_arrays([pa.array(x, pa.string()) for x in zip(*found, strict=True)] if found else [pa.array([], pa.string())] * 3, ["document", "root", "error"])
+
+
+def xml_documents(df: DataFrame, content: str = "content") -> DataFrame:
+    """Adds ``tree`` (VARIANT) and ``error``: the XML document as a tree.
+
+    An element is a map of its attributes and children by name, attributes without a mark; one of text alone is its trimmed
+    text.  Children of one name are a list; text beside attributes or children is ``#text``.  A declared prefix becomes the
+    usual one of XMP's namespaces and goes for any other; an undeclared one stays.  A document that isn't well-formed, or
+    nests deeper than XML_DEPTH, is an error of its row; an empty one has no elements.
+    """
+    made = df.withColumn("_made", _xml_trees(F.col(content).cast("binary")))
+    return made.withColumns({"tree": F.parse_json("_made.document"), "error": F.col("_made.error")}).drop("_made")
+
+
+def _field_text(value: Column) -> Column:
+    """Text of a VARIANT: text trimmed, lists and maps as JSON; null where it is null or empty."""
+    text = F.when(F.schema_of_variant(value) == "STRING", F.trim(F.try_variant_get(value, "$", "string"))).otherwise(F.to_json(value))
+    return F.when(value.isNotNull(), F.nullif(text, F.lit("")))
+
+
 def companion_fields_xml(df: DataFrame, mapping: dict[str, str], content: str = "content") -> DataFrame:
-    """Adds ``fields``; ``mapping`` is field name -> element or attribute of the root, prefix included (``dc:rights``)."""
-    keys = list(dict.fromkeys(mapping.values()))
-    schema = ", ".join(f"`{k}` string" for k in keys)
-    parsed = F.from_xml(F.col(content).cast("string"), schema, {"attributePrefix": "", "mode": "PERMISSIVE"})
-    fields = F.array(*(_entry(n, F.trim(parsed[k])) for n, k in mapping.items()))
-    return df.withColumn("fields", F.filter(fields, lambda e: F.coalesce(e["value"], F.lit("")) != ""))
+    """Adds ``fields`` and ``error``; ``mapping`` is field name -> where its value is.
+
+    That is an element or attribute of the root, prefix included (``dc:rights``), or a path from the document on
+    (``$["x:xmpmeta"]["rdf:RDF"]``).  Repeated elements give a JSON list; fields that aren't there or empty are left out.
+    """
+    made = df.withColumn("_made", _xml_trees(F.col(content).cast("binary")))
+    made = made.withColumns({"_document": F.parse_json("_made.document"), "_root": F.parse_json("_made.root")})
+    wanted = {n: path for n, path in mapping.items() if path.startswith("$") or '"' not in path}  # no name holds a quote
+    got = [(n, F.try_variant_get(*((F.col("_document"), path) if path.startswith("$") else (F.col("_root"), f'$["{path}"]')), "variant")) for n, path in wanted.items()]
+    fields = F.array_compact(F.array(*(F.when(_field_text(v).isNotNull(), _entry(n, _field_text(v))) for n, v in got)).cast(FIELDS))
+    error = F.col("_made.error")
+    return made.withColumns({"fields": F.when(error.isNull(), fields), "error": error}).drop("_made", "_document", "_root")
 
 
-def companion_fields_csv(df: DataFrame, mapping: dict[str, str], content: str = "content", delimiter: str = ",", comment: str = "#") -> DataFrame:
-    """One row for each line of data: ``fields`` by the names in the file's first line; comment and blank lines don't count.
+def csv_records(text: str, delimiter: str = ",", comment: str = "") -> list[list[str]]:
+    """Cells of each record.
 
-    A line shorter than the header leaves fields out; a longer one is cut.
+    A cell that begins with a quote ends at a quote before a delimiter or a line's end; until then two quotes are one, a
+    single one is itself, and line breaks belong to it.  Elsewhere quotes are text.  Blank lines between records and lines
+    that begin with ``comment`` don't count, and ``\\r\\n`` is ``\\n``.
     """
-    text = F.regexp_replace(F.col(content).cast("string"), "\r\n?", "\n")
-    lines = F.filter(F.split(text, "\n"), lambda x: (F.trim(x) != "") & ~F.startswith(F.ltrim(x), F.lit(comment)))
-    def cells(line: Column) -> Column:
-        whole = F.regexp_extract_all(F.concat(F.lit(delimiter), line), F.lit(r'%s("(?:[^"]|"")*"|[^%s]*)' % (re.escape(delimiter), re.escape(delimiter))), F.lit(1))
-        return F.transform(whole, lambda c: F.when(F.startswith(c, F.lit('"')), F.replace(F.regexp_replace(c, '^"|"\\z', ""), F.lit('""'), F.lit('"'))).otherwise(F.trim(c)))
-
-    header = cells(F.element_at(lines, 1))
-    rows = df.withColumn("_header", F.when(F.size(lines) > 0, header)).withColumn("_line", F.explode(F.slice(lines, 2, 1 << 30)))
-    values = cells(F.col("_line"))
-    got = [(n, F.try_element_at(values, F.nullif(F.array_position("_header", k), F.lit(0)).cast("int"))) for n, k in mapping.items()]
+    text, d = text.replace("\r\n", "\n").removesuffix("\r"), re.escape(delimiter)
+    quoted = re.compile(rf'"((?:[^"]++|""|"(?!["\n]|{d}|\Z))*+)(?:"|\Z)')
+    plain = re.compile(rf"(?:(?!{d})[^\n])*+")
+    records, at, n = [], 0, len(text)
+    while at < n:
+        if text[at] == "\n" or comment and text.startswith(comment, at):
+            end = text.find("\n", at)
+            at = n if end < 0 else end + 1
+            continue
+        cells = []
+        while True:
+            m = (quoted if text.startswith('"', at) else plain).match(text, at)
+            cells.append(m[1].replace('""', '"') if m.re is quoted else m[0])
+            at = m.end()
+            if at >= n or text[at] == "\n":
+                break
+            at += len(delimiter)
+        records.append(cells)
+        at += 1
+    return records
+
+
+def companion_fields_csv(
+    df: DataFrame, mapping: dict[str, str | int], content: str = "content", delimiter: str = ",", comment: str = "#", header: bool = True
+) -> DataFrame:
+    """One row for each record: its number from 1 as ``record``, and ``fields``; see ``csv_records``.
+
+    ``mapping`` is field name -> name in the file's first record, the last of that name, or the number of a cell from 1.
+    Cells that a record lacks are left out; cells beyond the header have only their numbers.  With ``header=False`` the
+    first record is one of data.
+    """
+
+    @F.arrow_udf("array<array<string>>")
+    def parsed(texts: pa.Array) -> pa.Array:
+        found = [None if x is None else csv_records(x.decode("utf-8", "replace"), delimiter, comment) for x in texts.to_pylist()]
+        return pa.array(found, pa.list_(pa.list_(pa.string())))
+
+    names = df.columns
+    rows = df.withColumn("_records", parsed(F.col(content).cast("binary")))
+    rows = rows.withColumn("_header", F.coalesce(F.get("_records", F.lit(0)), F.array().cast("array<string>")) if header else F.array().cast("array<string>"))
+    rows = rows.select(*names, "_header", F.posexplode(F.slice("_records", 2 if header else 1, 1 << 30)).alias("_number", "_cells"))
+    last = lambda name: F.when(F.array_contains("_header", name), F.size("_header") + 1 - F.array_position(F.reverse("_header"), name)).cast("int")
+    got = [(n, F.try_element_at("_cells", F.lit(k) if isinstance(k, int) else last(k))) for n, k in mapping.items()]
     fields = F.array_compact(F.array(*(F.when(v.isNotNull(), _entry(n, v)) for n, v in got)))
-    return rows.withColumn("fields", fields).drop("_header", "_line")
+    return rows.withColumns({"fields": fields, "record": F.col("_number") + 1}).drop("_header", "_number", "_cells")
 
 
 def companion_fields_text(df: DataFrame, name: str, language_var: str = "lang", content: str = "content", deleted: Column | None = None) -> DataFrame:

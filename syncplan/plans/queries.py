@@ -484,7 +484,6 @@ SELECT doc_id, CASE WHEN strlen(text) <= 4096 THEN text
  ELSE concat(decode(unhex(regexp_replace(left(hex(encode(text)), 8164), '([CD].|E.([89AB].)?|F.([89AB].)?([89AB].)?)$', ''))), '...[truncated]') END AS error FROM documents"""
 
 
-@query("x12b_truncate_error_all", _CUT)
 @query("x12_truncate_error", _CUT)
 def _(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", V.truncate_error("text").alias("error"))
@@ -534,20 +533,52 @@ def _(spark, d):
     return rows.select("p_partkey", F.explode("fields").alias("f")).select("p_partkey", "f.name", "f.value")
 
 
-@query("p02_companion_xml", "SELECT c_custkey, c_name AS rights, CAST(c_nationkey AS STRING) AS nation FROM customer")
-def _(spark, d):
-    rows = spark.read.parquet(f"{d}/customer.parquet")
-    content = F.concat(F.lit("<r><dc:rights> "), "c_name", F.lit(' </dc:rights><place nation="x"/><nation>'), F.col("c_nationkey").cast("string"), F.lit("</nation></r>"))
-    out = companion_fields_xml(rows.select("c_custkey", content.alias("content")), {"Rights": "dc:rights", "Nation": "nation"})
-    return out.select("c_custkey", F.col("fields")[0]["value"].alias("rights"), F.col("fields")[1]["value"].alias("nation"))
+_DESCRIPTION = '$["x:xmpmeta"]["rdf:RDF"]["rdf:Description"]'
 
 
-@query("p03_companion_csv", "SELECT c_custkey, c_name AS name, concat('a, ', c_name) AS note FROM customer")
+@query("p02_companion_xml", """
+WITH c AS (SELECT c_custkey, c_name AS name, CAST(c_nationkey AS STRING) AS nation, c_custkey % 4 AS shape FROM customer)
+SELECT c_custkey, 'Creator' AS field, name AS value, false AS failed FROM c WHERE shape = 0
+UNION ALL SELECT c_custkey, 'Subject', concat('["one","', nation, '"]'), false FROM c WHERE shape = 0
+UNION ALL SELECT c_custkey, 'Rights', name, false FROM c WHERE shape = 0
+UNION ALL SELECT c_custkey, 'Own rights', name, false FROM c WHERE shape = 1
+UNION ALL SELECT c_custkey, 'Nation', CASE shape WHEN 1 THEN nation ELSE concat('["00","', nation, '"]') END, false FROM c WHERE shape IN (1, 2)
+UNION ALL SELECT c_custkey, 'Text', 'see  and & more', false FROM c WHERE shape = 2
+UNION ALL SELECT c_custkey, 'Bold', concat('{"#text":"', name, '","w":"7"}'), false FROM c WHERE shape = 2
+UNION ALL SELECT c_custkey, NULL, NULL, true FROM c WHERE shape = 3""")
 def _(spark, d):
-    rows = spark.read.parquet(f"{d}/customer.parquet")
-    content = F.concat(F.lit('# made\r\nkey,name,note\r\n\r\n1,'), "c_name", F.lit(',"a, '), "c_name", F.lit('"\n'))
-    out = companion_fields_csv(rows.select("c_custkey", content.alias("content")), {"Name": "name", "Note": "note", "Absent": "absent"})
-    return out.select("c_custkey", F.col("fields")[0]["value"].alias("name"), F.col("fields")[1]["value"].alias("note"))
+    """XMP with nested descriptions, a flat document, one of repeated and mixed elements, and one that isn't well-formed."""
+    rows = spark.read.parquet(f"{d}/customer.parquet").withColumn("nation", F.col("c_nationkey").cast("string"))
+    xmp = F.format_string(
+        '<?xml version="1.0"?><x:xmpmeta xmlns:x="adobe:ns:meta/"><r:RDF xmlns:r="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><r:Description xmlns:d="http://purl.org/dc/elements/1.1/" d:creator="%1$s">'
+        "<d:rights> <![CDATA[%1$s]]>\n</d:rights><d:subject><r:Bag><r:li>one</r:li><r:li>%2$s</r:li></r:Bag></d:subject></r:Description></r:RDF></x:xmpmeta>", "c_name", "nation",
+    )
+    flat = F.format_string('<r><dc:rights> %1$s </dc:rights><place nation="x"/><nation>%2$s</nation></r>', "c_name", "nation")
+    mixed = F.format_string('<r>see <nation>00</nation><nation>%2$s</nation><b w="7">%1$s</b> and &amp; more</r>', "c_name", "nation")
+    shape = F.col("c_custkey") % 4
+    content = F.when(shape == 0, xmp).when(shape == 1, flat).when(shape == 2, mixed).otherwise(F.concat(F.lit("<r><dc:rights>"), "c_name"))
+    out = companion_fields_xml(rows.select("c_custkey", content.alias("content")), {
+        "Creator": f'{_DESCRIPTION}["dc:creator"]', "Rights": f'{_DESCRIPTION}["dc:rights"]', "Subject": f'{_DESCRIPTION}["dc:subject"]["rdf:Bag"]["rdf:li"]',
+        "Own rights": "dc:rights", "Nation": "nation", "Text": "#text", "Bold": "b",
+    })
+    each = out.select("c_custkey", F.col("error").isNotNull().alias("failed"), F.explode_outer("fields").alias("f"))
+    return each.select("c_custkey", F.col("f.name").alias("field"), F.col("f.value").alias("value"), "failed")
+
+
+@query("p03_companion_csv", """
+SELECT c_custkey, 1 AS record, 'Name' AS field, c_name AS value FROM customer
+UNION ALL SELECT c_custkey, 1, 'Note', concat('a, "', c_name, '"', chr(10), '#second; line', chr(10)) FROM customer
+UNION ALL SELECT c_custkey, 2, 'Name', CAST(c_nationkey AS STRING) FROM customer
+UNION ALL SELECT c_custkey, 3, 'Name', ' x"y ' FROM customer
+UNION ALL SELECT c_custkey, 3, 'Note', 'lazy "q" end' FROM customer
+UNION ALL SELECT c_custkey, 3, 'Fourth', 'beyond' FROM customer""")
+def _(spark, d):
+    """Line breaks, doubled quotes and comment marks in cells, short and long records, and quotes where none belong."""
+    rows = spark.read.parquet(f"{d}/customer.parquet").withColumn("nation", F.col("c_nationkey").cast("string"))
+    content = F.format_string('# made\r\nkey,name,note\r\n\r\n1,%1$s,"a, ""%1$s""\r\n#second; line\n"\n#skipped,"\n2,%2$s\n3, x"y ,"lazy "q" end",beyond', "c_name", "nation")
+    out = companion_fields_csv(rows.select("c_custkey", content.alias("content")), {"Name": "name", "Note": "note", "Absent": "absent", "Fourth": 4})
+    each = out.select("c_custkey", "record", F.explode("fields").alias("f"))
+    return each.select("c_custkey", "record", F.col("f.name").alias("field"), F.col("f.value").alias("value"))
 
 
 @query("p04_companion_text", "SELECT doc_id, lang AS language, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS value FROM documents")

@@ -69,7 +69,7 @@ def test_truncated_errors_against_brute_force(spark):
 
 
 def test_truncated_errors_of_all_documents(spark, sf_dir):
-    rows = QUERIES["x12b_truncate_error_all"](spark, sf_dir).collect()
+    rows = QUERIES["x12_truncate_error"](spark, sf_dir).collect()
     docs = {r["doc_id"]: r["text"].encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     assert len(rows) == len(docs) and any(len(x) > 4096 and not x.isascii() for x in docs.values())
     for r in rows:

@@ -1,6 +1,9 @@
 import datetime
+import json
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from syncplan.functions import paths as P
@@ -10,7 +13,7 @@ from syncplan.operators import ledger as L
 from syncplan.operators import manifest as M
 from syncplan.operators import synclog, work
 from syncplan.operators.channels import Channel, check_filter, plan_assets, route, split_companions
-from syncplan.operators.companions import Companion, CompanionPattern, companion_fields_json, companion_fields_text, companion_fields_xml, late_companions, plan_companions, presync
+from syncplan.operators.companions import Companion, CompanionPattern, companion_fields_json, companion_fields_csv, companion_fields_text, companion_fields_xml, csv_records, late_companions, plan_companions, presync, xml_documents
 from syncplan.operators.enrich import Enrich, python_fields, run_enrichers, split_failed
 from syncplan.operators.diff import commit_snapshot, load_snapshot
 from syncplan.operators.ignore import filter_ignored, ignore_lines, pattern_regex
@@ -170,6 +173,81 @@ def test_companion_contents(spark):
     assert Companion(pattern, lambda df: companion_fields_text(df, "C")).run(text).count() == 0
 
 
+def _xml(spark, *documents):
+    rows = spark.createDataFrame(list(enumerate(documents)), "i int, content string")
+    return {r["i"]: (json.loads(r["tree"]) if r["tree"] else None, r["error"]) for r in xml_documents(rows).select("i", F.to_json("tree").alias("tree"), "error").collect()}
+
+
+def test_xml_trees(spark):
+    dc, rdf = "http://purl.org/dc/elements/1.1/", "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
+    got = _xml(
+        spark,
+        "<r><k>a</k><k> b </k><c d='1'><e>02</e></c></r>",
+        "<r>mixed <b>bold</b> text</r>",
+        f'<q:r xmlns:q="{dc}" q:a="5" b="6" xmlns:o="urn:other"><o:t>x</o:t><q:t/></q:r>',
+        f'<r xmlns="{rdf}"><a>1</a><b xmlns="">2</b></r>',
+        '<r k="0"><k a="1"><k>2</k></k><k>3</k></r>',
+        "\ufeff <?xml version='1.0' encoding='latin-1'?><!-- c --><r>é&amp;&#65;&nbsp;<![CDATA[<z>]]></r>",
+        "<a>" * 256 + "</a>" * 256,
+        "<a>" * 257 + "</a>" * 257,
+        "<r><k>a",
+        "<a></b>",
+        "words",
+        "",
+        None,
+    )
+    assert got[0] == ({"r": {"k": ["a", "b"], "c": {"d": "1", "e": "02"}}}, None)
+    assert got[1][0] == {"r": {"b": "bold", "#text": "mixed  text"}}
+    assert got[2][0] == {"dc:r": {"q": dc, "dc:a": "5", "b": "6", "o": "urn:other", "t": "x", "dc:t": ""}}
+    assert got[3][0] == {"rdf:r": {"xmlns": rdf, "rdf:a": "1", "b": {"xmlns": "", "#text": "2"}}}
+    assert got[4][0] == {"r": {"k": ["0", {"a": "1", "k": "2"}, "3"]}}
+    assert got[5] == ({"r": "é&A&nbsp;<z>"}, None)
+    assert got[6][1] is None and "256" in got[7][1]
+    assert all(got[i][0] is None and got[i][1] for i in (7, 8, 9, 10, 12)) and got[11] == ({}, None)
+
+
+def test_xml_fields(spark):
+    rows = spark.createDataFrame([('<r><a>1</a><a>2</a><q"x> </q"x></r>',), ('<r a.b="v"><c> </c></r>',), (None,)], "content string")
+    got = companion_fields_xml(rows, {"A": "a", "Dot": "a.b", "Quote": 'q"x', "C": "c", "Root": "$.r"}).collect()
+    assert got[0]["fields"] is None and got[0]["error"]  # a quote can't be in a name
+    assert [(f["name"], f["value"]) for f in got[1]["fields"]] == [("Dot", "v"), ("Root", '{"a.b":"v","c":""}')] and got[1]["error"] is None
+    assert got[2]["fields"] is None and got[2]["error"] == "no content"
+
+
+@pytest.mark.parametrize(
+    "text, records",
+    [
+        ('k,n\n1,"a\nb"\n2,c', [["k", "n"], ["1", "a\nb"], ["2", "c"]]),
+        ('a,"b""c",d"e\n', [["a", 'b"c', 'd"e']]),
+        ('"x"y",z\n"open\nend', [['x"y', "z"], ["open\nend"]]),
+        ('#c,"\n\na,\n"#q",1\r\n # kept\nlast\r', [["a", ""], ["#q", "1"], [" # kept"], ["last"]]),
+        ('"a\r\nb"\n\n"b"', [["a\nb"], ["b"]]),
+        ('"a""', [['a"']]),
+        (",\n", [["", ""]]),
+        ("", []),
+        ("\n\n#only\n", []),
+        ('"' + 'x""\n' * 50_000 + '",1', [['x"\n' * 50_000, "1"]]),
+    ],
+)
+def test_csv_records(text, records):
+    assert csv_records(text, ",", "#") == records
+    assert csv_records(text.replace(",", ";"), ";", "#") == [[c.replace(",", ";") for c in r] for r in records]
+
+
+@given(st.lists(st.lists(st.text(st.sampled_from('a," \n#é;')), min_size=1, max_size=4), max_size=5))
+def test_csv_round_trip(rows):
+    quote = lambda c: '"' + c.replace('"', '""') + '"'
+    assert csv_records("\n".join(",".join(map(quote, r)) for r in rows), ",", "#") == rows
+
+
+def test_csv_fields(spark):
+    rows = spark.createDataFrame([(1, "a,b,a\n1,2,3\n4\n"), (2, None), (3, "a\n"), (4, "")], "id int, content string")
+    got = companion_fields_csv(rows, {"A": "a", "B": "b", "C": "c", "Second": 2}).collect()
+    assert [(r["id"], r["record"], [(f["name"], f["value"]) for f in r["fields"]]) for r in got] == [(1, 1, [("A", "3"), ("B", "2"), ("Second", "2")]), (1, 2, [])]
+    got = companion_fields_csv(rows, {"First": 1}, header=False).collect()
+    assert [(r["id"], r["record"], r["fields"][0]["value"]) for r in got] == [(1, 1, "a"), (1, 2, "1"), (1, 3, "4"), (3, 1, "a")]
+
+
 def test_user_functions(spark):
     rows = spark.createDataFrame([("c", "a", 2), ("c", "b", 0)], "channel_name string, path string, n int")
 
