@@ -9,6 +9,8 @@ from .paths import _col
 
 _WHITE = " \t\n\r\x0b\x0c"
 ERROR_BYTES = 4096
+#: Beyond what a double holds.
+NUMBER_EXPONENT = 400
 ERROR_MARK = "...[truncated]"
 
 
@@ -69,16 +71,26 @@ def backoff_seconds(attempts: Column | str, base: float = 2.0, most: float = 300
 
 
 def plain_number(value: Column | str) -> Column:
-    """A number, or text that is one, as plain decimal text without exponent or trailing zeros; null if it is none.
+    """A number, or text that is one, as plain decimal text without exponent, leading or trailing zeros; null if it is none.
 
-    Numbers beyond 38 digits, or finer than 18 places, aren't supported and give null.
+    The point is moved within the text, so numbers of any length stay exact.  Numbers with an exponent beyond
+    NUMBER_EXPONENT either way give null.
     """
     text = trim_white(_col(value).cast("string"))
-    digits = F.regexp_extract(text, r"^[+-]?\d+\z", 0)
-    wide = text.try_cast("decimal(38,18)")
-    plain = F.regexp_replace(F.regexp_replace(wide.cast("string"), r"(\.\d*?)0+\z", "$1"), r"\.\z", "")
-    whole = F.regexp_replace(F.regexp_replace(digits, r"^\+", ""), r"^(-?)0+(?=\d)", "$1")
-    return F.when(digits != "", F.when(whole == "-0", F.lit("0")).otherwise(whole)).otherwise(F.when(wide == 0, F.lit("0")).otherwise(plain))
+    part = lambda i: F.regexp_extract(text, r"^([+-]?)(?=\.?\d)(\d*)\.?(\d*)(?:[eE]([+-]?\d+))?\z", i)
+    whole, fraction = part(2), part(3)
+    exponent = F.when(part(4) == "", F.lit(0)).otherwise(part(4).try_cast("int"))
+    digits, point = F.concat(whole, fraction), F.length(whole) + exponent  # the point stands before digits[point]
+    zeros = lambda n: F.repeat(F.lit("0"), F.greatest(n, F.lit(0)))
+    before = F.concat(F.substring(digits, F.lit(1), F.greatest(point, F.lit(0))), zeros(point - F.length(digits)))
+    after = F.concat(zeros(-point), F.substring(digits, F.greatest(point, F.lit(0)) + 1, F.length(digits)))
+    before, after = F.regexp_replace(before, "^0+", ""), F.regexp_replace(after, r"0+\z", "")
+    plain = F.concat(
+        F.when((part(1) == "-") & ((before != "") | (after != "")), "-").otherwise(""),
+        F.when(before == "", "0").otherwise(before),
+        F.when(after == "", "").otherwise(F.concat(F.lit("."), after)),
+    )
+    return F.when((digits != "") & F.abs(exponent).between(0, NUMBER_EXPONENT), plain)
 
 
 def http_category(status: Column | str) -> Column:

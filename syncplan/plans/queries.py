@@ -507,10 +507,16 @@ def _(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", P.redact_urls("url").alias("url"))
 
 
-@query("x19_plain_number", "SELECT o_orderkey, CASE WHEN contains(t, '.') THEN rtrim(rtrim(t, '0'), '.') ELSE t END AS number FROM (SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS STRING) AS t FROM orders)")
-def _(spark, d):
-    orders = spark.read.parquet(f"{d}/orders.parquet")
-    return orders.select("o_orderkey", V.plain_number(F.col("o_totalprice").cast("decimal(18,2)")).alias("number"))
+@query("x19_plain_number", """
+SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN concat(k, repeat('7', 40)) WHEN 1 THEN concat('-', k, repeat('0', 30)) WHEN 2 THEN concat('0.', repeat('0', 30 - CAST(length(k) AS INT)), k, '5')
+ WHEN 3 THEN concat(k, '.25') WHEN 4 THEN NULL WHEN 5 THEN concat(k, '12.5') WHEN 6 THEN concat('0.', repeat('0', 40), rtrim(k, '0')) ELSE CASE WHEN contains(t, '.') THEN rtrim(rtrim(t, '0'), '.') ELSE t END END AS number
+FROM (SELECT o_orderkey, CAST(o_orderkey + 1 AS STRING) AS k, CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS STRING) AS t FROM orders)""")
+def _(spark, d):
+    """Integers of over 40 digits, exponents both ways, signs and zeros that go, and what is no number."""
+    orders, k = spark.read.parquet(f"{d}/orders.parquet"), (F.col("o_orderkey") + 1).cast("string")
+    c = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    shapes = [c("+", k, "7" * 40), c("-", k, "e30"), c(k, ".50E-30"), c(" 00", k, ".2500\n"), c(k, "-"), c(k, ".125e+2"), c("0.", "0" * 40, k), F.col("o_totalprice").cast("decimal(18,2)").cast("string")]
+    return orders.select("o_orderkey", V.plain_number(F.element_at(F.array(*shapes), (F.col("o_orderkey") % 8 + 1).cast("int"))).alias("number"))
 
 
 @query("x20_classify_outcomes", """

@@ -1,6 +1,9 @@
 import datetime
+from decimal import Decimal, localcontext
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from syncplan.functions import paths as P
@@ -49,6 +52,22 @@ def test_plain_number(spark):
     values = ["1234", "3.14", "1.5E7", "3.0", "-0.0", "+007", "0.00000001", "", "abc", "12345678901234567890123456789012345678", "-12.500"]
     want = ["1234", "3.14", "15000000", "3", "0", "7", "0.00000001", None, None, "12345678901234567890123456789012345678", "-12.5"]
     assert _map(spark, values, V.plain_number) == want
+    values = ["1" * 40 + ".5", "1e30", "-1e-19", "0.0000000000000000001", ".5", "5.", "1.e2", "12.50e-1", "-0e9", "1e400", "1e401", "1e99999999999", ".", "e5", "1 2", "NaN", "-00012.300E+1"]
+    assert _map(spark, values, V.plain_number) == [None if v in ("1e401", "1e99999999999", ".", "e5", "1 2", "NaN") else _plain(v) for v in values]
+
+
+def _plain(text):
+    out = format(Decimal(text), "f")
+    out = out.rstrip("0").rstrip(".") if "." in out else out
+    return out.removeprefix("-") if not Decimal(text) else out
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.builds(lambda s, a, b, e: f"{s}{a}{b}{e}", st.sampled_from(["", "+", "-"]), st.from_regex(r"\A[0-9]{1,45}\Z"), st.from_regex(r"\A(\.[0-9]{0,45})?\Z"), st.from_regex(r"\A([eE][+-]?[0-9]{1,2})?\Z")), min_size=200, max_size=200))
+def test_plain_numbers_of_any_size(spark, values):
+    with localcontext() as c:
+        c.prec = 400
+        assert _map(spark, values, V.plain_number) == [_plain(v) for v in values]
 
 
 def test_errors_and_sizes(spark):
