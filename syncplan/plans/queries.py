@@ -22,7 +22,7 @@ from ..operators.ignore import event_eligible, filter_ignored, ignore_predicate
 from ..operators.watchers import Watcher, assign_watcher, normalize_watchers
 from ..scratch import shared_dir
 from ..sources.listing import copy_assets, entries_from_inventory, list_entries, read_companions, segment_counts, segment_plan, smallest_first, under_prefix
-from ..streaming.sync import Refreshing, companion_stream, diff_stream, isolated, scan_once, use_state_store, with_plan_id, write_once
+from ..streaming.sync import Refreshing, companion_stream, diff_stream, isolated, scan_once, use_state_store, with_plan_id, write_once, written_plans
 from .views import view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -753,13 +753,32 @@ def _(spark, d):
     return L.ledger_state(L.read_ledger(spark, path))
 
 
-@query("k01_commit_snapshot", f"SELECT path, change FROM ({_DIFF}) WHERE change <> 'unchanged'")
+_K01 = """
+WITH a AS (SELECT path, size, hash, 0 AS gen FROM v_prev UNION ALL SELECT path, size, hash, 1 FROM v_cur UNION ALL SELECT path, size + 5, hash, 2 FROM v_cur WHERE size % 9 <> 0 UNION ALL SELECT path, size, hash, 3 FROM v_prev)"""
+
+
+@query("k01_commit_snapshot", f"{_K01} SELECT 3 - gen AS generations_back, path, size, hash FROM a WHERE gen >= 2 UNION ALL SELECT -1, concat('kept ', CAST(g AS STRING)), NULL, NULL FROM (SELECT unnest([3, 4]) AS g)")
 def _(spark, d):
+    """Four generations of a scope as a base and changes: the last two, and the numbers of those that can be read."""
     path, schema = shared_dir(spark), "path string, size long, mtime timestamp_ntz, hash string"
+    prev, cur = (view(spark, d, v).withColumn("mtime", F.col("mtime").cast("timestamp_ntz")) for v in ("v_prev", "v_cur"))
+    for rows in (prev, cur, cur.filter("size % 9 <> 0").withColumn("size", F.col("size") + 5), prev):
+        D.commit_snapshot(rows.select("path", "size", "mtime", "hash"), path, "orders#w")
+    out = spark.createDataFrame([(-1, f"kept {g}", None, None) for g in D.generations(spark, path, "orders#w")], "generations_back int, path string, size long, hash string")
+    for back, generation in ((0, None), (1, 3)):
+        rows = D.load_snapshot(spark, path, "orders#w", schema, generation)
+        out = out.unionByName(rows.select(F.lit(back).alias("generations_back"), "path", "size", "hash"))
+    return out
+
+
+@query("k01_base_and_deltas", f"SELECT path, change FROM ({_DIFF}) WHERE change <> 'unchanged'")
+def _(spark, d):
+    """What a scan writes: its changes alone, as they are handed on."""
+    state = D.SnapshotState(spark, shared_dir(spark), "orders", "path string, size long, mtime timestamp_ntz, hash string")
     for v in ("v_prev", "v_cur"):
-        D.commit_snapshot(view(spark, d, v).withColumn("mtime", F.col("mtime").cast("timestamp_ntz")), path, "orders#w")
-    old, new = (D.load_snapshot(spark, path, "orders#w", schema, g) for g in (1, 2))
-    return D.events(D.diff_snapshots(old, new)).select("path", "change")
+        pieces, changes = state.stage(view(spark, d, v).select("path", "size", F.col("mtime").cast("timestamp_ntz").alias("mtime"), "hash"))
+        state.commit(pieces)
+    return changes.select("path", F.when(F.col("_deleted"), "deleted").when(F.col("_was"), "modified").otherwise("new").alias("change"))
 
 
 @query("k02_append_sync_log", "SELECT channel_name, source_path, source_version, source_stem, source_dir FROM v_sync_log UNION ALL SELECT channel_name, concat('new/', source_path), 'v1', concat('new/', source_stem), concat('new/', source_dir) FROM (SELECT DISTINCT channel_name, source_path, source_stem, source_dir FROM v_sync_log WHERE id % 10 = 0)")
@@ -831,7 +850,7 @@ def _(spark, d):
     path, plan = shared_dir(spark), view(spark, d, "v_events").withColumn("channel_name", F.lit("x"))
     for batch, rows in enumerate((plan.filter("seq % 3 = 0"), plan.filter("seq % 3 <> 1"), plan)):
         write_once(spark, rows, path, batch)
-    return spark.read.parquet(path).select("path", "hash")
+    return written_plans(spark, path, "path string, hash string")
 
 
 _PASSES = ("v_prev", "v_cur", "v_prev")

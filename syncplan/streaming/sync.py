@@ -6,16 +6,16 @@ import datetime
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from ..operators.diff import commit_snapshot, diff_snapshots, events, load_snapshot
+from ..operators.diff import DELTAS, SnapshotState
 from ..operators.ignore import filter_ignored
 from ..operators.watchers import Watcher, assign_watcher
 from ..schemas import CREATE, DELETE, ENTRY, UPDATE
 from ..scratch import shared_dir
+from ..sources.store import BucketStore
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -31,17 +31,24 @@ def scan_once(
     handle: Callable[[DataFrame], None],
     ignore: Iterable[str] = (),
 ) -> int:
-    """Lists what the watcher owns, hands its changes over, and then commits the listing as its new state.
+    """Lists what the watcher owns, hands its changes over, and then makes them its new state.
 
-    The state is committed last: if ``handle`` fails the same changes come again.
+    The changes are written before they are handled, and those that were written are committed, so a listing that goes on
+    changing can't lose any between the two.  They are committed last: if ``handle`` fails they come again.
     """
     scope = connector if not watcher.prefix else f"{connector}#{watcher.prefix}"
     listing = filter_ignored(list_entries(watcher.prefix), ignore)
     own = assign_watcher(listing, watchers).filter(F.col("watcher") == watcher.prefix).drop("watcher")
-    prev = load_snapshot(spark, state_path, scope, ENTRY)
-    changed = events(diff_snapshots(prev, own, observed)).withColumn("connector", F.lit(connector))
-    handle(changed)
-    return commit_snapshot(own, state_path, scope)
+    state = SnapshotState(spark, state_path, scope, ENTRY)
+    pieces, changed = state.stage(own)
+    kind = F.when(F.col("_deleted"), DELETE).when(F.col("_was"), UPDATE).otherwise(CREATE)
+    change = F.when(F.col("_deleted"), "deleted").when(F.col("_was"), "modified").otherwise("new")
+    try:
+        handle(changed.select("path", "size", "mtime", "hash", "metadata", change.alias("change"), kind.alias("kind"), F.lit(observed).alias("observed"), F.lit(connector).alias("connector")))
+    except Exception:
+        state.store.discard(pieces)
+        raise
+    return state.commit(pieces)
 
 
 def watch(spark: SparkSession, watcher: Watcher, scan: Callable[[datetime.datetime], None], checkpoint: str) -> StreamingQuery:
@@ -159,15 +166,29 @@ def with_plan_id(plan: DataFrame) -> DataFrame:
     return plan.withColumn("plan_id", F.sha2(F.concat_ws("\x00", *parts), 256))
 
 
-def write_once(spark: SparkSession, plan: DataFrame, path: str, batch_id: int) -> None:
-    """Appends plans that are not there yet; a repeated batch replaces its own folder, so nothing is written twice."""
-    rows = with_plan_id(plan).dropDuplicates(["plan_id"])
-    try:
-        done = spark.read.parquet(path).filter(F.col("batch") != batch_id).select("plan_id")
-        rows = rows.join(done, "plan_id", "left_anti")
-    except AnalysisException:
-        pass
-    rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+def write_once(spark: SparkSession, plan: DataFrame, path: str, batch_id: int = 0) -> int:
+    """Appends plans that are not there yet, and returns the version that has them; a repeated batch adds nothing.
+
+    Plans lie in buckets of their ids, and only the buckets of the batch's ids are read.  A batch is seen whole or not at
+    all, so one that failed half-way leaves nothing.
+    """
+    store, rows = BucketStore(spark, path, {"plans": "plan_id"}), with_plan_id(plan)
+    met = store.touched(rows, "plan_id")
+    done = store.read("plans", "plan_id string", met)
+    new = store.stage("plans", rows.dropDuplicates(["plan_id"]).join(done, "plan_id", "left_anti"))
+    version = store.commit(new, note=str(batch_id))
+    store.compact("plans", _ddl(rows), DELTAS, lambda merged, whole: merged)
+    return version
+
+
+def written_plans(spark: SparkSession, path: str, schema: str, of: DataFrame | None = None) -> DataFrame:
+    """Plans that ``write_once`` has written; of those of the rows ``of`` (with plan_id) only their buckets are read."""
+    store = BucketStore(spark, path, {"plans": "plan_id"})
+    return store.read("plans", schema, None if of is None else store.touched(of, "plan_id"))
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
 def _written(df: DataFrame) -> DataFrame:

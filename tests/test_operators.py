@@ -1,5 +1,6 @@
 import datetime
 import json
+import random
 
 import pytest
 from hypothesis import given
@@ -20,6 +21,7 @@ from syncplan.operators.ignore import filter_ignored, ignore_lines, pattern_rege
 from syncplan.operators.metrics import ema
 from syncplan.operators.watchers import Watcher, assign_watcher, normalize_watchers, sub_prefixes
 from syncplan.schemas import SYNC_LOG
+from syncplan.sources.store import BucketStore
 from syncplan.sources.listing import copy_assets, list_entries, read_companions, segment_plan
 
 T0 = datetime.datetime(2024, 1, 1)
@@ -434,11 +436,59 @@ def test_ema_of_a_run_on_many_tasks(spark):
         assert abs(got[k] - value) < 1e-9
 
 
-def test_old_generations_are_emptied(spark, tmp_path):
+def test_generations_that_are_gone_are_an_error(spark, tmp_path):
     for n in range(1, 6):
         commit_snapshot(spark.range(n).selectExpr("cast(id as string) as path"), str(tmp_path), "s")
-    counts = [load_snapshot(spark, str(tmp_path), "s", "path string", g).count() for g in range(1, 6)]
-    assert counts == [0, 0, 0, 4, 5]
+    assert D.generations(spark, str(tmp_path), "s") == [4, 5]
+    assert [load_snapshot(spark, str(tmp_path), "s", "path string", g).count() for g in (4, 5, None)] == [4, 5, 5]
+    for g in (1, 3, 6):
+        with pytest.raises(ValueError, match="isn't kept"):
+            load_snapshot(spark, str(tmp_path), "s", "path string", g)
+
+
+def _bytes(path):
+    return sum(p.stat().st_size for p in path.rglob("*.parquet"))
+
+
+def test_a_scan_writes_what_changed(spark, tmp_path):
+    """Against a plain dict, over many scans; the bytes of a scan follow its changes and not the listing."""
+    rng, now = random.Random(5), {f"d{i % 7}/f{i}": 1 for i in range(3000)}
+    state = D.SnapshotState(spark, str(tmp_path), "s", "path string, size long, mtime timestamp, hash string")
+    listing = lambda rows: spark.createDataFrame([(p, v, T0, f"h{v}") for p, v in rows.items()], "path string, size long, mtime timestamp, hash string")
+    state.commit(state.stage(listing(now))[0])
+    whole = _bytes(tmp_path)
+    for scan in range(16):
+        before, new = dict(now), {f"n{scan}-{i}": 1 for i in range(3)}
+        for p in rng.sample(sorted(now), 4):
+            now[p] += 1
+        for p in rng.sample(sorted(now), 3):
+            del now[p]
+        now |= new | ({"d0/f0": 9} if scan % 2 else {})
+        pieces, changes = state.stage(listing(now))
+        got = {r["path"]: "deleted" if r["_deleted"] else "modified" if r["_was"] else "new" for r in changes.collect()}
+        expected = {p: "new" if p not in before else "deleted" if p not in now else "modified" for p in before.keys() | now.keys() if before.get(p) != now.get(p)}
+        assert got == expected
+        written = _bytes(tmp_path / "scope=s/state" / pieces.name)
+        assert written < whole / 3  # a dozen rows in as many files; the listing has 3,000
+        assert state.commit(pieces) == scan + 2
+        assert {r["path"]: r["size"] for r in state.load().collect()} == now
+        assert {r["path"]: r["size"] for r in state.load(scan + 1).collect()} == before
+    assert max(len(p) for p in state.store.pieces("state").values()) <= D.DELTAS
+    names = {n for v in state.store.kept["versions"] for own in v["tables"].values() for pieces in own.values() for n in pieces}
+    assert {p.name for p in (tmp_path / "scope=s/state").iterdir()} == names  # nothing else is left
+
+
+def test_one_writer_at_a_time_and_failed_reads(spark, tmp_path):
+    a, b = (BucketStore(spark, str(tmp_path), {"t": "id"}) for _ in range(2))
+    rows = spark.createDataFrame([("x",), (None,)], "id string")
+    a.commit(a.stage("t", rows))
+    with pytest.raises(RuntimeError, match="another writer"):
+        b.commit(b.stage("t", rows))
+    assert BucketStore(spark, str(tmp_path), {"t": "id"}).read("t", "id string").count() == 2
+    (tmp_path / "pointer.json").write_text("{")  # damaged: an error, and not an empty state that the next commit would overwrite
+    with pytest.raises(Exception, match="Checksum|Expecting"):
+        BucketStore(spark, str(tmp_path), {"t": "id"})
+
 
 
 def test_redacted_addresses(spark):

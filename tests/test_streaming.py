@@ -1,9 +1,14 @@
 import datetime
+import os
 
+import pandas as pd
 from pyspark.sql import functions as F
 
+from syncplan.operators.diff import load_snapshot
 from syncplan.operators.watchers import Watcher, normalize_watchers
-from syncplan.streaming.sync import Refreshing, companion_stream, diff_stream, isolated, scan_once, use_state_store, watch, write_once
+from syncplan.schemas import ENTRY
+from syncplan.sources.store import BucketStore
+from syncplan.streaming.sync import Refreshing, companion_stream, diff_stream, isolated, scan_once, use_state_store, watch, with_plan_id, write_once, written_plans
 
 T0 = datetime.datetime(2024, 1, 1)
 FEED = "scope string, path string, seq long, size long, mtime timestamp, hash string, deleted boolean"
@@ -85,7 +90,43 @@ def test_plans_are_written_once(spark, tmp_path):
     plan = spark.createDataFrame([("c", "a", "v1"), ("c", "a", "v1"), ("c", "b", "v1")], "channel_name string, path string, hash string")
     for batch in (0, 0, 1):
         write_once(spark, plan, str(tmp_path / "plans"), batch)
-    assert spark.read.parquet(str(tmp_path / "plans")).count() == 2
+    assert written_plans(spark, str(tmp_path / "plans"), "path string").count() == 2
+
+
+def test_a_batch_reads_the_buckets_of_its_ids(spark, tmp_path):
+    path, schema = str(tmp_path / "plans"), "plan_id string, channel_name string, path string, hash string"
+    plan = lambda *ids: spark.createDataFrame([("c", f"p{i}", "v") for i in ids], "channel_name string, path string, hash string")
+    for batch in range(20):  # more pieces than a bucket may have
+        write_once(spark, plan(*range(batch * 20, batch * 20 + 40)), path, batch)
+    assert sorted(int(r["path"][1:]) for r in written_plans(spark, path, schema).collect()) == list(range(420))
+    store = BucketStore(spark, path, {"plans": "plan_id"})
+    assert max(len(p) for p in store.pieces("plans").values()) <= 13
+    few = written_plans(spark, path, schema, of=with_plan_id(plan(3, 7)))
+    assert 0 < few.count() < 60 and few.filter("path in ('p3', 'p7')").count() == 2
+    read = few._jdf.queryExecution().executedPlan().toString()
+    assert len(few.inputFiles()) < len(written_plans(spark, path, schema).inputFiles()) / 5 and "FileScan" in read
+
+
+def test_a_listing_that_changes_while_it_is_handled_loses_nothing(spark, tmp_path):
+    """Each evaluation of this listing gives a file more."""
+    calls, seen = [], []
+
+    def moving(prefix):
+        def rows(_):
+            n = len(os.listdir(tmp_path / "calls"))
+            (tmp_path / "calls" / str(n)).touch()
+            yield pd.DataFrame({"path": [f"f{i}" for i in range(n + 1)], "size": 1, "mtime": T0, "hash": "h", "metadata": None})
+
+        calls.append(prefix)
+        return spark.range(1, numPartitions=1).mapInPandas(rows, ENTRY)
+
+    (tmp_path / "calls").mkdir()
+    watchers = normalize_watchers([], 60)
+    for _ in range(3):
+        scan_once(spark, moving, watchers[0], watchers, str(tmp_path / "state"), "c", T0, lambda df: seen.extend((r["path"], r["kind"]) for r in df.collect() + df.collect()))
+    assert len(calls) == 3 and set(k for _, k in seen) == {"OnCreate"}
+    state = {r["path"] for r in load_snapshot(spark, str(tmp_path / "state"), "c", ENTRY).collect()}
+    assert state == {p for p, _ in seen} and len(seen) == 2 * len(state)
 
 
 def test_refresh_and_isolation(spark):
