@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import LEDGER
+from ..sources.store import read_text, replace_text
 from .manifest import DONE
 
 MARKERS = ("uploaded", "filed")
@@ -31,15 +32,22 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_ledger(rows: DataFrame, path: str) -> None:
-    """Adds rows, in their order, as the ledger's next run.  A ledger has one writer at a time."""
-    try:
-        last = rows.sparkSession.read.schema("run long").json(path).agg(F.max("run")).first()[0]
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        last = None
-    numbered = rows.withColumns({"run": F.lit((last or 0) + 1).cast("long"), "at": F.monotonically_increasing_id()})
-    numbered.write.mode("append").json(path)
+    """Adds rows, in their order, as the ledger's next run.  A ledger has one writer at a time.
+
+    The number of the last run lies in a small file beside the rows, which readers pass over, and is taken before rows are
+    written; only of a ledger without that file all rows are read.
+    """
+    spark, pointer = rows.sparkSession, f"{path.rstrip('/')}/_run"
+    last = read_text(spark, pointer)
+    if last is None:
+        try:
+            last = spark.read.schema("run long").json(path).agg(F.max("run")).first()[0]
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    run = int(last or 0) + 1
+    replace_text(spark, pointer, str(run))
+    rows.withColumns({"run": F.lit(run).cast("long"), "at": F.monotonically_increasing_id()}).write.mode("append").json(path)
 
 
 def ledger_state(ledger: DataFrame) -> DataFrame:

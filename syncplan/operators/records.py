@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import datetime
+from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import BUCKETS, BucketStore
 from .manifest import is_record_id
 
 CHUNK = 1000
@@ -30,6 +32,11 @@ def resolve_master_files(lines: DataFrame, files: DataFrame, id: str = "id") ->
     return lines.join(masters, id, "left").withColumn("master_file_id", F.when(is_record_id(id), F.col("master_file_id")))
 
 
+def record_id() -> Column:
+    """The id of a plan's record: the one that it names, or one made of the plan's."""
+    return F.coalesce(F.nullif("dest_id", F.lit("")), F.substring(F.sha2(F.col("plan_id").cast("string"), 256), 1, 32))
+
+
 def apply_plan(plan: DataFrame, tables: Records, now: datetime.datetime) -> Records:
     """The tables after a plan (plan_id, dest_id, path, hash, size, status, fields); ``path`` is null for a patch.
 
@@ -37,8 +44,7 @@ def apply_plan(plan: DataFrame, tables: Records, now: datetime.datetime) -> Reco
     new file where there is none.  Fields replace those of the same id.  A patch with no fields and no status does nothing.
     At most one row a record; the last plan id counts.
     """
-    made = F.substring(F.sha2(F.col("plan_id").cast("string"), 256), 1, 32)
-    rows = plan.withColumn("record_id", F.coalesce(F.nullif("dest_id", F.lit("")), made))
+    rows = plan.withColumn("record_id", record_id())
     rows = rows.filter(F.col("path").isNotNull() | (F.coalesce("status", F.lit("")) != "") | (F.size(F.coalesce("fields", F.array().cast(plan.schema["fields"].dataType))) > 0))
     rest = [c for c in rows.columns if c != "record_id"]
     rows = rows.groupBy("record_id").agg(F.max_by(F.struct(*rest), "plan_id").alias("p")).select("record_id", "p.*")
@@ -58,6 +64,42 @@ def apply_plan(plan: DataFrame, tables: Records, now: datetime.datetime) -> Reco
     return Records(records, tables.files.unionByName(new_files), tables.versions.unionByName(new_versions), kept.unionByName(new_fields))
 
 
+TABLES = {
+    "records": "record_id string, status string, updated timestamp",
+    "files": "record_id string, file_id string, is_master boolean",
+    "versions": "record_id string, file_id string, version int, path string, hash string, size long",
+    "fields": "record_id string, field_id string, localized array<struct<language_id: string, value: string>>",
+}
+
+
+class RecordStore:
+    """Record tables that are stored in buckets of record ids; a plan rewrites the buckets of its records and no others.
+
+    All four tables change at once, behind one pointer.  ``schemas`` are TABLES unless others are given.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schemas: dict[str, str] | None = None, buckets: int = BUCKETS):
+        self.schemas = TABLES | (schemas or {})
+        self.store = BucketStore(spark, path, dict.fromkeys(self.schemas, "record_id"), buckets)
+
+    def read(self, only: Iterable[int] | None = None) -> Records:
+        """The tables, or the rows of some buckets."""
+        return Records(**{t: self.store.read(t, schema, only) for t, schema in self.schemas.items()})
+
+    def put(self, tables: Records, only: Iterable[int] | None = None) -> int:
+        """Replaces all buckets, or some."""
+        wanted = list(range(self.store.buckets) if only is None else only)
+        columns = {t: self.store.spark.createDataFrame([], schema).columns for t, schema in self.schemas.items()}
+        return self.store.commit(*(self.store.stage(t, getattr(tables, t).select(*columns[t]), wanted) for t in self.schemas))
+
+    def apply(self, plan: DataFrame, now: datetime.datetime) -> list[int]:
+        """Applies a plan (see ``apply_plan``) and returns the buckets that it touched."""
+        met = self.store.touched(plan.select(record_id().alias("record_id")), "record_id")
+        if met:
+            self.put(apply_plan(plan, self.read(met), now), met)
+        return met
+
+
 def chunked(ids: DataFrame, id: str = "dest_id", chunk: int = CHUNK) -> DataFrame:
     """Adds ``chunk``: ids in ascending order, so many in each.
 

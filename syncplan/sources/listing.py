@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -13,7 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import is_under, rel_key, trim_etag, version_token
 from ..operators.companions import COMPANION_BYTES
+from ..operators.ignore import filter_ignored
 from ..schemas import ENTRY
+from ..scratch import shared_dir
 
 MIB = 1 << 20
 BLOCK = 16 * MIB
@@ -26,7 +30,8 @@ HELD = 32 * MIB
 def list_entries(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
     """ENTRY of every file below ``root``/``prefix``, paths relative to ``root``; a missing prefix gives no rows.
 
-    Contents aren't selected, so files aren't opened.
+    Contents aren't selected, so files aren't opened.  Any store that Spark reads will do, but the driver holds the listing,
+    and Spark leaves out empty files; ``walk_entries`` does neither.
     """
     base = root.rstrip("/")
     where = f"{base}/{prefix.strip('/')}" if prefix.strip("/") else base
@@ -46,6 +51,103 @@ def list_entries(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
     )
 
 
+def _open_store(root: str):
+    """Arrow's file system of a root and the root's path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
+
+
+def _children(store, folder: str) -> Iterator[tuple[str, bool, int, int]]:
+    """Name, whether it is a folder, size and nanoseconds of change of what is in a folder; nothing if it is gone.
+
+    Of a local folder, links and what is neither file nor folder are left out, so no link leads round in circles.
+    """
+    from pyarrow import fs
+
+    if isinstance(store, fs.LocalFileSystem):
+        try:
+            found = os.scandir(folder)
+        except FileNotFoundError:
+            return
+        with found:
+            for x in found:
+                if x.is_dir(follow_symlinks=False):
+                    yield x.name, True, 0, 0
+                elif x.is_file(follow_symlinks=False):
+                    try:
+                        at = x.stat(follow_symlinks=False)
+                    except FileNotFoundError:
+                        continue
+                    yield x.name, False, at.st_size, at.st_mtime_ns
+    else:
+        for x in store.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+            yield x.base_name, x.type == fs.FileType.Directory, x.size or 0, x.mtime_ns or 0
+
+
+def _expand(root: str, budget: int):
+    """For each folder what is in it; folders within it too, until the folder has given so many rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = _open_store(root)
+        for batch in batches:
+            for start in batch.column(0).to_pylist():
+                waiting, rows, given = [start], [], 0
+                while waiting:
+                    folder = waiting.pop()
+                    if given >= budget:
+                        rows.append((folder, True, 0, 0))
+                        continue
+                    for name, is_folder, size, changed in _children(store, f"{base}/{folder}".rstrip("/")):
+                        path = f"{folder}/{name}" if folder else name
+                        if is_folder:
+                            waiting.append(path)
+                        else:
+                            rows.append((path, False, size, changed // 1000))
+                            given += 1
+                        if len(rows) >= 10_000:
+                            yield _walked(rows)
+                            rows = []
+                yield _walked(rows)
+
+    return run
+
+
+def _walked(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * 4
+    kinds = (pa.string(), pa.bool_(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "folder", "size", "changed"])
+
+
+def walk_entries(spark: SparkSession, root: str, prefix: str = "", ignore: Iterable[str] = (), budget: int = 20_000) -> DataFrame:
+    """ENTRY of every file below ``root``/``prefix``, listed by tasks; a missing prefix gives no rows.
+
+    The driver holds no listing: tasks list the folders of a frontier, write files as rows to the shared folder, and hand
+    back the folders that they have not come to as the next frontier.  A task follows the folders below one until it has
+    listed ``budget`` files, so a deep tree takes few rounds and a wide one is dealt out.  Ignored folders aren't entered.
+    The store must be one that Arrow's file systems reach from the executors; of a store other than a local one, a task
+    holds the listing of one folder.
+    """
+    ignore = list(ignore)
+    frontier = spark.createDataFrame([(prefix.strip("/"),)], "path string")
+    found = None
+    while True:
+        rows = frontier.repartition("path").mapInArrow(_expand(root, budget), "path string, folder boolean, size long, changed long")
+        where = shared_dir(spark)
+        rows.write.partitionBy("folder").parquet(where)
+        made = spark.read.schema("path string, size long, changed long, folder boolean").parquet(where)
+        files = made.filter("not folder")
+        found = files if found is None else found.unionByName(files)
+        frontier = made.filter("folder").select("path")
+        if ignore:
+            frontier = filter_ignored(frontier, ignore)
+        if frontier.isEmpty():
+            break
+    mtime = F.timestamp_micros("changed")
+    out = found.select("path", "size", mtime.alias("mtime"), version_token("size", mtime).alias("hash"), F.lit(None).cast("map<string,string>").alias("metadata"))
+    return filter_ignored(out, ignore) if ignore else out
+
+
 def entries_from_inventory(
     inventory: DataFrame, prefix: str = "", key: str = "key", size: str = "size", tag: str = "etag", modified: str = "last_modified"
 ) -> DataFrame:
@@ -75,9 +177,7 @@ def read_companions(spark: SparkSession, root: str, companions: DataFrame, limit
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        store, base = fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
+        store, base = _open_store(root)
         for batch in batches:
             taken, contents, size = [], [], 0
 
@@ -106,7 +206,7 @@ def read_companions(spark: SparkSession, root: str, companions: DataFrame, limit
     return companions.repartition("path").mapInArrow(run, f"{kinds}, content binary")
 
 
-def segment_plan(entries: DataFrame, block_size: int = BLOCK, max_blocks: int = MOST_BLOCKS) -> DataFrame:
+def segment_plan(entries: DataFrame, block_size: int = BLOCK, max_blocks: int = MOST_BLOCKS, carry: tuple[str, ...] = ()) -> DataFrame:
     """``path, block, offset, length`` of each block of each file; files of no or unknown size have none.
 
     A file of more than ``max_blocks`` blocks gets larger ones, of whole mebibytes.
@@ -117,7 +217,7 @@ def segment_plan(entries: DataFrame, block_size: int = BLOCK, max_blocks: int =
     rows = entries.filter("size > 0").select("path", "size", block.alias("_block"))
     each = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / F.col("_block")))))
     offset = F.col("block") * F.col("_block")
-    return each.select("path", "block", offset.alias("offset"), F.least("_block", F.col("size") - offset).alias("length"))
+    return each.select("path", "block", offset.alias("offset"), F.least("_block", F.col("size") - offset).alias("length"), *(F.col(c) for c in carry))
 
 
 def segment_counts(entries: DataFrame, segment: int = SEGMENT) -> DataFrame:
@@ -128,60 +228,102 @@ def smallest_first(entries: DataFrame) -> DataFrame:
     return entries.orderBy("size", "path")
 
 
-def copy_assets(entries: DataFrame, source: str, target: str, block_size: int = BLOCK) -> DataFrame:
-    """Copies the files of a listing by the blocks of ``segment_plan`` and returns ``path, bytes``; tasks hold one block at a time.
+def copy_assets(entries: DataFrame, source: str, target: str, block_size: int = BLOCK, errors: str = "raise") -> DataFrame:
+    """Copies the files of a listing by the blocks of ``segment_plan`` and returns ``path, bytes, error``; tasks hold one block.
 
-    Each block is a row of its own, so blocks of one file are copied by many tasks, to files beside the target.  A file
-    is then put together under another name and renamed, so readers never see half of it and a repeated task is harmless;
-    a file of one block is only renamed.  Both stores must be ones that Arrow's file systems reach from the executors.
-    Files of unknown size (-1) are one block of whatever they hold.
+    Each block is a row of its own, so blocks of one file are copied by many tasks.  A file that isn't as long as it was
+    listed, or is gone, isn't committed: with ``errors="raise"`` the copy fails, with "rows" its row says so and has no
+    bytes.  On a local target (a shared mount) blocks are written to their places in one file, elsewhere to files of their
+    own that one task puts together, a block at a time; both lie in a folder ``_copy-...`` of the target until they are
+    whole, and the file is then renamed, so readers never see half of it and a repeated task is harmless.  Both stores must
+    be ones that Arrow's file systems reach from the executors.  Files of unknown size (-1) are one block of whatever they
+    hold.
     """
-    run_id = uuid.uuid4().hex
+    if errors not in ("raise", "rows"):
+        raise ValueError(f"errors is 'raise' or 'rows', not {errors!r}")
+    parts = f"_copy-{uuid.uuid4().hex}"
 
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def one_block(src, base, dst, top, r) -> int:
         from pyarrow import fs
 
-        src, base = fs.FileSystem.from_uri(source)
-        dst, top = fs.FileSystem.from_uri(target)
+        with src.open_input_file(f"{base}/{r.path}") as a:
+            have = a.size()
+            if r.size >= 0 and have != r.size:
+                raise ValueError(f"{r.path}: listed with {r.size} bytes, has {have}")
+            a.seek(r.offset)
+            local, n = isinstance(dst, fs.LocalFileSystem), 0
+            out = f"{top}/{parts}/{r.path}" if local else f"{top}/{parts}/{r.path}.{r.block}"
+            dst.create_dir(out.rsplit("/", 1)[0], recursive=True)
+            made = out if local else f"{out}.{uuid.uuid4().hex}"
+            b = os.fdopen(os.open(made, os.O_CREAT | os.O_WRONLY), "wb") if local else dst.open_output_stream(made)
+            with b:
+                if local:
+                    b.seek(r.offset)
+                while (r.length < 0 or n < r.length) and (data := a.read(block_size if r.length < 0 else min(block_size, r.length - n))):
+                    b.write(data)
+                    n += len(data)
+            if r.length >= 0 and n < r.length:
+                raise ValueError(f"{r.path}: {n} of {r.length} bytes from {r.offset} on")
+            if not local:
+                dst.move(made, out)
+        return n
+
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        (src, base), (dst, top) = _open_store(source), _open_store(target)
         for batch in batches:
-            sizes = []
+            sizes, wrong = [], []
             for r in batch.itertuples(index=False):
-                out, n = f"{top}/{r.path}.{run_id}.{r.block}", 0
-                part = f"{out}.{uuid.uuid4().hex}"
-                dst.create_dir(out.rsplit("/", 1)[0], recursive=True)
-                with src.open_input_file(f"{base}/{r.path}") as a, dst.open_output_stream(part) as b:
-                    a.seek(r.offset)
-                    while (r.length < 0 or n < r.length) and (data := a.read(block_size if r.length < 0 else min(block_size, r.length - n))):
-                        b.write(data)
-                        n += len(data)
-                dst.move(part, out)
-                sizes.append(n)
-            yield pd.DataFrame({"path": batch["path"], "bytes": sizes})
-
-    def commit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                try:
+                    sizes.append(one_block(src, base, dst, top, r))
+                    wrong.append(None)
+                except (ValueError, FileNotFoundError) as e:
+                    if errors == "raise":
+                        raise
+                    sizes.append(0)
+                    wrong.append(f"{r.path}: not found" if isinstance(e, FileNotFoundError) else str(e))
+            yield pd.DataFrame({"path": batch["path"], "bytes": sizes, "error": wrong})
+
+    def whole_file(dst, top, r) -> None:
+        """Puts a file in its place; its parts are gone if a task before this one has done so."""
         from pyarrow import fs
 
-        dst, top = fs.FileSystem.from_uri(target)
+        out = f"{top}/{r.path}"
+        dst.create_dir(out.rsplit("/", 1)[0], recursive=True)
+        if isinstance(dst, fs.LocalFileSystem):
+            part = f"{top}/{parts}/{r.path}"
+            if os.path.exists(part):
+                os.truncate(part, r.bytes)
+                os.replace(part, out)
+                with contextlib.suppress(OSError):
+                    os.removedirs(os.path.dirname(part))
+            return
+        each = [f"{top}/{parts}/{r.path}.{i}" for i in range(r.blocks)]
+        left = {x.path for x in dst.get_file_info(each) if x.type != fs.FileType.NotFound}
+        if len(left) < len(each):
+            return
+        made = each[0]
+        if len(each) > 1:
+            made = f"{top}/{parts}/{r.path}.{uuid.uuid4().hex}"
+            with dst.open_output_stream(made) as b:
+                for part in each:
+                    with dst.open_input_stream(part) as a:
+                        while data := a.read(block_size):
+                            b.write(data)
+        dst.move(made, out)
+        for part in left - {made}:
+            dst.delete_file(part)
+
+    def commit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        dst, top = _open_store(target)
         for batch in batches:
             for r in batch.itertuples(index=False):
-                out, parts = f"{top}/{r.path}", [f"{top}/{r.path}.{run_id}.{i}" for i in range(r.blocks)]
-                left = {x.path for x in dst.get_file_info(parts) if x.type != fs.FileType.NotFound}
-                if len(left) == len(parts):  # else a task before this one has committed the file
-                    whole = parts[0]
-                    if len(parts) > 1:
-                        whole = f"{out}.{run_id}.{uuid.uuid4().hex}"
-                        with dst.open_output_stream(whole) as b:
-                            for part in parts:
-                                with dst.open_input_stream(part) as a:
-                                    while data := a.read(block_size):
-                                        b.write(data)
-                    dst.move(whole, out)
-                for part in left - {whole} if len(left) == len(parts) else left:
-                    dst.delete_file(part)
-            yield batch[["path", "bytes"]]
-
-    rest = entries.filter("size <= 0").select("path", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("offset"), F.greatest(F.col("size"), F.lit(-1)).alias("length"))
-    plan = segment_plan(entries, block_size).unionByName(rest).repartition("path", "block")
-    copied = plan.mapInPandas(blocks, "path string, bytes long")
-    files = copied.groupBy("path").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("blocks"))
-    return files.mapInPandas(commit, "path string, bytes long")
+                if r.error is None:
+                    whole_file(dst, top, r)
+            yield batch[["path", "bytes", "error"]]
+
+    rest = entries.filter("size <= 0").select("path", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("offset"), F.greatest(F.col("size"), F.lit(-1)).alias("length"), "size")
+    plan = segment_plan(entries, block_size, carry=("size",)).unionByName(rest).repartition("path", "block")
+    copied = plan.mapInPandas(blocks, "path string, bytes long, error string")
+    bad = F.min("error")
+    files = copied.groupBy("path").agg(F.when(bad.isNull(), F.sum("bytes")).otherwise(0).alias("bytes"), F.count("*").alias("blocks"), bad.alias("error"))
+    return files.mapInPandas(commit, "path string, bytes long, error string")

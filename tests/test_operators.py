@@ -1,6 +1,7 @@
 import datetime
 import json
 import random
+import re
 
 import pytest
 from hypothesis import given
@@ -22,7 +23,8 @@ from syncplan.operators.metrics import ema
 from syncplan.operators.watchers import Watcher, assign_watcher, normalize_watchers, sub_prefixes
 from syncplan.schemas import SYNC_LOG
 from syncplan.sources.store import BucketStore
-from syncplan.sources.listing import copy_assets, list_entries, read_companions, segment_plan
+from syncplan.operators.records import TABLES, Records, RecordStore, apply_plan
+from syncplan.sources.listing import copy_assets, list_entries, read_companions, segment_plan, walk_entries
 
 T0 = datetime.datetime(2024, 1, 1)
 
@@ -425,6 +427,75 @@ def test_copy_by_blocks(spark, tmp_path):
     assert found == contents
 
 
+def test_copies_of_files_that_are_not_as_listed(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, size in (("short", 9000), ("long", 30_000), ("right", 20_000), ("any", 77)):
+        (tmp_path / "in" / name).write_bytes(bytes(i % 251 for i in range(size)))
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out/short").write_text("before")
+    entries = spark.createDataFrame([(n, 20_000) for n in ("short", "long", "right", "gone")] + [("any", -1)], "path string, size long")
+    with pytest.raises(Exception, match="listed with 20000 bytes"):
+        copy_assets(entries.filter("path = 'short'"), f"file://{tmp_path}/in", f"file://{tmp_path}/out").collect()
+    rows = {r["path"]: r for r in copy_assets(entries, f"file://{tmp_path}/in", f"file://{tmp_path}/out", block_size=1000, errors="rows").collect()}
+    assert {p: r["bytes"] for p, r in rows.items()} == {"short": 0, "long": 0, "gone": 0, "right": 20_000, "any": 77}
+    assert {p for p, r in rows.items() if r["error"]} == {"short", "long", "gone"} and "has 9000" in rows["short"]["error"]
+    assert {p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith("_copy-")} == {"short", "right", "any"}
+    assert (tmp_path / "out/short").read_text() == "before" and (tmp_path / "out/right").read_bytes() == (tmp_path / "in/right").read_bytes()
+
+
+def test_a_walk_by_tasks(spark, tmp_path):
+    """Many folders, a deep one, links round in circles, and ignored folders that can't even be entered."""
+    files = {f"a{i % 5}/b{i % 11}/f{i}": i % 13 for i in range(400)} | {"/".join(["deep"] * 40) + "/x": 1, "top.txt": 3, "skip/d/x": 1}
+    for name, size in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x" * size)
+    (tmp_path / "a0/loop").symlink_to(tmp_path)
+    (tmp_path / "link").symlink_to(tmp_path / "top.txt")
+    listed = {r["path"]: r["size"] for r in list_entries(spark, str(tmp_path), "a1").collect()}
+    for budget in (20, 10**6):
+        rows = walk_entries(spark, str(tmp_path), budget=budget).collect()
+        assert {r["path"]: r["size"] for r in rows} == files and len(rows) == len(files)
+        assert all(r["hash"] == f"{r['size']}-{int(r['mtime'].timestamp() * 1_000_000)}" for r in rows[:1]) or rows[0]["hash"].startswith(f"{rows[0]['size']}-")
+        assert {r["path"]: r["size"] for r in walk_entries(spark, str(tmp_path), "a1", budget=budget).filter("size > 0").collect()} == listed
+    kept = {r["path"] for r in walk_entries(spark, f"file://{tmp_path}", ignore=["skip/", "f?"]).collect()}
+    assert kept == {p for p in files if not p.startswith("skip/") and not re.search(r"/f.$", p)}
+    assert walk_entries(spark, str(tmp_path), "none").count() == 0
+
+
+def test_a_plan_rewrites_the_buckets_of_its_records(spark, tmp_path):
+    ids = [f"r{i}" for i in range(200)]
+    old = spark.createDataFrame([(i, "draft", T0) for i in ids], TABLES["records"])
+    files = spark.createDataFrame([(i, f"f-{i}", True) for i in ids], TABLES["files"])
+    versions = spark.createDataFrame([(i, f"f-{i}", 1, "old", "h", 1) for i in ids], TABLES["versions"])
+    fields = spark.createDataFrame([(i, "t", [("l", "old")]) for i in ids], TABLES["fields"])
+    store = RecordStore(spark, str(tmp_path))
+    store.put(Records(old, files, versions, fields))
+    before = store.store.pieces("fields")
+    plan = spark.createDataFrame([(1, "r5", "p", "h2", 9, "released", [("t", [("l", "new")])]), (2, None, "q", "h", 3, None, None)], "plan_id long, dest_id string, path string, hash string, size long, status string, fields array<struct<field_id: string, localized: array<struct<language_id: string, value: string>>>>")
+    met = RecordStore(spark, str(tmp_path)).apply(plan, T0)
+    now = RecordStore(spark, str(tmp_path))
+    assert len(met) <= 2 and {b for b, p in now.store.pieces("fields").items() if p != before.get(b)} <= set(met)
+    assert len(now.read(met).records.inputFiles()) <= 2 < len(now.read().records.inputFiles())
+    whole = apply_plan(plan, Records(old, files, versions, fields), T0)
+    for table in TABLES:
+        a, b = getattr(now.read(), table), getattr(whole, table)
+        assert sorted(map(str, (tuple(r) for r in a.select(*b.columns).collect()))) == sorted(map(str, (tuple(r) for r in b.collect())))
+
+
+def test_runs_of_a_ledger_are_numbered_without_reading_it(spark, tmp_path):
+    path = str(tmp_path / "l")
+    rows = spark.createDataFrame([(1, "h", "created")], "line long, hash string, action string")
+    for _ in range(2):
+        L.append_ledger(rows, path)
+    (tmp_path / "l/part-torn.json").write_text('{"run": 7')
+    L.append_ledger(rows, path)
+    assert sorted(r["seq"]["run"] for r in L.read_ledger(spark, path).collect()) == [1, 2, 3]
+    (tmp_path / "l/_run").unlink()
+    (tmp_path / "l/._run.crc").unlink()
+    L.append_ledger(rows, path)
+    assert L.read_ledger(spark, path).agg(F.max("seq.run")).first()[0] == 4
+
+
 def test_ema_of_a_run_on_many_tasks(spark):
     rows = [(k, t, float((t * 7 + k) % 11)) for k in range(3) for t in range(500 if k == 0 else 3)] + [(0, None, 5.0), (1, 9, None)]
     df = spark.createDataFrame(rows, "k int, t int, v double").repartition(5)
