@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +22,7 @@ from ..operators.ignore import event_eligible, filter_ignored, ignore_predicate
 from ..operators.watchers import Watcher, assign_watcher, normalize_watchers
 from ..scratch import shared_dir
 from ..sources.listing import copy_assets, entries_from_inventory, list_entries, read_companions, segment_counts, segment_plan, smallest_first, under_prefix, walk_entries
-from ..streaming.sync import Refreshing, companion_stream, diff_stream, isolated, scan_once, use_state_store, with_plan_id, write_once, written_plans
+from ..streaming.sync import Refreshing, companion_stream, diff_stream, isolated, retry_stream, scan_once, use_state_store, with_plan_id, write_once, written_plans
 from .views import view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -851,24 +851,31 @@ def _saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _streamed(spark: SparkSession, feed: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """All rows that the stream makes of the feed, which comes in one batch."""
+def _streamed(spark: SparkSession, batches: Iterable[DataFrame], make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All rows that the stream makes of the feed, which comes in batches; state goes over from one run to the next."""
     use_state_store(spark)
     source, out, checkpoint = (shared_dir(spark) for _ in range(3))
-    feed.write.parquet(source)
-    made = make(spark.readStream.schema(feed.schema).parquet(source))
-    writer = made.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append")
-    writer.trigger(availableNow=True).start().awaitTermination()
+    for rows in batches:
+        rows.write.mode("append").parquet(source)
+        made = make(spark.readStream.schema(rows.schema).parquet(source))
+        writer = made.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append")
+        writer.trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(made.schema).parquet(out)
 
 
+def _in_turn(feed: DataFrame, n: int = 3) -> list[DataFrame]:
+    """The feed in ranges of ``seq``, each a batch."""
+    most = (feed.agg(F.max("seq")).first()[0] or 0) + 1
+    return [feed.filter((F.col("seq") >= most * i // n) & (F.col("seq") < most * (i + 1) // n)) for i in range(n)]
+
+
 @query("t03_diff_stream", """
 WITH e AS (SELECT *, kind = 'OnDelete' AS gone, lag(kind) OVER w AS before, lag(size) OVER w AS s, lag(hash) OVER w AS h FROM v_events WINDOW w AS (PARTITION BY path ORDER BY seq))
 SELECT path, seq, CASE WHEN gone THEN 'OnDelete' WHEN before IS NULL OR before = 'OnDelete' THEN 'OnCreate' ELSE 'OnUpdate' END AS kind
 FROM e WHERE CASE WHEN gone THEN before IS NOT NULL AND before <> 'OnDelete' ELSE before IS NULL OR before = 'OnDelete' OR s <> size OR h <> hash END""")
 def _(spark, d):
     feed = view(spark, d, "v_events").select(F.lit("orders").alias("scope"), "path", "seq", "size", F.lit(NOW).alias("mtime"), "hash", (F.col("kind") == "OnDelete").alias("deleted"))
-    return _streamed(spark, feed, diff_stream).select("path", "seq", "kind")
+    return _streamed(spark, _in_turn(feed), diff_stream).select("path", "seq", "kind")
 
 
 @query("t04_companion_stream", """
@@ -883,7 +890,50 @@ def _(spark, d):
     feed = view(spark, d, "v_events").select(
         F.lit("x").alias("channel_name"), P.directory("path").alias("dir"), F.split(path, r"\.")[0].alias("stem"), "seq", "path", (~F.endswith(path, F.lit(".jpg"))).alias("companion"), (F.col("kind") == "OnDelete").alias("deleted")
     )
-    return _streamed(spark, feed, companion_stream).groupBy("action").agg(F.count("*").alias("n"))
+    return _streamed(spark, _in_turn(feed), companion_stream).groupBy("action").agg(F.count("*").alias("n"))
+
+
+_T04 = """
+WITH c AS (SELECT seq, path, split_part(path, '.', 1) AS stem, path LIKE '%.jpg' AS asset, kind = 'OnDelete' AS gone, observed FROM v_events),
+f AS (SELECT stem, min(seq) AS first FROM c WHERE asset AND NOT gone GROUP BY stem),
+w AS (SELECT c.*, f.first, coalesce(f.first < (SELECT (max(seq) + 1) // 2 FROM v_events), false) AS early FROM c LEFT JOIN f USING (stem))"""
+
+
+@query("t04_companion_expiry", f"""{_T04}
+SELECT stem, path AS companion_path, 'expired' AS action FROM (SELECT stem, path, arg_max(gone, seq) AS gone FROM w
+ WHERE NOT asset AND seq < (SELECT (max(seq) + 1) // 2 FROM v_events) AND NOT early GROUP BY stem, path) WHERE NOT gone
+UNION ALL SELECT stem, path, 'fold' FROM (SELECT stem, path, arg_max(gone, seq) AS gone FROM w WHERE NOT asset AND seq < first AND (early OR seq >= (SELECT (max(seq) + 1) // 2 FROM v_events)) GROUP BY stem, path) WHERE NOT gone""")
+def _(spark, d):
+    """Two halves of the events, with more time between them than a companion waits."""
+    path, events = F.col("path"), view(spark, d, "v_events")
+    half = ((events.agg(F.max("seq")).first()[0] or 0) + 1) // 2
+    late = F.when(F.col("seq") >= half, 1).otherwise(0)
+    feed = events.select(
+        F.lit("x").alias("channel_name"), P.directory("path").alias("dir"), F.split(path, r"\.")[0].alias("stem"), "seq", "path", (~F.endswith(path, F.lit(".jpg"))).alias("companion"), (F.col("kind") == "OnDelete").alias("deleted"),
+        F.timestamp_seconds(F.lit(1_000_000) + late * 10_000).alias("at"),
+    )
+    clock = feed.limit(1).select(*(F.lit("clock").alias(c) for c in ("channel_name", "dir", "stem")), F.lit(0).cast("long").alias("seq"), F.lit("clock.jpg").alias("path"), F.lit(False).alias("companion"), F.lit(True).alias("deleted"), F.timestamp_seconds(F.lit(1_005_000)).alias("at"))
+    make = lambda rows: companion_stream(rows.withWatermark("at", "0 seconds"), datetime.timedelta(seconds=3600))
+    out = _streamed(spark, [feed.filter(F.col("seq") < half), clock.select(*feed.columns), feed.filter(F.col("seq") >= half)], make)
+    return out.filter("action in ('expired', 'fold')").select("stem", "companion_path", "action")
+
+
+@query("t07_retry_stream", """
+WITH w AS (SELECT *, 2 * pow(2, attempts) AS wait FROM v_work)
+SELECT id, 'due' AS event, attempts, next_run_at FROM w WHERE status = 'pending' AND next_run_at <= TIMESTAMP '2024-01-15'
+UNION ALL SELECT id, 'done', attempts, next_run_at FROM w WHERE id % 3 = 0
+UNION ALL SELECT id, CASE WHEN attempts + 1 >= 5 THEN 'failed' ELSE 'pending' END, attempts + 1, CASE WHEN attempts + 1 >= 5 THEN next_run_at ELSE TIMESTAMP '2024-01-15 00:00:01' + to_seconds(CAST(wait AS BIGINT)) END FROM w WHERE id % 3 = 1
+UNION ALL SELECT id, 'due', attempts + 1, TIMESTAMP '2024-01-15 00:00:01' + to_seconds(CAST(wait AS BIGINT)) FROM w WHERE id % 3 = 1 AND attempts + 1 < 5 AND wait <= 9""")
+def _(spark, d):
+    """All work, until now; then outcomes a second later; then nothing but time: nine seconds."""
+    work_rows = view(spark, d, "v_work")
+    none = lambda kind: F.lit(None).cast(kind)
+    at = lambda seconds: F.lit(NOW + datetime.timedelta(seconds=seconds))
+    queued = work_rows.select("id", F.lit(datetime.datetime(2000, 1, 1)).alias("at"), "status", "attempts", F.col("next_run_at").cast("timestamp").alias("next_run_at"), none("boolean").alias("ok"), none("string").alias("error"))
+    outcomes = work_rows.filter("id % 3 <> 2").select("id", at(1).alias("at"), none("string").alias("status"), none("int").alias("attempts"), none("timestamp").alias("next_run_at"), (F.col("id") % 3 == 0).alias("ok"), F.lit("boom").alias("error"))
+    clock = lambda seconds: queued.limit(1).select(F.lit(-1).cast("long").alias("id"), at(seconds).alias("at"), none("string").alias("status"), none("int").alias("attempts"), none("timestamp").alias("next_run_at"), none("boolean").alias("ok"), none("string").alias("error"))
+    batches = [queued, clock(0), outcomes, clock(10)]
+    return _streamed(spark, batches, lambda rows: retry_stream(rows.withWatermark("at", "0 seconds"))).select("id", "event", "attempts", F.col("next_run_at").cast("timestamp_ntz").alias("next_run_at"))
 
 
 @query("t06_write_once", "SELECT DISTINCT path, hash FROM v_events")

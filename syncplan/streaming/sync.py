@@ -110,11 +110,15 @@ def diff_stream(feed: DataFrame) -> DataFrame:
 
 
 class _Pairing(StatefulProcessor):
-    """Companions of one channel, directory and stem that wait for their asset."""
+    """Companions of one channel, directory and stem that wait for their asset, for a lifetime if one is given."""
+
+    def __init__(self, lifetime_ms: int | None = None):
+        self.lifetime_ms = lifetime_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.asset = handle.getValueState("asset", "path string")
-        self.waiting = handle.getMapState("waiting", "path string", "seq long")
+        self.waiting = handle.getMapState("waiting", "path string", "seq long, until long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         feed = pd.concat(list(rows)).sort_values("seq")
@@ -128,7 +132,10 @@ class _Pairing(StatefulProcessor):
                     if self.waiting.containsKey((r.path,)):
                         self.waiting.removeKey((r.path,))
                 else:
-                    self.waiting.updateValue((r.path,), (int(r.seq),))
+                    until = -1 if self.lifetime_ms is None else int(r.at.timestamp() * 1000) + self.lifetime_ms
+                    self.waiting.updateValue((r.path,), (int(r.seq), until))
+                    if until >= 0:
+                        self.handle.registerTimer(until)
             elif not r.deleted:
                 if known is None:
                     folded = sorted(k[0] for k in self.waiting.keys())
@@ -138,21 +145,113 @@ class _Pairing(StatefulProcessor):
                     self.asset.update((r.path,))
                 else:
                     out.append((*key, int(r.seq), r.path, None, "update"))
-        yield pd.DataFrame(out, columns=["channel_name", "dir", "stem", "seq", "path", "companion_path", "action"])
+        yield pd.DataFrame(out, columns=_PAIRED)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        gone = sorted((path[0], value[0]) for path, value in self.waiting.iterator() if 0 <= value[1] <= now)
+        for path, _ in gone:
+            self.waiting.removeKey((path,))
+        yield pd.DataFrame([(*key, int(seq), None, path, "expired") for path, seq in gone], columns=_PAIRED)
 
     def close(self) -> None:
         pass
 
 
-def companion_stream(feed: DataFrame) -> DataFrame:
+_PAIRED = ["channel_name", "dir", "stem", "seq", "path", "companion_path", "action"]
+
+
+def companion_stream(feed: DataFrame, lifetime: datetime.timedelta | None = None) -> DataFrame:
     """Actions for assets and companions as they come (channel_name, dir, stem, seq, path, companion, deleted).
 
     A companion before its asset is folded into the create; one after it is a patch; a deleted one is told to its
-    function; a deleted asset's record stays.
+    function; a deleted asset's record stays.  With a ``lifetime``, a companion that has waited so long is an action
+    ``expired`` with no asset, and state holds none of it any more; the feed then has a timestamp ``at`` with a watermark,
+    which says how late it is.
     """
     schema = "channel_name string, dir string, stem string, seq long, path string, companion_path string, action string"
-    return feed.groupBy("channel_name", "dir", "stem").transformWithStateInPandas(
-        statefulProcessor=_Pairing(), outputStructType=schema, outputMode="Append", timeMode="None"
+    of = feed.groupBy("channel_name", "dir", "stem")
+    if lifetime is None:
+        return of.transformWithStateInPandas(statefulProcessor=_Pairing(), outputStructType=schema, outputMode="Append", timeMode="None")
+    ms = int(lifetime.total_seconds() * 1000)
+    return of.transformWithStateInPandas(statefulProcessor=_Pairing(ms), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+
+
+class _Retrying(StatefulProcessor):
+    """One item of work: its attempts, and the timer that makes it due again."""
+
+    def __init__(self, max_attempts: int, base: float, most: float):
+        self.max_attempts, self.base, self.most = max_attempts, base, most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.item = handle.getValueState("item", "status string, attempts int, next_us long, timer_ms long")
+
+    def _keep(self, status: str, attempts: int, next_us: int) -> None:
+        self._forget()
+        timer = -(-next_us // 1000) if status == "pending" else -1
+        if timer >= 0:
+            self.handle.registerTimer(timer)
+        self.item.update((status, attempts, next_us, timer))
+
+    def _forget(self) -> None:
+        if self.item.exists():
+            if (timer := self.item.get()[3]) >= 0:
+                self.handle.deleteTimer(timer)
+            self.item.clear()
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        out = []
+        for frame in rows:
+            for r in frame.sort_values("at").itertuples(index=False):
+                if r.status is not None:
+                    self._keep(r.status, int(r.attempts), r.next_run_at.value // 1000)
+                elif r.ok is not None and self.item.exists():
+                    _, attempts, next_us, _ = self.item.get()
+                    if r.ok:
+                        self._forget()
+                        out.append((*key, "done", attempts, pd.Timestamp(next_us, unit="us"), None))
+                        continue
+                    attempts += 1
+                    if attempts >= self.max_attempts:
+                        self._keep("failed", attempts, next_us)
+                        out.append((*key, "failed", attempts, pd.Timestamp(next_us, unit="us"), r.error))
+                    else:
+                        wait = min(self.most, self.base * 2.0 ** (attempts - 1))
+                        next_us = r.at.value // 1000 + int(wait * 1_000_000)
+                        self._keep("pending", attempts, next_us)
+                        out.append((*key, "pending", attempts, pd.Timestamp(next_us, unit="us"), r.error))
+        yield pd.DataFrame(out, columns=_RETRIED)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out = []
+        if self.item.exists():
+            status, attempts, next_us, timer = self.item.get()
+            if status == "pending" and timer == expiredTimerInfo.getExpiryTimeInMs():
+                self.item.update(("running", attempts, next_us, -1))
+                out.append((*key, "due", attempts, pd.Timestamp(next_us, unit="us"), None))
+        yield pd.DataFrame(out, columns=_RETRIED)
+
+    def close(self) -> None:
+        pass
+
+
+_RETRIED = ["id", "event", "attempts", "next_run_at", "error"]
+
+
+def retry_stream(feed: DataFrame, max_attempts: int = 5, base: float = 2.0, most: float = 300.0) -> DataFrame:
+    """Events ``id, event, attempts, next_run_at, error`` of items of work: ``due`` when one is to run, by itself, and what
+    became of it: ``done``, ``pending`` again after its back-off, or ``failed`` for good.
+
+    ``feed`` has id, ``at`` (a timestamp with a watermark, whose progress is the clock) and either an item to queue (status,
+    attempts, next_run_at) or an item's outcome (ok, error).  A failed item's timer is set to ``next_run_at``; state holds
+    one row for each item that isn't done.
+    """
+    return feed.groupBy("id").transformWithStateInPandas(
+        statefulProcessor=_Retrying(max_attempts, base, most),
+        outputStructType="id long, event string, attempts int, next_run_at timestamp, error string",
+        outputMode="Append",
+        timeMode="EventTime",
     )
 
 
