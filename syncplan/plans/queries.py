@@ -22,6 +22,7 @@ from ..operators.ignore import event_eligible, filter_ignored, ignore_predicate
 from ..operators.watchers import Watcher, assign_watcher, normalize_watchers
 from ..scratch import shared_dir
 from ..sources.listing import copy_assets, entries_from_inventory, list_entries, read_companions, segment_counts, segment_plan, smallest_first, under_prefix, walk_entries
+from ..streaming.source import listing_stream, sync_listings
 from ..streaming.sync import Refreshing, companion_stream, diff_stream, isolated, retry_stream, scan_once, use_state_store, with_plan_id, write_once, written_plans
 from .views import view, with_views
 
@@ -947,11 +948,14 @@ def _(spark, d):
 _PASSES = ("v_prev", "v_cur", "v_prev")
 
 
-@query("t01_scan_once", f"""
+_T01 = f"""
 WITH d AS (SELECT path, {_OWNER} AS watcher, change FROM ({_DIFF})), w AS (SELECT * FROM d WHERE watcher IN ('w1/hot', 'w1') AND path NOT LIKE '%.tmp')
 SELECT 0 AS pass, watcher, path, 'OnCreate' AS kind FROM w WHERE change <> 'new'
 UNION ALL SELECT 1, watcher, path, CASE change WHEN 'new' THEN 'OnCreate' WHEN 'modified' THEN 'OnUpdate' ELSE 'OnDelete' END FROM w WHERE change <> 'unchanged'
-UNION ALL SELECT 2, watcher, path, CASE change WHEN 'new' THEN 'OnDelete' WHEN 'modified' THEN 'OnUpdate' ELSE 'OnCreate' END FROM w WHERE change <> 'unchanged'""")
+UNION ALL SELECT 2, watcher, path, CASE change WHEN 'new' THEN 'OnDelete' WHEN 'modified' THEN 'OnUpdate' ELSE 'OnCreate' END FROM w WHERE change <> 'unchanged'"""
+
+
+@query("t01_scan_once", _T01)
 def _(spark, d):
     """Three passes of two watchers, one below the other, each with its own state."""
     state, out = shared_dir(spark), shared_dir(spark)
@@ -966,6 +970,27 @@ def _(spark, d):
     return spark.read.parquet(out)
 
 
+@query("t01_listing_source", _T01)
+def _(spark, d):
+    """The same three passes as inventories that a streaming source reads, a watcher's scan in each partition."""
+    root, state, out = shared_dir(spark), shared_dir(spark), shared_dir(spark)
+    for number, name in enumerate(_PASSES):
+        rows = view(spark, d, name).select("path", "size", F.col("mtime").cast("timestamp").alias("mtime"), "hash")
+        rows.write.parquet(f"{root}/scan={number}")
+
+    def handle(changed, watcher, scan):
+        if watcher in ("w1/hot", "w1"):
+            changed.select(F.lit(scan).cast("int").alias("pass"), F.lit(watcher).alias("watcher"), "path", "kind").write.mode("append").parquet(out)
+
+    listings = listing_stream(spark, root, WATCHERS, kind="inventories")
+    query = sync_listings(listings, state, "orders", handle, shared_dir(spark), ignore=["*.tmp"])
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return spark.read.parquet(out)
+
+
 @query("t10_catalog_refresh", "SELECT id, name FROM v_users")
 def _(spark, d):
     """A second read that fails while it runs leaves what the first one gave."""

@@ -39,8 +39,12 @@ def scan_once(
     scope = connector if not watcher.prefix else f"{connector}#{watcher.prefix}"
     listing = filter_ignored(list_entries(watcher.prefix), ignore)
     own = assign_watcher(listing, watchers).filter(F.col("watcher") == watcher.prefix).drop("watcher")
-    state = SnapshotState(spark, state_path, scope, ENTRY)
-    pieces, changed = state.stage(own)
+    return hand_over(SnapshotState(spark, state_path, scope, ENTRY), own, connector, observed, handle)
+
+
+def hand_over(state: SnapshotState, listing: DataFrame, connector: str, observed: datetime.datetime, handle: Callable[[DataFrame], None], note: str | None = None) -> int:
+    """Writes what a listing changes, hands it over as events, and makes it the scope's next generation."""
+    pieces, changed = state.stage(listing)
     kind = F.when(F.col("_deleted"), DELETE).when(F.col("_was"), UPDATE).otherwise(CREATE)
     change = F.when(F.col("_deleted"), "deleted").when(F.col("_was"), "modified").otherwise("new")
     try:
@@ -48,7 +52,7 @@ def scan_once(
     except Exception:
         state.store.discard(pieces)
         raise
-    return state.commit(pieces)
+    return state.commit(pieces, note)
 
 
 def watch(spark: SparkSession, watcher: Watcher, scan: Callable[[datetime.datetime], None], checkpoint: str) -> StreamingQuery:
