@@ -17,7 +17,7 @@ from ..operators import manifest as M
 from ..operators import metrics, records, synclog, work
 from ..operators.channels import Channel, plan_assets, plan_deletes, route, shadowed_assets, split_companions, work_table
 from ..operators.companions import Companion, CompanionPattern, companion_fields_bundle, companion_fields_csv, companion_fields_json, companion_fields_text, companion_fields_xml, late_companions, match_companions, plan_companions, presync
-from ..operators.enrich import concat_fields, python_fields, split_failed
+from ..operators.enrich import concat_fields, lateral_fields, python_fields, register_fields_function, split_failed
 from ..operators.ignore import event_eligible, filter_ignored, ignore_predicate
 from ..operators.watchers import Watcher, assign_watcher, normalize_watchers
 from ..scratch import shared_dir
@@ -357,14 +357,26 @@ def _(spark, d):
     return work.counts_by_stage(running.withColumn("stage", F.when(F.col("attempts") < 3, "uploading").when(F.col("attempts") < 5, "created")))
 
 
-@query("a06_import_summary", """
+_A06 = """
 SELECT count(*) FILTER (WHERE action = 'created') AS created, 0 AS updated, 0 AS metadata, 0 AS valid, 0 AS invalid, 0 AS skipped, count(*) FILTER (WHERE action = 'error') AS failed,
- count(*) FILTER (WHERE action <> 'uploaded' AND seq % 7 = 0) AS rewritten, (SELECT count(*) FROM v_manifest) - count(*) FILTER (WHERE action <> 'uploaded') AS aborted FROM v_ledger""")
+ count(*) FILTER (WHERE action <> 'uploaded' AND seq % 7 = 0) AS rewritten, (SELECT count(*) FROM v_manifest) - count(*) FILTER (WHERE action <> 'uploaded') AS aborted FROM v_ledger"""
+
+
+@query("a06_import_summary", _A06)
 def _(spark, d):
     rows = view(spark, d, "v_ledger").withColumn("warn", F.when(F.col("seq") % 7 == 0, "renamed"))
     return L.import_summary(rows, view(spark, d, "v_manifest").count())
 
 
+@query("a06_measured_write", f"SELECT s.*, CAST(b.rows AS BIGINT) AS rows, CAST(b.bytes AS BIGINT) AS bytes FROM ({_A06}) s, (SELECT count(*) AS rows, sum(seq % 1000) AS bytes FROM v_ledger) b")
+def _(spark, d):
+    """The same tallies, and rows and bytes, taken by the job that writes the ledger."""
+    rows = view(spark, d, "v_ledger").withColumns({"warn": F.when(F.col("seq") % 7 == 0, "renamed"), "size": F.col("seq") % 1000})
+    got = L.append_measured(rows.drop("seq"), shared_dir(spark), view(spark, d, "v_manifest").count(), size="size")
+    kept = {k: v for k, v in got.items() if "second" not in k}
+    return spark.createDataFrame([tuple(kept.values())], ", ".join(f"{k} long" for k in kept))
+
+
 @query("a07_problems", "SELECT line, 'bad' AS reason FROM (SELECT seq AS line FROM v_ledger WHERE action = 'error') ORDER BY line LIMIT 100")
 def _(spark, d):
     rows = view(spark, d, "v_ledger").select(F.col("seq").alias("line"), F.when(F.col("action") == "error", "bad").alias("error"))
@@ -1033,6 +1045,35 @@ def _(spark, d):
     return out.select("doc_id", F.explode("fields").alias("f")).select("doc_id", "f.*")
 
 
+@query("d01_table_function", """
+WITH g AS (SELECT a.path, count(*) AS n, CAST(sum(length(coalesce(c.content, ''))) AS BIGINT) AS chars, to_json(list_sort(list(DISTINCT split_part(c.path, '.', 3)))) AS languages, max(length(c.content)) AS longest
+ FROM v_assets a JOIN v_companions c ON replace(a.path, '.jpg', '') = regexp_extract(c.path, '^([^.]*)', 1) GROUP BY a.path)
+SELECT path, 'Chars' AS name, CAST(chars AS STRING) AS value, 'en-US' AS language, NULL AS error FROM g WHERE n % 5 <> 0
+UNION ALL SELECT path, 'Half', CASE WHEN n % 2 = 0 THEN CAST(n // 2 AS STRING) ELSE concat(CAST(n // 2 AS STRING), '.5') END, NULL, NULL FROM g WHERE n % 5 <> 0
+UNION ALL SELECT path, 'Languages', CAST(languages AS STRING), NULL, NULL FROM g WHERE n % 5 <> 0
+UNION ALL SELECT path, 'Detail', concat('{"long":', CASE WHEN longest > 5000 THEN 'true' ELSE 'false' END, ',"path":"', path, '"}'), NULL, NULL FROM g WHERE n % 5 <> 0
+UNION ALL SELECT path, NULL, NULL, NULL, 'ValueError: no companions to my taste' FROM g WHERE n % 5 = 0""")
+def _(spark, d):
+    """Each asset with all of its companions in one call; several typed entries, or an error, come out."""
+
+    def describe(asset: dict, companions: list[dict]) -> list[dict]:
+        if len(companions) % 5 == 0:
+            raise ValueError("no companions to my taste")
+        sizes = [len(c["content"] or "") for c in companions]
+        return [
+            {"name": "Chars", "value": sum(sizes), "language": "en-US"},
+            {"name": "Half", "value": len(companions) / 2},
+            {"name": "Languages", "value": sorted({c["lang"] for c in companions})},
+            {"name": "Detail", "value": {"long": max(sizes) > 5000, "path": asset["path"]}},
+        ]
+
+    beside = _captions(spark, d).select(F.concat_ws("/", F.nullif("dir", F.lit("")), "basename").alias("stem"), F.struct("path", F.col("vars")["lang"].alias("lang"), "content").alias("c"))
+    grouped = beside.groupBy("stem").agg(F.collect_list("c").alias("companions"))
+    rows = view(spark, d, "v_assets").withColumn("stem", P.stem("path")).join(grouped, "stem").select("path", F.struct("path", "stem").alias("asset"), "companions")
+    register_fields_function(spark, "describe_asset", describe)
+    return lateral_fields(rows, "describe_asset").select("path", "name", F.to_json("value").alias("value"), "language", "error")
+
+
 @query("s10_catalog_from_tables", """
 SELECT 'classificationlist' AS kind, '' AS owner, lower(name_path) AS key, id FROM v_classifications
 UNION ALL SELECT 'optionlist', 'brand', lower(name), id FROM v_option_items

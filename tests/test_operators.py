@@ -16,7 +16,7 @@ from syncplan.operators import manifest as M
 from syncplan.operators import synclog, work
 from syncplan.operators.channels import Channel, check_filter, plan_assets, route, split_companions
 from syncplan.operators.companions import Companion, CompanionPattern, companion_fields_json, companion_fields_csv, companion_fields_text, companion_fields_xml, csv_records, late_companions, plan_companions, presync, xml_documents
-from syncplan.operators.enrich import Enrich, python_fields, run_enrichers, split_failed
+from syncplan.operators.enrich import Enrich, lateral_fields, python_fields, register_fields_function, run_enrichers, split_failed
 from syncplan.operators.diff import commit_snapshot, load_snapshot
 from syncplan.operators.ignore import filter_ignored, ignore_lines, pattern_regex
 from syncplan.operators.metrics import ema
@@ -427,6 +427,30 @@ def test_copy_by_blocks(spark, tmp_path):
     assert found == contents
 
 
+def test_a_table_function_of_assets_and_companions(spark):
+    def fn(asset, companions):
+        if asset["n"] == 3:
+            raise ValueError("no")
+        shapes = {0: [], 1: [{"name": "a", "value": 2.0, "language": "en"}, {"name": "b", "value": [1.5, "x", {"k": True, "i": 3.0}]}, {"name": "c", "value": None}], 2: {"a": 1}, 4: [{"name": "a", "value": float("nan")}], 5: [{"name": "a", "value": len(companions)}, {"nome": "x"}], 6: None, 7: [{"name": "all", "value": [c["p"] for c in companions]}]}
+        return shapes[asset["n"]]
+
+    register_fields_function(spark, "odd_fields", fn)
+    rows = spark.createDataFrame([(i, (i,), [("p", i), ("q", None)] if i != 6 else None) for i in range(8)], "i int, asset struct<n: int>, companions array<struct<p: string, n: int>>")
+    got = [(r["i"], r["name"], r["v"], r["language"], r["error"]) for r in lateral_fields(rows, "odd_fields").select("i", "name", F.to_json("value").alias("v"), "language", "error").collect()]
+    assert [x for x in got if x[0] == 1] == [(1, "a", "2", "en", None), (1, "b", '[1.5,"x",{"i":3,"k":true}]', None, None), (1, "c", "null", None, None)]
+    assert sorted(x[0] for x in got) == [1, 1, 1, 2, 3, 4, 5, 7] and [x[2] for x in got if x[0] == 7] == ['["p","q"]']
+    assert {x[0]: x[4].split(":")[0] for x in got if x[4]} == {2: "TypeError", 3: "ValueError", 4: "ValueError", 5: "TypeError"}
+    with pytest.raises(Exception, match="array of structs"):
+        lateral_fields(rows.withColumn("companions", F.lit("x")), "odd_fields").collect()
+
+
+def test_a_ledger_is_measured_while_it_is_written(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "h", "created", 10), (2, "i", "error", 5), (3, "j", "uploaded", 7)], "line long, hash string, action string, size long")
+    got = L.append_measured(rows, str(tmp_path / "l"), total=5, size="size")
+    assert (got["created"], got["failed"], got["aborted"], got["rows"], got["bytes"]) == (1, 1, 3, 3, 22) and got["records_per_second"] > 0
+    assert L.read_ledger(spark, str(tmp_path / "l")).count() == 3
+
+
 def test_copies_of_files_that_are_not_as_listed(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for name, size in (("short", 9000), ("long", 30_000), ("right", 20_000), ("any", 77)):

@@ -1,5 +1,6 @@
 import datetime
 import os
+import time
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -8,7 +9,8 @@ from syncplan.operators.diff import load_snapshot
 from syncplan.operators.watchers import Watcher, normalize_watchers
 from syncplan.schemas import ENTRY
 from syncplan.sources.store import BucketStore
-from syncplan.streaming.sync import Refreshing, companion_stream, diff_stream, isolated, scan_once, use_state_store, watch, with_plan_id, write_once, written_plans
+from syncplan.streaming.source import listing_stream, sync_listings
+from syncplan.streaming.sync import Refreshing, companion_stream, diff_stream, isolated, retry_stream, scan_once, use_state_store, watch, with_plan_id, write_once, written_plans
 
 T0 = datetime.datetime(2024, 1, 1)
 FEED = "scope string, path string, seq long, size long, mtime timestamp, hash string, deleted boolean"
@@ -44,6 +46,59 @@ def test_companions_wait_for_assets(spark, tmp_path):
     assert [(r["seq"], r["path"]) for r in rows if r["action"] == "create"] == [(4, "s.jpg")]
 
 
+def test_companions_that_wait_too_long(spark, tmp_path):
+    schema = "channel_name string, dir string, stem string, seq long, path string, companion boolean, deleted boolean, at timestamp"
+    at = lambda minutes: T0 + datetime.timedelta(minutes=minutes)
+    row = lambda stem, seq, path, minutes, companion=True, deleted=False: ("c", "d", stem, seq, path, companion, deleted, at(minutes))
+    first = [row("s", 1, "s.xmp", 0), row("s", 2, "s.txt", 50), row("t", 3, "t.xmp", 0), row("t", 4, "t.xmp", 1, deleted=True), row("u", 5, "u.xmp", 0), row("u", 6, "u.jpg", 1, False)]
+    batches = [first, [row("clock", 9, "x", 70, False, True)], [row("s", 10, "s.jpg", 71, False), row("t", 11, "t.jpg", 71, False)]]
+    rows = _run(spark, tmp_path, lambda df: companion_stream(df.withWatermark("at", "0 seconds"), datetime.timedelta(hours=1)), batches, schema, "e")
+    assert sorted((r["stem"], r["action"], r["companion_path"]) for r in rows if r["companion_path"]) == [("s", "expired", "s.xmp"), ("s", "fold", "s.txt"), ("u", "fold", "u.xmp")]
+    assert [r["path"] for r in rows if r["action"] == "expired"] == [None]
+
+
+def test_retries_by_timers(spark, tmp_path):
+    schema = "id long, at timestamp, status string, attempts int, next_run_at timestamp, ok boolean, error string"
+    at = lambda s: T0 + datetime.timedelta(seconds=s)
+    item = lambda i, attempts, due: (i, at(0), "pending", attempts, at(due), None, None)
+    outcome = lambda i, when, ok: (i, at(when), None, None, None, ok, None if ok else "boom")
+    clock = lambda when: [(-1, at(when), None, None, None, None, None)]
+    batches = [[item(1, 0, 5), item(2, 3, 5), item(3, 0, 500), (4, at(0), "failed", 5, at(1), None, None)], clock(10), [outcome(1, 11, False), outcome(2, 11, False), outcome(9, 11, False)], clock(12), clock(14), [outcome(1, 15, False), outcome(3, 15, True)], clock(600)]
+    rows = _run(spark, tmp_path, lambda df: retry_stream(df.withWatermark("at", "0 seconds")), batches, schema, "r")
+    got = {i: [(r["event"], r["attempts"], (r["next_run_at"] - T0).total_seconds()) for r in sorted(rows, key=lambda r: (r["attempts"], r["event"] == "due")) if r["id"] == i] for i in (1, 2, 3, 4, 9)}
+    assert got[1] == [("due", 0, 5), ("pending", 1, 13), ("due", 1, 13), ("pending", 2, 19), ("due", 2, 19)]
+    assert got[2] == [("due", 3, 5), ("pending", 4, 27), ("due", 4, 27)]
+    assert got[3] == [("done", 0, 500)] and got[4] == [] and got[9] == []
+
+
+def test_a_folder_as_a_stream_of_listings(spark, tmp_path):
+    """Two watchers, one within the other's prefix: files that come, change and go, and a folder that is emptied."""
+    root, seen = tmp_path / "root", []
+    for name in ("a/x", "a/hot/y", "z"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("1")
+    watchers = normalize_watchers([Watcher("a/hot", 0.5), Watcher("a", 1)], 1)
+    handle = lambda df, watcher, scan: seen.extend((watcher, r["path"], r["kind"]) for r in df.collect())
+
+    def scanned(done):
+        query = sync_listings(listing_stream(spark, str(root), watchers), str(tmp_path / "state"), "c", handle, str(tmp_path / "cp"), ignore=["*.tmp"])
+        try:
+            end = time.monotonic() + 90
+            while not done() and time.monotonic() < end and query.isActive:
+                time.sleep(0.2)
+            assert query.exception() is None
+        finally:
+            query.stop()
+
+    scanned(lambda: len(seen) >= 3)
+    assert sorted(seen) == [("", "z", "OnCreate"), ("a", "a/x", "OnCreate"), ("a/hot", "a/hot/y", "OnCreate")]
+    (root / "a/hot/y").unlink()
+    (root / "a/x").write_text("22")
+    (root / "a/x.tmp").write_text("22")
+    scanned(lambda: len(seen) >= 5)  # another run of the stream, from its checkpoint
+    assert sorted(seen[3:]) == [("a", "a/x", "OnUpdate"), ("a/hot", "a/hot/y", "OnDelete")]
+
+
 def _listing(spark, rows):
     return spark.createDataFrame([(p, 1, T0, h, None) for p, h in rows], "path string, size long, mtime timestamp, hash string, metadata map<string,string>")
 
