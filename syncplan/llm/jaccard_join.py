@@ -5,16 +5,19 @@ link when 100 * intersection >= ``percent`` * union.
 
 Prefix filtering: under any total order of tokens, two sets of sizes n and n' that link have at least
 t = percent * (n + n') / (100 + percent) tokens in common, and so share one of the first n - t + 1 tokens of each (the
-prefix).  Three orders are used, all by rarity first (tokens held by fewer classes come first) with different orders of
-ties; a pair must share a prefix token under each of them before its sets are compared.  A token that only one class holds
-can't be shared, so it counts as unlike at once; a class with too few shared tokens links with nothing and is left out
-early, which is all but near copies.
+prefix).  Three orders are used that differ in kind: rare tokens first (held by fewer classes), a hash of the token, and
+frequent tokens first; a pair must share a prefix token under each of them before its sets are compared.  So sets that share
+rare tokens alone, as texts with a common passage do, fail under the other two, and pages of one template under the first.
+A token that only one class holds can't be shared, so it counts as unlike at once; a class with too few shared tokens links
+with nothing and is left out early, which is all but near copies.
 
 Large groups aren't compared in all pairs.  Each member of a token's list is first compared with one member of the list
 (the hub: the one with the largest share of shared tokens, as the source of copies has; then another one), which settles
 most of a group.  Then only pairs whose groups still differ meet, at a token and a band of sizes where enough shared tokens
 are left in both; members of a list's largest group don't meet one another.  No link between groups is lost by that: a pair
-that links has enough tokens left at its first common token.
+that links has enough tokens left at its first common token.  Where they meet, a pair is made only if the bits of its sets
+allow a link: each set has BITS bits, of which each token turns one, so two sets differ in as many tokens at least as in
+bits.  Pages of one template, whose other words are few and frequent, meet at many tokens and fail there.
 
 Data flow: tokens travel in packed arrays by ranges of token, and what is shared from there by class.  With more than
 ``FAN`` ranges they are dealt in two or more steps, so arrays don't become short as the input grows.  A token that ``HOT``
@@ -39,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, power_of_two, read_table, row_key, stored, text_bytes
+from .common import positional, power_of_two, read_table, row_key, stored, text_bytes
 from .components import merge_labels
 from .words import NON_SPACE, mix, shingles, slices, words_of
 
@@ -59,6 +62,8 @@ _SALT = (np.uint64(0), np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF76781
 ENTRY = TOKEN_BITS // 8 + 1
 #: Sizes of one band differ by this factor.
 BAND = 1.1
+#: Bits of a set: the power of two that serves sets of up to some hundreds of tokens; of larger ones they exclude less.
+BITS = 512
 
 
 def _sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -261,7 +266,19 @@ def _shared(table: pa.Table) -> pa.Table:
     return _entries(cls[keep], token[keep], rank[keep])
 
 
-NEAR = "cls long, n int, m int, p int, tokens array<long>, " + ", ".join(f"prefix{i} array<long>" for i in range(1, ORDERS))
+NEAR = "cls long, n int, m int, p int, tokens array<long>, " + ", ".join(f"prefix{i} array<long>" for i in range(1, ORDERS)) + ", bits array<long>"
+
+
+def _bits(token: np.ndarray) -> np.ndarray:
+    """Whether an odd number of tokens falls on each bit, as BITS / 64 words."""
+    odd = np.bincount((mix(token) >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _orders(token: np.ndarray, rank: np.ndarray) -> list[np.ndarray]:
+    """The tokens under each order; each is the same for all sets, as ranks and hashes are a token's own."""
+    ties = [mix(token ^ salt) for salt in _SALT]
+    return [token[np.lexsort((ties[0], rank))], token[np.argsort(ties[1])], token[np.lexsort((ties[2], -rank.astype(np.int16)))]]
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -293,9 +310,9 @@ def _near(percent: int):
             token, first = np.unique(token.view("<u8").reshape(-1), return_index=True)  # a hot token may come twice
             rank, prefix = entry[first, -1], len(token) - int(least[i]) + 1
             if prefix > 0:
-                orders = [token[np.lexsort((mix(token ^ salt), rank))] for salt in _SALT]
-                rows.append((cls[edge[i]], size[i], len(token), prefix, orders[0], *(x[:prefix] for x in orders[1:])))
-        columns = list(zip(*rows, strict=True)) or [[]] * (4 + ORDERS)
+                orders = _orders(token, rank)
+                rows.append((cls[edge[i]], size[i], len(token), prefix, orders[0], *(x[:prefix] for x in orders[1:]), _bits(token)))
+        columns = list(zip(*rows, strict=True)) or [[]] * (5 + ORDERS)
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
         names = [x.split()[0] for x in NEAR.split(", ")]
         return pa.RecordBatch.from_arrays(
@@ -376,18 +393,23 @@ def _hub_pairs(posts: DataFrame, turn: int, percent: int) -> DataFrame:
     )
 
 
-def _other_pairs(posts: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different groups that can link, the larger set as ``a``: they meet at a token and a band of sizes."""
+def _other_pairs(posts: DataFrame, near: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different groups that can link, the larger set as ``a``: they meet at a token and a band of sizes.
+
+    ``near`` has the bits that their sets differ in at most.
+    """
+    posts = posts.join(near.select("cls", "bits"), "cls")
 
     def band(n: Column) -> Column:
         return F.floor(F.log(n.cast("double")) / math.log(BAND))
 
     fewest = F.ceil(percent * F.col("n").cast("long") / 100)
     held = posts.filter("most >= n").select(
-        "token", band(F.col("n")).alias("band"), F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"), F.col("most").alias("most_b")
-    )
+        "token", band(F.col("n")).alias("band"), F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"), F.col("most").alias("most_b"),
+        F.col("m").alias("m_b"), F.col("bits").alias("bits_b"),
+    )
     asked = (
-        posts.select("token", F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"), F.least("n", "most").alias("most_a"), fewest.alias("fewest"))
+        posts.select("token", F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"), F.least("n", "most").alias("most_a"), fewest.alias("fewest"), F.col("m").alias("m_a"), F.col("bits").alias("bits_a"))
         .filter("most_a >= fewest")
         .withColumn("band", F.explode(F.sequence(band(F.col("fewest")), band(F.col("most_a")))))
     )
@@ -399,11 +421,13 @@ def _other_pairs(posts: DataFrame, percent: int) -> DataFrame:
     major = stored(major.filter("groups > 1").drop("groups"))
     held = held.join(major, ["token", "band"]).withColumn("minor_b", F.col("label_b") != F.col("major")).drop("major")
     asked = asked.join(major, ["token", "band"]).withColumn("minor_a", F.col("label_a") != F.col("major")).drop("major")
+    differ = sum((F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(BITS // 64)), F.lit(0))
     fits = (
         (F.col("label_a") != F.col("label_b"))
         & (F.struct("n_b", "b") < F.struct(F.col("n_a").alias("n_b"), F.col("a").alias("b")))
         & F.col("n_b").between(F.col("fewest"), F.col("most_a"))
         & (F.col("n_a") <= F.col("most_b"))
+        & _enough(F.floor((F.col("m_a") + F.col("m_b") - differ) / 2), "n_a", "n_b", percent)
     )
     rare = asked.filter("minor_a").join(held, ["token", "band"]).filter(fits)
     usual = asked.filter("not minor_a").join(held.filter("minor_b"), ["token", "band"]).filter(fits)
@@ -420,7 +444,7 @@ def _links(near: DataFrame, percent: int, hub_rounds: int = 2) -> DataFrame:
             break
         labels = merge_labels(labels, found)
         posts = stored(_mixed(posts, labels))
-    return merge_labels(labels, stored(_compared(stored(_other_pairs(posts, percent)), near, percent)))
+    return merge_labels(labels, stored(_compared(stored(_other_pairs(posts, near, percent)), near, percent)))
 
 
 def _labels(texts: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
@@ -441,7 +465,8 @@ def _labels(texts: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFram
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row."""
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    plain, (key, body) = positional(docs, doc_id, text)
+    slim = plain.select(F.col(key).cast("long").alias("doc_id"), F.col(body).cast("string").alias("text"))
     rows = stored(slim.mapInArrow(_class_rows(k, ["doc_id"]), "doc_id long, cls long, n int"))
     labels = _labels(slim.select("text"), rows, k, percent)
     # the smallest doc id of each class, then of each group; both are summed before they are shuffled
@@ -461,9 +486,9 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     The one with the smallest id stays (rows without an id come last, ties go by a hash of the whole row), so of different
     texts under one id each is judged by its own group, and of equal rows one stays.
     """
-    k1, k2 = fresh(docs, "k1", "k2")
-    key = row_key(*docs.columns)
-    slim = docs.select(*key, F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    plain, (key, body) = positional(docs, doc_id, text)
+    own = row_key(*plain.columns)
+    slim = plain.select(*own, F.col(key).cast("long").alias("doc_id"), F.col(body).cast("string").alias("text"))
     names = ["k1", "k2", "doc_id"]
     rows = stored(slim.mapInArrow(_class_rows(k, names), "k1 long, k2 long, doc_id long, cls long, n int"))
     labels = _labels(slim.select("text"), rows, k, percent).withColumnRenamed("node", "cls")
@@ -475,12 +500,11 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     grouped = stored(rows.join(of, "cls").select("k1", "k2", ((F.col("k1") == F.col("kept.k1")) & (F.col("k2") == F.col("kept.k2"))).alias("stays")))
     gone = stored(grouped.filter("not stays").select("k1", "k2").distinct())  # its size is then known
     again = stored(grouped.filter("stays").groupBy("k1", "k2").count().filter("count > 1").select("k1", "k2"))
-    named = lambda keys: keys.select(F.col("k1").alias(k1), F.col("k2").alias(k2))
-    kept = docs.withColumns(dict(zip((k1, k2), key, strict=True))).join(named(gone), [k1, k2], "left_anti")
+    kept = plain.withColumns(dict(zip(("k1", "k2"), own, strict=True))).join(gone, ["k1", "k2"], "left_anti")
     if not again.isEmpty():  # equal rows
-        once = kept.join(named(again), [k1, k2], "left_semi").dropDuplicates([k1, k2])
-        kept = kept.join(named(again), [k1, k2], "left_anti").unionByName(once)
-    return kept.select(*docs.columns)
+        once = kept.join(again, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+        kept = kept.join(again, ["k1", "k2"], "left_anti").unionByName(once)
+    return kept.select(*plain.columns).toDF(*docs.columns)
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,16 +9,16 @@ from syncplan.llm.components import components
 from syncplan.llm.jaccard_join import near_duplicates, one_of_each, pack_arrays, unpack_arrays
 
 
-def _sets(docs):
+def _sets(docs, k=5):
     out = {}
     for doc, text in docs:
         words = [w.lower() for w in (text or "").split()]
-        out[doc] = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+        out[doc] = {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
     return out
 
 
-def _expected(docs):
-    sets = _sets(docs)
+def _expected(docs, k=5):
+    sets = _sets(docs, k)
     label = {d: d for d in sets}
 
     def root(x):
@@ -70,6 +70,46 @@ def test_pairs_left_after_hubs(spark, monkeypatch):
     assert sorted(tuple(r) for r in near_duplicates(df).collect()) == _expected(docs)
 
 
+def _template(n):
+    """Texts of 150 words that all share and 46 of 400 others, of which hardly any link."""
+    rng = random.Random(n)
+    shared = [f"t{i}" for i in range(150)]
+    return [(i, " ".join(shared + [f"o{x}" for x in rng.sample(range(400), 46)])) for i in range(n)]
+
+
+def test_pages_of_a_template_do_not_meet_in_pairs(spark, monkeypatch):
+    made = []
+    compared = jaccard_join._compared
+    monkeypatch.setattr(jaccard_join, "_compared", lambda pairs, near, percent: made.append(pairs.count()) or compared(pairs, near, percent))
+    for n in (150, 600):
+        made.clear()
+        docs = _template(n)
+        got = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), k=1).collect()
+        assert sorted(tuple(r) for r in got) == _expected(docs, 1)
+        assert made[-1] < 0.05 * n * (n - 1) / 2 and sum(made) < 100 * n  # hubs make a pair a posting at most
+
+
+@settings(deadline=None, max_examples=200)
+@given(st.sets(st.integers(0, 2**48 - 1), max_size=600), st.sets(st.integers(0, 2**48 - 1), max_size=600), st.sets(st.integers(0, 2**48 - 1), max_size=900))
+def test_sets_differ_in_as_many_tokens_as_bits(a, b, both):
+    a, b = a | both, b | both
+    x, y = (jaccard_join._bits(np.array(sorted(t), np.uint64)) for t in (a, b))
+    assert x.shape == (jaccard_join.BITS // 64,)
+    assert sum(int(w).bit_count() for w in (x ^ y).view("<u8")) <= len(a ^ b)
+
+
+def test_orders_differ_in_kind_and_are_the_same_for_all_sets():
+    rng = np.random.default_rng(1)
+    token = np.unique(rng.integers(0, 2**48, 500).astype(np.uint64))
+    rank = rng.integers(2, 256, len(token)).astype(np.uint8)
+    orders = jaccard_join._orders(token, rank)
+    of = dict(zip(token.tolist(), rank.tolist(), strict=True))
+    assert [of[t] for t in orders[0].tolist()] == sorted(rank.tolist()) and [of[t] for t in orders[2].tolist()] == sorted(rank.tolist(), reverse=True)
+    some = np.sort(rng.permutation(len(token))[:200])
+    for whole, part in zip(orders, jaccard_join._orders(token[some], rank[some]), strict=True):
+        assert [t for t in whole.tolist() if t in set(token[some].tolist())] == part.tolist()
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "x"), (2, "", "x"), (3, " \t\n", "x"), (4, "A b", "x"), (5, "a B", "x"), (5, "a B", "x"), (None, "a b", "x"),
             (None, "alone here", "x"), (9, "one two three four five six", "x")]
