@@ -50,6 +50,12 @@ def positional(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
     return df.toDF(*(f"c{i}" for i in range(len(df.columns)))), [find(n) for n in names]
 
 
+def with_length(changed: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """Rows in the columns of ``positional(docs)`` whose text was changed, with ``n_chars``, if there is one, as its length."""
+    at = [f"c{i}" for i, c in enumerate(docs.columns) if c == "n_chars"]
+    return changed.withColumns({c: F.length(text).cast(changed.schema[c].dataType) for c in at})
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

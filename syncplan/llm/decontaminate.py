@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, read_table, row_key, stored
+from .common import positional, read_table, row_key, stored
 from .words import ALNUM, shingles, slices, words_of
 
 #: Words of benchmark text that are broadcast at once (about 100 MB in a worker at most).
@@ -212,6 +212,7 @@ def decontaminate(
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """``k1, k2`` (row key), ``doc_id, n_words, n_hit, items`` (ascending), ``spans`` of hit words, ``contaminated``."""
+    docs, (doc_id, text) = positional(docs, doc_id, text)
     slim = docs.select(
         *row_key(doc_id, text), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")
     )
@@ -276,11 +277,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_
 
     Columns of any name come through as they are; rows with equal id and text stay or go together.
     """
-    k1, k2 = fresh(docs, "k1", "k2")
-    bad = decontaminate(docs, benchmark, doc_id, text, **options).filter("contaminated")
-    bad = stored(bad.select(F.col("k1").alias(k1), F.col("k2").alias(k2)).dropDuplicates())
-    keyed = docs.withColumns(dict(zip((k1, k2), row_key(doc_id, text), strict=True)))
-    return keyed.join(bad, [k1, k2], "left_anti").select(*docs.columns)
+    plain, (key, body) = positional(docs, doc_id, text)
+    bad = stored(decontaminate(plain, benchmark, key, body, **options).filter("contaminated").select("k1", "k2").dropDuplicates())
+    keyed = plain.withColumns(dict(zip(("k1", "k2"), row_key(key, body), strict=True)))
+    return keyed.join(bad, ["k1", "k2"], "left_anti").select(*plain.columns).toDF(*docs.columns)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import positional, read_table
 from .tokens import default_path, encoder, no_cycle_search
 from .words import slices
 
@@ -191,6 +191,7 @@ def pack(
 
     With ``added_tokens``, contents of the vocabulary's added tokens get their ids, as in the library's ``encode``.
     """
+    docs, (doc_id, text) = positional(docs, doc_id, text)
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return slim.mapInArrow(_pack_partition(tokenizer_path, end_id, tiers, step_tokens, added_tokens), PIECES)
 

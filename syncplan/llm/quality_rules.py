@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cache_of, fresh, read_table, row_key, stored
+from .common import cache_of, positional, read_table, row_key, stored, with_length
 from .words import slices
 
 SYMBOLS = "#*$%&|<>"
@@ -89,6 +89,7 @@ def _measure_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """``doc_id, host, k1, k2`` (row key) and MEASURES for each row."""
+    docs, (doc_id, text, host) = positional(docs, doc_id, text, host)
     slim = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
         F.col(host).cast("string").alias("host"),
@@ -178,16 +179,12 @@ def keep_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host:
 
     Columns of any name come through as they are; rows with equal id, host and text have one verdict.
     """
-    k1, k2, removed = fresh(docs, "k1", "k2", "removed_lines")
-    verdict = quality_rules(docs, doc_id, text, host, **rules).filter("kept")
-    verdict = verdict.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("removed_lines").alias(removed)).dropDuplicates([k1, k2])
-    kept = docs.withColumns(dict(zip((k1, k2), row_key(doc_id, host, text), strict=True))).join(verdict, [k1, k2])
-    whole, cut = kept.filter(F.col(removed).isNull()), kept.filter(F.col(removed).isNotNull())
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    cut = cut.select(*docs.columns, removed).mapInArrow(_without(text, removed), schema)
-    if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return whole.select(*docs.columns).unionByName(cut.select(*docs.columns))
+    plain, (key, body, at) = positional(docs, doc_id, text, host)
+    verdict = quality_rules(plain, key, body, at, **rules).filter("kept").select("k1", "k2", "removed_lines").dropDuplicates(["k1", "k2"])
+    kept = plain.withColumns(dict(zip(("k1", "k2"), row_key(key, at, body), strict=True))).join(verdict, ["k1", "k2"])
+    whole, cut = kept.filter("removed_lines is null"), kept.filter("removed_lines is not null")
+    cut = cut.select(*plain.columns, "removed_lines").mapInArrow(_without(body, "removed_lines"), plain.schema)
+    return whole.select(*plain.columns).unionByName(with_length(cut, docs, body)).toDF(*docs.columns)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

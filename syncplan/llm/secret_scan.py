@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cache_of, fresh, read_table, row_key, stored
+from .common import cache_of, positional, read_table, row_key, stored, with_length
 from .words import slices
 
 try:  # its place in the standard library
@@ -209,6 +209,7 @@ def secret_spans(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """``k1, k2, doc_id, spans`` for each row; spans (kind, start, end) by start, then in the order of the rules."""
+    docs, (doc_id, text) = positional(docs, doc_id, text)
     slim = docs.select(
         *row_key(doc_id, text),
         F.col(doc_id).cast("long").alias("doc_id"),
@@ -266,17 +267,13 @@ def mask_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **
 
     Columns of any name come through as they are; rows with equal id and text are masked alike.
     """
-    k1, k2, spans = fresh(docs, "k1", "k2", "spans")
-    found = secret_spans(docs, doc_id, text, **options).filter("size(spans) > 0")
-    found = found.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("spans").alias(spans)).dropDuplicates([k1, k2])
-    keyed = docs.withColumns(dict(zip((k1, k2), row_key(doc_id, text), strict=True)))
-    joined = keyed.join(stored(found).hint("shuffle_hash"), [k1, k2], "left").select(*docs.columns, spans)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    clean = joined.filter(F.col(spans).isNull()).select(*docs.columns)
-    masked = joined.filter(F.col(spans).isNotNull()).mapInArrow(_masked(text, spans), schema)
-    if "n_chars" in docs.columns:
-        masked = masked.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return clean.unionByName(masked.select(*docs.columns))
+    plain, (key, body) = positional(docs, doc_id, text)
+    found = secret_spans(plain, key, body, **options).filter("size(spans) > 0").select("k1", "k2", "spans").dropDuplicates(["k1", "k2"])
+    keyed = plain.withColumns(dict(zip(("k1", "k2"), row_key(key, body), strict=True)))
+    joined = keyed.join(stored(found).hint("shuffle_hash"), ["k1", "k2"], "left").select(*plain.columns, "spans")
+    clean = joined.filter("spans is null").select(*plain.columns)
+    masked = joined.filter("spans is not null").mapInArrow(_masked(body, "spans"), plain.schema)
+    return clean.unionByName(with_length(masked, docs, body)).toDF(*docs.columns)
 
 
 def brute_force(doc_id: int | None, text: str | None, rules: tuple[Rule, ...] = RULES) -> tuple:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .binary_files import read_files, write_blocks
-from .common import read_table, shared_dir, stored
+from .common import positional, read_table, shared_dir, stored
 from .tokens import default_path, encoder, no_cycle_search
 from .words import slices
 
@@ -138,6 +138,7 @@ def write_token_files(
     added_tokens: bool = False,
 ) -> None:
     """Files under ``path``/ids, and the ranks under ``path``/ranks.  ``added_tokens``: as in ``pack``."""
+    docs, (doc_id, text) = positional(docs, doc_id, text)
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     run, kind = _tokenize(tokenizer_path, end_id, drops_space, added_tokens)
     rows = stored(slim.mapInArrow(run, "doc_id long, ids binary"))
