@@ -1,17 +1,20 @@
-"""Removal of passages that repeat across documents, by hashing of lines and of passages.
+"""Removal of passages that repeat across documents, by hashing of lines, paragraphs and passages.
 
-Two kinds of unit are hashed.  Whole lines (of at least ``min_line_words`` words; a paragraph is a run of lines) are the
-rule.  As repeated passages also begin and end amid lines, passages of ``window`` words are the second kind: they begin at
-places that the words themselves choose, the least hash of two neighbouring words among each ``reach`` places in a row, so
-equal passages give equal units wherever they stand.  Units are normalised (ASCII lower case, one space between words) and
-hashed; digests are grouped over all documents, and the earliest occurrence (smallest doc id, then place) of each is kept.
-In every other occurrence its words are removed.  Units that overlap and have their earliest occurrence in one document are
-one row.  Spans are in code points of the original text.
+Three kinds of unit are hashed: whole lines, paragraphs (runs of lines without a blank one between them), and, as repeated
+passages also begin and end amid lines, passages of ``window`` words.  Those begin at places that the words themselves
+choose, the least hash of two neighbouring words among each ``reach`` places in a row, so equal passages give equal units
+wherever they stand.  Units are normalised (ASCII lower case, one space between words) and hashed; digests are grouped over
+all documents, and the earliest occurrence (smallest doc id, then place) of each is kept.  In every other occurrence its
+words are removed.  Units that overlap and have their earliest occurrence in one document are one row.  Spans are in code
+points of the original text.
 
-Every removed word thus lies in a line, or in ``window`` words one after the other, that one earlier document (or an earlier
-place of the same one) holds as they are.  A passage of at least ``window`` + ``reach`` words that an earlier document holds
-is always met; of one that begins or ends amid a line, at most ``reach`` words at its start and ``reach`` at its end stay, and
-about half as many as a rule.
+A line of fewer than ``min_line_words`` words that an earlier document holds, as it may hold a common phrase or a licence,
+goes only with a neighbour: where the words right before or behind it go.  By default there are no such lines.
+
+Every removed word thus lies in a line, a paragraph or ``window`` words one after the other that one earlier document (or an
+earlier place of the same one) holds as they are.  A passage of at least ``window`` + ``reach`` - 1 words (25) that an earlier
+document holds is always met; of one that begins or ends amid a line, fewer than ``reach`` words at its start and as many at
+its end stay, and about half as many as a rule.
 
 Data flow: units are stored once, as arrays, and of units that a document holds more than once only the first is sent.  The
 grouping sums before the shuffle; the digests found are stored, so that adaptive execution can split the join where a digest
@@ -32,14 +35,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, read_table, row_key, stored
+from .common import fresh, positional, read_table, row_key, stored
 from .words import NON_SPACE, STEP, STEP_INVERSE, Words, mix, powers, slices, words_of
 
 _LAST = 2**63 - 1
 UNITS = (
     "rid long, k1 long, k2 long, doc_id long, digests array<long>, firsts array<boolean>, at array<int>, words array<int>,"
-    " starts array<int>, ends array<int>"
+    " starts array<int>, ends array<int>, weak array<boolean>"
 )
+#: Words of a passage, and places in a row of which one begins a passage.
+WINDOW, REACH = 16, 10
 
 
 def _places(words: Words, window: int, reach: int) -> np.ndarray:
@@ -56,17 +61,18 @@ def _places(words: Words, window: int, reach: int) -> np.ndarray:
     return place[words.row[place] == words.row[place + window - 1]]
 
 
-def _lines(words: Words, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """First word and number of words of each line of at least so many words."""
+def _lines(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """First word and number of words of each line, and of each paragraph of several lines."""
     n = len(words.row)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    line = np.cumsum(words.data == 10)[words.start]
-    new = np.ones(n, bool)
-    new[1:] = (words.row[1:] != words.row[:-1]) | (line[1:] != line[:-1])
-    begin = np.flatnonzero(new)
-    size = np.diff(np.append(begin, n))
-    return begin[size >= least], size[size >= least]
+    step = np.diff(np.cumsum(words.data == 10)[words.start])
+    found = []
+    for ends in (step > 0, step > 1):
+        new = np.append(True, ends | (words.row[1:] != words.row[:-1]))
+        begin = np.flatnonzero(new)
+        found.append((begin, np.diff(np.append(begin, n))))
+    return np.concatenate([b for b, _ in found]), np.concatenate([k for _, k in found])
 
 
 def _units(min_line_words: int, window: int, reach: int):
@@ -76,7 +82,7 @@ def _units(min_line_words: int, window: int, reach: int):
             for part in slices(batch, "text"):
                 words = words_of(part.column(3), NON_SPACE)
                 n, place = len(words.row), _places(words, window, reach)
-                begin, size = _lines(words, min_line_words)
+                begin, size = _lines(words)
                 begin, size = np.concatenate([begin, place]), np.concatenate([size, np.full(len(place), window)])
                 order = np.lexsort((size, begin))
                 begin, size = begin[order], size[order]
@@ -102,6 +108,7 @@ def _units(min_line_words: int, window: int, reach: int):
                     pa.array(size, pa.int32()),
                     pa.array(points[words.start[begin]] - base[row], pa.int32()),
                     pa.array(points[words.end[begin + size - 1]] - base[row], pa.int32()),
+                    pa.array((size < min_line_words) & (size != window)),
                 ]
                 ids = pa.array(np.arange(rid, rid + part.num_rows), pa.int64())
                 rid += part.num_rows
@@ -116,12 +123,15 @@ def _units(min_line_words: int, window: int, reach: int):
 SPANS = "doc_id long, k1 long, k2 long, start long, end long, n_words long, first_doc_id long"
 
 
-def _spans(doc: int, digests: list[int], at: list[int], words: list[int], found: dict[int, int]) -> Iterator[tuple[int, int, int, int]]:
+def _spans(doc: int, digests: list[int], at: list[int], words: list[int], weak: list[bool], found: dict[int, int]) -> Iterator[tuple[int, int, int, int]]:
     """``(first unit, last unit, words, earliest document)`` of each stretch to remove; ``found`` has units by place."""
     source = {digests[u]: of for u, of in found.items()}
+    begins, ends = set(), set()  # of what goes
     kept_until: dict[int, int] = {}  # the word after the occurrence of a digest that this document keeps
     chosen: dict[int, list[int]] = {}
     for u, digest in enumerate(digests):
+        if weak[u]:
+            continue
         if u in found:
             chosen.setdefault(found[u], []).append(u)
         elif digest in source:  # again in this document
@@ -137,7 +147,21 @@ def _spans(doc: int, digests: list[int], at: list[int], words: list[int], found:
                 if at[units[j]] + words[units[j]] > end:
                     end, last = at[units[j]] + words[units[j]], units[j]
             yield units[i], last, end - at[units[i]], of
+            begins.add(at[units[i]])
+            ends.add(end)
             i = j + 1
+    short = [u for u in range(len(digests)) if weak[u] and digests[u] in source]
+    with_neighbour = set()
+    for u in short:
+        if at[u] in ends:
+            with_neighbour.add(u)
+            ends.add(at[u] + words[u])
+    for u in reversed(short):
+        if at[u] + words[u] in begins:
+            with_neighbour.add(u)
+            begins.add(at[u])
+    for u in sorted(with_neighbour):
+        yield u, u, words[u], source[digests[u]]
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,24 +169,23 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         columns = (batch.column(i).to_pylist() for i in range(batch.num_columns))
-        for k1, k2, doc, digests, at, words, starts, ends, units, sources in zip(*columns, strict=True):
+        for k1, k2, doc, digests, at, words, starts, ends, weak, units, sources in zip(*columns, strict=True):
             own = _LAST if doc is None else doc
-            for a, b, n, of in _spans(own, digests, at, words, dict(zip(units or (), sources or (), strict=True))):
+            for a, b, n, of in _spans(own, digests, at, words, weak, dict(zip(units or (), sources or (), strict=True))):
                 rows.append((doc, k1, k2, starts[a], ends[b], n, None if of == _LAST else of))
         columns = list(zip(*rows, strict=True)) or [[]] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
 
 def repeated_spans(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_line_words: int = 1, window: int = 25, reach: int = 12
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_line_words: int = 1, window: int = WINDOW, reach: int = REACH
 ) -> DataFrame:
     """A row for each span to remove: SPANS.  ``first_doc_id`` holds the earliest occurrence of its units.
 
     Rows of one document overlap where their words come from several earlier documents.
     """
-    slim = docs.select(
-        *row_key(doc_id, text), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")
-    )
+    plain, (key, body) = positional(docs, doc_id, text)
+    slim = plain.select(*row_key(key, body), F.col(key).cast("long").alias("doc_id"), F.col(body).cast("string").alias("text"))
     rows = stored(slim.mapInArrow(_units(min_line_words, window, reach), UNITS))
     each = rows.select("rid", F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), "firsts", F.posexplode("digests").alias("unit", "digest"))
     each = each.filter(F.get("firsts", "unit")).drop("firsts")
@@ -176,7 +199,7 @@ def repeated_spans(
         .select("rid", F.col("found.unit").alias("units"), F.col("found.first").alias("sources"))
     )
     whole = rows.join(again, "rid", "left").filter(F.col("units").isNotNull() | F.exists("firsts", lambda x: ~x))
-    whole = whole.select("k1", "k2", "doc_id", "digests", "at", "words", "starts", "ends", "units", "sources")
+    whole = whole.select("k1", "k2", "doc_id", "digests", "at", "words", "starts", "ends", "weak", "units", "sources")
     return whole.mapInArrow(_runs, SPANS).distinct()  # repeated rows give the same spans
 
 
@@ -199,20 +222,19 @@ def _cut(text: str, removed: str):
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents without their repeated lines and passages, and ``removed``: spans in the original text.
 
-    Where ``docs`` has a column ``removed``, the new one is ``removed_``.
+    Columns of any name come through as they are.  Where ``docs`` has a column ``removed``, the new one is ``removed_``.
     """
-    k1, k2, removed = fresh(docs, "k1", "k2", "removed")
-    spans = repeated_spans(docs, doc_id, text, **options).groupBy(F.col("k1").alias(k1), F.col("k2").alias(k2))
-    spans = spans.agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(removed))
-    keyed = docs.withColumns(dict(zip((k1, k2), row_key(doc_id, text), strict=True)))
-    joined = keyed.join(stored(spans), [k1, k2], "left").select(*docs.columns, removed)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields)
-    cut = joined.filter(F.col(removed).isNotNull()).mapInArrow(_cut(text, removed), kinds)
-    return joined.filter(F.col(removed).isNull()).unionByName(cut)
-
-
-#: Words of a line that the query removes.  Half of the documents hold some shorter line that another one holds too.
-LINE_WORDS = 25
+    plain, (key, body) = positional(docs, doc_id, text)
+    spans = repeated_spans(plain, key, body, **options).groupBy("k1", "k2")
+    spans = spans.agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed"))
+    keyed = plain.withColumns(dict(zip(("k1", "k2"), row_key(key, body), strict=True)))
+    joined = keyed.join(stored(spans), ["k1", "k2"], "left").select(*plain.columns, "removed")
+    cut = joined.filter(F.col("removed").isNotNull()).mapInArrow(_cut(body, "removed"), joined.schema)
+    return joined.filter(F.col("removed").isNull()).unionByName(cut).toDF(*docs.columns, *fresh(docs, "removed"))
+
+
+#: Words of a line that the query removes by itself.  Half of the documents hold some shorter one that others hold too.
+LINE_WORDS = WINDOW
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import pytest
 
-from syncplan.llm.substring_dedup import repeated_spans, without_repeats
+from syncplan.llm.substring_dedup import REACH, WINDOW, repeated_spans, without_repeats
 
 
 def _planted(seed):
@@ -38,7 +38,7 @@ def test_planted_passages(spark):
     earlier = {d: " ".join(t.split()) for d, t in docs}
     for r in rows:
         span = " ".join(texts[r["doc_id"]][r["start"] : r["end"]].split())
-        assert len(span.split()) == r["n_words"] >= 25 and r["first_doc_id"] < r["doc_id"]
+        assert len(span.split()) == r["n_words"] and r["first_doc_id"] < r["doc_id"]
         assert span in earlier[r["first_doc_id"]]
 
 
@@ -72,10 +72,50 @@ def test_several_sources_are_several_rows(spark):
     docs = [(i, f"{line}\nown {i}") for i, line in enumerate(lines)] + [(9, "\n".join(lines))]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert sorted((r["first_doc_id"], r["n_words"]) for r in repeated_spans(df).collect()) == [(i, 12) for i in range(6)]
-    assert repeated_spans(df, min_line_words=13).count() == 0  # no 25 words in a row are in one document
+    assert repeated_spans(df, min_line_words=13).count() == 0  # no 16 words in a row are in one document
 
 
-@pytest.mark.parametrize("least", [1, 25])
+def test_short_lines_go_with_a_neighbour(spark):
+    """A licence that many hold stays; in a passage that goes, or beside one, it goes too, on either side and in a row."""
+    long = " ".join(f"p{i}" for i in range(30))
+    texts = ["all rights\nmy own", f"head\nof note\n{long}\nall rights\nsee below", "all rights\nother", f"x y\n\nhead\nof note\n{long.upper()}\nall rights\nsee below\nz", f"see below\nw\n{long}\n\n\nall rights"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    cut = {r["doc_id"]: r["text"] for r in without_repeats(df, min_line_words=WINDOW).collect()}
+    assert [cut[i] for i in range(3)] == texts[:3]
+    assert cut[3].split() == ["x", "y", "z"] and cut[4].split() == ["see", "below", "w"]
+    everything = {r["doc_id"]: r["text"].split() for r in without_repeats(df).collect()}
+    assert everything[2] == ["other"] and everything[4] == ["w"] and everything[1] == ["head", "of", "note", *long.split(), "see", "below"]
+
+
+def test_paragraphs_of_short_lines(spark):
+    """Six lines of three words: no line is long, and the whole paragraph goes, its ends too."""
+    paragraph = "\n".join(f"a{i} b{i} c{i}" for i in range(6))
+    df = spark.createDataFrame([(1, f"one two\n\n{paragraph}\n\nend"), (2, f"other {1}\n \n{paragraph.replace(' ', '  ')}\n\nmore")], "doc_id long, text string")
+    rows = repeated_spans(df, min_line_words=WINDOW).collect()
+    assert [(r["doc_id"], r["n_words"], r["first_doc_id"]) for r in rows] == [(2, 18, 1)]
+
+
+@pytest.mark.parametrize("size, least", [(10, 0.0), (16, 0.05), (20, 0.3), (25, 1.0), (30, 1.0), (36, 1.0)])
+def test_recall_of_passages_amid_lines(spark, size, least):
+    """200 passages that stand amid the lines of two documents each, by length; from 25 words on all are met."""
+    rng = random.Random(size)
+    some = lambda k: " ".join(f"w{rng.randrange(10**7)}" for _ in range(k))
+    passages = [some(size) for _ in range(200)]
+    docs = [(i, f"{some(20)} {p} {some(20)}") for i, p in enumerate(passages)] + [(1000 + i, f"{some(9)} {p} {some(33)}") for i, p in enumerate(passages)]
+    found = repeated_spans(spark.createDataFrame(docs, "doc_id long, text string"), min_line_words=WINDOW).collect()
+    assert {r["first_doc_id"] for r in found} == {r["doc_id"] - 1000 for r in found}
+    assert len(found) >= least * 200 and (size >= WINDOW or not found)
+
+
+def test_columns_of_any_name(spark):
+    line = " ".join(f"x{i}" for i in range(20))
+    df = spark.createDataFrame([(1, line, "A", 1, 2), (2, line, "B", 3, 4)], "doc_id long, text string, `a.b` string, TEXT int, `k``1` int")
+    out = without_repeats(df)
+    assert out.columns == [*df.columns, "removed"]
+    assert sorted(tuple(r)[:5] for r in out.collect()) == [(1, line, "A", 1, 2), (2, "", "B", 3, 4)]
+
+
+@pytest.mark.parametrize("least", [1, WINDOW])
 def test_whole_table_against_brute_force(spark, sf_dir, least):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
     spans = defaultdict(list)
@@ -84,18 +124,26 @@ def test_whole_table_against_brute_force(spark, sf_dir, least):
     places = {r["doc_id"]: [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", r["text"] or "")] for r in rows}
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = {r["doc_id"]: [(r["text"] or "")[a:b].translate(lower) for a, b in places[r["doc_id"]]] for r in rows}
-    lines, first_line, first_gram = {}, {}, {}
+    lines, first_line, first_gram, paragraphs, first_paragraph = {}, {}, {}, {}, {}
     for r in sorted(rows, key=lambda r: r["doc_id"]):
-        doc, at, own = r["doc_id"], 0, []
+        doc, at, own, begin = r["doc_id"], 0, [], 0
+        paragraphs[doc] = []
         for line in (r["text"] or "").split("\n"):
             k = len(re.findall(r"[^\x20\x09-\x0D]+", line))
             if k:
                 own.append((at, at + k))
                 first_line.setdefault(tuple(words[doc][at : at + k]), (doc, at))
+            if not k and at > begin:
+                paragraphs[doc].append((begin, at))
+                begin = at
             at += k
+        if at > begin:
+            paragraphs[doc].append((begin, at))
+        for x, y in paragraphs[doc]:
+            first_paragraph.setdefault(tuple(words[doc][x:y]), (doc, x))
         lines[doc] = own
-        for i in range(len(words[doc]) - 24):
-            first_gram.setdefault(tuple(words[doc][i : i + 25]), (doc, i))
+        for i in range(len(words[doc]) - WINDOW + 1):
+            first_gram.setdefault(tuple(words[doc][i : i + WINDOW]), (doc, i))
     n_found = 0
     for doc, own in words.items():
         starts, ends = {a: i for i, (a, _) in enumerate(places[doc])}, {b: i + 1 for i, (_, b) in enumerate(places[doc])}
@@ -103,20 +151,25 @@ def test_whole_table_against_brute_force(spark, sf_dir, least):
         for s in spans[doc]:
             a, b = starts[s["start"]], ends[s["end"]]
             assert b - a == s["n_words"]
-            sound = set()  # words of whole lines or of 25 in a row that the named document holds first
+            sound = set()  # words of whole lines, paragraphs or WINDOW in a row that the named document holds first
             for x, y in lines[doc]:
                 if a <= x and y <= b and first_line[tuple(own[x:y])][0] == s["first_doc_id"] and first_line[tuple(own[x:y])] != (doc, x):
                     sound.update(range(x, y))
-            for i in range(a, b - 24):
-                if first_gram[tuple(own[i : i + 25])][0] == s["first_doc_id"] and first_gram[tuple(own[i : i + 25])] != (doc, i):
-                    sound.update(range(i, i + 25))
+            for x, y in paragraphs[doc]:
+                if a <= x and y <= b and first_paragraph[tuple(own[x:y])][0] == s["first_doc_id"] and first_paragraph[tuple(own[x:y])] != (doc, x):
+                    sound.update(range(x, y))
+            for i in range(a, b - WINDOW + 1):
+                if first_gram[tuple(own[i : i + WINDOW])][0] == s["first_doc_id"] and first_gram[tuple(own[i : i + WINDOW])] != (doc, i):
+                    sound.update(range(i, i + WINDOW))
             assert sound == set(range(a, b))
             covered |= sound
             n_found += 1
-        for x, y in lines[doc]:
-            if y - x >= least and first_line[tuple(own[x:y])] != (doc, x):
-                assert covered >= set(range(x, y))
-        for i in range(len(own) - 36):
-            if all(first_gram[tuple(own[j : j + 25])][0] < doc for j in range(i, i + 13)):
-                assert covered >= set(range(i + 12, i + 25))
+        for kind, first in ((lines[doc], first_line), (paragraphs[doc], first_paragraph)):
+            for x, y in kind:
+                if y - x >= least and first[tuple(own[x:y])] != (doc, x):
+                    assert covered >= set(range(x, y))
+        for i in range(len(own) - WINDOW - REACH + 1):
+            grams = [first_gram[tuple(own[j : j + WINDOW])] for j in range(i, i + REACH)]
+            if grams[0][0] < doc and all(g == (grams[0][0], grams[0][1] + k) for k, g in enumerate(grams)):  # a passage of 25 words there
+                assert covered >= set(range(i + REACH - 1, i + WINDOW))
     assert n_found > 20
