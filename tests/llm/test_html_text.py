@@ -1,6 +1,7 @@
 import html as entities
 import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -57,6 +58,44 @@ def test_names_that_contain_a_listed_word():
         assert main_text(f"<body><p>{LONG}</p><div class='{name}'><p>{LONG}</p></div>") == LONG
 
 
+BODY = "".join(f"<p>{LONG} Paragraph {i}.</p>" for i in range(6))
+TEXT = "\n\n".join(f"{LONG} Paragraph {i}." for i in range(6))
+JUNK = "share-buttons related-posts newsletter-signup disqus_thread sidebar-first footer-widgets google-ads post-footer cookie-law-info-bar article-comments user-comments".split()
+LINKS = "".join(f"<li><a href=/{i}>Another story of this site, number {i}</a></li>" for i in range(40))
+SOURCES = "".join(f"<li><a href=/{i}>Source {i}, a book</a></li>" for i in range(3))
+LISTED = "\n\n".join(f"Source {i}, a book" for i in range(3))
+
+#: Pages made by hand, and the text that a reader would call the article's.
+PAGES = {
+    **{f"junk {name}": (f"<article>{BODY}<div class='{name}'><p>Junk that a reader would skip.</p><ul>{LINKS[:200]}</ul></div></article>", TEXT) for name in JUNK},
+    **{f"unmarked {name}": (f"<body><div>{BODY}</div><section id='{name}'><p>{LONG}</p><p>{LONG}</p></section></body>", TEXT) for name in JUNK},
+    "advert as paragraph": (f"<article>{BODY}<p class='advert'>Buy</p><p>End.</p></article>", f"{TEXT}\n\nEnd."),
+    "advert as list item": (f"<article>{BODY}<ul><li class='ad'>Buy<li>Kept one<li>Kept two</ul></article>", f"{TEXT}\n\nKept one\n\nKept two"),
+    "advert item with blocks": (f"<article>{BODY}<ul><li class='ad'><p>Buy</p><div>Now</div></li><li>Kept</li></ul></article>", f"{TEXT}\n\nKept"),
+    "advert in a line": (f"<article><p>One <span class='advert'>Buy <b>now</b></span>two <a class='ad' href=/>here</a>three.</p>{BODY}</article>", f"One two three.\n\n{TEXT}"),
+    "advert that isn't closed": (f"<article><p>One <span class='advert'>Buy<p>Two.</p>{BODY}</article>", f"One\n\nTwo.\n\n{TEXT}"),
+    "comment article": (f"<body><article><p>{LONG}</p></article><article class='comment'><p>{LONG}</p></article>", LONG),
+    "hidden": (f"<article>{BODY}<div style='color:red; display : none'><p>No</p></div><p style='visibility:hidden'>No</p><p hidden>No</p><div aria-hidden=true>No</div></article>", TEXT),
+    "labels of main": (f"<main><div>Sign in</div><h1>Head</h1>{BODY}<p>Most read stories of today</p><ul>{LINKS}</ul><span>Load more</span></main>", f"Head\n\n{TEXT}"),
+    "references": (f"<article>{BODY}<h2>Sources</h2><ul>{SOURCES}</ul><p>Thanks.</p></article>", f"{TEXT}\n\nSources\n\n{LISTED}\n\nThanks."),
+    "link list with its title": (f"<article>{BODY}<h2>More</h2><ul>{LINKS}</ul><p>The end.</p></article>", f"{TEXT}\n\nThe end."),
+    "sentence after links": (f"<body><div>{BODY}<p><a href=/1>Some story</a></p><p><a href=/2>Some other</a></p><p><a href=/3>And a third</a></p><p>So it ends.</p></div><p>Log in</p>", f"{TEXT}\n\nSo it ends."),
+    "related story": (f"<body><div class='related-story'>{BODY}</div><div class='menu'>{LONG}</div>", TEXT),
+    "appeal": (f"<article><div class='notice-of-appeal'>{BODY}</div><p>{LONG}</p></article>", f"{TEXT}\n\n{LONG}"),
+    "names of the body": (f"<body class='has-sidebar cookie-consent'><main id='main-sidebar'>{BODY}</main></body>", TEXT),
+    "cells": (f"<article>{BODY}<table><tr><td>a<td class='ad'>Buy<td>b<tr><td>c</table></article>", f"{TEXT}\n\na\n\nb\n\nc"),
+    "terms": (f"<article>{BODY}<dl><dt>a<dd class='ad'>Buy<dt>b<dd>c</dl></article>", f"{TEXT}\n\na\n\nb\n\nc"),
+    "stray ends": (f"<article></li></span></p>{BODY}</div></section><p>End.</p></article>", f"{TEXT}\n\nEnd."),
+    "nothing but junk": ("<body><nav><p>Menu</p></nav><div class='comments'><p>First!</p></div></body>", ""),
+}
+
+
+@pytest.mark.parametrize("name", PAGES)
+def test_pages_made_by_hand(name):
+    page, text = PAGES[name]
+    assert main_text(page) == text
+
+
 def _windows(lengths, window, surge):
     """Kept lines of a page without marks, straight from the definition of surge and dive."""
     sums = [sum(lengths[i : i + window]) for i in range(len(lengths))]
