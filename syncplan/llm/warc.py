@@ -5,11 +5,12 @@ Request and metadata name the response or revisit in ``WARC-Concurrent-To``.  Ar
 for each record (and an empty one after each capture).  Reading parses every record, then joins the records of a capture
 through the concurrent-to identifiers into one nested row.
 
-Of pages with equal payloads of at least ``revisit_bytes`` bytes, the one with the largest page id is the response.
+Of pages with equal payloads of at least ``revisit_bytes`` bytes, the one with the largest page id is the response; the id
+of a response is made of its page, URL and payload, so a revisit names it without looking it up.
 
 Nulls and odd input: a null html is an empty payload, a null url an empty target; a page with a null page id is a capture
-of its own and the response of a payload only if all its pages are such; of repeated rows with the largest page id each
-is a response.  An empty table gives no captures.  Other columns are not read.
+of its own and the response of a payload only if all its pages are such; of rows with the largest page id each is a
+response, under an id of its own if their URLs differ; repeated rows are one record, written as often.  An empty table gives no captures.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .binary_files import read_files, write_blocks
-from .common import read_table, shared_dir
+from .common import positional, read_table, shared_dir
 
 #: What a file holds before compression, about.
 FILE_BYTES = 32 << 20
@@ -55,12 +56,12 @@ def _record(kind: str, record_id: str, date: str, headers: list[tuple[str, str]]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + content + b"\r\n\r\n"
 
 
-def _response_id(page_id: int | None, digest: str) -> str:
-    return uuid.UUID(bytes=hashlib.md5(f"{page_id} {digest}".encode()).digest(), version=4).urn
+def _response_id(page_id: int | None, url: str | None, digest: str) -> str:
+    return uuid.UUID(bytes=hashlib.md5(f"{page_id} {digest} {url}".encode()).digest(), version=4).urn
 
 
-def _capture(page_id: int | None, url: str | None, html: str | None, first: int | None, revisit: bool, date: str) -> bytes:
-    """``first``: the page of the response with this payload."""
+def _capture(page_id: int | None, url: str | None, html: str | None, first: int | None, first_url: str | None, revisit: bool, date: str) -> bytes:
+    """``first``, ``first_url``: the page and URL of the response with this payload."""
     payload = (html or "").encode("utf-8", "surrogatepass")
     digest = _digest(payload)
     target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "")
@@ -72,12 +73,12 @@ def _capture(page_id: int | None, url: str | None, html: str | None, first: int
         main_id = uuid.uuid4().urn
         back = [
             ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
-            ("WARC-Refers-To", f"<{_response_id(first, digest)}>"),
+            ("WARC-Refers-To", f"<{_response_id(first, first_url, digest)}>"),
         ]
         main = _record("revisit", main_id, date, where + back + sha, head)
         fields["refers-to-page"] = first
     else:
-        main_id = _response_id(page_id, digest)
+        main_id = _response_id(page_id, url, digest)
         main = _record("response", main_id, date, where + sha, head + payload)
     beside = [*where, ("WARC-Concurrent-To", f"<{main_id}>")]
     rest = re.match(r"(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^/?#]*)([^#]*)", target)
@@ -108,6 +109,7 @@ def write_warc(
     revisit_bytes: int = 0,
     date: str = "2000-01-01T00:00:00Z",
 ) -> None:
+    pages, (page_id, url, html) = positional(pages, page_id, url, html)
     slim = pages.select(
         F.col(page_id).cast("long").alias("page_id"),
         F.col(url).cast("string").alias("url"),
@@ -115,16 +117,17 @@ def write_warc(
     ).withColumn("sha", F.unhex(F.sha1(F.col("html").cast("binary"))))
     size = F.octet_length("html")
     # summed before the shuffle, so one payload of a third of all pages is no hot group
-    groups = slim.groupBy("sha").agg(F.max("page_id").alias("first"), F.count("*").alias("n"), F.sum(size).alias("bytes"))
+    groups = slim.groupBy("sha").agg(F.max(F.struct("page_id", "url")).alias("top"), F.count("*").alias("n"), F.sum(size).alias("bytes"))
     totals = slim.agg(F.count("*"), F.sum(size)).first()
     per_file = max(1, int(FILE_BYTES / max(1.0, (totals[1] or 0) / max(1, totals[0]) + 1200)))
-    again = groups.filter((F.col("n") > 1) & (F.col("bytes") >= F.col("n") * revisit_bytes)).select("sha", "first")
+    again = groups.filter((F.col("n") > 1) & (F.col("bytes") >= F.col("n") * revisit_bytes)).select("sha", F.col("top.page_id").alias("first"), F.col("top.url").alias("first_url"))
     # adaptive execution broadcasts the groups if they turn out small, and splits a hot group otherwise
     rows = slim.join(again, "sha", "left").select(
         "page_id",
         "url",
         "html",
         "first",
+        "first_url",
         (F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).alias("revisit"),
     )
     blocks = rows.mapInArrow(_captures(date), "block binary")

@@ -60,6 +60,18 @@ def test_small_payloads_and_missing_main(spark):
     assert len(alone) == 4 and all(r["main"] is None and r["request"] is not None for r in alone)
 
 
+def test_one_page_under_several_urls(spark):
+    """Equal page ids and payloads, other URLs: each is a capture of its own, and revisits name one of them."""
+    path = shared_dir(spark)
+    df = spark.createDataFrame([(5, "http://a/", "x"), (5, "http://b/", "x"), (5, None, "x"), (2, "http://c/", "x")], "page_id long, url string, html string")
+    write_warc(df, path)
+    got = captures(spark, path).collect()
+    assert sorted((r["main"]["type"], r["main"]["target"], r["request"]["target"]) for r in got) == [("response", "", ""), ("response", "http://a/", "http://a/"), ("response", "http://b/", "http://b/"), ("revisit", "http://c/", "http://c/")]
+    ids = {r["main"]["target"]: r["main"]["record_id"] for r in got}
+    assert len(set(ids.values())) == 4
+    assert [r["main"]["refers_to"] for r in got if r["main"]["type"] == "revisit"] == [ids["http://b/"]]
+
+
 def test_empty(spark):
     path = shared_dir(spark)
     write_warc(spark.createDataFrame([], "page_id long, url string, html string"), path)
