@@ -161,10 +161,18 @@ def _(spark, d):
     return work.due_items(view(spark, d, "v_work"), NOW).select("id", "next_run_at")
 
 
-@query("f14_needed_catalogs", "SELECT 'optionlist' AS kind UNION ALL SELECT 'languagelist'")
+@query("f14_needed_catalogs", """
+WITH e AS (SELECT line % 4 AS part, unnest(CAST(json_extract(raw, '$.fields[*].name') AS VARCHAR[])) AS name, unnest(CAST(json_extract(raw, '$.fields[*].language') AS VARCHAR[])) AS tag FROM v_manifest),
+u AS (SELECT part, lower(trim(replace(name, '"', ''))) AS key FROM e),
+l AS (SELECT DISTINCT line % 4 AS part FROM v_manifest WHERE raw LIKE '%"language":"_%')
+SELECT DISTINCT part, 'optionlist' AS kind FROM u JOIN part ON lower(trim(p_brand)) = key WHERE part < 3 UNION ALL SELECT part, 'languagelist' FROM l WHERE part = 0 UNION ALL SELECT 2, 'languagelist'""")
 def _(spark, d):
-    usage = M.field_entries(_parsed(spark, d)).select("name", "language")
-    return C.needed_catalogs(usage, _fields(spark, d))
+    """Of quarters of a manifest: with language tags, without, without but with a default language, and of captions alone."""
+    entries = M.field_entries(_parsed(spark, d))
+    usage = lambda part, kept=True: entries.filter((F.col("record") % 4 == part) & kept).select("name", F.when(F.lit(part == 0), F.col("language")).alias("language"))
+    asked = [(usage(0), None), (usage(1), None), (usage(2), "en-US"), (usage(3, F.col("name") == "Caption"), None)]
+    out = [C.needed_catalogs(rows, _fields(spark, d), default).select(F.lit(i).alias("part"), "kind") for i, (rows, default) in enumerate(asked)]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
 # --- joins ---------------------------------------------------------------------------------------------------------
@@ -383,9 +391,16 @@ def _(spark, d):
     return L.problems(rows)
 
 
-@query("a08_field_usage", "SELECT string_agg(n, ',' ORDER BY n) AS names, true AS uses_language FROM (SELECT DISTINCT p_brand AS n FROM part UNION SELECT 'Caption')")
+@query("a08_field_usage", """
+WITH n AS (SELECT DISTINCT p_brand AS n FROM part WHERE p_partkey % 2 = 0 UNION SELECT 'Caption')
+SELECT string_agg(n, ',' ORDER BY n) AS names, (SELECT bool_or(contains(raw, '"language":"')) FROM v_manifest WHERE line % 2 = 0) AS uses_language FROM n
+UNION ALL SELECT string_agg(DISTINCT p_brand, ',' ORDER BY p_brand), bool_or(p_partkey % 2 > 2) FROM part WHERE p_partkey % 2 = 1""")
 def _(spark, d):
-    return M.field_usage(_manifest(spark, d)).withColumn("names", F.array_join("names", ","))
+    """Of half a manifest as it is, and of the other half with brands alone, which have no language."""
+    rows = _manifest(spark, d)
+    brands = rows.filter("line % 2 = 1").withColumn("raw", F.regexp_replace("raw", r',\{"name":"Caption".*?\}', ""))
+    halves = [M.field_usage(part).withColumn("names", F.array_join("names", ",")) for part in (rows.filter("line % 2 = 0"), brands)]
+    return halves[0].unionByName(halves[1])
 
 
 @query("a10_ledger_state", f"WITH {_STATE} SELECT hash, done, CASE WHEN NOT done THEN token END AS token FROM s")
@@ -614,12 +629,17 @@ def _(spark, d):
     return rows.select("p_partkey", F.explode("fields").alias("f")).select("p_partkey", "f.language", "f.value")
 
 
-@query("u01_concat_fields", "SELECT doc_id, 2 AS n, 'Source' AS last_name FROM documents")
+@query("u01_concat_fields", """
+SELECT doc_id, 'Caption,Source' || CASE WHEN doc_id % 3 = 0 THEN '' ELSE ',Caption' END AS names, sha256(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')) AS first_value,
+ CASE WHEN doc_id % 3 = 0 THEN source ELSE 'again ' || lang END AS last_value FROM documents""")
 def _(spark, d):
+    """Entries of a companion, then of enrich functions, in order; a name that comes again stays, and a part may be null."""
     rows = companion_fields_text(_captions(spark, d), "Caption")
-    own = F.array(F.struct(F.lit("Source").alias("name"), F.col("dir").alias("value"), F.lit(None).cast("string").alias("language")))
-    rows = rows.withColumn("all", concat_fields("fields", own))
-    return rows.select("doc_id", F.size("all").alias("n"), F.element_at("all", -1)["name"].alias("last_name"))
+    entry = lambda name, value: F.array(F.struct(F.lit(name).alias("name"), value.alias("value"), F.lit(None).cast("string").alias("language")))
+    again = F.when(F.col("doc_id") % 3 != 0, entry("Caption", F.concat(F.lit("again "), F.col("vars")["lang"])))
+    rows = rows.withColumn("all", concat_fields("fields", entry("Source", F.col("dir")), again))
+    names = F.array_join(F.transform("all", lambda e: e["name"]), ",")
+    return rows.select("doc_id", names.alias("names"), F.sha2(F.col("all")[0]["value"], 256).alias("first_value"), F.element_at("all", -1)["value"].alias("last_value"))
 
 
 @query("d03_split_failed", "SELECT channel_name, path, 'bad' AS error FROM (SELECT DISTINCT 'x' AS channel_name, path FROM v_events WHERE size % 97 = 0)")

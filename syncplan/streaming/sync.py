@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import datetime
 from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -316,12 +318,19 @@ class Refreshing:
         return self.last
 
 
-def isolated(parts: dict[str, Callable[[], DataFrame]]) -> tuple[dict[str, DataFrame], dict[str, str]]:
-    """Results by name, and errors by name: one channel's failure, in planning or while it runs, doesn't touch the others."""
+def isolated(parts: dict[str, Callable[[], DataFrame]], at_once: int = 8) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """Results by name, and errors by name: one channel's failure, in planning or while it runs, doesn't touch the others.
+
+    So many channels run beside one another, and a slow one keeps none of the others waiting.
+    """
     out, errors = {}, {}
-    for name, make in parts.items():
-        try:
-            out[name] = _written(make())
-        except Exception as e:  # noqa: BLE001
+    with ThreadPoolExecutor(at_once) as pool:
+        begun = {name: pool.submit(inheritable_thread_target(lambda make=make: _written(make()))) for name, make in parts.items()}
+    for name, result in begun.items():
+        if (e := result.exception()) is None:
+            out[name] = result.result()
+        elif isinstance(e, Exception):
             errors[name] = f"{type(e).__name__}: {e}"
+        else:
+            raise e
     return out, errors
