@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,18 @@ class Catalog:
         read = lambda name: spark.read.parquet(f"{path}/{name}.parquet")
         return cls(*(read(n) for n in ("fields", "options", "classifications", "languages", "users", "groups")))
 
+    @cached_property
+    def names(self) -> DataFrame | None:
+        """``names_table``, made and counted once for a catalog: up to MOST_NAMES rows are kept and broadcast."""
+        names = names_table(self)
+        if names is None:
+            return None
+        held = names.limit(MOST_NAMES + 1).persist()
+        if held.count() <= MOST_NAMES:
+            return F.broadcast(held)
+        held.unpersist()
+        return names
+
     def checked(self) -> Catalog:
         if self.fields.limit(MOST_FIELDS + 1).count() > MOST_FIELDS:
             raise ValueError(f"more than {MOST_FIELDS} field definitions")
@@ -101,7 +114,8 @@ def resolve_fields(entries: DataFrame, catalog: Catalog, default_language: str |
     """
     fields = F.broadcast(field_index(catalog.checked().fields))
     rows = entries.withColumn("key", canonical_field_name("name")).join(fields, "key", "left")
-    kind = F.coalesce(F.schema_of_variant("value"), F.lit("VOID"))
+    kind, typed = F.col("kind"), F.col("data_type")
+    rows = rows.withColumn("kind", F.coalesce(F.schema_of_variant("value"), F.lit("VOID")))
     is_text = kind == "STRING"
     text = F.try_variant_get("value", "$", "string")
     items = F.try_variant_get("value", "$", "array<string>")
@@ -109,16 +123,15 @@ def resolve_fields(entries: DataFrame, catalog: Catalog, default_language: str |
     clean = F.coalesce(F.forall(F.coalesce(F.try_variant_get("value", "$", "array<variant>"), F.array().cast("array<variant>")), lambda v: F.schema_of_variant(v) == "STRING"), F.lit(True))
     listed = F.when(is_text, F.array(text)).when(F.startswith(kind, F.lit("ARRAY")) & clean, items)
     links = F.try_variant_get("value", "$", "array<struct<url: string, label: string>>")
-    typed = F.col("data_type")
     number = plain_number(text)
     as_json = F.when(is_text, F.when(F.try_parse_json(text).isNotNull(), text)).otherwise(F.to_json("value"))
     rows = rows.select(
-        "record", "pos", "name", "language", "field_id", "data_type", kind.alias("kind"),
+        "record", "pos", "name", "language", "field_id", "data_type", "kind",
         F.when(typed.isin(*TEXT) & is_text, text).when((typed == "numeric") & (is_text | kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)")), F.when(is_text, trim_white(text)).otherwise(number)).when(typed == "json", as_json).alias("value"),
         F.when(typed.isin(*PASSED, *LISTED), listed).alias("names"),
         F.when((typed == "hyperlinklist") & F.startswith(kind, F.lit("ARRAY")) & F.coalesce(F.forall(links, lambda x: F.coalesce(x["url"], F.lit("")) != ""), F.lit(False)), links).alias("links"),
     )
-    names = names_table(catalog)
+    names = catalog.names
     if names is None:
         names = entries.sparkSession.createDataFrame([], "kind string, owner string, key string, id string")
     # each name of a value is a row until it is resolved; all that is gathered afterwards is gathered by record, in one shuffle
@@ -126,7 +139,7 @@ def resolve_fields(entries: DataFrame, catalog: Catalog, default_language: str |
     by_path = typed == "classificationlist"
     each = each.withColumn("key", F.when(by_path, canonical_path("asked")).otherwise(canonical_field_name("asked")))
     each = each.withColumn("owner", F.when(typed == "optionlist", F.col("field_id").cast("string")).otherwise(F.lit("")))
-    found = each.join(_small(names.withColumnRenamed("kind", "data_type")), ["data_type", "owner", "key"], "left")
+    found = each.join(names.withColumnRenamed("kind", "data_type"), ["data_type", "owner", "key"], "left")
     unknown = F.when(F.col("id").isNull(), F.col("asked"))
     rows = found.repartition("record").groupBy("record", "pos").agg(
         F.first(F.struct("name", "language", "field_id", "data_type", "kind", "value", "names", "links")).alias("row"),

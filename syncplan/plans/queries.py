@@ -1011,10 +1011,9 @@ def _(spark, d):
         rows.write.parquet(f"{root}/scan={number}")
 
     def handle(changed, watcher, scan):
-        if watcher in ("w1/hot", "w1"):
-            changed.select(F.lit(scan).cast("int").alias("pass"), F.lit(watcher).alias("watcher"), "path", "kind").write.mode("append").parquet(out)
+        changed.select(F.lit(scan).cast("int").alias("pass"), F.lit(watcher).alias("watcher"), "path", "kind").write.mode("append").parquet(out)
 
-    listings = listing_stream(spark, root, WATCHERS, kind="inventories")
+    listings = listing_stream(spark, root, [w for w in WATCHERS if w.prefix in ("w1/hot", "w1")], kind="inventories")
     query = sync_listings(listings, state, "orders", handle, shared_dir(spark), ignore=["*.tmp"])
     try:
         query.processAllAvailable()
