@@ -34,6 +34,8 @@ _HEAD = "<4s4I"
 #: Ids of a block, and bytes of ids (four each) of a file before coding.
 BLOCK_IDS = 1 << 19
 FILE_BYTES = 48 << 20
+#: Bytes of text that are tokenized together; each different piece in them is looked up once.
+TEXT_BYTES = 8 << 20
 
 _LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.uint8)
 
@@ -70,12 +72,10 @@ def _tokenize(path: str, end_id: int, drops_space: bool, added_tokens: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = encoder(path, drops_space, added_tokens, kind)
-        end = np.array([end_id], kind).tobytes()
         with no_cycle_search():
             for batch in batches:
-                for part in slices(batch, "text"):
-                    found = [ids.encode(x) + end for x in part.column(1).to_pylist()]
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], ["doc_id", "ids"])
+                for part in slices(batch, "text", TEXT_BYTES):
+                    yield pa.RecordBatch.from_arrays([part.column(0), ids.encode_all(part.column(1), end_id)], ["doc_id", "ids"])
 
     return run, kind
 

@@ -1,7 +1,8 @@
 """Token ids of whole texts by the tokenizers library, through a cache of what stands between white space.
 
 Both vocabularies used here treat a text piece by piece and no piece crosses the places at which a text is parted
-below, so the ids of a text are the ids of its parts, one after the other.  Parts repeat, so most are looked up.
+below, so the ids of a text are the ids of its parts, one after the other.  Parts repeat, so most are looked up.  For
+vocabularies that drop white space ``Encoder.encode_all`` parts many texts at once and looks each different piece up once.
 
 A text that holds the content of an added token, such as ``<|endoftext|>``, goes to the library as a whole where
 ``added_tokens`` is set, and so has the ids of ``encode(text, add_special_tokens=False)``.
@@ -18,6 +19,8 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 from .common import cache_of
@@ -37,6 +40,19 @@ _DROPPING = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: A line break, or printable Latin-1 after at most one space.
 _LATIN = re.compile("\\n| ?[!-~\xa1-\xac\xae-\xff]+")
 
+#: What ``pieces_without_spaces`` splits by pattern: printable ASCII and the letters of Latin-1.
+_PLAIN = re.compile("[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+_GAP, _LETTER, _DIGIT, _SIGN, _ODD = range(5)
+#: The same for bytes of UTF-8, where 0xc3 leads those letters; after another lead, which is odd, the rest doesn't matter.
+_KINDS = np.full(256, _ODD, np.uint8)
+_KINDS[[*b"\t\n\v\f\r "]] = _GAP
+_KINDS[0x21:0x7F] = _SIGN
+_KINDS[[*b"0123456789"]] = _DIGIT
+_KINDS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0xC0), 0xC3]] = _LETTER
+_KINDS[[0x97, 0xB7]] = _ODD
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[[*range(0x41, 0x5B), *range(0x80, 0x9F)]] += 0x20
+
 
 def _byte_chars() -> list[str]:
     """The visible character that byte-level vocabularies write for each byte."""
@@ -93,6 +109,55 @@ def parts_without_spaces(text: str) -> list[str]:
     return text.replace("\n", " ").split(" ")
 
 
+def utf8(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all texts, one after the other, and where each begins, with the end of the last."""
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int32)
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    return np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def pieces_without_spaces(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+    """For vocabularies that drop white space: pieces of all texts (no nulls), one after the other, and how many there are up
+    to the end of each text.
+
+    What stands between white space and has other characters than those of ``_PLAIN`` comes unsplit and as it is, all else
+    in lower case.
+    """
+    raw, offsets = utf8(texts)
+    n = len(raw)
+    first = np.zeros(n + 3, bool)
+    first[offsets] = True
+    kinds, low = _KINDS[raw], np.zeros(n + 2, np.uint8)
+    low[:n] = _LOWER[raw]
+    if (kinds == _ODD).any():
+        bounds = np.append(np.flatnonzero((kinds == _GAP) | first[:n]), n)
+        odd = np.flatnonzero(np.maximum.reduceat(kinds, bounds[:-1]) == _ODD)
+        begin, turn = bounds[odd], np.zeros(n + 1, np.int8)
+        turn[begin + (kinds[begin] == _GAP)] += 1
+        turn[bounds[odd + 1]] -= 1
+        unsplit = np.cumsum(turn[:n], dtype=np.int8).view(bool)
+        kinds[unsplit] = _ODD
+        np.copyto(low[:n], raw, where=unsplit)
+    solid = kinds != _GAP
+    start = first[:n] | (kinds == _DIGIT)
+    start[1:] |= kinds[1:] != kinds[:-1]
+    start &= solid
+    # 's, 't, 'm, 'd, 're, 've and 'll are pieces where a run of signs begins with them
+    at = np.flatnonzero((raw == 0x27) & start & (kinds == _SIGN))
+    one, two = low[at + 1], low[at + 1].astype(np.uint16) << 8 | low[at + 2]
+    length = np.where(np.isin(two, [int.from_bytes(x) for x in (b"re", b"ve", b"ll")]) & ~first[at + 2], 3, 0)
+    length = np.where(np.isin(one, [*b"stmd"]), 2, length) * ~first[at + 1]
+    at, length = at[length > 0], length[length > 0]
+    start[at + 1] = False
+    after = (at + length)[at + length < n]
+    start[after] = solid[after]
+    data = low[:n][solid]
+    places = np.append(np.flatnonzero(start[solid]), len(data)).astype(np.int32)
+    pieces = pa.StringArray.from_buffers(len(places) - 1, pa.py_buffer(places), pa.py_buffer(data))
+    return pieces, np.searchsorted(np.flatnonzero(start), offsets[1:])
+
+
 class Kept(dict):
     """Results by key.  At most ``2 * keep`` are held; what hasn't been asked for lately goes first."""
 
@@ -142,6 +207,7 @@ class Encoder:
         self.pattern = regex.compile(pattern)
         self.parts = Kept(self._part, keep)
         self.pieces = Kept(self._piece, keep)
+        self.uncut = Kept(self._uncut, keep)
 
     def _piece(self, piece: str) -> bytes:
         ids = [x.id for x in self.model.tokenize(piece)]
@@ -157,6 +223,10 @@ class Encoder:
             pieces = [x for x, _ in self.splitter.pre_tokenize_str(clean)]
         return b"".join(map(self.pieces.__getitem__, pieces))
 
+    def _uncut(self, piece: str) -> bytes:
+        """Ids of what ``pieces_without_spaces`` gives."""
+        return self._piece(_shown(piece)) if _PLAIN.fullmatch(piece) else self._part(piece)
+
     def encode(self, text: str | None) -> bytes:
         """Ids of the whole text."""
         if not text:
@@ -168,6 +238,36 @@ class Encoder:
         self.pieces.trim()
         return b"".join(map(self.parts.__getitem__, self.split(text)))
 
+    def encode_all(self, texts: pa.Array, end: int) -> pa.Array:
+        """Ids of each whole text (null: none) with the id ``end`` behind them, as ``encode`` gives them."""
+        texts, last = pc.fill_null(texts.cast(pa.string()), ""), np.array([end], self.kind).tobytes()
+        if not self.lower:
+            return pa.array([self.encode(x) + last for x in texts.to_pylist()], pa.binary())
+        held, raw = np.zeros(len(texts), bool), utf8(texts)[0].tobytes() if self.added else b""
+        for content in self.added:
+            if content.encode() in raw:
+                held |= np.asarray(pc.match_substring(texts, content))
+        whole = [self.encode(texts[i].as_py()) + last for i in np.flatnonzero(held).tolist()]
+        if whole:
+            texts = pc.if_else(pa.array(held), "", texts)
+        pieces, upto = pieces_without_spaces(texts)
+        coded = pieces.dictionary_encode()
+        for kept in (self.uncut, self.parts, self.pieces):
+            kept.trim()
+        found = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = [*map(self.uncut.__getitem__, found), last, *whole]
+        # each text's pieces are followed by its end, or by all of it where the library took it whole
+        place = upto + np.arange(len(texts))
+        which = np.empty(len(pieces) + len(texts), np.int32)
+        inner = np.ones(len(which), bool)
+        inner[place] = False
+        which[inner] = coded.indices
+        which[place] = len(ids) - len(whole) - 1
+        which[place[held]] = np.arange(len(ids) - len(whole), len(ids))
+        taken = pa.array(ids, pa.binary()).take(pa.array(which))
+        ends = np.frombuffer(taken.buffers()[1], np.int32)[np.concatenate([[0], place + 1])]
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(ends), taken.buffers()[2]])
+
 
 def encoder(path: str, drops_space: bool, added_tokens: bool = False, kind: str = "<u4") -> Encoder:
     """One encoder for each vocabulary, its handling and Python worker."""

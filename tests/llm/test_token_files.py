@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -8,7 +9,7 @@ from tokenizers import Tokenizer
 from syncplan.llm import token_files
 from syncplan.llm.common import shared_dir
 from syncplan.llm.token_files import decode_ranks, encode_ranks, op2_token_files, read_token_files, write_token_files
-from syncplan.llm.tokens import default_path
+from syncplan.llm.tokens import Encoder, default_path
 
 
 @settings(deadline=None)
@@ -93,3 +94,42 @@ def test_files_go_by_number(spark):
     names = [f"file:/x/ids/part-{n}-abc-c000.txt" for n in ("00007", "99999", "100000", "1000000")]
     df = spark.createDataFrame([(n,) for n in names[::-1]], "path string")
     assert [r[0] for r in df.orderBy(token_files.file_number()).collect()] == names
+
+
+_ODD_CHARS = " \t\n\x0b\x0c\r\x00\x1c\x1f\x7f\x80\x85\x97\xa0\xad\xaa\xb5\xb2\xbd\xb7×÷ßÿÀÞàéÉÑİſ\u212a\u0301\u0344\u2019\u2014\u2028\u3000\u200b中Я٣😀"
+_TEXTS = st.lists(
+    st.sampled_from([*_ODD_CHARS, *"'smRLeva19.,($ ", "'s", "'LL", "'re", "don't", "Wörter ", "<|endoftext|>", "<|"]) | st.text(max_size=3), max_size=14
+).map("".join)
+_LIBRARY = Tokenizer.from_file(default_path("word_bpe_49k.json"))
+_ENCODER = Encoder(default_path("word_bpe_49k.json"), True, added_tokens=True, kind="<u2")
+
+
+@settings(deadline=None, max_examples=400)
+@given(st.lists(st.none() | _TEXTS, max_size=5), st.integers(0, 2))
+def test_many_texts_at_once_have_the_ids_of_the_library(texts, begin):
+    got = _ENCODER.encode_all(pa.array(["før", *texts], pa.string())[begin:], 1).to_pylist()
+    want = [[*_LIBRARY.encode(x or "", add_special_tokens=False).ids, 1] for x in ["før", *texts][begin:]]
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == want
+
+
+def test_each_different_piece_is_looked_up_once(monkeypatch):
+    """Work of the slowest stage goes with different pieces, not with words."""
+    asked = []
+    run, kind = token_files._tokenize(default_path("word_bpe_49k.json"), 1, True, True)
+    ids = Encoder(default_path("word_bpe_49k.json"), True, added_tokens=True, kind=kind)
+
+    class Counted(type(ids.parts)):
+        def __getitem__(self, key):
+            asked.append(key)
+            return super().__getitem__(key)
+
+    for name in ("parts", "uncut"):
+        if hasattr(ids, name):
+            kept = getattr(ids, name)
+            setattr(ids, name, Counted(kept.make, kept.keep))
+    monkeypatch.setattr(token_files, "encoder", lambda *_: ids)
+    text = "The house's door, the Door. É5 " * 300
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([text, text])], ["doc_id", "text"])
+    (out,) = run(iter([batch]))
+    assert [np.frombuffer(x, kind).tolist() for x in out.column(1).to_pylist()] == 2 * [[*_LIBRARY.encode(text, add_special_tokens=False).ids, 1]]
+    assert sorted(asked) == sorted(["the", "house", "'s", "door", ",", ".", "é", "5"])
