@@ -12,6 +12,7 @@ ERROR_BYTES = 4096
 #: Beyond what a double holds.
 NUMBER_EXPONENT = 400
 ERROR_MARK = "...[truncated]"
+BYTE_UNITS = ("KB", "MB", "GB", "TB", "PB")
 
 
 def trim_white(text: Column | str) -> Column:
@@ -51,12 +52,22 @@ def truncate_error(text: Column | str, limit: int = ERROR_BYTES) -> Column:
     return F.when(F.octet_length(text) <= limit, text).otherwise(F.concat(short, F.lit(ERROR_MARK)))
 
 
-def human_bytes(n: Column | str) -> Column:
-    """``512 B``, ``1.50 KB``, ``2.00 GB``: powers of 1024."""
-    n = _col(n).cast("double")
-    out = F.format_string("%d B", n.cast("long"))
-    for power, unit in enumerate(("KB", "MB", "GB", "TB", "PB"), 1):
-        out = F.when(n >= 1024.0**power, F.format_string(f"%.2f {unit}", n / 1024.0**power)).otherwise(out)
+def human_bytes(n: Column | str, largest: str = "PB") -> Column:
+    """``512 B``, ``1.50 KB``, ``2.00 GB``: powers of 1024 up to the unit ``largest``, rounded as C's ``%.2f`` rounds.
+
+    Hundredths are counted in whole numbers: a formatter that rounds a number's shortest decimal text may round up what lies
+    just below a half.
+    """
+    n = _col(n).cast("double").cast("long")
+    out = F.format_string("%d B", n)
+    for power, unit in enumerate(BYTE_UNITS[: BYTE_UNITS.index(largest) + 1], 1):
+        part = F.lit((1 << 10 * power) - 1)
+        whole, rest = F.shiftright(n, 10 * power), n.bitwiseAND(part) * 100
+        cents, over = F.shiftright(rest, 10 * power), rest.bitwiseAND(part)
+        half = F.lit(1 << 10 * power - 1)  # of two hundredths as near as each other, the even one
+        up = F.when((over > half) | (over == half) & (cents % 2 == 1), 1).otherwise(0)
+        cents = cents + up
+        out = F.when(n >= 1 << 10 * power, F.format_string(f"%d.%02d {unit}", whole + F.when(cents == 100, 1).otherwise(0), cents % 100)).otherwise(out)
     return out
 
 

@@ -78,6 +78,17 @@ def test_errors_and_sizes(spark):
     assert _map(spark, ["512", "1536", "3221225472"], lambda c: V.human_bytes(c.cast("long"))) == ["512 B", "1.50 KB", "3.00 GB"]
 
 
+def test_sizes_up_to_a_largest_unit_and_rounded_exactly(spark):
+    units = [1 << 10 * i for i in range(6)]
+    sizes = [1023, 1024, 1152, 1664, 2048 * units[3] + 5, 3 * units[4], 7 * units[5]] + [u * 1024 - 1 for u in units] + [(k * units[3] - 25) // 200 for k in (268435457 * 3, 1234567891)]
+    near = [j for k in range(2 * 10**8 + 1, 2 * 10**8 + 20001, 2) for j in (k * units[3] // 200, k * units[3] // 200 + 1)]  # as near as can be to halves of a hundredth
+    for largest in ("GB", "PB"):
+        names = ["B", "KB", "MB", "GB", "TB", "PB"][: 4 if largest == "GB" else 6]
+        power = lambda n: max(i for i in range(len(names)) if i == 0 or n >= units[i])  # noqa: E731, B023
+        want = [f"{n} B" if not power(n) else f"{n / units[power(n)]:.2f} {names[power(n)]}" for n in sizes + near]
+        assert _map(spark, [str(n) for n in sizes + near], lambda c: V.human_bytes(c.cast("long"), largest)) == want  # noqa: B023
+
+
 def test_truncated_errors_against_brute_force(spark):
     def plain(text):
         body = text.encode()
