@@ -6,6 +6,7 @@ import datetime
 from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,8 @@ from ..schemas import CREATE, DELETE, ENTRY, UPDATE
 from ..scratch import shared_dir
 from ..sources.store import BucketStore
 
+#: Buckets of the items that wait in ``retry_stream``.
+RETRY_BUCKETS = 1024
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -184,81 +187,104 @@ def companion_stream(feed: DataFrame, lifetime: datetime.timedelta | None = None
 
 
 class _Retrying(StatefulProcessor):
-    """One item of work: its attempts, and the timer that makes it due again."""
+    """Items of work of one bucket, packed: attempts and due time of each, and one timer for the next that is to run."""
 
     def __init__(self, max_attempts: int, base: float, most: float):
         self.max_attempts, self.base, self.most = max_attempts, base, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.item = handle.getValueState("item", "status string, attempts int, next_us long, timer_ms long")
-
-    def _keep(self, status: str, attempts: int, next_us: int) -> None:
-        self._forget()
-        timer = -(-next_us // 1000) if status == "pending" else -1
-        if timer >= 0:
-            self.handle.registerTimer(timer)
-        self.item.update((status, attempts, next_us, timer))
-
-    def _forget(self) -> None:
-        if self.item.exists():
-            if (timer := self.item.get()[3]) >= 0:
+        self.state = handle.getValueState("items", "items binary, timer_ms long")
+
+    def _load(self) -> tuple[dict[int, tuple[int, int, bool]], int]:
+        """Attempts, due time and whether it waits for it of each item, and the timer that is set (-1: none)."""
+        if (kept := self.state.get()) is None:
+            return {}, -1
+        rows = np.frombuffer(kept[0], _ITEM)
+        return dict(zip(rows["id"].tolist(), zip(rows["attempts"].tolist(), rows["next_us"].tolist(), rows["waits"].tolist(), strict=True), strict=True)), kept[1]
+
+    def _keep(self, items: dict[int, tuple[int, int, bool]], timer: int) -> None:
+        """Writes the items back and sets the timer to the first that waits."""
+        rows = np.fromiter(((i, *item) for i, item in items.items()), _ITEM, len(items))
+        waiting = rows["next_us"][rows["waits"]]
+        first = int(-(-waiting.min() // 1000)) if len(waiting) else -1
+        if first != timer:
+            if timer >= 0:
                 self.handle.deleteTimer(timer)
-            self.item.clear()
+            if first >= 0:
+                self.handle.registerTimer(first)
+        if items:
+            self.state.update((rows.tobytes(), first))
+        else:
+            self.state.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out = []
-        for frame in rows:
-            for r in frame.sort_values("at").itertuples(index=False):
-                if r.status is not None:
-                    self._keep(r.status, int(r.attempts), r.next_run_at.value // 1000)
-                elif r.ok is not None and self.item.exists():
-                    _, attempts, next_us, _ = self.item.get()
-                    if r.ok:
-                        self._forget()
-                        out.append((*key, "done", attempts, pd.Timestamp(next_us, unit="us"), None))
-                        continue
-                    attempts += 1
-                    if attempts >= self.max_attempts:
-                        self._keep("failed", attempts, next_us)
-                        out.append((*key, "failed", attempts, pd.Timestamp(next_us, unit="us"), r.error))
-                    else:
-                        wait = min(self.most, self.base * 2.0 ** (attempts - 1))
-                        next_us = r.at.value // 1000 + int(wait * 1_000_000)
-                        self._keep("pending", attempts, next_us)
-                        out.append((*key, "pending", attempts, pd.Timestamp(next_us, unit="us"), r.error))
-        yield pd.DataFrame(out, columns=_RETRIED)
+        (items, timer), out = self._load(), []
+        frames = list(rows)
+        feed = (pd.concat(frames) if len(frames) > 1 else frames[0]).sort_values("at_us", kind="stable")
+        columns = (feed[c].tolist() for c in ("id", "at_us", "status", "attempts", "next_us", "ok", "error"))
+        for id, at_us, status, attempts, next_us, ok, error in zip(*columns, strict=True):
+            if status is not None:
+                items[id] = (attempts, next_us, status == "pending" and next_us >= 0)
+            elif ok is not None and id in items:
+                attempts, next_us, _ = items.pop(id)
+                if ok:
+                    out.append((id, "done", attempts, next_us, None))
+                    continue
+                attempts += 1
+                if attempts >= self.max_attempts:
+                    items[id] = (attempts, next_us, False)
+                    out.append((id, "failed", attempts, next_us, error))
+                else:
+                    next_us = at_us + int(min(self.most, self.base * 2.0 ** (attempts - 1)) * 1_000_000)
+                    items[id] = (attempts, next_us, next_us >= 0)
+                    out.append((id, "pending", attempts, next_us, error))
+        self._keep(items, timer)
+        if out:
+            yield pd.DataFrame(out, columns=_RETRIED)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = []
-        if self.item.exists():
-            status, attempts, next_us, timer = self.item.get()
-            if status == "pending" and timer == expiredTimerInfo.getExpiryTimeInMs():
-                self.item.update(("running", attempts, next_us, -1))
-                out.append((*key, "due", attempts, pd.Timestamp(next_us, unit="us"), None))
-        yield pd.DataFrame(out, columns=_RETRIED)
+        (items, timer), out = self._load(), []
+        fired, clock = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        if fired == timer:
+            for id, (attempts, next_us, waits) in items.items():
+                if waits and ((at := -(-next_us // 1000)) < clock or at <= fired):
+                    out.append((id, "due", attempts, next_us, None))
+            items |= {id: (attempts, next_us, False) for id, _, attempts, next_us, _ in out}
+            self._keep(items, -1)  # the timer that expired goes by itself
+        if out:
+            yield pd.DataFrame(out, columns=_RETRIED)
 
     def close(self) -> None:
         pass
 
 
-_RETRIED = ["id", "event", "attempts", "next_run_at", "error"]
+_ITEM = np.dtype([("id", "<i8"), ("attempts", "<i4"), ("next_us", "<i8"), ("waits", "?")])
+_RETRIED = ["id", "event", "attempts", "next_us", "error"]
+#: Of an item without a time.
+_NEVER = -(1 << 63)
 
 
-def retry_stream(feed: DataFrame, max_attempts: int = 5, base: float = 2.0, most: float = 300.0) -> DataFrame:
+def retry_stream(feed: DataFrame, max_attempts: int = 5, base: float = 2.0, most: float = 300.0, buckets: int = RETRY_BUCKETS) -> DataFrame:
     """Events ``id, event, attempts, next_run_at, error`` of items of work: ``due`` when one is to run, by itself, and what
     became of it: ``done``, ``pending`` again after its back-off, or ``failed`` for good.
 
     ``feed`` has id, ``at`` (a timestamp with a watermark, whose progress is the clock) and either an item to queue (status,
-    attempts, next_run_at) or an item's outcome (ok, error).  A failed item's timer is set to ``next_run_at``; state holds
-    one row for each item that isn't done.
+    attempts, next_run_at) or an item's outcome (ok, error).  A failed item becomes due at ``next_run_at``; state holds
+    21 bytes for each item that isn't done.  Items lie in ``buckets`` by a hash of their id: a bucket is a value of the state
+    store with a timer for its next item, so a micro-batch reads and writes the buckets of its ids whole.  The number can't
+    change between runs from one checkpoint.
     """
-    return feed.groupBy("id").transformWithStateInPandas(
+    bucket = F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
+    rows = feed.select(bucket.alias("_bucket"), "id", "at", F.unix_micros("at").alias("at_us"), "status", F.coalesce("attempts", F.lit(0)).alias("attempts"), F.coalesce(F.unix_micros("next_run_at"), F.lit(_NEVER)).alias("next_us"), "ok", "error")
+    made = rows.groupBy("_bucket").transformWithStateInPandas(
         statefulProcessor=_Retrying(max_attempts, base, most),
-        outputStructType="id long, event string, attempts int, next_run_at timestamp, error string",
+        outputStructType="id long, event string, attempts int, next_us long, error string",
         outputMode="Append",
         timeMode="EventTime",
     )
+    due = F.when(F.col("next_us") != _NEVER, F.timestamp_micros("next_us"))
+    return made.select("id", "event", "attempts", due.alias("next_run_at"), "error")
 
 
 def use_state_store(spark: SparkSession) -> None:

@@ -71,6 +71,41 @@ def test_retries_by_timers(spark, tmp_path):
     assert got[3] == [("done", 0, 500)] and got[4] == [] and got[9] == []
 
 
+def test_retries_of_many_items_in_few_buckets(spark, tmp_path):
+    """Items share a bucket's value and timer: those due before the clock come at once, the rest when it is their time."""
+    schema = "id long, at timestamp, status string, attempts int, next_run_at timestamp, ok boolean, error string"
+    at = lambda s: T0 + datetime.timedelta(seconds=s)
+    ids = range(3000)
+    queued = [(i, at(0), "running" if i % 7 == 0 else "pending", i % 6, None if i % 11 == 0 else at(1 + i % 40), None, None) for i in ids]
+    outcomes = [(i, at(21), None, None, None, i % 3 == 0, "boom") for i in ids if i % 3 < 2] + [(5000, at(21), None, None, None, True, None)]
+    clock = lambda when: [(-1, at(when), None, None, None, None, None)]
+    rows = _run(spark, tmp_path, lambda df: retry_stream(df.withWatermark("at", "0 seconds"), buckets=5), [queued, clock(20), outcomes, clock(30)], schema, "m")
+    want = []
+    for i in ids:
+        due = None if i % 11 == 0 else 1 + i % 40
+        waits = i % 7 != 0 and due is not None
+        if waits and due < 20:
+            want.append((i, "due", i % 6, due, None))
+            waits = False
+        if i % 3 == 0:
+            want.append((i, "done", i % 6, due, None))
+        elif i % 3 == 1 and i % 6 >= 4:
+            want.append((i, "failed", i % 6 + 1, due, "boom"))
+        else:
+            attempts = i % 6
+            if waits and due == 20:  # the clock that came with the outcomes
+                waits = i % 3 == 1
+                if i % 3 == 2:
+                    want.append((i, "due", attempts, due, None))
+            if i % 3 == 1:
+                attempts, due, waits = attempts + 1, 21 + 2 ** (attempts + 1), True
+                want.append((i, "pending", attempts, due, "boom"))
+            if waits and due < 30:
+                want.append((i, "due", attempts, due, None))
+    got = [(r["id"], r["event"], r["attempts"], r["next_run_at"] and (r["next_run_at"] - T0).total_seconds(), r["error"]) for r in rows]
+    assert sorted(got, key=str) == sorted(((i, e, n, None if d is None else float(d), x) for i, e, n, d, x in want), key=str)
+
+
 def test_a_folder_as_a_stream_of_listings(spark, tmp_path):
     """Two watchers, one within the other's prefix: files that come, change and go, and a folder that is emptied."""
     root, seen = tmp_path / "root", []
