@@ -13,6 +13,8 @@ from ..functions.paths import _col
 IGNORE_NAME = ".syncignore"
 #: Bytes of an ignore file that count.
 IGNORE_BYTES = 1 << 20
+#: Patterns beyond which those without wildcards are looked up.
+MANY = 64
 
 
 def _segment(text: str) -> str:
@@ -70,13 +72,54 @@ def pattern_regex(line: str) -> str | None:
     return ("" if anchored else "(?:.*/)?") + out
 
 
+def _plain(line: str) -> tuple[str, str] | None:
+    """Of a pattern without wildcards what it names (name, names, path or paths; the plural is a folder and all below) and the text."""
+    text = line.strip()
+    if not text or text.startswith("#") or re.search(r"[*?\[]", text.removesuffix("/**")):
+        return None
+    below, bare = text.endswith(("/", "/**")), text.removesuffix("/**").rstrip("/")
+    parts = [p for p in bare.split("/") if p]
+    if not parts:
+        return None
+    return ("path" if "/" in bare else "name") + "s" * below, "/".join(parts)
+
+
+def _quoted(texts: Iterable[str]) -> str:
+    return ", ".join("'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" for x in texts)
+
+
+def _named(plain: dict[str, list[str]], path: Column) -> Column:
+    """Whether a path is matched by any of the plain patterns, found by hash and not one after another.
+
+    Lists are SQL text, which Spark parses much sooner than it is given a column for each; it makes a hash set of a long one.
+    """
+    parts = F.split(path, "/")
+    of = {
+        "name": lambda: F.slice(parts, -1, 1), "names": lambda: parts, "path": lambda: F.array(path),
+        "paths": lambda: F.transform(parts, lambda _, i: F.array_join(F.slice(parts, F.lit(1), i + 1), "/")),
+    }
+    found = F.lit(False)
+    for kind, texts in plain.items():
+        found = found | F.call_function("exists", of[kind](), F.expr(f"x -> x in ({_quoted(texts)})"))
+    return found
+
+
 def ignore_predicate(lines: Iterable[str], path: Column | str = "path", rel_dir: str = "") -> Column:
-    """Whether a path matches any pattern; with ``rel_dir``, patterns hold below that directory.  One alternation, no UDF."""
-    found = [x for x in map(pattern_regex, lines) if x]
-    if not found:
-        return F.lit(False)
-    start = re.escape(rel_dir.strip("/")) + "/" if rel_dir.strip("/") else ""
-    return F.coalesce(_col(path).rlike("(?s)\\A" + start + "(?:" + "|".join(found) + ")\\z"), F.lit(False))
+    """Whether a path matches any pattern; with ``rel_dir``, patterns hold below that directory.  One alternation, no UDF.
+
+    Of more than MANY patterns those without wildcards are looked up in sets.
+    """
+    lines, plain = [x for x in lines if pattern_regex(x)], {}
+    if len(lines) > MANY:
+        for kind, text in filter(None, map(_plain, lines)):
+            plain.setdefault(kind, []).append(text)
+        lines = [x for x in lines if not _plain(x)]
+    found, path = [pattern_regex(x) for x in lines], _col(path)
+    start = rel_dir.strip("/") + "/" if rel_dir.strip("/") else ""
+    out = path.rlike("(?s)\\A" + re.escape(start) + "(?:" + "|".join(found) + ")\\z") if found else F.lit(False)
+    if plain:
+        out = out | (F.startswith(path, F.lit(start)) & _named(plain, F.substring(path, len(start) + 1, 1 << 30)))
+    return F.coalesce(out, F.lit(False))
 
 
 def event_eligible(lines: Iterable[str], path: Column | str = "path") -> Column:

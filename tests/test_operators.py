@@ -18,6 +18,7 @@ from syncplan.operators.channels import Channel, check_filter, plan_assets, rout
 from syncplan.operators.companions import Companion, CompanionPattern, companion_fields_json, companion_fields_csv, companion_fields_text, companion_fields_xml, csv_records, late_companions, plan_companions, presync, xml_documents
 from syncplan.operators.enrich import Enrich, lateral_fields, python_fields, register_fields_function, run_enrichers, split_failed
 from syncplan.operators.diff import commit_snapshot, load_snapshot
+from syncplan.operators import ignore as I
 from syncplan.operators.ignore import filter_ignored, ignore_lines, pattern_regex
 from syncplan.operators.metrics import ema
 from syncplan.operators.watchers import Watcher, assign_watcher, normalize_watchers, sub_prefixes
@@ -48,6 +49,18 @@ def test_ignore_patterns(spark, line, yes, no):
     assert kept == set(no)
 
 
+def test_many_plain_patterns_match_as_single_ones_do(spark):
+    lines = ["name", "it's", "back\\slash", "dir/", "gone/**", "/top", "a/b", "a/b/c/", "/x//y/", "**/p/q", "*.tmp", "h?t", "[ab]c", "# no", " ", "spaced  "]
+    paths = [f"{a}{b}{c}" for a in ("", "z/", "a/b/", "x/y/") for b in ("name", "it's", "back\\slash", "dir", "gone", "top", "a/b", "a/b/c", "x/y", "p/q", "f.tmp", "hot", "ac", "spaced", "names", "", "a\nb") for c in ("", "/", "/e", "/name")]
+    rows = _paths(spark, *paths).select("path", *(I.ignore_predicate([line], rel_dir=d).alias(f"{d}{i}") for d in ("", "z") for i, line in enumerate(lines)))
+    many = [*lines, *(f"none{i}" for i in range(100)), *(f"none/{i}/" for i in range(100))]
+    got = rows.withColumns({f"_{d}": I.ignore_predicate(many, rel_dir=d) for d in ("", "z")}).collect()
+    for d in ("", "z"):
+        assert {r["path"] for r in got if r[f"_{d}"]} == {r["path"] for r in got if any(r[f"{d}{i}"] for i in range(len(lines)))}
+    plan = rows.filter(~I.ignore_predicate(many))._jdf.queryExecution().executedPlan().toString()
+    assert "none99" in plan and "INSET" in plan and r"none0\z" not in plan and "|none" not in plan
+
+
 def test_ignore_file(spark):
     assert pattern_regex("# c") is None and pattern_regex("  ") is None
     assert ignore_lines(None) == [] and ignore_lines("a\r\nb") == ["a", "b"]
