@@ -10,7 +10,7 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import is_under, rel_key, trim_etag, version_token
@@ -25,6 +25,8 @@ MOST_BLOCKS = 50_000
 SEGMENT = 20 * MIB
 #: Bytes of contents that a task holds, about.
 HELD = 32 * MIB
+#: Files that a task lists below one folder.
+WALKED = 20_000
 
 
 def list_entries(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
@@ -58,10 +60,11 @@ def _open_store(root: str):
     return fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
 
 
-def _children(store, folder: str) -> Iterator[tuple[str, bool, int, int]]:
+def _children(store, folder: str, links: bool = False) -> Iterator[tuple[str, bool, int, int]]:
     """Name, whether it is a folder, size and nanoseconds of change of what is in a folder; nothing if it is gone.
 
-    Of a local folder, links and what is neither file nor folder are left out, so no link leads round in circles.
+    Of a local folder, what is neither file nor folder is left out, and so are links without ``links``: none leads round in
+    circles.
     """
     from pyarrow import fs
 
@@ -72,11 +75,11 @@ def _children(store, folder: str) -> Iterator[tuple[str, bool, int, int]]:
             return
         with found:
             for x in found:
-                if x.is_dir(follow_symlinks=False):
+                if x.is_dir(follow_symlinks=links):
                     yield x.name, True, 0, 0
-                elif x.is_file(follow_symlinks=False):
+                elif x.is_file(follow_symlinks=links):
                     try:
-                        at = x.stat(follow_symlinks=False)
+                        at = x.stat(follow_symlinks=links)
                     except FileNotFoundError:
                         continue
                     yield x.name, False, at.st_size, at.st_mtime_ns
@@ -85,30 +88,41 @@ def _children(store, folder: str) -> Iterator[tuple[str, bool, int, int]]:
             yield x.base_name, x.type == fs.FileType.Directory, x.size or 0, x.mtime_ns or 0
 
 
-def _expand(root: str, budget: int):
-    """For each folder what is in it; folders within it too, until the folder has given so many rows."""
+def _unseen(name: str) -> bool:
+    """Names that Spark's readers leave out."""
+    hidden = name.startswith(".") or name.endswith("._COPYING_") or name.startswith("_") and "=" not in name
+    return hidden and not name.startswith(("_common_metadata", "_metadata"))
+
+
+def _expand(root: str, budget: int, as_spark: bool = False):
+    """For each folder what is in it; folders within it too, until the folder has given so many rows.
+
+    No more than ``budget`` folders wait at once; others are handed back.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = _open_store(root)
+        (store, base), rows = _open_store(root), []
         for batch in batches:
             for start in batch.column(0).to_pylist():
-                waiting, rows, given = [start], [], 0
+                waiting, given = [start], 0
                 while waiting:
                     folder = waiting.pop()
                     if given >= budget:
                         rows.append((folder, True, 0, 0))
                         continue
-                    for name, is_folder, size, changed in _children(store, f"{base}/{folder}".rstrip("/")):
+                    for name, is_folder, size, changed in _children(store, f"{base}/{folder}".rstrip("/"), as_spark):
                         path = f"{folder}/{name}" if folder else name
-                        if is_folder:
+                        if as_spark and _unseen(name):
+                            continue
+                        if is_folder and len(waiting) < budget:
                             waiting.append(path)
                         else:
-                            rows.append((path, False, size, changed // 1000))
-                            given += 1
+                            rows.append((path, is_folder, size, changed // 1000))
+                            given += not is_folder
                         if len(rows) >= 10_000:
                             yield _walked(rows)
                             rows = []
-                yield _walked(rows)
+        yield _walked(rows)
 
     return run
 
@@ -119,7 +133,7 @@ def _walked(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "folder", "size", "changed"])
 
 
-def walk_entries(spark: SparkSession, root: str, prefix: str = "", ignore: Iterable[str] = (), budget: int = 20_000) -> DataFrame:
+def walk_entries(spark: SparkSession, root: str, prefix: str = "", ignore: Iterable[str] = (), budget: int = WALKED) -> DataFrame:
     """ENTRY of every file below ``root``/``prefix``, listed by tasks; a missing prefix gives no rows.
 
     The driver holds no listing: tasks list the folders of a frontier, write files as rows to the shared folder, and hand
@@ -129,11 +143,18 @@ def walk_entries(spark: SparkSession, root: str, prefix: str = "", ignore: Itera
     holds the listing of one folder.
     """
     ignore = list(ignore)
+    found = _walk(spark, root, prefix, ignore, budget)
+    out = _entries(found, F.timestamp_micros("changed"))
+    return filter_ignored(out, ignore) if ignore else out
+
+
+def _walk(spark: SparkSession, root: str, prefix: str, ignore: Iterable[str], budget: int, as_spark: bool = False) -> DataFrame:
+    """``path, size, changed`` (microseconds) of the files that tasks have listed."""
     frontier = spark.createDataFrame([(prefix.strip("/"),)], "path string")
-    found = None
+    found, tasks = None, 1
     while True:
-        rows = frontier.repartition("path").mapInArrow(_expand(root, budget), "path string, folder boolean, size long, changed long")
-        where = shared_dir(spark)
+        rows = frontier.repartition(tasks, "path").mapInArrow(_expand(root, budget, as_spark), "path string, folder boolean, size long, changed long")
+        where, tasks = shared_dir(spark), _tasks(spark)
         rows.write.partitionBy("folder").parquet(where)
         made = spark.read.schema("path string, size long, changed long, folder boolean").parquet(where)
         files = made.filter("not folder")
@@ -142,10 +163,16 @@ def walk_entries(spark: SparkSession, root: str, prefix: str = "", ignore: Itera
         if ignore:
             frontier = filter_ignored(frontier, ignore)
         if frontier.isEmpty():
-            break
-    mtime = F.timestamp_micros("changed")
-    out = found.select("path", "size", mtime.alias("mtime"), version_token("size", mtime).alias("hash"), F.lit(None).cast("map<string,string>").alias("metadata"))
-    return filter_ignored(out, ignore) if ignore else out
+            return found
+
+
+def _entries(found: DataFrame, mtime: Column) -> DataFrame:
+    return found.select("path", "size", mtime.alias("mtime"), version_token("size", mtime).alias("hash"), F.lit(None).cast("map<string,string>").alias("metadata"))
+
+
+def _tasks(spark: SparkSession) -> int:
+    """Tasks for work on files: rows that name them are small, and adaptive execution would put many into one task."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def entries_from_inventory(
@@ -203,7 +230,38 @@ def read_companions(spark: SparkSession, root: str, companions: DataFrame, limit
             yield out()
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in companions.schema.fields)
-    return companions.repartition("path").mapInArrow(run, f"{kinds}, content binary")
+    return companions.repartition(_tasks(spark), "path").mapInArrow(run, f"{kinds}, content binary")
+
+
+def write_files(rows: DataFrame, root: str) -> None:
+    """Writes files below ``root`` in tasks: ``content`` (binary) of the rows of a ``path``, one after another.
+
+    Rows of a path are beside one another in one partition, in their order.  A file has its name when it is whole, so a
+    repeated task is harmless.  The store must be one that Arrow's file systems reach from the executors.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = _open_store(root)
+        now, file, made, n = None, None, "", 0
+
+        def done() -> None:
+            if file is not None:
+                file.close()
+                store.move(made, f"{base}/{now}")
+
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                if path != now:
+                    done()
+                    now, folder = path, f"{base}/{path}".rsplit("/", 1)[0]
+                    store.create_dir(folder, recursive=True)
+                    made = f"{folder}/_{uuid.uuid4().hex}"
+                    file, n = store.open_output_stream(made), n + 1
+                file.write(content.as_buffer())
+        done()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["files"])
+
+    rows.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(run, "files long").write.format("noop").mode("overwrite").save()
 
 
 def segment_plan(entries: DataFrame, block_size: int = BLOCK, max_blocks: int = MOST_BLOCKS, carry: tuple[str, ...] = ()) -> DataFrame:

@@ -25,7 +25,7 @@ from syncplan.operators.watchers import Watcher, assign_watcher, normalize_watch
 from syncplan.schemas import SYNC_LOG
 from syncplan.sources.store import BucketStore
 from syncplan.operators.records import TABLES, Records, RecordStore, apply_plan
-from syncplan.sources.listing import copy_assets, list_entries, read_companions, segment_plan, walk_entries
+from syncplan.sources.listing import copy_assets, list_entries, read_companions, segment_plan, walk_entries, write_files
 
 T0 = datetime.datetime(2024, 1, 1)
 
@@ -480,6 +480,27 @@ def test_copies_of_files_that_are_not_as_listed(spark, tmp_path):
     assert (tmp_path / "out/short").read_text() == "before" and (tmp_path / "out/right").read_bytes() == (tmp_path / "in/right").read_bytes()
 
 
+def _texts(spark, n):
+    rows = spark.range(n).selectExpr("concat('d', id, '/f.txt') as path", "id").repartition(4, "path").sortWithinPartitions("path")
+    return rows.selectExpr("path", "explode(array(concat('a', id), null, 'b')) as c").select("path", F.coalesce("c", F.lit("-")).alias("content"))
+
+
+def test_written_files_hold_their_rows_in_order(spark, tmp_path):
+    for _ in range(2):  # a repeated write leaves the same files
+        write_files(_texts(spark, 50), str(tmp_path))
+    files = {p.relative_to(tmp_path).as_posix(): p.read_text() for p in tmp_path.rglob("*") if p.is_file()}
+    assert files == {f"d{i}/f.txt": f"a{i}-b" for i in range(50)}
+
+
+def test_many_small_files_are_read_by_several_tasks(spark, tmp_path):
+    """Their names are a few kilobytes, which adaptive execution would put into one task."""
+    write_files(_texts(spark, 400), f"{tmp_path}/in")
+    names = walk_entries(spark, f"{tmp_path}/in").select("path")
+    rows = read_companions(spark, f"{tmp_path}/in", names).select("path", "content", F.spark_partition_id().alias("task")).collect()
+    assert {(r["path"], bytes(r["content"])) for r in rows} == {(f"d{i}/f.txt", f"a{i}-b".encode()) for i in range(400)}
+    assert len({r["task"] for r in rows}) > 4
+
+
 def test_a_walk_by_tasks(spark, tmp_path):
     """Many folders, a deep one, links round in circles, and ignored folders that can't even be entered."""
     files = {f"a{i % 5}/b{i % 11}/f{i}": i % 13 for i in range(400)} | {"/".join(["deep"] * 40) + "/x": 1, "top.txt": 3, "skip/d/x": 1}
