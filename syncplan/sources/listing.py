@@ -6,6 +6,7 @@ import contextlib
 import os
 import uuid
 from collections.abc import Iterable, Iterator
+from urllib.parse import quote
 
 import pandas as pd
 import pyarrow as pa
@@ -18,6 +19,7 @@ from ..operators.companions import COMPANION_BYTES
 from ..operators.ignore import filter_ignored
 from ..schemas import ENTRY
 from ..scratch import shared_dir
+from .store import _fs
 
 MIB = 1 << 20
 BLOCK = 16 * MIB
@@ -32,11 +34,17 @@ WALKED = 20_000
 def list_entries(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
     """ENTRY of every file below ``root``/``prefix``, paths relative to ``root``; a missing prefix gives no rows.
 
-    Contents aren't selected, so files aren't opened.  Any store that Spark reads will do, but the driver holds the listing,
-    and Spark leaves out empty files; ``walk_entries`` does neither.
+    Files aren't opened.  Any store that Spark reads will do; as Spark does, it leaves out empty files and names that begin
+    with ``_`` or ``.``, and follows links.  A folder of a shared mount is listed by tasks, as ``walk_entries`` lists; of
+    another store the driver holds Spark's own listing, read in splits of few files.
     """
     base = root.rstrip("/")
     where = f"{base}/{prefix.strip('/')}" if prefix.strip("/") else base
+    at, fs = _fs(spark, where)
+    if fs.getUri().getScheme() == "file" and not fs.isFile(at):
+        local = f"file://{quote(_fs(spark, base)[0].toUri().getPath())}"
+        found = _walk(spark, local, prefix, (), WALKED, as_spark=True).filter("size > 0")
+        return _entries(found, F.timestamp_millis(F.expr("changed div 1000")))
     try:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(where)
     except AnalysisException as e:

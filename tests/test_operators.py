@@ -2,6 +2,7 @@ import datetime
 import json
 import random
 import re
+from urllib.parse import quote
 
 import pytest
 from hypothesis import given
@@ -501,6 +502,26 @@ def test_many_small_files_are_read_by_several_tasks(spark, tmp_path):
     assert len({r["task"] for r in rows}) > 4
 
 
+def test_a_listing_is_spark_s_but_not_in_splits_of_few_files(spark, tmp_path):
+    root = tmp_path / "a b%20c"
+    write_files(_texts(spark, 400), f"file://{quote(str(root))}")
+    for name in ("_hidden/x", ".hidden/x", "_k=1/x", "_SUCCESS", ".f.crc", "y._COPYING_", "_metadata/x", "empty", "full"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("" if name == "empty" else name)
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other/z").write_text("zz")
+    (root / "link").symlink_to(tmp_path / "other")
+    (root / "linked").symlink_to(tmp_path / "other/z")
+    (root / "broken").symlink_to(tmp_path / "nothing")
+    for prefix in ("", "d7", "link", "full", "none"):
+        where = root / prefix
+        spark_s = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"file://{where}") if where.exists() else spark.createDataFrame([], "path string, length long, modificationTime timestamp")
+        want = sorted((r["path"].removeprefix(f"file:{root}/"), r["length"], r["modificationTime"]) for r in spark_s.select("path", "length", "modificationTime").collect())
+        got = list_entries(spark, str(root), prefix)
+        assert sorted((r["path"], r["size"], r["mtime"]) for r in got.collect()) == want and (len(want) > 0) == (prefix != "none")
+    assert list_entries(spark, str(root)).rdd.getNumPartitions() < 10
+
+
 def test_a_walk_by_tasks(spark, tmp_path):
     """Many folders, a deep one, links round in circles, and ignored folders that can't even be entered."""
     files = {f"a{i % 5}/b{i % 11}/f{i}": i % 13 for i in range(400)} | {"/".join(["deep"] * 40) + "/x": 1, "top.txt": 3, "skip/d/x": 1}
