@@ -388,8 +388,8 @@ def copy_assets(entries: DataFrame, source: str, target: str, block_size: int =
             yield batch[["path", "bytes", "error"]]
 
     rest = entries.filter("size <= 0").select("path", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("offset"), F.greatest(F.col("size"), F.lit(-1)).alias("length"), "size")
-    plan = segment_plan(entries, block_size, carry=("size",)).unionByName(rest).repartition("path", "block")
+    plan = segment_plan(entries, block_size, carry=("size",)).unionByName(rest).repartition(_tasks(entries.sparkSession), "path", "block")
     copied = plan.mapInPandas(blocks, "path string, bytes long, error string")
     bad = F.min("error")
-    files = copied.groupBy("path").agg(F.when(bad.isNull(), F.sum("bytes")).otherwise(0).alias("bytes"), F.count("*").alias("blocks"), bad.alias("error"))
+    files = copied.repartition(_tasks(entries.sparkSession), "path").groupBy("path").agg(F.when(bad.isNull(), F.sum("bytes")).otherwise(0).alias("bytes"), F.count("*").alias("blocks"), bad.alias("error"))
     return files.mapInPandas(commit, "path string, bytes long, error string")

@@ -502,6 +502,14 @@ def test_many_small_files_are_read_by_several_tasks(spark, tmp_path):
     assert len({r["task"] for r in rows}) > 4
 
 
+def test_many_small_files_are_copied_by_several_tasks(spark, tmp_path):
+    write_files(_texts(spark, 400), f"{tmp_path}/in")
+    done = copy_assets(walk_entries(spark, f"{tmp_path}/in"), f"file://{tmp_path}/in", f"file://{tmp_path}/out", block_size=2)
+    rows = done.withColumn("task", F.spark_partition_id()).collect()
+    assert {r["path"]: r["bytes"] for r in rows} == {f"d{i}/f.txt": len(f"a{i}-b") for i in range(400)} and len({r["task"] for r in rows}) > 4
+    assert all((tmp_path / f"out/d{i}/f.txt").read_text() == f"a{i}-b" for i in range(400))
+
+
 def test_a_listing_is_spark_s_but_not_in_splits_of_few_files(spark, tmp_path):
     root = tmp_path / "a b%20c"
     write_files(_texts(spark, 400), f"file://{quote(str(root))}")
