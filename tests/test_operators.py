@@ -549,6 +549,31 @@ def test_a_walk_by_tasks(spark, tmp_path):
     assert walk_entries(spark, str(tmp_path), "none").count() == 0
 
 
+def test_a_scope_compared_and_merged_in_parts(spark, tmp_path, monkeypatch):
+    """Changes as large as the base make a new base; parts of some buckets give what the whole gives; no shuffle files stay."""
+    monkeypatch.setattr(BucketStore, "part_bytes", 20_000)
+    monkeypatch.setattr(D, "GROWN", 1)
+    schema = "path string, size long, mtime timestamp, hash string"
+    now = F.lit(datetime.datetime(2024, 1, 1))
+    made = lambda low, high, size: spark.range(low, high).select(F.concat(F.lit("p"), "id").alias("path"), F.lit(size).cast("long").alias("size"), now.alias("mtime"), F.sha2(F.col("id").cast("string"), 256).alias("hash"))
+    wholes = [(0, 3000, 1), (0, 3000, 2), (1000, 4000, 2), (1000, 1000, 2), (0, 500, 3)]
+    seen = {}
+    for generation, whole in enumerate(wholes, 1):
+        state = D.SnapshotState(spark, str(tmp_path), "s", schema)
+        pieces, changed = state.stage(made(*whole))
+        wanted = {f"p{i}": whole[2] for i in range(*whole[:2])}
+        got = {r["path"]: (r["size"], r["_deleted"], r["_was"]) for r in changed.collect()}
+        assert got == {p: (n, False, p in seen) for p, n in wanted.items() if seen.get(p) != n} | {p: (n, True, True) for p, n in seen.items() if p not in wanted}
+        assert state.commit(pieces) == generation
+        for back, rows in ((generation, wanted), (generation - 1, seen)):
+            if back:
+                assert {r["path"]: r["size"] for r in load_snapshot(spark, str(tmp_path), "s", schema, back).collect()} == rows
+        seen = wanted
+        if generation == 2:  # all rows have changed: a base, and no changes beside it
+            assert {len(names) for names in state.store.pieces("state").values()} == {1}
+    assert len(list((tmp_path / "scope=s/state").iterdir())) < 200 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
 def test_a_plan_rewrites_the_buckets_of_its_records(spark, tmp_path):
     ids = [f"r{i}" for i in range(200)]
     old = spark.createDataFrame([(i, "draft", T0) for i in ids], TABLES["records"])
