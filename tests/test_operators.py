@@ -16,7 +16,7 @@ from syncplan.operators import ledger as L
 from syncplan.operators import manifest as M
 from syncplan.operators import synclog, work
 from syncplan.operators.channels import Channel, check_filter, plan_assets, route, split_companions
-from syncplan.operators.companions import Companion, CompanionPattern, companion_fields_json, companion_fields_csv, companion_fields_text, companion_fields_xml, csv_records, late_companions, plan_companions, presync, xml_documents
+from syncplan.operators.companions import Companion, CompanionPattern, companion_fields_json, companion_fields_csv, companion_fields_text, companion_fields_xml, csv_records, late_companions, plan_companions, presync, presync_counts, xml_documents
 from syncplan.operators.enrich import Enrich, lateral_fields, python_fields, register_fields_function, run_enrichers, split_failed
 from syncplan.operators.diff import commit_snapshot, load_snapshot
 from syncplan.operators import ignore as I
@@ -176,6 +176,30 @@ def test_companions_meet_assets(spark):
     assert late_companions(creates.withColumn("attempts", F.lit(2)), found, presync(creates, found)).count() == 1
 
 
+def test_pairs_of_a_large_directory_are_made_by_several_tasks(spark):
+    """All of them, and once; another directory and another channel keep theirs."""
+    creates = spark.range(300).select(F.when(F.col("id") < 290, "x").otherwise("y").alias("channel_name"), F.concat(F.when(F.col("id") < 280, "d/").otherwise("e/"), "id", F.lit(".jpg")).alias("path"))
+    names = spark.range(9000).select(F.lit("x").alias("channel_name"), F.concat(F.when(F.col("id") < 8990, "d").otherwise("e"), F.lit("/"), "id", F.lit(".xmp")).alias("path"))
+    pattern = CompanionPattern("${basename}.xmp")
+    found = names.withColumn("m", pattern.match("path")).select("channel_name", "path", "m.*")
+    rows = presync(creates, found, "directory").select("channel_name", F.substring("path", 1, 2).alias("dir"), "path", "companion_path", F.spark_partition_id().alias("task"))
+    got = rows.groupBy("channel_name", "dir").agg(F.count("*").alias("n"), F.countDistinct("path", "companion_path").alias("pairs"), F.countDistinct("task").alias("tasks")).collect()
+    assert {(r["channel_name"], r["dir"]): (r["n"], r["pairs"]) for r in got} == {("x", "d/"): (280 * 8990,) * 2, ("x", "e/"): (100, 100)}
+    assert max(r["tasks"] for r in got) > 2
+
+
+def test_counts_of_companions_are_those_of_the_pairs(spark):
+    """Assets that are companions themselves, given twice, in no directory, alone, or of another channel."""
+    names = ["d/a.xmp", "d/a.xmp", "d/b.xmp", "d/c.jpg", "a.xmp", "e/z.xmp"]
+    pattern = CompanionPattern("${basename}.*")
+    found = _paths(spark, *names).withColumn("channel_name", F.when(F.startswith("path", F.lit("e/")), "y").otherwise("x")).withColumn("m", pattern.match("path")).select("channel_name", "path", "m.*")
+    creates = _paths(spark, "d/a.jpg", "d/a.xmp", "d/c.jpg", "d/c.jpg", "a.jpg", "e/z.jpg", "f/q.jpg", "e/z.xmp").withColumn("channel_name", F.lit("x"))
+    for match in ("stem", "directory"):
+        pairs = presync(creates, found, match).groupBy("channel_name", "path").agg(F.count("*").alias("n"))
+        counts = presync_counts(creates, found, match).groupBy("channel_name", "path").agg(F.sum("companions").alias("n"))
+        assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, pairs.collect())) != []
+
+
 def test_companion_contents(spark):
     rows = spark.createDataFrame([(1, '{"a": {"b": 7}, "t": "x"}'), (2, "{broken")], "id int, content string")
     got = {r["id"]: r for r in companion_fields_json(rows, {"B": "$.a.b", "T": "$.t"}).collect()}
